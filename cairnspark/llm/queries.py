@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnspark.llm import op6_token_files, op7_token_counts, op10_sentencepiece
+from cairnspark.llm import op2_decontaminate, op4_exact_dedup, op6_token_files, op7_token_counts, op8_chat_format, op10_sentencepiece
 from cairnspark.llm.shared import table
 
 
+def op2_decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest")
+
+
+def op4_exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
+
+
 def op6_token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_token_files.round_trip(table(spark, sf_dir, "documents"))
 
@@ -16,13 +24,26 @@ def op7_token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op8_chat_format_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return op8_chat_format.round_trip(rows.unionByName(own))
+
+
 def op10_sentencepiece_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_sentencepiece.encode_digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate_query,
+    "op4_exact_dedup": op4_exact_dedup_query,
     "op6_token_files": op6_token_files_query,
     "op7_token_counts": op7_token_counts_query,
+    "op8_chat_format": op8_chat_format_query,
     "op10_sentencepiece": op10_sentencepiece_query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": op2_decontaminate.SQL,
+    "op4_exact_dedup": op4_exact_dedup.SQL,
+    "op8_chat_format": op8_chat_format.SQL,
+}
