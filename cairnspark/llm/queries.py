@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnspark.llm import op2_decontaminate, op4_exact_dedup, op6_token_files, op7_token_counts, op8_chat_format, op10_sentencepiece
+from cairnspark.llm import op1_quality, op2_decontaminate, op4_exact_dedup, op5_lm_score, op6_token_files, op7_token_counts, op8_chat_format, op9_pii, op10_sentencepiece
 from cairnspark.llm.shared import table
 
 
+def op1_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return op1_quality.score(docs, op1_quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest")
 
@@ -16,6 +21,10 @@ def op4_exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op5_lm_score_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_lm_score.scores(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_token_files.round_trip(table(spark, sf_dir, "documents"))
 
@@ -30,16 +39,24 @@ def op8_chat_format_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_chat_format.round_trip(rows.unionByName(own))
 
 
+def op9_pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return op9_pii.detect(docs, op9_pii.train(docs))
+
+
 def op10_sentencepiece_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_sentencepiece.encode_digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_quality": op1_quality_query,
     "op2_decontaminate": op2_decontaminate_query,
     "op4_exact_dedup": op4_exact_dedup_query,
+    "op5_lm_score": op5_lm_score_query,
     "op6_token_files": op6_token_files_query,
     "op7_token_counts": op7_token_counts_query,
     "op8_chat_format": op8_chat_format_query,
+    "op9_pii": op9_pii_query,
     "op10_sentencepiece": op10_sentencepiece_query,
 }
 ORACLE_SQL: dict[str, str] = {
