@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnspark.llm import op1_quality, op2_decontaminate, op4_exact_dedup, op5_lm_score, op6_token_files, op7_token_counts, op8_chat_format, op9_pii, op10_sentencepiece
+from cairnspark.llm import op1_quality, op2_decontaminate, op3_near_dedup, op4_exact_dedup, op5_lm_score, op6_token_files, op7_token_counts, op8_chat_format, op9_pii, op10_sentencepiece
 from cairnspark.llm.shared import table
 
 
@@ -17,6 +17,10 @@ def op2_decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest")
 
 
+def op3_near_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -51,6 +55,7 @@ def op10_sentencepiece_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality_query,
     "op2_decontaminate": op2_decontaminate_query,
+    "op3_near_dedup": op3_near_dedup_query,
     "op4_exact_dedup": op4_exact_dedup_query,
     "op5_lm_score": op5_lm_score_query,
     "op6_token_files": op6_token_files_query,
