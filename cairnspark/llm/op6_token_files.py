@@ -34,9 +34,9 @@ END_ID = 1
 LENGTH = 2048
 ROWS = 64
 #: Distinct words that a Python worker remembers (about 130 bytes each); beyond that it forgets all.
-WORDS_KEPT = 1 << 20
+WORDS_KEPT = 1 << 19
 #: Bytes of text encoded at once.
-PIECE_BYTES = 16 << 20
+PIECE_BYTES = 6 << 20
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
