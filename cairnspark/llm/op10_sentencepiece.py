@@ -24,9 +24,9 @@ MODEL = "piece_bpe_32k.model"
 _SPACE = "▁"
 #: Distinct words that a Python worker remembers from one batch to the next (those that came
 #: more than once); beyond that it forgets all and starts again.
-WORDS_KEPT = 1 << 17
+WORDS_KEPT = 1 << 16
 #: Bytes of text merged at once.
-PIECE_BYTES = 6 << 20
+PIECE_BYTES = 3 << 20
 
 
 def model_path(name: str = MODEL) -> str:

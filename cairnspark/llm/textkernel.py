@@ -7,6 +7,7 @@ loops over words in Python.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -101,10 +102,19 @@ def blobs(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.to_pylist()
 
 
+def release() -> None:
+    """Gives memory that a worker no longer uses back to the system; workers live through many stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def pieces(batches: Iterable[pa.RecordBatch], text: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about limit bytes of text at most; nothing is cut within a row."""
     import pyarrow.compute as pc
 
+    release()
     for b in batches:
         if not b.num_rows:
             continue
@@ -113,6 +123,8 @@ def pieces(batches: Iterable[pa.RecordBatch], text: str, limit: int = PIECE_BYTE
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             yield b.slice(lo, hi - lo)
+        release()
+    release()
 
 
 def factorize(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
