@@ -36,3 +36,25 @@ def first_alarm(scored: DataFrame, tie: str) -> DataFrame:
     best = scored.filter("label = 1").agg(F.max(F.struct("score", (-F.col(tie)).alias("k"))).alias("b"))
     beaten = (F.col("score") > F.col("b.score")) | ((F.col("score") == F.col("b.score")) & (-F.col(tie) > F.col("b.k")))
     return scored.join(F.broadcast(best)).agg(F.when(F.max("b.score").isNull(), F.count(F.lit(1)) + 1).otherwise(F.count_if(beaten) + 1).alias("ifa"))  # best is one row
+
+
+def reverted(commits: DataFrame, bodies: DataFrame) -> DataFrame:
+    """commits: sha (hex); bodies: body. Shas that a body says it reverts, in full or by a prefix of 7 or more:
+    an equi-join on the first seven digits, the prefix test as its residue."""
+    named = bodies.select(F.explode(F.regexp_extract_all("body", F.lit(r"(?m)This reverts commit ([0-9a-f]{7,40})"), F.lit(1))).alias("r")).distinct()
+    keyed = named.withColumn("k", F.substring("r", 1, 7))
+    mine = commits.withColumn("k", F.substring("sha", 1, 7))
+    same = F.col("sha").startswith(F.col("r")) | F.col("r").startswith(F.col("sha"))
+    return mine.join(keyed, (mine["k"] == keyed["k"]) & same, "left_semi").select("sha").distinct()
+
+
+def ranker_matrix(commits: DataFrame, rankers: list[str]) -> DataFrame:
+    """AUC of each score column of commits (label 0/1): unpivoted, then one pass for all."""
+    long = commits.select("label", F.explode(F.array(*(F.struct(F.lit(n).alias("ranker"), F.col(n).cast("double").alias("score")) for n in rankers))).alias("x"))
+    return auc(long.select("x.ranker", "x.score", "label"), by=["ranker"])
+
+
+def random_baseline(commits: DataFrame, seeds: int, tie: str) -> DataFrame:
+    """Mean AUC of seeded orders. The score is a hash of seed and tie, so it needs no row order and repeats."""
+    many = commits.select("label", F.explode(F.transform(F.sequence(F.lit(0), F.lit(seeds - 1)), lambda s: F.struct(s.alias("seed"), F.xxhash64(s, F.col(tie)).alias("score")))).alias("x"))
+    return auc(many.select("x.seed", "x.score", "label"), by=["seed"]).agg(F.round(F.avg("auc"), 6).alias("auc"), F.count(F.lit(1)).alias("orders"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairnspark.plans import graph_queries
+from cairnspark.plans import graph_queries, resolution_queries
 
-QUERIES = dict(graph_queries.QUERIES)
-ORACLE_SQL = dict(graph_queries.ORACLE_SQL)
+QUERIES = graph_queries.QUERIES | resolution_queries.QUERIES
+ORACLE_SQL = graph_queries.ORACLE_SQL | resolution_queries.ORACLE_SQL
