@@ -1,7 +1,7 @@
 """The graph of parsed files: nodes, CONTAINS, IMPORTS, EXTENDS / IMPLEMENTS and CALLS edges, and how references resolved.
 
 Definitions are aggregated per lookup key (how many, the least id) before anything joins them, and a call site asks
-for at most ten keys, one a tier: one equi-join and one aggregation resolve all sites, and a name that a million
+for at most thirteen keys, one a tier: one equi-join and one aggregation resolve all sites, and a name that a million
 files define costs one row. The first tier that knows its key decides; if it knows several targets, the site is ambiguous.
 """
 
