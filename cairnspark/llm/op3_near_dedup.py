@@ -13,8 +13,8 @@ bucket that it shares. Every comparison is the exact weighted Jaccard similarity
 Buckets are cut into blocks of bounded size, a task holds the texts of two blocks, and only
 links that join two components leave it.
 
-The samples' random numbers (r, c, beta of the method) are drawn once into a table of 16,384 places
-per sample, which a shingle's hash chooses from; ties fall to the shingle's own hash.
+The samples' random numbers (r, c, beta of the method) come from hashes of shingle and sample, so each
+shingle has its own whatever the text's length; ties fall to the shingle's own hash.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ FREQUENT_LIMIT = 1 << 20
 #: Bytes of text handled at once.
 PIECE_BYTES = 4 << 20
 _HASH_BITS = 50
-_PLACES = 14
+_CACHED = 1 << 16
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -90,46 +90,89 @@ def weights(s: np.ndarray, tf: np.ndarray, frequent: np.ndarray, idf: np.ndarray
 
 
 @lru_cache(1)
-def _variates(samples: int) -> tuple[np.ndarray, ...]:
-    g = np.random.Generator(np.random.PCG64(97))
-    r = g.gamma(2, 1, (samples, 1 << _PLACES)).astype(np.float32)
-    ln_c = np.log(g.gamma(2, 1, (samples, 1 << _PLACES))).astype(np.float32)
-    beta = g.random((samples, 1 << _PLACES), np.float32)
-    odd = g.integers(1, 1 << 63, samples, dtype=np.uint64) | np.uint64(1)
-    return r, ln_c, beta, odd, np.stack([_packed(np.float32(np.log(1 - np.log10(RARE))), r[k], ln_c[k], beta[k]) for k in range(samples)])
+def _seeds(samples: int) -> np.ndarray:
+    """Three odd multipliers for each sample."""
+    return np.random.Generator(np.random.PCG64(97)).integers(1, 1 << 63, (samples, 3), dtype=np.uint64) | np.uint64(1)
+
+
+def _hashed(s: np.ndarray, odd: np.uint64) -> np.ndarray:
+    h = s * odd
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h
+
+
+def _product(half: np.ndarray) -> np.ndarray:
+    """Of 32-bit numbers, the upper 16 bits times the lower 16."""
+    p = half >> np.uint32(16)
+    p *= half & np.uint32(0xFFFF)
+    return p.astype(np.float32)
+
+
+def _ordered(a: np.ndarray) -> np.ndarray:
+    """32-bit numbers in the order of the values."""
+    bits = np.asarray(a, np.float32).view(np.uint32)
+    return np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31)).astype(np.uint64)
 
 
 def _packed(ln_w, r, ln_c, beta) -> np.ndarray:
     """The sample's value for weights w as a sortable 32-bit number, over a mark of the level t."""
     t = np.floor(ln_w / r + beta)
-    a = (ln_c - r * (t - beta) - r).astype(np.float32)
-    bits = a.view(np.uint32)
-    bits = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31)).astype(np.uint64)
-    return (bits << np.uint64(32)) | ((t.astype(np.int64) * 0x9E3779B1).astype(np.uint64) & _LOW)
+    return (_ordered(ln_c - r * (t - beta) - r) << np.uint64(32)) | ((t.astype(np.int64) * 0x9E3779B1).astype(np.uint64) & _LOW)
+
+
+def _least(s: np.ndarray, ln_w: np.ndarray, h: np.ndarray, u: np.ndarray, odd: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
+    """The least key that each text has among these shingles, all ones where it has none of them."""
+    out = np.full(texts, ~np.uint64(0))
+    if len(s):
+        f = _hashed(s, odd[1])  # further bits of u1 and u2, and beta
+        u1 = (h >> np.uint64(48)).astype(np.float32) + ((f >> np.uint64(48)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-16)
+        u2 = (h >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.float32) + ((f >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-16)
+        r = np.maximum(-np.log(u1 * u2 * np.float32(2.0**-32)), np.float32(1e-7))
+        beta = (_hashed(s, odd[2]) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
+        key = _packed(ln_w, r, np.log(-np.log(u * np.float32(2.0**-32))), beta) ^ (s & _LOW)
+        new = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+        out[text[new]] = np.minimum.reduceat(key, new)
+    return out
 
 
 def signatures(s: np.ndarray, w: np.ndarray, starts: np.ndarray, samples: int = BANDS * ROWS) -> np.ndarray:
-    """A row of 32-bit samples for each text; every text must have a shingle."""
-    r, ln_c, beta, odd, table = _variates(samples)
-    out = np.empty((len(starts) - 1, samples), np.uint32)
-    lo = 0
-    common = 1 - np.log10(RARE)
-    while lo < len(starts) - 1:  # as many texts as fit a processor's cache
-        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + 65536, "right")) - 1)
-        a, b = int(starts[lo]), int(starts[hi])
-        own, low = s[a:b], s[a:b] & _LOW
-        other = np.flatnonzero(w[a:b] != common)
-        ln_w = np.log(w[a:b][other]).astype(np.float32)
-        cut = starts[lo:hi] - a
-        for k in range(samples):
-            place = (own * odd[k]) >> np.uint64(64 - _PLACES)
-            key = table[k][place] ^ low
-            if len(other):
-                q = place[other]
-                key[other] = _packed(ln_w, r[k][q], ln_c[k][q], beta[k][q]) ^ low[other]
-            out[lo:hi, k] = np.minimum.reduceat(key, cut) & _LOW
-        lo = hi
-    return out
+    """A row of 32-bit samples for each text; every text must have a shingle.
+
+    Of a 64-bit hash, 16 bits each go to the four uniform numbers of c = -ln(u3 u4) and of e^-r = u1 u2 (Gamma(2, 1) both).
+    A shingle's value a lies between c e^-r / w and c / w, so a is computed only for shingles whose lower bound is at most
+    the least upper bound of their text. The least a of a text is exponential with the sum of its weights as rate: at
+    first shingles up to five times its mean are tried, and the rest for texts whose least a turns out above that."""
+    best = np.full((samples, len(starts) - 1), ~np.uint64(0))
+    for lo in range(0, len(s), _CACHED):  # as many shingles as fit a processor's cache, whole texts or not
+        own, weight = s[lo : lo + _CACHED], w[lo : lo + _CACHED]
+        inverse, ln_w = (-1 / weight).astype(np.float32), np.log(weight).astype(np.float32)
+        first = int(np.searchsorted(starts, lo, "right")) - 1
+        last = int(np.searchsorted(starts, lo + len(own), "left"))
+        n = last - first
+        cut = np.maximum(starts[first:last] - lo, 0)
+        length = np.diff(np.append(cut, len(own)))
+        text = np.repeat(np.arange(n), length)
+        usual = (5 / np.add.reduceat(weight, cut)).astype(np.float32)
+        usual_key = _ordered(np.log(usual))
+        bound = np.repeat(usual * np.float32(2.0**32), length)  # e below lacks the factor 2**-32
+        for k, odd in enumerate(_seeds(samples)):
+            h = _hashed(own, odd[0])
+            h |= np.uint64(0x10001)  # u3 and u4 are middles of 2**15 parts
+            halves = h.view(np.uint32)
+            e, u = _product(halves[1::2]), _product(halves[::2])
+            top = np.log(u * np.float32(2.0**-32))
+            top *= inverse
+            e *= top
+            i = np.flatnonzero(e <= bound)
+            least = _least(own[i], ln_w[i], h[i], u[i], odd, text[i], n)
+            late = (least >> np.uint64(32)) >= usual_key
+            if late.any():
+                limit = np.where(late, np.minimum.reduceat(top, cut) * np.float32(2.0**32 * 1.001), np.float32(-1))
+                i = np.flatnonzero(e <= limit[text])
+                least = np.minimum(least, _least(own[i], ln_w[i], h[i], u[i], odd, text[i], n))
+            best[k, first:last] = np.minimum(best[k, first:last], least)
+    return np.ascontiguousarray((best & _LOW).astype(np.uint32).T)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:

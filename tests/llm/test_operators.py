@@ -114,6 +114,38 @@ def test_near_classes_by_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("n", [30, 5_000, 100_000, 300_000])
+def test_samples_agree_as_often_as_texts_are_similar(n):
+    g, agree = np.random.default_rng(n), []
+    for _ in range(4):
+        s = np.unique(g.integers(0, 1 << 50, n, dtype=np.uint64))
+        w = np.full(len(s), 2.0)
+        more = np.where(np.arange(len(s)) % 5 == 0, 4.0, 2.0)  # every fifth shingle ten times
+        one, two = (op3_near_dedup.signatures(s, x, np.array([0, len(s)]))[0] for x in (w, more))
+        agree.append((one == two).mean())
+    assert abs(np.mean(agree) - w.sum() / more.sum()) < 0.08
+
+
+def test_samples_of_a_text_are_the_same_in_any_company():
+    g = np.random.default_rng(3)
+    sizes = [1, 7, 20_000, 3, 16_384, 40_000, 2]
+    texts = [np.unique(g.integers(0, 1 << 50, n, dtype=np.uint64)) for n in sizes]
+    w = [g.uniform(1, 6, len(s)) for s in texts]
+    together = op3_near_dedup.signatures(np.concatenate(texts), np.concatenate(w), np.cumsum([0, *map(len, texts)]))
+    for s, v, got in zip(texts, w, together, strict=True):
+        assert (op3_near_dedup.signatures(s, v, np.array([0, len(s)]))[0] == got).all()
+
+
+@pytest.mark.parametrize("n", [1, 2, 30, 3_000])
+def test_samples_are_the_least_of_all_shingles(n):
+    g, M = np.random.default_rng(n), op3_near_dedup
+    s = np.unique(g.integers(0, 1 << 50, n, dtype=np.uint64))
+    w, text = g.uniform(1, 8, len(s)), np.zeros(len(s), np.int64)
+    for odd, got in zip(M._seeds(100), M.signatures(s, w, np.array([0, len(s)]))[0], strict=True):
+        h = M._hashed(s, odd[0]) | np.uint64(0x10001)
+        assert M._least(s, np.log(w).astype(np.float32), h, M._product(h.view(np.uint32)[::2]), odd, text, 1)[0] & M._LOW == got
+
+
 def test_hash_collisions_are_told_apart(spark, odd):
     from pyspark.sql import functions as F
 
