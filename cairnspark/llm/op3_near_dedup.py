@@ -1,9 +1,9 @@
 """Near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
-A document is its set of five-word shingles with weight (1 + log10 tf) (1 + log10(N / max(df, N / 10))).
-Shingles in at most a tenth of the documents share one document frequency, so only the frequent
-ones have to be known: they are found exactly in two passes (a shingle in more than a tenth of all documents
-is in more than a tenth of some piece's documents; the second pass counts those candidates).
+A document is its set of five-word shingles with weight (1 + log10 tf) (1 + log10(N / df)), df counted
+over all documents for every shingle. Documents are taken in chunks of bounded size; each chunk asks for its
+distinct shingles with one row for each range of the hash space, packed with its own counts (so a frequent
+shingle costs a chunk one key); each range is summed in one place and answers every chunk in the order asked.
 
 Documents with the same words are one before anything else. 100 samples in 20 bands of 5 give
 buckets. In each bucket all documents are compared with the one that shares most buckets; their links
@@ -34,14 +34,14 @@ from cairnspark.llm.shared import staged
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
-#: Document frequencies up to this share of all documents count as this share.
-RARE = 0.1
+#: Document frequencies up to this share of all documents would count as this share: none do.
+RARE = 0.0
 #: Samples of 100 that must agree before a pair across components is compared: five deviations below 80.
 AGREE = 60
 #: Documents of a bucket that one task pairs with as many others.
 BLOCK = 1024
-#: Candidates for frequent shingles that are broadcast; with more, all shingles are counted.
-FREQUENT_LIMIT = 1 << 20
+#: Bytes of text whose shingles one range of the hash space has.
+RANGE_BYTES = 8 << 20
 #: Bytes of text handled at once.
 PIECE_BYTES = 4 << 20
 _HASH_BITS = 50
@@ -80,13 +80,32 @@ def shingles(texts: list[bytes | None], size: int = SHINGLE) -> tuple[np.ndarray
     return packed & np.uint64((1 << _HASH_BITS) - 1), tf, starts, same
 
 
-def weights(s: np.ndarray, tf: np.ndarray, frequent: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Weights of shingles; frequent (sorted) and their inverse document frequencies apply to those, the rest have 1 - log10 RARE."""
-    w = np.full(len(s), 1 - np.log10(RARE))
-    if len(frequent):
-        k = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-        w = np.where(frequent[k] == s, idf[k], w)
-    return w * (1 + np.log10(tf))
+def weights(s: np.ndarray, tf: np.ndarray, known: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Weights of shingles, all of them among the known (sorted), from those' inverse document frequencies."""
+    return idf[np.searchsorted(known, s)] * (1 + np.log10(tf))
+
+
+def packed_counts(n: np.ndarray) -> bytes:
+    """Counts in the narrowest type that holds them, after a byte that gives its width."""
+    kind = np.min_scalar_type(n.max(initial=0))
+    return bytes([kind.itemsize]) + n.astype(kind).tobytes()
+
+
+def unpacked_counts(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, f"u{x[0]}", offset=1).astype(np.int64)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as 32-bit steps; a step of all ones goes on with the next."""
+    step = np.diff(keys, prepend=np.uint64(0))
+    out = np.full(len(keys) + int((step // _LOW).sum()), _LOW, np.uint32)
+    out[np.cumsum(step // _LOW + np.uint64(1)).astype(np.int64) - 1] = step % _LOW
+    return out.tobytes()
+
+
+def unpacked_keys(x: bytes) -> np.ndarray:
+    step = np.frombuffer(x, np.uint32)
+    return np.cumsum(step, dtype=np.uint64)[step != _LOW]
 
 
 @lru_cache(1)
@@ -183,54 +202,35 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(common / total) if total else 0.0
 
 
-def frequent_shingles(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """All shingles in more than RARE of the documents (rows: t), and their inverse document frequencies."""
-    spark = rows.sparkSession
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, docs, total = [], 0, 0
-        for b in K.pieces(batches, "t", PIECE_BYTES):
-            s, _, starts, _ = shingles(K.blobs(b.column(0)), size)
-            held.append(s)
-            docs += b.num_rows
-            total += b.num_rows
-            if sum(map(len, held)) > 6_000_000:
-                yield _counted(held, docs)
-                held, docs = [], 0
-        if docs:
-            yield _counted(held, docs)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], names=["s", "n"])
-
-    def _counted(held, docs) -> pa.RecordBatch:
-        s, n = np.unique(np.concatenate(held), return_counts=True)
-        keep = n > RARE * docs
-        return pa.RecordBatch.from_arrays([pa.array(s[keep].astype(np.int64)), pa.array(n[keep])], names=["s", "n"])
-
-    found = staged(rows.mapInArrow(local, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")), "shingles")
-    total = found.filter("s IS NULL").agg(F.sum("n")).first()[0]
-    held = found.filter("s IS NOT NULL").select("s")
-    if not total or held.isEmpty():
-        return np.empty(0, np.uint64), np.empty(0)
-    few = held.limit(FREQUENT_LIMIT + 1).count() <= FREQUENT_LIMIT
-    wanted = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in held.collect()], np.uint64)) if few else None)
-
-    def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        want = wanted.value
-        n = None if want is None else np.zeros(len(want), np.int64)
-        for b in K.pieces(batches, "t", PIECE_BYTES):
-            s = shingles(K.blobs(b.column(0)), size)[0]
-            if want is None:
-                u, c = np.unique(s, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(c)], names=["s", "n"])
-            else:
-                k = np.minimum(np.searchsorted(want, s), len(want) - 1)
-                n += np.bincount(k[want[k] == s], minlength=len(want))
-        if want is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(want.astype(np.int64)), pa.array(n)], names=["s", "n"])
-
-    exact = rows.mapInArrow(counting, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") > RARE * total)
-    got = sorted((r["s"], r["n"]) for r in exact.collect())  # fewer than ten times a document's mean number of shingles
-    return np.array([s for s, _ in got], np.uint64), 1 + np.log10(total / np.array([n for _, n in got], float))
+def _chunk_id(seq: int) -> int:
+    from pyspark import TaskContext
+
+    return (TaskContext.get().partitionId() << 32) | seq
+
+
+def document_frequencies(rows: DataFrame, size: int, text_bytes: int) -> DataFrame:
+    """rows: doc_id, t. Out: chunk, r, df (packed): in how many documents each of a chunk's distinct shingles
+    of a range of hashes is, in the order of the hashes."""
+    ranges = max(1, -(-text_bytes // RANGE_BYTES))
+    edges = np.array([(k << _HASH_BITS) // ranges for k in range(ranges)], np.uint64)
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for seq, b in enumerate(K.pieces(batches, "t", PIECE_BYTES)):
+            keys, n = np.unique(shingles(K.blobs(b.column(1)), size)[0], return_counts=True)
+            cut = np.append(np.searchsorted(keys, edges), len(keys)).tolist()
+            spans = list(zip(cut, cut[1:], strict=False))
+            packed = [pa.array([packed_keys(keys[lo:hi] - e) for e, (lo, hi) in zip(edges, spans, strict=True)], pa.binary()), pa.array([packed_counts(n[lo:hi]) for lo, hi in spans], pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(ranges)), pa.array(np.full(ranges, _chunk_id(seq))), *packed], names=["r", "chunk", "s", "n"])
+
+    def summed(group: pa.Table) -> pa.Table:
+        keys = [unpacked_keys(x) for x in group["s"].to_pylist()]
+        n = np.concatenate([unpacked_counts(x) for x in group["n"].to_pylist()])
+        uniq, where = np.unique(np.concatenate(keys), return_inverse=True)
+        df = np.bincount(where, n, len(uniq)).astype(np.int64)[where]
+        answers = [packed_counts(v) for v in np.split(df, np.cumsum([len(v) for v in keys])[:-1])]
+        return pa.table({"chunk": group["chunk"], "r": group["r"], "df": pa.array(answers, pa.binary())})
+
+    return staged(rows.mapInArrow(asked, "r long, chunk long, s binary, n binary").groupBy("r").applyInArrow(summed, "chunk long, r long, df binary"), "shingles")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: float = SIMILARITY) -> DataFrame:
@@ -242,29 +242,50 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
     known = rows.filter("doc_id IS NOT NULL")
-    frequent = spark.sparkContext.broadcast(frequent_shingles(known.select("t"), size))
-    bands = BANDS
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in K.pieces(batches, "t", PIECE_BYTES):
-            s, tf, starts, same = shingles(K.blobs(b.column(1)), size)
-            has = np.flatnonzero(np.diff(starts))
-            sig = np.zeros((b.num_rows, BANDS * ROWS), np.uint32)
-            if len(has):
-                sig[has] = signatures(s, weights(s, tf, *frequent.value), np.append(starts[has], starts[-1]))
-            keys = np.zeros((b.num_rows, bands), np.uint64)
-            for k in range(bands):
-                v = np.full(b.num_rows, k + 1, np.uint64)
-                for c in range(k * ROWS, (k + 1) * ROWS):
-                    v = K.mix(v * np.uint64(0x9E3779B97F4A7C15) + sig[:, c])
-                keys[:, k] = v
-            words = np.diff(starts) > 0
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([x.tobytes() for x in same], pa.binary()), pa.array([x.tolist() if y else [] for x, y in zip(keys.view(np.int64), words, strict=True)], pa.list_(pa.int64())), pa.array([x.tobytes() for x in sig], pa.binary())],
-                names=["doc_id", "same", "bands", "sig"],
-            )
-
-    signed = staged(known.mapInArrow(sign, "doc_id long, same binary, bands array<long>, sig binary"), "signatures")
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:  # so that two scans are cut alike, whatever executors come or go
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    total, text_bytes = (x or 0 for x in known.agg(F.count(F.lit(1)), F.sum(F.octet_length("t"))).first())
+    answers = document_frequencies(known, size, text_bytes)
+
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for seq, b in enumerate(K.pieces(batches, "t", PIECE_BYTES)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, _chunk_id(seq))), b.column(0), b.column(1)], names=["chunk", "doc_id", "t"])
+
+    def sign(left: pa.Table, right: pa.Table) -> pa.Table:
+        K.release()
+        s, tf, starts, same = shingles(K.blobs(left["t"]), size)
+        df = np.concatenate([unpacked_counts(x) for x in right.sort_by("r")["df"].to_pylist()] or [np.empty(0, np.int64)])
+        keys = np.unique(s)
+        if len(keys) != len(df):
+            raise RuntimeError("the input was cut otherwise than before: run again")
+        has = np.flatnonzero(np.diff(starts))
+        sig = np.zeros((left.num_rows, BANDS * ROWS), np.uint32)
+        if len(has):
+            sig[has] = signatures(s, weights(s, tf, keys, 1 + np.log10(total / df)), np.append(starts[has], starts[-1]))
+        bands = np.zeros((left.num_rows, BANDS), np.uint64)
+        for k in range(BANDS):
+            v = np.full(left.num_rows, k + 1, np.uint64)
+            for c in range(k * ROWS, (k + 1) * ROWS):
+                v = K.mix(v * np.uint64(0x9E3779B97F4A7C15) + sig[:, c])
+            bands[:, k] = v
+        words = np.diff(starts) > 0
+        own = df[np.searchsorted(keys, s)]
+        return pa.table({
+            "doc_id": left["doc_id"],
+            "same": pa.array([x.tobytes() for x in same], pa.binary()),
+            "bands": pa.array([x.tolist() if y else [] for x, y in zip(bands.view(np.int64), words, strict=True)], pa.list_(pa.int64())),
+            "sig": pa.array([x.tobytes() for x in sig], pa.binary()),
+            "t": left["t"],
+            "df": pa.array([packed_counts(own[p:q]) for p, q in zip(starts[:-1], starts[1:], strict=True)], pa.binary()),
+        })
+
+    def weighted(texts: list[bytes | None], df: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        s, tf, starts, _ = shingles(texts, size)
+        w = (1 + np.log10(total / np.concatenate([unpacked_counts(x) for x in df]))) * (1 + np.log10(tf))
+        return [(s[p:q], w[p:q]) for p, q in zip(starts[:-1], starts[1:], strict=True)]
+
+    found = known.mapInArrow(chunked, "chunk long, doc_id long, t string").groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    signed = staged(found.applyInArrow(sign, "doc_id long, same binary, bands array<long>, sig binary, t string, df binary"), "signatures")
     copies = staged(signed.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "copies")
     single = signed.join(copies.select("same", "rep").hint("shuffle_hash"), "same", "left").filter("rep IS NULL OR rep = doc_id")
     banded = single.select("doc_id", F.posexplode("bands").alias("k", "b"))
@@ -278,7 +299,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ranked = members.join(degree, "doc_id")
     heads = ranked.groupBy("b").agg(F.max(F.struct("d", (-F.col("doc_id")).alias("i"))).alias("m")).select("b", (-F.col("m.i")).alias("head"))
     first = staged(members.join(staged(heads, "heads"), "b").filter("doc_id != head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-    texts = staged(rows.join(degree.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    texts = staged(signed.select("doc_id", "t", "df").join(degree.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,16 +307,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 for lo in range(0, whole.num_rows, 256):
                     b = whole.slice(lo, 256)
                     ids = b.column(0).to_numpy(), b.column(1).to_numpy()
-                    both = dict(zip(ids[0].tolist(), K.blobs(b.column(2)), strict=True)) | dict(zip(ids[1].tolist(), K.blobs(b.column(3)), strict=True))
-                    s, tf, starts, _ = shingles(list(both.values()), size)
-                    w = weights(s, tf, *frequent.value)
-                    sets = {i: (s[p:q], w[p:q]) for i, p, q in zip(both, starts[:-1], starts[1:], strict=True)}
+                    both = {i: (t, n) for i, t, n in zip(np.concatenate(ids).tolist(), K.blobs(b.column(2)) + K.blobs(b.column(3)), b.column(4).to_pylist() + b.column(5).to_pylist(), strict=True)}
+                    sets = dict(zip(both, weighted(*map(list, zip(*both.values(), strict=True))), strict=True))
                     sim = [similarity(sets[x], sets[y]) for x, y in zip(ids[0].tolist(), ids[1].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sim, pa.float64())], names=["a", "b", "similarity"])
 
-        with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("t").alias("ta")), "a")
-        with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("t").alias("tb")), "b")
-        return staged(with_b.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double").filter(F.col("similarity") >= threshold - 1e-9).select("a", "b"), "links")
+        with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("t").alias("ta"), F.col("df").alias("na")), "a")
+        with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("t").alias("tb"), F.col("df").alias("nb")), "b")
+        return staged(with_b.select("a", "b", "ta", "tb", "na", "nb").mapInArrow(run, "a long, b long, similarity double").filter(F.col("similarity") >= threshold - 1e-9).select("a", "b"), "links")
 
     links = verified(first)
     roots = staged(components(links), "roots")
@@ -305,16 +324,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), parts).cast("int")
     spread = rest.join(signed.select("doc_id", "sig"), "doc_id").join(texts, "doc_id").withColumn("p", own).withColumn("q", F.explode(F.sequence(F.lit(0), parts - 1)))
-    blocked = spread.select("b", F.least("p", "q").alias("p1"), F.greatest("p", "q").alias("p2"), "k", F.col("p").alias("side"), "doc_id", "root", "sig", "t")
+    blocked = spread.select("b", F.least("p", "q").alias("p1"), F.greatest("p", "q").alias("p2"), "k", F.col("p").alias("side"), "doc_id", "root", "sig", "t", "df")
 
     def joined(group: list[pa.RecordBatch]) -> list[tuple[int, int]]:
         t = pa.Table.from_batches(group)
         k, ids, root, side = t["k"][0].as_py(), t["doc_id"].to_pylist(), t["root"].to_numpy(), t["side"].to_numpy()
         split = t["p1"][0].as_py() != t["p2"][0].as_py()
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(len(ids), BANDS * ROWS)
-        s, tf, starts, _ = shingles(K.blobs(t["t"]), size)
-        w = weights(s, tf, *frequent.value)
-        sets = [(s[p:q], w[p:q]) for p, q in zip(starts[:-1], starts[1:], strict=True)]
+        sets = weighted(K.blobs(t["t"]), t["df"].to_pylist())
         root, out = root.copy(), []
         for i in range(len(ids) - 1):
             j = np.arange(i + 1, len(ids))
