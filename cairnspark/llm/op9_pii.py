@@ -147,8 +147,7 @@ LABELERS = (regex_vote, gazetteer_vote, cue_vote, border_vote, shape_vote)
 
 
 def votes(kind: str, text: str, lo: int, hi: int) -> tuple[int, ...]:
-    s = text[lo:hi] if hi - lo <= 512 else text[lo : lo + 512]  # a longer run is no secret: its vote is that of its start
-    return tuple(f(kind, s, text, lo, hi) for f in LABELERS)
+    return tuple(f(kind, text[lo:hi], text, lo, hi) for f in LABELERS)
 
 
 def candidates(text: str) -> tuple[list[Span], list[Span]]:

@@ -278,6 +278,14 @@ def test_base_spans_by_plain_patterns(spark):
             assert set(op9_pii.joined(want).split(",")) - {""} <= set(got[i]["spans"].split(","))
 
 
+def test_votes_on_a_long_span_are_those_of_all_of_it():
+    start, end = "a1B2c3D4e5" * 60, "abcdefghij" * 300
+    shape = op9_pii.LABELERS.index(op9_pii.shape_vote)
+    assert op9_pii.votes("secret", start, 0, len(start))[shape] == op9_pii.YES
+    assert op9_pii.votes("secret", start + end, 0, len(start + end))[shape] == op9_pii.NO
+    assert op9_pii.votes("secret", end + start * 9, 0, len(end + start * 9))[shape] == op9_pii.YES
+
+
 def test_pipeline_stages(spark, odd, none):
     import corpus_pipeline as P
 
