@@ -2,7 +2,8 @@
 
 Offline, every vocabulary string is merged from its bytes: those that end as the one token
 they name are proved. A pre-token that is a proved string counts 1 without merging; only the
-rest is merged, each distinct pre-token of a batch once, by vectorised rounds.
+rest is merged, each distinct pre-token of a batch once, by vectorised rounds. Stretches that the byte
+classes don't cut (apostrophes, other scripts) are cut by the library's pre-tokenizer and counted alike.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from cairnspark.llm.mergerounds import Pairs, merge_words
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
-#: White space outside ASCII, in UTF-8; a text with any is left to the library as a whole.
+#: White space outside ASCII, in UTF-8; a text with any is cut by the library's pre-tokenizer as a whole.
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
@@ -53,6 +54,8 @@ class ByteModel:
         letters = byte_letters()
         self.byte_ids = np.array([vocab[letters[b]] for b in range(256)], np.int32)
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
+        self.plain_special = not any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized"))
+        self.at_special = re.compile(b"|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) or b"(?!)")
         of = {c: b for b, c in letters.items()}
         strings = [bytes(of[c] for c in s) for s, i in vocab.items() if all(c in of for c in s)]
         ids = [i for s, i in vocab.items() if all(c in of for c in s)]
@@ -68,6 +71,27 @@ class ByteModel:
     def by_library(self, text: bytes) -> int:
         return len(self.library.encode(text.decode(), add_special_tokens=False).ids)
 
+    def pretokens(self, text: bytes) -> list[bytes]:
+        """The library's pre-tokens of a text without special strings."""
+        t = text.decode()
+        return [t[a:b].encode() for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(t)] if t else []
+
+    def count_words(self, words: list[bytes]) -> np.ndarray:
+        """Tokens of each pre-token."""
+        counts = np.ones(len(words), np.int64)
+        rest = [k for k, w in enumerate(words) if w not in self.proved]
+        counts[rest] = self.merge([words[k] for k in rest])[1]
+        return counts
+
+    def count_stretches(self, texts: list[bytes]) -> np.ndarray:
+        """Tokens of each text, each distinct pre-token counted once; a special string is one token."""
+        if not self.plain_special:
+            return np.array([self.by_library(t) for t in texts], np.int64)
+        words: dict[bytes, int] = {}
+        cut = [[words.setdefault(w, len(words)) for part in self.at_special.split(t) for w in self.pretokens(part)] for t in texts]
+        counts = self.count_words(list(words))
+        return np.array([counts[c].sum() + len(self.at_special.findall(t)) for c, t in zip(cut, texts, strict=True)], np.int64)
+
 
 @functools.lru_cache(2)
 def load(path: str) -> ByteModel:
@@ -87,15 +111,13 @@ def count_texts(model: ByteModel, texts: list[bytes | None]) -> np.ndarray:
     if len(s):
         codes, _, first = K.factorize(K.segment_hashes(buf, s, e))
         strings = [whole[a:b] for a, b in zip(s[first].tolist(), e[first].tolist(), strict=True)]
-        counts = np.ones(len(strings), np.int64)
-        proved, left = model.proved, by_library[first]
-        rest = [k for k, w in enumerate(strings) if w not in proved and not left[k]]
-        counts[rest] = model.merge([strings[k] for k in rest])[1]
-        for k in np.flatnonzero(left).tolist():
-            counts[k] = model.by_library(strings[k])
+        counts = np.empty(len(strings), np.int64)
+        left = by_library[first]
+        own, other = np.flatnonzero(~left).tolist(), np.flatnonzero(left).tolist()
+        counts[own] = model.count_words([strings[k] for k in own])
+        counts[other] = model.count_stretches([strings[k] for k in other])
         out = K.sums_by_text(counts[codes], np.searchsorted(s, at))
-    for i, t in alone.items():
-        out[i] = model.by_library(t)
+    out[list(alone)] = model.count_stretches(list(alone.values()))
     return out
 
 

@@ -252,6 +252,14 @@ def test_tokenizers_on_odd_strings(seed):
             assert ids == sp.encode(t) and pieces.decode(ids) == sp.decode(ids)
 
 
+def test_other_scripts_are_counted_by_proved_strings_and_merges(monkeypatch):
+    model = op7_token_counts.load(op7_token_counts.vocabulary_path())
+    texts = ["Привет, мир! It's 1\u00a0000 ½", "Καλημέρα κόσμε", "今日は良い天気です。我们去公园。" * 50, "\x00a\x85 <|endoftext|><|endoftext|> b's", "", " \u3000 ", "हिन्दी ไทย \U0001f600"]
+    want = [len(model.library.encode(t, add_special_tokens=False).ids) for t in texts]
+    monkeypatch.setattr(type(model), "by_library", lambda self, text: 1 / 0)
+    assert op7_token_counts.count_texts(model, [t.encode() for t in texts]).tolist() == want
+
+
 def test_typed_parts_and_escapes():
     piece, lo, hi, refs = op8_chat_format.format_turn("assistant", [{"type": "text", "text": "see <|x|>"}, {"type": "image", "ref": "a.png"}, {"type": "audio", "ref": "b", "n_tokens": 7}, {"type": None, "text": "\\</s>"}], "assistant")
     assert [(r["type"], r["ref"], r["n_tokens"]) for r in refs] == [("image", "a.png", 256), ("audio", "b", 7)]
