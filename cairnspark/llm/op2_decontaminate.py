@@ -117,12 +117,16 @@ def search(keys: list[np.ndarray], block: Block) -> tuple[np.ndarray, np.ndarray
     return lo, hi
 
 
-def match_shard(hashes: np.ndarray, at: np.ndarray, block: Block, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words hit, (text, item) pairs of occurring windows, and the longest match of each text."""
+#: Minus the words of a match, its place in the text, the item, the place in the item (places in words); the least is the longest.
+Match = tuple[int, int, str, int]
+_MATCH = pa.struct([("n", pa.int64()), ("at", pa.int64()), ("item", pa.string()), ("item_at", pa.int64())])
+
+
+def match_shard(hashes: np.ndarray, at: np.ndarray, block: Block, window: int) -> tuple[np.ndarray, np.ndarray, dict[int, Match]]:
+    """Words hit, (text, item) pairs of occurring windows, and the longest match of each text that has one."""
     n_texts = len(at) - 1
     hit = np.zeros(len(hashes), bool)
-    longest = np.zeros(n_texts, np.int64)
-    none = hit, np.empty((0, 2), np.int64), longest
+    none = hit, np.empty((0, 2), np.int64), {}
     if not len(block.sizes) or not len(hashes):
         return none
     v = block.vocabulary
@@ -164,21 +168,29 @@ def match_shard(hashes: np.ndarray, at: np.ndarray, block: Block, window: int) -
     # the longest match: windows in a row on one diagonal
     t = block.at[w]
     order = np.lexsort((t, place - t))
-    d, t, p, size = (place - t)[order], t[order], text[order], block.sizes[w][order]
+    d, t, p, size, item = (place - t)[order], t[order], text[order], block.sizes[w][order], block.items[w][order]
     fresh = np.append(True, (np.diff(d) != 0) | (np.diff(t) != 1))
     run = np.arange(len(t)) - np.maximum.accumulate(np.where(fresh, np.arange(len(t)), 0))
-    np.maximum.at(longest, p, run + size)
+    start = d + t - run - (at[p] + p)
+    item_start = t - run - block.at[np.searchsorted(block.items, item)]
+    rank = np.unique(block.names, return_inverse=True)[1]
+    order = np.lexsort((item_start, rank[item], start, -(run + size), p))
+    order = order[np.append(True, np.diff(p[order]) != 0)]
+    columns = (x[order].tolist() for x in (p, run + size, start, item, item_start))
+    longest = {i: (-n, s, block.names[k], o) for i, n, s, k, o in zip(*columns, strict=True)}
     return hit, np.stack([pairs // len(block.names), pairs % len(block.names)], 1), longest
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: int = SHARE, keep_columns: bool = False) -> DataFrame:
-    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest.
+    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and of the longest verbatim match (the first of several; none: 0 and nulls)
+    its words, its item and the words before it in the text and in the item: longest, longest_item, longest_at, longest_item_at.
 
     With keep_columns, instead the rows of docs that aren't contaminated, as they are. A null or
     empty text has no words and is clean; items without words have no windows; an empty test set
     hits nothing; repeated rows are each judged; columns beside the two named are not looked at."""
     spark = docs.sparkSession
-    out_schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long"
+    out_schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, longest_item string, longest_at long, longest_item_at long"
+    out_names = [x.split()[0] for x in out_schema.split(", ")]
     groups, size = [[]], 0
     for b in blocks(benchmark, item_col, item_text, window):
         weight = b.windows.nbytes + b.vocabulary.nbytes
@@ -194,28 +206,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         raise ValueError("columns named __cairn_* are taken")
     text_at = names.index(text_col)
     df = docs.select(*[F.col(f"`{x}`") for x in names])
-    carry = [("__cairn_hits", "binary"), ("__cairn_items", "array<string>"), ("__cairn_longest", "long")]
+    carry = [("__cairn_hits", "binary"), ("__cairn_items", "array<string>"), ("__cairn_longest", "struct<n: bigint, at: bigint, item: string, item_at: bigint>")]
 
     def passing(group, first: bool, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in K.pieces(batches, text_col):
                 hashes, at = K.word_stream(K.blobs(b.column(text_at)), K.ALNUM)
                 n_words = np.diff(at)
-                hit, longest = np.zeros(len(hashes), bool), np.zeros(b.num_rows, np.int64)
+                hit, longest = np.zeros(len(hashes), bool), [None] * b.num_rows
                 items: list[set[str]] = [set() for _ in range(b.num_rows)]
                 if not first:
                     hit |= np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(b.column(len(names)).to_pylist(), n_words.tolist(), strict=True)])
                     items = [set(x) for x in b.column(len(names) + 1).to_pylist()]
-                    longest = b.column(len(names) + 2).to_numpy().copy()
+                    longest = [x and tuple(x.values()) for x in b.column(len(names) + 2).to_pylist()]
                 for block in group.value:
                     h, pairs, far = match_shard(hashes, at, block, window)
                     hit |= h
-                    longest = np.maximum(longest, far)
+                    for t, m in far.items():
+                        longest[t] = min(longest[t] or m, m)
                     for t, i in pairs.tolist():
                         items[t].add(block.names[i])
                 if not last:
                     bits = [np.packbits(hit[lo:hi]).tobytes() for lo, hi in zip(at[:-1], at[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(bits, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(longest)], names=[*names, *(c for c, _ in carry)])
+                    yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(bits, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array([m and dict(zip(("n", "at", "item", "item_at"), m, strict=True)) for m in longest], _MATCH)], names=[*names, *(c for c, _ in carry)])
                     continue
                 n_hit = K.sums_by_text(hit, at)
                 bad = (n_hit > 0) & (share * n_hit >= n_words)
@@ -223,7 +236,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     yield pa.RecordBatch.from_arrays(b.columns[: len(names)], names=names).filter(pa.array(~bad))
                     continue
                 sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha), pa.array(bad), pa.array(longest)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest"])
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha), pa.array(bad), pa.array([-m[0] if m else 0 for m in longest], pa.int64()), *(pa.array([m and m[k] for m in longest], kind) for k, kind in ((2, pa.string()), (1, pa.int64()), (3, pa.int64())))], names=out_names)
 
         return run
 

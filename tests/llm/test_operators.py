@@ -96,6 +96,18 @@ def test_several_benchmark_passes_agree(spark, monkeypatch):
     assert sorted(op2_decontaminate.contamination(docs, bench).collect()) == want
 
 
+@pytest.mark.parametrize("group", [1, 16 << 20])
+def test_places_of_the_longest_match(spark, monkeypatch, group):
+    monkeypatch.setattr(op2_decontaminate, "BLOCK_BYTES", 100 if group == 1 else 2 << 20)
+    monkeypatch.setattr(op2_decontaminate, "GROUP_BYTES", group)
+    w = WORDS.split()
+    items = spark.createDataFrame([(5, " ".join(f"x{i}" for i in range(30))), (6, "one two " + WORDS), (7, WORDS)], "item_id long, text string")
+    docs = [(1, " ".join(["a", "b", *w[3:18], "c", *w[10:30]])), (2, "nothing here"), (3, " ".join(f"x{i}" for i in range(4, 20))), (4, None), (5, WORDS + " " + WORDS)]
+    got = op2_decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), items)
+    got = {r[0]: tuple(r[1:]) for r in got.select("doc_id", "longest", "longest_item", "longest_at", "longest_item_at").collect()}
+    assert got == {1: (20, "6", 18, 12), 2: (0, None, None, None), 3: (16, "5", 0, 4), 4: (0, None, None, None), 5: (40, "6", 0, 2)}
+
+
 def test_near_classes_by_brute_force(spark):
     docs = documents(spark)
     s, tf, at, _ = op3_near_dedup.shingles([r["text"].encode() for r in docs])
