@@ -319,6 +319,72 @@ def test_pipeline_stages(spark, odd, none):
     assert P.run(spark, SMALL).count() > 100
 
 
+def _words(text):
+    return re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]+", lambda m: m[0].lower(), text.encode()))
+
+
+def _near(docs):
+    """The least id of each class of near-duplicates, from all pairs."""
+    import math
+    from collections import Counter
+
+    tf = {i: Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for i, w in ((i, _words(t)) for i, t in docs.items())}
+    df = Counter(s for c in tf.values() for s in c)
+    weight = {i: {s: (1 + math.log10(n)) * (1 + math.log10(len(docs) / df[s])) for s, n in c.items()} for i, c in tf.items()}
+    root = {i: i for i in docs}
+    for i in docs:
+        for j in docs:
+            if j < i:
+                low, high = (sum(f(weight[i].get(s, 0), weight[j].get(s, 0)) for s in weight[i].keys() | weight[j].keys()) for f in (min, max))
+                if low >= 0.8 * high - 1e-9:
+                    a, b = sorted((root[i], root[j]))
+                    root = {k: a if r == b else r for k, r in root.items()}
+    return set(root.values())
+
+
+def test_pipeline_by_brute_force(spark):
+    """Every stage's rows, and the digests, against plain Python."""
+    import sentencepiece
+
+    import corpus_pipeline as P
+
+    docs, bench, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark", "labels"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    net = op1_quality.train(docs, labels)
+    good = {i: t for i, t in texts.items() if net.score([t.encode()])[0] >= 0.3}
+    last = {t: max(i for i, u in good.items() if u == t) for t in set(good.values())}
+    exact = {i: t for t, i in last.items()}
+    near = {i: exact[i] for i in _near(exact)}
+    grams = {tuple(w[k : k + 13]) for w in (_words(r["text"] or "") for r in bench.collect()) if w for k in range(max(1, len(w) - 12))}
+    clean = {}
+    for i, t in near.items():
+        w = _words(t)
+        hit = {p for n in {len(g) for g in grams} for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in grams for p in range(k, k + n)}
+        if not hit or 20 * len(hit) < len(w):
+            clean[i] = t
+    assert len(good) > len(exact) > len(near) > len(clean) > 100  # sf0.001 has no text of low quality: see the next test
+    now = docs
+    for (name, stage), want in zip(P.STAGES, (good, exact, near, clean), strict=False):
+        now = spark.read.schema(docs.schema).parquet(_written(spark, stage(spark, now, SMALL)))
+        assert sorted(r["doc_id"] for r in now.collect()) == sorted(want), name
+    sp = sentencepiece.SentencePieceProcessor(model_file=op10_sentencepiece.model_path())
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = {i: (len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids))) for i, ids in ((i, sp.encode(t)) for i, t in clean.items())}
+    got = P.run(spark, SMALL).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got} == want and len(got) == len(want)
+
+
+def test_pipeline_quality_by_single_scores(spark):
+    import corpus_pipeline as P
+
+    at = SMALL.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "labels"))
+    net, rows = op1_quality.train(docs, labels), docs.select("doc_id", "text").collect()
+    good = sorted(r["doc_id"] for r in rows if net.score([(r["text"] or "").encode()])[0] >= 0.3)
+    assert len(rows) > len(good) > 0
+    assert sorted(r["doc_id"] for r in P.quality(spark, docs, at).collect()) == good
+
+
 def _written(spark, df):
     path = fresh_path(spark, "stage")
     df.write.parquet(path)
