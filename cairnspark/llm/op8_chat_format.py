@@ -5,8 +5,9 @@ in order: text is escaped, other parts become numbered placeholders whose attach
 and expanded token count are recorded. One row per turn is formatted on its own, so no
 conversation is gathered for it; a conversation's text is its turns' pieces in order.
 
-Escaping: a backslash is doubled; a control string gets a backslash after its first
-character. So no control string is left in a text, and taking one backslash of each undoes it.
+Escaping: a backslash is doubled, and each of the characters < | [ that control strings begin or go on with is
+followed by one backslash. So after any of the three comes a backslash, and no control string (<|, |>, <s>, </s>, [INST],
+<<SYS>> and their like) is left in a role or a text. The way back: of each run of backslashes half stay.
 """
 
 from __future__ import annotations
@@ -21,16 +22,14 @@ from pyspark.sql import functions as F
 
 from cairnspark.llm.shared import staged
 
-# Control strings, written as first character and rest.
-_CONTROL = r"(<)(\||/s>|s>|<SYS>>|</SYS>>)|(\[)(INST\]|/INST\])|(\|)(>)"
-_control, _escape = re.compile(_CONTROL), re.compile(r"\\(\\?)")
-OPEN, CLOSE, END = "<|", "|>\n", "\n<|end|>\n"
-#: Tokens that a part takes in place of its placeholder, unless it names its own count.
+_opens, _escape = re.compile(r"([<|\[])"), re.compile(r"\\(\\?)")
+OPEN, CLOSE, END = "<|turn ", "|>\n", "\n<|end|>\n"
+#: Tokens that a part takes in place of its placeholder, unless it names its own count; a part of a type not named here: 0.
 EXPANDED = {"image": 256, "audio": 128, "document": 512}
 
 
 def escape(text: str) -> str:
-    return _control.sub(r"\1\3\5\\\2\4\6", text.replace("\\", "\\\\"))
+    return _opens.sub(r"\1\\", text.replace("\\", "\\\\"))
 
 
 def unescape(text: str) -> str:
@@ -42,35 +41,43 @@ class Flatten:
 
     def __init__(self):
         self.out: list[str] = []
+        self.texts: list[int] = []  # places in out that are text
         self.refs: list[dict] = []
 
     def visit(self, part: dict) -> None:
         getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_unknown)(part)
 
     def visit_text(self, part: dict) -> None:
+        self.texts.append(len(self.out))
         self.out.append(escape(part.get("text") or ""))
 
     def visit_attachment(self, part: dict) -> None:
         kind = part["type"]
-        n = part.get("n_tokens")
-        self.refs.append({"place": len(self.refs), "type": kind, "ref": part.get("ref"), "n_tokens": EXPANDED[kind] if n is None else int(n)})
-        self.out.append(f"<|{kind}:{len(self.refs) - 1}|>")
+        self.attach(part, kind, EXPANDED[kind])
 
     visit_image = visit_audio = visit_document = visit_attachment
 
     def visit_unknown(self, part: dict) -> None:
-        raise ValueError(f"unknown part type {part['type']!r}")
+        """A type that isn't known is kept as a reference under its own name, behind a placeholder of no type."""
+        self.attach(part, "part", 0)
+
+    def attach(self, part: dict, mark: str, expanded: int) -> None:
+        n = part.get("n_tokens")
+        self.refs.append({"place": len(self.refs), "type": part["type"], "ref": part.get("ref"), "n_tokens": expanded if n is None else int(n)})
+        self.out.append(f"<|{mark}:{len(self.refs) - 1}|>")
 
 
-def format_turn(role: str | None, parts: list[dict] | None, loss_role: str) -> tuple[str, int, int, list[dict]]:
-    """The piece, the bounds in it of the text under the loss mask, and the attachments."""
+def format_turn(role: str | None, parts: list[dict] | None, loss_role: str) -> tuple[str, list[dict], list[dict]]:
+    """The piece; the bounds in it of the texts under the loss mask (placeholders are not); and the attachments."""
     v = Flatten()
     for p in parts or []:
         v.visit(p)
-    head = OPEN + escape(role or "") + CLOSE
-    body = "".join(v.out)
-    lo = len(head)
-    return head + body + END, lo, lo + len(body) if role == loss_role else lo, v.refs
+    at, bounds = len(OPEN) + len(escape(role or "")) + len(CLOSE), []
+    for k, x in enumerate(v.out):
+        if role == loss_role and k in v.texts:
+            bounds.append({"lo": at, "hi": at + len(x)})
+        at += len(x)
+    return OPEN + escape(role or "") + CLOSE + "".join(v.out) + END, bounds, v.refs
 
 
 def parse_turn(piece: str) -> tuple[str, str]:
@@ -80,23 +87,22 @@ def parse_turn(piece: str) -> tuple[str, str]:
 
 
 _REFS = pa.list_(pa.struct([("place", pa.int32()), ("type", pa.string()), ("ref", pa.string()), ("n_tokens", pa.int64())]))
+_LOSS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
 
 def format_turns(rows: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """rows: conv_id, turn, role, content array<struct<type, text, ref, n_tokens>>; out: a formatted row per turn.
 
-    Narrow. A null role or text counts as empty, a null or empty content as no parts, a part
-    without type as text; an unknown type is an error. Repeated rows are each formatted."""
+    Narrow. A null role or text counts as empty, a null or empty content as no parts, a part without type as text; a part of
+    another type is kept as an attachment of that type with no tokens of its own. Repeated rows are each formatted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             done = [format_turn(r, c, loss_role) for r, c in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.int64()), b.column(1).cast(pa.int64()), pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64()), pa.array([x[3] for x in done], _REFS)],
-                names=["conv_id", "turn", "piece", "loss_start", "loss_end", "attachments"],
-            )
+            columns = [pa.array([x[k] for x in done], kind) for k, kind in enumerate((pa.string(), _LOSS, _REFS))]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.int64()), *columns], names=["conv_id", "turn", "piece", "loss", "attachments"])
 
-    schema = "conv_id long, turn long, piece string, loss_start long, loss_end long, attachments array<struct<place:int,type:string,ref:string,n_tokens:long>>"
+    schema = "conv_id long, turn long, piece string, loss array<struct<lo:long,hi:long>>, attachments array<struct<place:int,type:string,ref:string,n_tokens:long>>"
     return rows.select("conv_id", "turn", "role", "content").mapInArrow(run, schema)
 
 
@@ -106,42 +112,55 @@ def text_parts(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", "role", F.array(part).alias("content"))
 
 
+class _Digest:
+    """Running hashes of one conversation."""
+
+    def __init__(self, conv):
+        self.conv, self.turns, self.chars, self.formatted = conv, 0, 0, 0
+        self.all, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, piece: str, bounds: list[dict]) -> None:
+        role, body = parse_turn(piece)
+        self.turns += 1
+        self.all.update(f"{role}\n{body}\n".encode())
+        for x in bounds:
+            text = unescape(piece[x["lo"] : x["hi"]])
+            self.chars += len(text)
+            self.loss.update(text.encode())
+        self.formatted += len(piece)
+
+    def row(self) -> list:
+        return [self.conv, self.turns, self.all.hexdigest(), self.chars, self.loss.hexdigest(), self.formatted]
+
+
 def digest(formatted: DataFrame) -> DataFrame:
-    """Per conversation, parsed from the formatted pieces in order of turn, then piece.
+    """Per conversation, parsed from the formatted pieces in order of turn (null first), then piece.
 
     A conversation's rows are sorted, not gathered: a task streams over them and holds one
     batch and running hashes, however long a conversation is. The formatting itself has been done
-    row by row before. A null conv_id is a conversation of its own."""
+    row by row before. A null conv_id is a conversation of its own; repeated rows are turns of their own; rows of a table
+    that has a conversation -1 itself join that one; an empty table has no other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        state, open_ = None, False
-
-        def close(s):
-            return [s[0], s[1], s[2].hexdigest(), s[3], s[4].hexdigest(), s[5]]
-
+        batch = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+        now = None
         for b in batches:
             out = []
-            for conv, piece, lo, hi in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                if not open_ or state[0] != conv:
-                    if open_:
-                        out.append(close(state))
-                    state, open_ = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0], True
-                role, body = parse_turn(piece)
-                state[1] += 1
-                state[2].update(f"{role}\n{body}\n".encode())
-                loss = unescape(piece[lo:hi])
-                state[3] += len(loss)
-                state[4].update(loss.encode())
-                state[5] += len(piece)
+            for conv, piece, bounds in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if now is None or now.conv != conv:
+                    if now is not None:
+                        out.append(now.row())
+                    now = _Digest(conv)
+                now.add(piece, bounds)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-        if open_:
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(close(state), types, strict=True)], names=names)
+                yield batch(out)
+        if now is not None:
+            yield batch([now.row()])
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    rows = formatted.select("conv_id", "piece", "loss_start", "loss_end", "turn")
+    rows = formatted.select("conv_id", "piece", "loss", "turn")
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "piece").mapInArrow(run, schema)
 
 
@@ -153,11 +172,11 @@ def round_trip(conversations: DataFrame) -> DataFrame:
 SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-f AS (SELECT conv_id, turn, role, text, '<|' || regexp_replace(replace(role, '\', '\\'), '(<)(\||/s>|s>|<SYS>>|</SYS>>)|(\[)(INST\]|/INST\])|(\|)(>)', '\1\3\5\\\2\4\6', 'g') || '|>' || chr(10)
-  || regexp_replace(replace(text, '\', '\\'), '(<)(\||/s>|s>|<SYS>>|</SYS>>)|(\[)(INST\]|/INST\])|(\|)(>)', '\1\3\5\\\2\4\6', 'g') || chr(10) || '<|end|>' || chr(10) AS piece FROM c)
-SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, piece)) AS turns_sha256,
+f AS (SELECT conv_id, turn, role, text, '<|turn ' || regexp_replace(replace(role, '\', '\\'), '([<|\[])', '\1\\', 'g') || '|>' || chr(10)
+  || regexp_replace(replace(text, '\', '\\'), '([<|\[])', '\1\\', 'g') || chr(10) || '<|end|>' || chr(10) AS piece FROM c)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, piece)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, piece) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, piece) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(piece)) AS BIGINT) AS formatted_chars
 FROM f GROUP BY conv_id
 """
