@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm.shared import staged
+from cairnspark.llm.shared import drop_staged, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,16 +25,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges (a, b) of ids; out: (id, root), root the least id, for all nodes that have an edge."""
-    now = staged(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+def components(edges: DataFrame, small: int | None = None) -> DataFrame:
+    """edges (a, b) of ids, small at most (see staged); out: (id, root), staged; root the least id, for all nodes that have an edge."""
+    now = staged(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", small)
     mark = None
     while True:
-        after = staged(_star(_star(now, True), False), "edges")
+        after = staged(_star(_star(now, True), False), "edges", small)
+        drop_staged(now)
         new = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         now = after
         if tuple(new) == mark:
             break
         mark = tuple(new)
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
-    return now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)
+    out = staged(now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots), "roots", small)
+    drop_staged(now)
+    return out

@@ -26,7 +26,7 @@ _SPACE = "▁"
 #: more than once); beyond that it forgets all and starts again.
 WORDS_KEPT = 1 << 16
 #: Bytes of text merged at once.
-PIECE_BYTES = 3 << 20
+PIECE_BYTES = 2 << 20
 
 
 def model_path(name: str = MODEL) -> str:
@@ -124,6 +124,11 @@ def load(path: str) -> PieceModel:
 _known: dict[str, dict[bytes, tuple[int, bytes, bytes]]] = {}
 
 
+def _forget() -> None:
+    load.cache_clear()
+    _known.clear()
+
+
 def encode_texts(model: PieceModel, path: str, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list]:
     """Word codes of all texts, the words before each text, and (count, ids as text, decoded) by code."""
     kept = _known.setdefault(path, {})
@@ -188,6 +193,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.tenant("op10", _forget)
         model = load(path)
         for b in K.pieces(batches, text_col, PIECE_BYTES):
             codes, at, results = encode_texts(model, path, K.blobs(b.column(text_col)))
@@ -206,6 +212,7 @@ def encode_digest(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.tenant("op10", _forget)
         for b in K.pieces(batches, text_col, PIECE_BYTES):
             yield digest(b, path, id_col, text_col)
 

@@ -179,6 +179,7 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     """Per row: doc_id, held_out, score, predicted. Null counts as empty; a null id is not held out; other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.tenant("op1")
         for b in K.pieces(batches, text_col):
             s = _scores(net, b, 2)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
@@ -192,6 +193,7 @@ def keep_good(docs: DataFrame, net: Network, text_col: str = "text", threshold:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.tenant("op1")
         for b in K.pieces(batches, text_col):
             yield b.filter(pa.array(_scores(net, b, at) >= threshold))
 

@@ -7,8 +7,10 @@ of some test window (others match none). Every test suffix that starts a window
 binary-searched in every shard: its range in the array is all its verbatim occurrences.
 Consecutive matches on one diagonal give the longest verbatim match.
 
-Nothing is shuffled. What is broadcast is a group of test blocks, at most GROUP_BYTES; a larger
-test set takes several passes that hand on the words hit so far.
+Nothing is shuffled. What is broadcast is a group of test blocks: word numbers and vocabulary, GROUP_BYTES at
+most or one item, however long that is; the windows are cut from them where they are searched. A larger test set
+takes several passes that hand on the words hit so far: each is staged, and its broadcast released, before the next is made.
+Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,63 +25,92 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnspark.llm import textkernel as K
+from cairnspark.llm.shared import drop_staged, staged
 
 WINDOW = 13
 #: A document is contaminated if it has a hit and 1 of so many of its words is hit.
 SHARE = 20
-BLOCK_BYTES = 2 << 20
-GROUP_BYTES = 16 << 20
-_BITS = np.uint64(21)  # a block has fewer words than 2**21
-_PER = 3  # word numbers in one key
+#: Bytes of test text in a block, and of blocks in a broadcast, beyond a first item.
+BLOCK_BYTES, GROUP_BYTES = 2 << 20, 8 << 20
 
 
 @dataclass
-class Block:
-    vocabulary: np.ndarray  # sorted word hashes; a word's number is its place + 1
-    windows: np.ndarray  # (n, WINDOW) word numbers, 0 beyond a short window's end
+class Windows:
+    grid: np.ndarray  # (n, window) word numbers, 0 beyond a short window's end
     sizes: np.ndarray
     items: np.ndarray  # of each window: place in names
     at: np.ndarray  # of each window: place of its first word in the items' stream
+
+
+@dataclass
+class Block:
+    vocabulary: np.ndarray  # sorted word hashes; a word's number is its place + 1
+    ids: np.ndarray  # word numbers of all items end to end
+    starts: np.ndarray  # where each item begins (one more at the end)
     names: list[str]
 
     @classmethod
-    def build(cls, names: list[str], texts: list[bytes | None], window: int) -> Block:
+    def build(cls, names: list[str], texts: list[bytes | None]) -> Block:
         h, at = K.word_stream(texts, K.ALNUM)
         vocabulary, ids = np.unique(h, return_inverse=True)
-        ids = np.append(ids + 1, np.zeros(window, np.int64))
-        n = np.diff(at)
+        return cls(vocabulary, (ids + 1).astype(np.int32), at, names)
+
+    @property
+    def nbytes(self) -> int:
+        return self.vocabulary.nbytes + self.ids.nbytes + self.starts.nbytes
+
+    @property
+    def bits(self) -> int:
+        """Bits of a word number: any vocabulary has room."""
+        return max(1, len(self.vocabulary).bit_length())
+
+    def windows(self, window: int) -> Windows:
+        n = np.diff(self.starts)
+        ids = np.append(self.ids, np.zeros(window, np.int32))
         count = np.where(n == 0, 0, np.maximum(1, n - window + 1))
         items = np.repeat(np.arange(len(n)), count)
-        first = np.repeat(at[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        first = np.repeat(self.starts[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
         sizes = np.minimum(n, window)[items]
-        grid = ids[first[:, None] + np.arange(window)] if len(first) else np.zeros((0, window), np.int64)
-        grid = np.where(np.arange(window) < sizes[:, None], grid, 0)
-        return cls(vocabulary, grid, sizes, items, first + items, names)
+        grid = ids[first[:, None] + np.arange(window)] if len(first) else np.zeros((0, window), np.int32)
+        grid = np.where(np.arange(window) < sizes[:, None], grid, np.int32(0))
+        return Windows(grid, sizes, items, first + items)
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[Block]:
+def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Block]:
     """The test set block by block; the driver holds one block's texts at a time."""
     names, texts, size = [], [], 0
     for row in benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).toLocalIterator():
         t = (row[1] or "").encode()
         if names and size + len(t) > BLOCK_BYTES:
-            yield Block.build(names, texts, window)
+            yield Block.build(names, texts)
             names, texts, size = [], [], 0
         names.append("null" if row[0] is None else row[0])
         texts.append(t)
         size += len(t) + 1
     if names:
-        yield Block.build(names, texts, window)
+        yield Block.build(names, texts)
+
+
+def groups(of: Iterator[Block]) -> Iterator[tuple[list[Block], bool]]:
+    """Blocks in groups of bounded size, and whether a group is the last; one empty group of none."""
+    held, size = [], 0
+    for b in of:
+        if held and size + b.nbytes > GROUP_BYTES:
+            yield held, False
+            held, size = [], 0
+        held.append(b)
+        size += b.nbytes
+    yield held, True
 
 
-def _keys(grid: np.ndarray) -> list[np.ndarray]:
-    """Columns of word numbers packed three to a key, the first highest."""
-    width = grid.shape[1]
+def _keys(grid: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Columns of word numbers packed as many to a key as fit 64 bits, the first highest."""
+    width, per = grid.shape[1], 64 // bits
     out = []
-    for c in range(0, width, _PER):
+    for c in range(0, width, per):
         k = np.zeros(len(grid), np.uint64)
-        for j in range(_PER):
-            k = (k << _BITS) | (grid[:, c + j].astype(np.uint64) if c + j < width else np.uint64(0))
+        for j in range(per):
+            k = (k << np.uint64(bits)) | (grid[:, c + j].astype(np.uint64) if c + j < width else np.uint64(0))
         out.append(k)
     return out
 
@@ -97,22 +128,22 @@ def _bound(column: np.ndarray, lo: np.ndarray, hi: np.ndarray, q: np.ndarray, ri
     return lo
 
 
-def suffix_array(stream: np.ndarray, positions: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def suffix_array(stream: np.ndarray, positions: np.ndarray, depth: int, bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """positions ordered by the depth words from there on, and the keys in that order."""
     padded = np.append(stream, np.zeros(depth, stream.dtype))
-    keys = _keys(padded[positions[:, None] + np.arange(depth)])
+    keys = _keys(padded[positions[:, None] + np.arange(depth)], bits)
     order = np.lexsort(keys[::-1])
     return positions[order], [k[order] for k in keys]
 
 
-def search(keys: list[np.ndarray], block: Block) -> tuple[np.ndarray, np.ndarray]:
+def search(keys: list[np.ndarray], windows: Windows, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Each window's range in the suffix array."""
-    n = len(keys[0])
-    lo, hi = np.zeros(len(block.sizes), np.int64), np.full(len(block.sizes), n, np.int64)
-    for c, q in enumerate(_keys(block.windows)):
-        left = np.clip(block.sizes - c * _PER, 0, _PER)  # words of the window within this key
-        free = ((_PER - left) * int(_BITS)).astype(np.uint64)
-        top = q | ((np.uint64(1) << free) - np.uint64(1))
+    n, per = len(keys[0]), 64 // bits
+    lo, hi = np.zeros(len(windows.sizes), np.int64), np.full(len(windows.sizes), n, np.int64)
+    for c, q in enumerate(_keys(windows.grid, bits)):
+        left = np.clip(windows.sizes - c * per, 0, per)  # words of the window within this key
+        free = ((per - left) * bits).astype(np.uint64)
+        top = q | np.where(free < 64, (np.uint64(1) << np.minimum(free, np.uint64(63))) - np.uint64(1), ~np.uint64(0))
         lo, hi = _bound(keys[c], lo, hi, q, False), _bound(keys[c], lo, hi, top, True)
     return lo, hi
 
@@ -127,9 +158,9 @@ def match_shard(hashes: np.ndarray, at: np.ndarray, block: Block, window: int) -
     n_texts = len(at) - 1
     hit = np.zeros(len(hashes), bool)
     none = hit, np.empty((0, 2), np.int64), {}
-    if not len(block.sizes) or not len(hashes):
+    if not len(block.ids) or not len(hashes):
         return none
-    v = block.vocabulary
+    v, bits, windows = block.vocabulary, block.bits, block.windows(window)
     filt = np.zeros(1 << 16, bool)
     filt[v >> np.uint64(48)] = True
     ids = np.zeros(len(hashes), np.int64)
@@ -137,42 +168,42 @@ def match_shard(hashes: np.ndarray, at: np.ndarray, block: Block, window: int) -
     k = np.minimum(np.searchsorted(v, hashes[maybe]), len(v) - 1)
     ids[maybe] = np.where(v[k] == hashes[maybe], k + 1, 0)
     stream = np.insert(ids, at[1:], 0)  # a zero after each text: no match goes past it
-    lead = min(_PER, int(block.sizes.min()))
-    grams = np.unique(_keys(block.windows[:, :lead])[0])
+    lead = min(3, 64 // bits, int(windows.sizes.min()))
+    grams = np.unique(_keys(windows.grid[:, :lead], bits)[0])
     start = np.flatnonzero(stream)
     if lead > 1:
-        tail = np.append(stream, np.zeros(_PER, np.int64))
+        tail = np.append(stream, np.zeros(lead, np.int64))
         start = start[(tail[start + 1] > 0) & (tail[start + lead - 1] > 0)]
-        g = _keys(tail[start[:, None] + np.arange(lead)])[0]
+        g = _keys(tail[start[:, None] + np.arange(lead)], bits)[0]
     else:
-        g = _keys(stream[start][:, None])[0]
+        g = _keys(stream[start][:, None], bits)[0]
     k = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
     start = start[grams[k] == g]
     if not len(start):
         return none
-    array, keys = suffix_array(stream, start, window)
-    lo, hi = search(keys, block)
+    array, keys = suffix_array(stream, start, window, bits)
+    lo, hi = search(keys, windows, bits)
     w = np.flatnonzero(hi > lo)
     if not len(w):
         return none
     count = hi[w] - lo[w]
     place = array[np.repeat(lo[w] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
     w = np.repeat(w, count)
-    edge = np.bincount(place, minlength=len(stream) + 1) - np.bincount(place + block.sizes[w], minlength=len(stream) + 1)
+    edge = np.bincount(place, minlength=len(stream) + 1) - np.bincount(place + windows.sizes[w], minlength=len(stream) + 1)
     over = np.cumsum(edge)[: len(stream)] > 0
     real = np.ones(len(stream), bool)
     real[at[1:] + np.arange(n_texts)] = False
     hit = over[real]
     text = np.searchsorted(at[1:] + np.arange(n_texts), place)
-    pairs = np.unique(text * len(block.names) + block.items[w])
+    pairs = np.unique(text * len(block.names) + windows.items[w])
     # the longest match: windows in a row on one diagonal
-    t = block.at[w]
+    t = windows.at[w]
     order = np.lexsort((t, place - t))
-    d, t, p, size, item = (place - t)[order], t[order], text[order], block.sizes[w][order], block.items[w][order]
+    d, t, p, size, item = (place - t)[order], t[order], text[order], windows.sizes[w][order], windows.items[w][order]
     fresh = np.append(True, (np.diff(d) != 0) | (np.diff(t) != 1))
     run = np.arange(len(t)) - np.maximum.accumulate(np.where(fresh, np.arange(len(t)), 0))
     start = d + t - run - (at[p] + p)
-    item_start = t - run - block.at[np.searchsorted(block.items, item)]
+    item_start = t - run - windows.at[np.searchsorted(windows.items, item)]
     rank = np.unique(block.names, return_inverse=True)[1]
     order = np.lexsort((item_start, rank[item], start, -(run + size), p))
     order = order[np.append(True, np.diff(p[order]) != 0)]
@@ -191,16 +222,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     out_schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, longest_item string, longest_at long, longest_item_at long"
     out_names = [x.split()[0] for x in out_schema.split(", ")]
-    groups, size = [[]], 0
-    for b in blocks(benchmark, item_col, item_text, window):
-        weight = b.windows.nbytes + b.vocabulary.nbytes
-        if groups[-1] and size + weight > GROUP_BYTES:
-            groups[-1] = spark.sparkContext.broadcast(groups[-1])
-            groups.append([])
-            size = 0
-        groups[-1].append(b)
-        size += weight
-    groups[-1] = spark.sparkContext.broadcast(groups[-1])
     names = docs.columns if keep_columns else [id_col, text_col]
     if any(x.startswith("__cairn_") for x in names):
         raise ValueError("columns named __cairn_* are taken")
@@ -210,6 +231,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     def passing(group, first: bool, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            K.tenant("op2")
             for b in K.pieces(batches, text_col):
                 hashes, at = K.word_stream(K.blobs(b.column(text_at)), K.ALNUM)
                 n_words = np.diff(at)
@@ -240,13 +262,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         return run
 
-    for k, g in enumerate(groups):
-        last = k == len(groups) - 1
-        if not last:
-            schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[: len(names)]), *(f"{c} {t}" for c, t in carry)])
-        else:
+    first, held = True, None
+    for group, last in groups(blocks(benchmark, item_col, item_text)):
+        sent = spark.sparkContext.broadcast(group)
+        if last:
             schema = docs.schema if keep_columns else out_schema
-        df = df.mapInArrow(passing(g, k == 0, last), schema)
+        else:
+            schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[: len(names)]), *(f"{c} {t}" for c, t in carry)])
+        df = df.mapInArrow(passing(sent, first, last), schema)
+        if not last:
+            df = staged(df, "hits")
+            sent.unpersist(True)
+            if held is not None:
+                drop_staged(held)
+            held, first = df, False
     return df
 
 

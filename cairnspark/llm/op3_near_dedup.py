@@ -1,17 +1,19 @@
 """Near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 A document is its set of five-word shingles with weight (1 + log10 tf) (1 + log10(N / df)), df counted
-over all documents for every shingle. Documents are taken in chunks of bounded size; each chunk asks for its
-distinct shingles with one row for each range of the hash space, packed with its own counts (so a frequent
-shingle costs a chunk one key); each range is summed in one place and answers every chunk in the order asked.
-
-Documents with the same words are one before anything else. 100 samples in 20 bands of 5 give
-buckets. In each bucket all documents are compared with the one that shares most buckets; their links
-give components; then, within buckets that still hold several components, pairs across
-components whose signatures agree in 60 of 100 samples or more are compared too, each in the first
-bucket that it shares. Every comparison is the exact weighted Jaccard similarity of the whole texts.
-Buckets are cut into blocks of bounded size, a task holds the texts of two blocks, and only
-links that join two components leave it.
+over all documents for every shingle (see chunks: a frequent shingle costs a run of rows one key).
+
+Documents with the same words are one node before anything else. 100 samples in 20 bands of 5 give
+buckets. In each bucket all nodes are compared with the one that shares most buckets; their links
+give components. Buckets that still hold several components are cut into blocks. Two blocks meet
+unless both hold only the bucket's largest component, first with their signatures alone: only nodes
+that agree in 60 of 100 samples or more with one of another component are given their texts, and
+those are compared, each pair in the first bucket that it shares. Every comparison is the exact weighted
+Jaccard similarity of the whole texts. Blocks are bounded in nodes and in bytes of text, and only links
+that join two components leave a task.
+
+What the sampling misses: a pair at exactly 0.8 shares no bucket with probability 4e-4, and agrees in fewer than 60
+samples with 2e-6; both fall fast above 0.8.
 
 The samples' random numbers (r, c, beta of the method) come from hashes of shingle and sample, so each
 shingle has its own whatever the text's length; ties fall to the shingle's own hash.
@@ -24,29 +26,29 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnspark.llm import chunks as C
+from cairnspark.llm import prefilter
 from cairnspark.llm import textkernel as K
 from cairnspark.llm.components import components
-from cairnspark.llm.shared import staged
+from cairnspark.llm.shared import drop_staged, forget_shuffles, staged
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
-#: Document frequencies up to this share of all documents would count as this share: none do.
-RARE = 0.0
 #: Samples of 100 that must agree before a pair across components is compared: five deviations below 80.
 AGREE = 60
-#: Documents of a bucket that one task pairs with as many others.
-BLOCK = 1024
-#: Bytes of text whose shingles one range of the hash space has.
-RANGE_BYTES = 8 << 20
+#: Nodes of a bucket, and bytes of their texts, that one block has.
+BLOCK, BLOCK_BYTES = 1024, 2 << 20
 #: Bytes of text handled at once.
 PIECE_BYTES = 4 << 20
 _HASH_BITS = 50
 _CACHED = 1 << 16
 _LOW = np.uint64(0xFFFFFFFF)
+#: Type of a node: 126 bits of a hash of the word sequence (or of the bytes, without words).
+_NODE = "decimal(38,0)"
 
 
 def shingles(texts: list[bytes | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -80,32 +82,9 @@ def shingles(texts: list[bytes | None], size: int = SHINGLE) -> tuple[np.ndarray
     return packed & np.uint64((1 << _HASH_BITS) - 1), tf, starts, same
 
 
-def weights(s: np.ndarray, tf: np.ndarray, known: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Weights of shingles, all of them among the known (sorted), from those' inverse document frequencies."""
-    return idf[np.searchsorted(known, s)] * (1 + np.log10(tf))
-
-
-def packed_counts(n: np.ndarray) -> bytes:
-    """Counts in the narrowest type that holds them, after a byte that gives its width."""
-    kind = np.min_scalar_type(n.max(initial=0))
-    return bytes([kind.itemsize]) + n.astype(kind).tobytes()
-
-
-def unpacked_counts(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, f"u{x[0]}", offset=1).astype(np.int64)
-
-
-def packed_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys as 32-bit steps; a step of all ones goes on with the next."""
-    step = np.diff(keys, prepend=np.uint64(0))
-    out = np.full(len(keys) + int((step // _LOW).sum()), _LOW, np.uint32)
-    out[np.cumsum(step // _LOW + np.uint64(1)).astype(np.int64) - 1] = step % _LOW
-    return out.tobytes()
-
-
-def unpacked_keys(x: bytes) -> np.ndarray:
-    step = np.frombuffer(x, np.uint32)
-    return np.cumsum(step, dtype=np.uint64)[step != _LOW]
+def weights(tf: np.ndarray, df: np.ndarray, total: int) -> np.ndarray:
+    """TF-IDF weights of shingles from how often they are in their text, and in how many of all texts."""
+    return (1 + np.log10(tf)) * (1 + np.log10(total / df))
 
 
 @lru_cache(1)
@@ -202,177 +181,217 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(common / total) if total else 0.0
 
 
-def _chunk_id(seq: int) -> int:
-    from pyspark import TaskContext
-
-    return (TaskContext.get().partitionId() << 32) | seq
-
-
-def document_frequencies(rows: DataFrame, size: int, text_bytes: int) -> DataFrame:
-    """rows: doc_id, t. Out: chunk, r, df (packed): in how many documents each of a chunk's distinct shingles
-    of a range of hashes is, in the order of the hashes."""
-    ranges = max(1, -(-text_bytes // RANGE_BYTES))
+def document_frequencies(texts: DataFrame, size: int, text_bytes: int) -> DataFrame:
+    """texts: chunk, row, t and more. Out: chunk, row, rows, r, df (packed): in how many documents each distinct
+    shingle of a run of rows is, for a range of hashes, in the order of the hashes."""
+    ranges = C.ranges_of(text_bytes)
     edges = np.array([(k << _HASH_BITS) // ranges for k in range(ranges)], np.uint64)
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for seq, b in enumerate(K.pieces(batches, "t", PIECE_BYTES)):
-            keys, n = np.unique(shingles(K.blobs(b.column(1)), size)[0], return_counts=True)
-            cut = np.append(np.searchsorted(keys, edges), len(keys)).tolist()
-            spans = list(zip(cut, cut[1:], strict=False))
-            packed = [pa.array([packed_keys(keys[lo:hi] - e) for e, (lo, hi) in zip(edges, spans, strict=True)], pa.binary()), pa.array([packed_counts(n[lo:hi]) for lo, hi in spans], pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(ranges)), pa.array(np.full(ranges, _chunk_id(seq))), *packed], names=["r", "chunk", "s", "n"])
+        for run in C.runs(batches):
+            keys, n = K.counted(shingles(K.blobs(run["t"]), size)[0])
+            out = [(*head, C.packed_keys(keys[s] - edges[head[0]]), C.packed_counts(n[s])) for head, (s,) in C.cells(run, [keys], [edges])]
+            kinds = [pa.int64()] * 4 + [pa.binary()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["r", "chunk", "row", "rows", "s", "n"])
 
     def summed(group: pa.Table) -> pa.Table:
-        keys = [unpacked_keys(x) for x in group["s"].to_pylist()]
-        n = np.concatenate([unpacked_counts(x) for x in group["n"].to_pylist()])
-        uniq, where = np.unique(np.concatenate(keys), return_inverse=True)
-        df = np.bincount(where, n, len(uniq)).astype(np.int64)[where]
-        answers = [packed_counts(v) for v in np.split(df, np.cumsum([len(v) for v in keys])[:-1])]
-        return pa.table({"chunk": group["chunk"], "r": group["r"], "df": pa.array(answers, pa.binary())})
-
-    return staged(rows.mapInArrow(asked, "r long, chunk long, s binary, n binary").groupBy("r").applyInArrow(summed, "chunk long, r long, df binary"), "shingles")
+        counts = [C.unpacked_counts(x) for x in group["n"].to_pylist()]
+        keys = [C.unpacked_keys(x, len(n)) for x, n in zip(group["s"].to_pylist(), counts, strict=True)]
+        answers = [C.packed_counts(x) for x in C.summed(keys, counts)[0]]
+        return group.select(["chunk", "row", "rows", "r"]).append_column("df", pa.array(answers, pa.binary()))
+
+    cells = texts.select("chunk", "row", "t").mapInArrow(asked, "r long, chunk long, row long, rows long, s binary, n binary")
+    return staged(cells.groupBy("r").applyInArrow(summed, "chunk long, row long, rows long, r long, df binary"), "shingles")
+
+
+def _nodes(same: np.ndarray) -> pa.Array:
+    """128-bit hashes as decimals of 126 bits, never negative."""
+    raw = same.copy()
+    raw[:, 1] &= np.uint64((1 << 62) - 1)
+    return pa.Array.from_buffers(pa.decimal128(38, 0), len(raw), [None, pa.py_buffer(np.ascontiguousarray(raw).tobytes())])
+
+
+def _binaries(rows: np.ndarray, has: np.ndarray) -> pa.Array:
+    """Rows of a matrix as binary values, empty ones where a row hasn't any."""
+    width = rows.shape[1] * rows.itemsize
+    at = np.append(0, np.cumsum(np.where(has, width, 0))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(np.ascontiguousarray(rows[has]).tobytes())])
+
+
+def _bands(sig: Column) -> Column:
+    """A bucket for each band of a signature."""
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(sig, k * (4 * ROWS) + 1, F.lit(4 * ROWS))))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows come sorted by their first columns; the rows of one key at a time."""
+    held, now = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = np.stack([b.column(i).to_numpy() for i in range(keys)], 1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if now is not None and now != tuple(key[lo]):
+                yield pa.Table.from_batches(held)
+                held = []
+            now = tuple(key[lo])
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class _Block:
+    """Nodes of two blocks of a bucket, with the pairs that are to be looked at."""
+
+    def __init__(self, t: pa.Table):
+        self.k, self.root = t["k"][0].as_py(), np.unique(np.array(t["root"].to_pylist(), object), return_inverse=True)[1]
+        self.side, self.split = t["side"].to_numpy(), t["p1"][0].as_py() != t["p2"][0].as_py()
+        self.sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(t.num_rows, BANDS * ROWS)
+
+    def partners(self, i: int) -> np.ndarray:
+        """Nodes after i, of another component, that agree with it in AGREE samples and in no band before this one."""
+        j = np.arange(i + 1, len(self.side))
+        j = j[(self.root[j] != self.root[i]) & ((self.side[j] != self.side[i]) | (not self.split))]
+        if not len(j):
+            return j
+        same = self.sig[j] == self.sig[i]
+        ok = same.sum(1) >= AGREE
+        ok &= ~same[:, : self.k * ROWS].reshape(len(j), self.k, ROWS).all(2).any(1)
+        return j[ok]
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: float = SIMILARITY) -> DataFrame:
-    """Per row: doc_id, class_id (the least id of its class), kept (whether doc_id is that).
+    """Per row: doc_id, class_id (the least id of its class), kept (whether doc_id is that), text_md5.
 
     Texts with the same words are similar; texts without words only to the same bytes. A text of
     fewer words than a shingle is one shingle. A null text counts as empty. A row without an id is in no class
-    (class_id null) and kept. Rows that share an id are taken for one document. Other columns are not read."""
+    (class_id null) and kept. Rows are told apart by id and text: rows that share an id but not a text may be in
+    different classes, and repeated rows are in one. An empty table gives no rows. Other columns are not read."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
-    known = rows.filter("doc_id IS NOT NULL")
-    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:  # so that two scans are cut alike, whatever executors come or go
-        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("t"))
+    known = rows.filter("doc_id IS NOT NULL").withColumn("text_md5", F.unhex(F.md5(F.col("t").cast("binary"))))
     total, text_bytes = (x or 0 for x in known.agg(F.count(F.lit(1)), F.sum(F.octet_length("t"))).first())
-    answers = document_frequencies(known, size, text_bytes)
-
-    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for seq, b in enumerate(K.pieces(batches, "t", PIECE_BYTES)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, _chunk_id(seq))), b.column(0), b.column(1)], names=["chunk", "doc_id", "t"])
+    ids = text_bytes // 4  # bytes of a table of ids, roughly
+    texts = C.tagged(known, PIECE_BYTES, text_bytes)
+    answers = document_frequencies(texts, size, text_bytes)
+    forget_shuffles(spark)
 
     def sign(left: pa.Table, right: pa.Table) -> pa.Table:
+        K.tenant("op3")
         K.release()
-        s, tf, starts, same = shingles(K.blobs(left["t"]), size)
-        df = np.concatenate([unpacked_counts(x) for x in right.sort_by("r")["df"].to_pylist()] or [np.empty(0, np.int64)])
-        keys = np.unique(s)
-        if len(keys) != len(df):
-            raise RuntimeError("the input was cut otherwise than before: run again")
-        has = np.flatnonzero(np.diff(starts))
-        sig = np.zeros((left.num_rows, BANDS * ROWS), np.uint32)
-        if len(has):
-            sig[has] = signatures(s, weights(s, tf, keys, 1 + np.log10(total / df)), np.append(starts[has], starts[-1]))
-        bands = np.zeros((left.num_rows, BANDS), np.uint64)
-        for k in range(BANDS):
-            v = np.full(left.num_rows, k + 1, np.uint64)
-            for c in range(k * ROWS, (k + 1) * ROWS):
-                v = K.mix(v * np.uint64(0x9E3779B97F4A7C15) + sig[:, c])
-            bands[:, k] = v
-        words = np.diff(starts) > 0
-        own = df[np.searchsorted(keys, s)]
-        return pa.table({
-            "doc_id": left["doc_id"],
-            "same": pa.array([x.tobytes() for x in same], pa.binary()),
-            "bands": pa.array([x.tolist() if y else [] for x, y in zip(bands.view(np.int64), words, strict=True)], pa.list_(pa.int64())),
-            "sig": pa.array([x.tobytes() for x in sig], pa.binary()),
-            "t": left["t"],
-            "df": pa.array([packed_counts(own[p:q]) for p, q in zip(starts[:-1], starts[1:], strict=True)], pa.binary()),
-        })
+        return pa.concat_tables([signed_run(*x) for x in C.answered(left, right)])
+
+    def signed_run(run: pa.Table, cells: pa.Table) -> pa.Table:
+        s, tf, starts, same = shingles(K.blobs(run["t"]), size)
+        df = np.concatenate([C.unpacked_counts(x) for x in cells["df"].to_pylist()])
+        own = df[K.numbered(s)[2]]
+        has = np.diff(starts) > 0
+        sig = np.zeros((run.num_rows, BANDS * ROWS), np.uint32)
+        if has.any():
+            sig[has] = signatures(s, weights(tf, own, total), np.append(starts[:-1][has], starts[-1]))
+        counts = [C.packed_counts(own[p:q]) for p, q in zip(starts[:-1], starts[1:], strict=True)]
+        return pa.table({"doc_id": run["doc_id"], "row": run["row"], "node": _nodes(same), "sig": _binaries(sig, has), "text_md5": run["text_md5"], "df": pa.array(counts, pa.binary())})
 
     def weighted(texts: list[bytes | None], df: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         s, tf, starts, _ = shingles(texts, size)
-        w = (1 + np.log10(total / np.concatenate([unpacked_counts(x) for x in df]))) * (1 + np.log10(tf))
+        w = weights(tf, np.concatenate([C.unpacked_counts(x) for x in df]), total)
         return [(s[p:q], w[p:q]) for p, q in zip(starts[:-1], starts[1:], strict=True)]
 
-    found = known.mapInArrow(chunked, "chunk long, doc_id long, t string").groupBy("chunk").cogroup(answers.groupBy("chunk"))
-    signed = staged(found.applyInArrow(sign, "doc_id long, same binary, bands array<long>, sig binary, t string, df binary"), "signatures")
-    copies = staged(signed.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "copies")
-    single = signed.join(copies.select("same", "rep").hint("shuffle_hash"), "same", "left").filter("rep IS NULL OR rep = doc_id")
-    banded = single.select("doc_id", F.posexplode("bands").alias("k", "b"))
-    shared = staged(banded.groupBy("b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
-    members = staged(banded.join(shared.hint("shuffle_hash"), "b"), "members")
-    degree = staged(members.groupBy("doc_id").agg(F.sum(F.col("n") - 1).alias("d")), "degrees")
+    met = texts.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    signed = staged(met.applyInArrow(sign, f"doc_id long, row long, node {_NODE}, sig binary, text_md5 binary, df binary"), "signatures")
+    drop_staged(answers)
+    del met
+    forget_shuffles(spark)
+    copies = staged(signed.groupBy("node").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "copies", ids)
+    single = signed.join(copies.select("node", "rep").hint("shuffle_hash"), "node", "left").filter("rep IS NULL OR rep = row")  # a row a node
+    banded = single.filter(F.octet_length("sig") > 0).select("node", F.posexplode(_bands(F.col("sig"))).alias("k", "b"))
+    shared = staged(banded.groupBy("b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets", ids)
+    every = staged(banded.join(shared.hint("shuffle_hash"), "b"), "members", ids)
+    degree = staged(every.groupBy("node").agg(F.sum(F.col("n") - 1).alias("d")), "degrees", ids)
     # of buckets with the same members, the one of the first band speaks for all
-    sets = members.groupBy("b").agg(F.first("k").alias("k"), F.first("n").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("x"))
-    distinct = staged(sets.groupBy("n", "x").agg(F.min_by("b", "k").alias("b")).select("b"), "sets")
-    members = staged(members.join(distinct.hint("shuffle_hash"), "b", "left_semi"), "members")
-    ranked = members.join(degree, "doc_id")
-    heads = ranked.groupBy("b").agg(F.max(F.struct("d", (-F.col("doc_id")).alias("i"))).alias("m")).select("b", (-F.col("m.i")).alias("head"))
-    first = staged(members.join(staged(heads, "heads"), "b").filter("doc_id != head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-    texts = staged(signed.select("doc_id", "t", "df").join(degree.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    sets = every.groupBy("b").agg(F.first("k").alias("k"), F.first("n").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"))
+    distinct = staged(sets.groupBy("n", "x").agg(F.min_by("b", "k").alias("b")).select("b"), "sets", ids)
+    members = staged(every.join(distinct.hint("shuffle_hash"), "b", "left_semi"), "members", ids)
+    ranked = members.join(degree, "node")
+    heads = ranked.groupBy("b").agg(F.max(F.struct("d", (-F.col("node")).alias("i"))).alias("m")).select("b", (-F.col("m.i")).cast(_NODE).alias("head"))
+    heads = staged(heads, "heads", ids)
+    pairs = members.join(heads, "b").filter("node != head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b"))
+    pairs = staged(pairs.distinct(), "pairs", ids)
+    asked = staged(single.join(degree.select("node").hint("shuffle_hash"), "node", "left_semi").select("node", "row", "sig", "df"), "asked", ids)
+    some = prefilter.marked(texts.select("row", "t"), F.col("row"), staged(prefilter.bitmap(asked, "row"), "bits", prefilter.BITS // 8))
+    bodies = staged(some.filter("__cairn_maybe").select("row", "t").join(asked, "row").drop("row"), "texts")
+    drop_staged(texts, asked)
+    forget_shuffles(spark)
 
     def verified(pairs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for lo in range(0, whole.num_rows, 256):
                     b = whole.slice(lo, 256)
-                    ids = b.column(0).to_numpy(), b.column(1).to_numpy()
-                    both = {i: (t, n) for i, t, n in zip(np.concatenate(ids).tolist(), K.blobs(b.column(2)) + K.blobs(b.column(3)), b.column(4).to_pylist() + b.column(5).to_pylist(), strict=True)}
+                    ids = b.column(0).to_pylist(), b.column(1).to_pylist()
+                    both = {i: (t, n) for i, t, n in zip(ids[0] + ids[1], K.blobs(b.column(2)) + K.blobs(b.column(3)), b.column(4).to_pylist() + b.column(5).to_pylist(), strict=True)}
                     sets = dict(zip(both, weighted(*map(list, zip(*both.values(), strict=True))), strict=True))
-                    sim = [similarity(sets[x], sets[y]) for x, y in zip(ids[0].tolist(), ids[1].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sim, pa.float64())], names=["a", "b", "similarity"])
-
-        with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("t").alias("ta"), F.col("df").alias("na")), "a")
-        with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("t").alias("tb"), F.col("df").alias("nb")), "b")
-        return staged(with_b.select("a", "b", "ta", "tb", "na", "nb").mapInArrow(run, "a long, b long, similarity double").filter(F.col("similarity") >= threshold - 1e-9).select("a", "b"), "links")
-
-    links = verified(first)
-    roots = staged(components(links), "roots")
-    placed = members.join(roots, members["doc_id"] == roots["id"], "left").select("b", "k", "n", members["doc_id"], F.coalesce("root", members["doc_id"]).alias("root"))
-    mixed = staged(placed.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("b"), "mixed")
-    rest = staged(placed.join(mixed.hint("shuffle_hash"), "b", "left_semi"), "rest")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), parts).cast("int")
-    spread = rest.join(signed.select("doc_id", "sig"), "doc_id").join(texts, "doc_id").withColumn("p", own).withColumn("q", F.explode(F.sequence(F.lit(0), parts - 1)))
-    blocked = spread.select("b", F.least("p", "q").alias("p1"), F.greatest("p", "q").alias("p2"), "k", F.col("p").alias("side"), "doc_id", "root", "sig", "t", "df")
-
-    def joined(group: list[pa.RecordBatch]) -> list[tuple[int, int]]:
-        t = pa.Table.from_batches(group)
-        k, ids, root, side = t["k"][0].as_py(), t["doc_id"].to_pylist(), t["root"].to_numpy(), t["side"].to_numpy()
-        split = t["p1"][0].as_py() != t["p2"][0].as_py()
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(len(ids), BANDS * ROWS)
-        sets = weighted(K.blobs(t["t"]), t["df"].to_pylist())
-        root, out = root.copy(), []
-        for i in range(len(ids) - 1):
-            j = np.arange(i + 1, len(ids))
-            j = j[(root[j] != root[i]) & ((side[j] != side[i]) | (not split))]
-            if not len(j):
-                continue
-            same = sig[j] == sig[i]
-            ok = same.sum(1) >= AGREE
-            ok &= ~same[:, : k * ROWS].reshape(len(j), k, ROWS).all(2).any(1)  # not shared before this band
-            for x in j[ok].tolist():
-                if root[x] != root[i] and similarity(sets[i], sets[x]) >= threshold - 1e-9:
-                    out.append((ids[i], ids[x]))
-                    root[root == root[x]] = root[i]
-        return out
+                    near = [similarity(sets[x], sets[y]) >= threshold - 1e-9 for x, y in zip(*ids, strict=True)]
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(near))
+
+        side = lambda x: bodies.select(F.col("node").alias(x), F.col("t").alias(f"t{x}"), F.col("df").alias(f"n{x}"))
+        return staged(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb", "na", "nb").mapInArrow(run, f"a {_NODE}, b {_NODE}"), "links", ids)
+
+    links = verified(pairs)
+    roots = components(links, ids)
+    placed = members.join(roots, members["node"] == roots["id"], "left").select("b", "k", members["node"], F.coalesce("root", members["node"]).alias("root"))
+    mixed = staged(placed.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("b"), "mixed", ids)
+    rest = placed.join(mixed.hint("shuffle_hash"), "b", "left_semi").join(bodies.select("node", F.octet_length("t").alias("bytes")), "node")
+    rest = staged(rest, "rest", ids)
+    per = rest.groupBy("b", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("w"))
+    blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / BLOCK_BYTES), F.lit(1)).cast("int")
+    most = per.groupBy("b").agg(F.max(F.struct("n", "w", "root")).alias("m"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    cut = staged(most.select("b", F.col("m.root").alias("main"), blocks(F.col("m.n"), F.col("m.w")).alias("many"), blocks(F.col("n") - F.col("m.n"), F.col("w") - F.col("m.w")).alias("few")), "blocks", ids)
+    own = F.xxhash64("node")
+    p = F.when(F.col("root") == F.col("main"), F.col("few") + F.pmod(own, F.col("many"))).otherwise(F.pmod(own, F.col("few"))).cast("int")
+    meets = F.when(F.col("root") == F.col("main"), F.col("few")).otherwise(F.col("few") + F.col("many"))
+    spread = rest.join(cut.hint("shuffle_hash"), "b").select("b", "k", "node", "root", p.alias("side"), F.explode(F.sequence(F.lit(0), meets - 1)).alias("q"))
+    spread = spread.select("b", F.least("side", "q").alias("p1"), F.greatest("side", "q").alias("p2"), "k", "side", "node", "root")
+    block = ["b", "p1", "p2"]
+
+    def in_blocks(df: DataFrame, run, schema: str) -> DataFrame:
+        return df.repartition(*block).sortWithinPartitions(*block).mapInArrow(run, schema)
+
+    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, 3):
+            pairs, found = _Block(t), np.zeros(t.num_rows, bool)
+            for i in range(t.num_rows - 1):
+                j = pairs.partners(i)
+                found[j] = True
+                found[i] |= len(j) > 0
+            yield from t.drop_columns(["sig"]).filter(pa.array(found)).to_batches()
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by bucket and blocks; one group is held at a time."""
-        group, now = [], None
-        names = ["a", "b"]
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key = np.stack([b.column(i).to_numpy() for i in range(3)], 1)
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), b.num_rows]
-            out = []
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if now is not None and now != tuple(key[lo]):
-                    out += joined(group)
-                    group = []
-                now = tuple(key[lo])
-                group.append(b.slice(lo, hi - lo))
+        for t in _groups(batches, 3):
+            pairs, ids, out = _Block(t), t["node"].to_pylist(), []
+            sets = weighted(K.blobs(t["t"]), t["df"].to_pylist())
+            for i in range(len(ids) - 1):
+                for x in pairs.partners(i).tolist():
+                    if pairs.root[x] != pairs.root[i] and similarity(sets[i], sets[x]) >= threshold - 1e-9:
+                        out.append((ids[i], ids[x]))
+                        pairs.root[pairs.root == pairs.root[x]] = pairs.root[i]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
-        if group and (out := joined(group)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
-
-    more = staged(blocked.repartition("b", "p1", "p2").sortWithinPartitions("b", "p1", "p2").mapInArrow(across, "a long, b long"), "links")
-    if not more.isEmpty():
-        roots = staged(components(links.unionByName(more)), "roots")
-    placed = signed.select("doc_id", "same").join(copies.select("same", "rep").hint("shuffle_hash"), "same", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-    roots = roots.withColumnRenamed("id", "rep")
-    out = placed.join(roots.hint("shuffle_hash"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("root", "rep") == F.col("doc_id")).alias("kept"))
-    bare = rows.filter("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept"))
-    return out.unionByName(bare)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.decimal128(38, 0)) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    columns = f"b long, p1 int, p2 int, k int, side int, node {_NODE}, root {_NODE}"
+    marks = staged(in_blocks(spread.join(bodies.select("node", "sig"), "node").select(*block, "k", "side", "node", "root", "sig"), agreeing, columns), "marks", ids)
+    if not marks.isEmpty():
+        full = marks.join(bodies, "node").select(*block, "k", "side", "node", "root", "sig", "t", "df")
+        more = staged(in_blocks(full, across, f"a {_NODE}, b {_NODE}"), "links", ids)
+        drop_staged(roots)
+        roots = components(links.unionByName(more), ids)
+    rooted = signed.select("doc_id", "node", "text_md5").join(roots.withColumnRenamed("id", "node").hint("shuffle_hash"), "node", "left")
+    rooted = staged(rooted.select("doc_id", "text_md5", F.coalesce("root", "node").alias("root")), "classed", ids)
+    classes = staged(rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", "class_id"), "classes", ids)
+    drop_staged(signed, copies, shared, every, degree, distinct, members, heads, pairs, bodies, links, roots, mixed, rest, cut, marks)
+    out = rooted.join(classes.hint("shuffle_hash"), "root", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    out = out.select("doc_id", "class_id", (F.col("class_id") == F.col("doc_id")).alias("kept"), "text_md5")
+    bare = docs.filter(F.col(f"`{id_col}`").cast("long").isNull())
+    return out.unionByName(bare.select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept"), F.unhex(F.md5(text.cast("binary"))).alias("text_md5")))

@@ -35,8 +35,8 @@ LENGTH = 2048
 ROWS = 64
 #: Distinct words that a Python worker remembers (about 130 bytes each); beyond that it forgets all.
 WORDS_KEPT = 1 << 19
-#: Bytes of text encoded at once.
-PIECE_BYTES = 6 << 20
+#: Bytes of text encoded at once, and in one file.
+PIECE_BYTES, FILE_BYTES = 6 << 20, 32 << 20
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -215,16 +215,18 @@ class SequenceReader:
 def write_files(docs: DataFrame, out_dir: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, length: int = LENGTH) -> list[dict]:
     """Writes the files and returns one manifest entry per file, in id order: path, base (ids before it), n_ids, n_docs.
 
-    The manifest has as many rows as partitions. Ties of id are ordered by a hash of the text."""
+    There is a file for FILE_BYTES of text, or one a core; the manifest has a row for each. Ties of id are ordered by a hash of the text."""
     path = path or vocabulary_path()
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
     fs, root = pafs.FileSystem.from_uri(out_dir)
     fs.create_dir(root, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        K.tenant("op6", load.cache_clear)
         model, pid = load(path), TaskContext.get().partitionId()
         fs, root = pafs.FileSystem.from_uri(out_dir)
         name = f"{root}/part-{pid:06d}-{uuid.uuid4().hex}"
@@ -254,6 +256,12 @@ def write_files(docs: DataFrame, out_dir: str, path: str | None = None, id_col:
     return out
 
 
+def _mapped(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder; local files are opened as memory maps."""
+    fs, root = pafs.FileSystem.from_uri(uri)
+    return (pafs.LocalFileSystem(use_mmap=True) if isinstance(fs, pafs.LocalFileSystem) else fs), root
+
+
 def read_files(spark: SparkSession, out_dir: str, manifest: list[dict]) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -261,7 +269,7 @@ def read_files(spark: SparkSession, out_dir: str, manifest: list[dict]) -> DataF
         return spark.createDataFrame([], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(out_dir)
+        fs, root = _mapped(out_dir)
         for b in batches:
             for entry in b.to_pylist():
                 at = f"{root}/{entry['name']}"

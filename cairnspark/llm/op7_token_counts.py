@@ -129,6 +129,7 @@ def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.tenant("op7", load.cache_clear)
         for b in K.pieces(batches, text_col):
             texts = K.blobs(b.column(text_col))
             n = count_texts(load(path), texts)

@@ -102,6 +102,23 @@ def blobs(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.to_pylist()
 
 
+_tenant, _held = "", {}
+
+
+def tenant(name: str, forget=None) -> None:
+    """Says whose work a Python worker begins. Workers live through many stages: what another operator has kept
+    in this one (vocabularies, models, words) is forgotten first. forget: how this one's is."""
+    global _tenant
+    if name != _tenant:
+        for f in _held.values():
+            f()
+        _held.clear()
+        _tenant = name
+        release()
+    if forget:
+        _held[name] = forget
+
+
 def release() -> None:
     """Gives memory that a worker no longer uses back to the system; workers live through many stages."""
     pa.default_memory_pool().release_unused()
@@ -142,3 +159,54 @@ def sums_by_text(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     c = np.zeros(len(values) + 1, values.dtype if values.dtype.kind == "f" else np.int64)
     np.cumsum(values, out=c[1:])
     return c[at[1:]] - c[at[:-1]]
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys and how often each comes."""
+    ascending = np.sort(keys)
+    new = np.flatnonzero(np.append(True, ascending[1:] != ascending[:-1])) if len(keys) else np.empty(0, np.int64)
+    return ascending[new], np.diff(np.append(new, len(keys)))
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct keys, a place of each, and each key's number among them. Sorting and scattering back is several
+    times faster here than searching every key."""
+    order = np.argsort(keys)
+    ascending = keys[order]
+    new = np.append(True, ascending[1:] != ascending[:-1]) if len(keys) else np.empty(0, bool)
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ascending[new], order[new], number
+
+
+class Table:
+    """Distinct keys of 63 bits or fewer -> their place: one look-up by hash, a search only where several share a slot."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(8, int(len(keys)).bit_length() + 2)
+        self.keys, self.shift = keys, np.uint64(64 - bits)
+        self.slots = np.full(1 << bits, -1, np.int32)
+        slot = self._slot(keys)
+        self.slots[slot] = np.arange(len(keys), dtype=np.int32)
+        rest = np.flatnonzero(self.slots[slot] != np.arange(len(keys)))
+        rest = rest[np.argsort(keys[rest])]
+        self.more, self.more_at = keys[rest], rest
+        self.crowded = np.zeros(1 << bits, bool)
+        self.crowded[slot[rest]] = True
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * _P) >> self.shift
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 if there is none."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        slot = self._slot(keys)
+        at = self.slots[slot]
+        out = np.where(self.keys[at] == keys, at, -1).astype(np.int64)
+        miss = np.flatnonzero((out < 0) & self.crowded[slot])
+        if len(miss):
+            k = np.minimum(np.searchsorted(self.more, keys[miss]), len(self.more) - 1)
+            hit = self.more[k] == keys[miss]
+            out[miss[hit]] = self.more_at[k[hit]]
+        return out

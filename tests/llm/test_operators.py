@@ -4,9 +4,12 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import example, given, settings
+from hypothesis import strategies as st
 from oracle import assert_matches
+from pyspark.sql import functions as F
 
-from cairnspark.llm import op1_quality, op2_decontaminate, op3_near_dedup, op4_exact_dedup, op5_lm_score, op6_token_files, op7_token_counts, op8_chat_format, op9_pii, op10_sentencepiece, queries
+from cairnspark.llm import chunks, op1_quality, op2_decontaminate, op3_near_dedup, op4_exact_dedup, op5_lm_score, op6_token_files, op7_token_counts, op8_chat_format, op9_pii, op10_sentencepiece, queries
 from cairnspark.llm.shared import fresh_path
 from cairnspark.llm.textkernel import ALNUM, word_stream
 
@@ -112,8 +115,7 @@ def test_near_classes_by_brute_force(spark):
     docs = documents(spark)
     s, tf, at, _ = op3_near_dedup.shingles([r["text"].encode() for r in docs])
     u, c = np.unique(s, return_counts=True)
-    often = c > op3_near_dedup.RARE * len(docs)
-    w = op3_near_dedup.weights(s, tf, u[often], 1 + np.log10(len(docs) / c[often]))
+    w = op3_near_dedup.weights(tf, c[np.searchsorted(u, s)], len(docs))
     sets = [dict(zip(s[a:b].tolist(), w[a:b].tolist(), strict=True)) for a, b in zip(at[:-1], at[1:], strict=True)]
     root = list(range(len(docs)))
     for i, x in enumerate(sets):
@@ -141,15 +143,16 @@ def test_copies_that_differ_in_boilerplate(spark):
 
 def test_packed_keys_and_counts():
     for keys in ([], [0], [5, (1 << 32) - 1, 1 << 32, (1 << 33) - 2, (1 << 50) - 1], [(1 << 32) - 1], [(1 << 32) - 2, 1 << 40]):
-        assert op3_near_dedup.unpacked_keys(op3_near_dedup.packed_keys(np.array(keys, np.uint64))).tolist() == keys
+        assert chunks.unpacked_keys(chunks.packed_keys(np.array(keys, np.uint64)), len(keys)).tolist() == keys
     for n in ([], [1], [255, 1], [256], [70_000], [1 << 33, 2]):
-        assert op3_near_dedup.unpacked_counts(op3_near_dedup.packed_counts(np.array(n, np.int64))).tolist() == n
+        assert chunks.unpacked_counts(chunks.packed_counts(np.array(n, np.int64))).tolist() == n
 
 
 def test_chunks_and_ranges_agree(spark, monkeypatch):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     want = sorted(op3_near_dedup.near_classes(docs).collect())
-    monkeypatch.setattr(op3_near_dedup, "RANGE_BYTES", 9_000)
+    monkeypatch.setattr(chunks, "RANGE_BYTES", 9_000)
+    monkeypatch.setattr(chunks, "RANGE_MOST", 9_000)
     monkeypatch.setattr(op3_near_dedup, "PIECE_BYTES", 20_000)
     assert sorted(op3_near_dedup.near_classes(docs).collect()) == want
 
@@ -187,32 +190,80 @@ def test_samples_are_the_least_of_all_shingles(n):
 
 
 def test_hash_collisions_are_told_apart(spark, odd):
-    from pyspark.sql import functions as F
-
     want = sorted(op4_exact_dedup.exact_groups(odd).collect(), key=repr)
     weak = sorted(op4_exact_dedup.exact_groups(odd, hash_of=lambda t: F.substring(F.md5(t), 1, 1)).collect(), key=repr)
     assert weak == want
 
 
-def test_language_model_by_brute_force(spark):
+def language_model(docs):
+    """Plain Python: doc_id -> (n_tokens, n_known, N, base score, score)."""
     import math
     from collections import Counter
 
-    one, two, docs = Counter(), Counter(), {}
-    for r in documents(spark):
-        w = re.sub("[A-Z]", lambda m: m[0].lower(), r["text"]).encode().split() + [1]
-        docs[r["doc_id"]] = w
-        if zlib.crc32(str(r["doc_id"]).encode()) % 5 != 1:
-            for a, b in zip([0, *w], w, strict=False):
-                one[b] += 1
-                two[a, b] += 1
-    n, v, m = sum(one.values()), len(one), op5_lm_score.SMOOTHING
-    p1 = lambda x: (one[x] + 0.5) / (n + 0.5 * (v + 1))
-    for r in op5_lm_score.scores(spark.read.parquet(f"{SMALL}/documents.parquet")).collect():
-        w = docs[r["doc_id"]]
-        score = sum(math.log10((two[a, b] + m * p1(b)) / ((one[1] if a == 0 else one[a]) + m)) for a, b in zip([0, *w], w, strict=False))
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(one[x] > 0 for x in w), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10(p1(x)) for x in w)) and r["score"] == pytest.approx(score)
+    one, two, three, words = Counter(), Counter(), Counter(), {}
+    for k, (i, t) in enumerate(docs):
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode().split() + [1]
+        words[k] = w
+        if i is None or zlib.crc32(str(i).encode()) % 5 != 1:
+            for a, b, c in zip([None, 0, *w], [0, *w], w, strict=False):
+                one[c] += 1
+                two[b, c] += 1
+                three[a, b, c] += a is not None
+    n, v, (m2, m3) = sum(one.values()), len(one), op5_lm_score.SMOOTHING
+    p1 = lambda c: (one[c] + 0.5) / (n + 0.5 * (v + 1))
+    p2 = lambda b, c: (two[b, c] + m2 * p1(c)) / ((one[1] if b == 0 else one[b]) + m2)
+    p3 = lambda a, b, c: p2(b, c) if a is None else (three[a, b, c] + m3 * p2(b, c)) / (two[a, b] + m3)
+    out = []
+    for k, (i, _) in enumerate(docs):
+        w = words[k]
+        score = sum(math.log10(p3(a, b, c)) for a, b, c in zip([None, 0, *w], [0, *w], w, strict=False))
+        out.append((i, len(w), sum(one[x] > 0 for x in w), n, sum(math.log10(p1(x)) for x in w), score))
+    return sorted(out, key=repr)
+
+
+def same_scores(got, want):
+    got = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got), key=lambda r: (repr(r[0]), r[1:4], round(r[4], 6)))
+    want = sorted(want, key=lambda r: (repr(r[0]), r[1:4], round(r[4], 6)))
+    assert len(got) == len(want)
+    for x, y in zip(got, want, strict=True):
+        assert x[:4] == y[:4] and x[4:] == pytest.approx(y[4:], rel=1e-9)
+
+
+def test_language_model_by_brute_force(spark):
+    want = language_model([(r["doc_id"], r["text"]) for r in documents(spark)])
+    same_scores(queries.QUERIES["op5_lm_score"](spark, SMALL).collect(), want)
+
+
+def test_language_model_on_odd_rows(spark, odd):
+    same_scores(op5_lm_score.scores(odd).collect(), language_model([(r[0], r[1]) for r in ODD]))
+
+
+def test_language_model_however_the_input_is_cut(spark, monkeypatch):
+    """Small chunks, ranges and lanes, and a scan that is cut otherwise than the one that tagged the rows."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    want = language_model([(r["doc_id"], r["text"]) for r in documents(spark)])
+    monkeypatch.setattr(chunks, "RANGE_BYTES", 30_000)
+    monkeypatch.setattr(chunks, "RANGE_MOST", 30_000)
+    monkeypatch.setattr(op5_lm_score, "CHUNK_BYTES", 40_000)
+    monkeypatch.setattr(op5_lm_score, "LANE", 7)
+    runs = chunks.runs
+    monkeypatch.setattr(chunks, "runs", lambda batches: runs(b.slice(lo, 11) for b in batches for lo in range(0, b.num_rows, 11)))
+    same_scores(op5_lm_score.scores(docs.repartition(5)).collect(), want)
+
+
+def test_probabilities_of_all_words_sum_to_one():
+    texts = [b"a b a c", b"a b d", b"b a b a b"]
+    h, at = op5_lm_score.token_stream(texts)
+    keys, counts = zip(*(op5_lm_score.distinct(x, np.ones(len(h), bool)) for x in op5_lm_score.ngram_streams(h, at)), strict=True)
+    m = op5_lm_score.Automaton(op5_lm_score.ngram_streams(h, at), at, counts, 3, len(h), len(keys[0]), (4.0, 2.0))
+    words = np.arange(len(keys[0]))
+    unseen = 0.5 / (len(h) + 0.5 * (len(words) + 1))
+    for state in {m.start, m.root, *np.delete(m.longest, at[1:] - 1).tolist()}:  # nothing comes after an end
+        chain, s = 0.0, state  # the failure arcs down to the root: what an unseen word costs before the root's arc
+        while s != m.root:
+            chain, s = chain + m.fail[s], m.back[s]
+        cost, _ = m.step(np.full(len(words), state), words)
+        assert (10.0**cost).sum() + 10.0**chain * unseen == pytest.approx(1)
 
 
 def test_token_files_against_the_library(spark):
@@ -272,13 +323,46 @@ def test_other_scripts_are_counted_by_proved_strings_and_merges(monkeypatch):
     assert op7_token_counts.count_texts(model, [t.encode() for t in texts]).tolist() == want
 
 
-def test_typed_parts_and_escapes():
-    piece, lo, hi, refs = op8_chat_format.format_turn("assistant", [{"type": "text", "text": "see <|x|>"}, {"type": "image", "ref": "a.png"}, {"type": "audio", "ref": "b", "n_tokens": 7}, {"type": None, "text": "\\</s>"}], "assistant")
-    assert [(r["type"], r["ref"], r["n_tokens"]) for r in refs] == [("image", "a.png", 256), ("audio", "b", 7)]
-    assert piece.index("<|image:0|>") < piece.index("<|audio:1|>") and "</s>" not in piece and "<|x" not in piece
-    for t in ["", "\\", "<|end|>", "a\\<|", "</s>[INST] ok [/INST]", "<<SYS>>\n\\\\", "|>"]:
-        p, lo, hi, _ = op8_chat_format.format_turn("assistant", [{"type": "text", "text": t}], "assistant")
-        assert op8_chat_format.parse_turn(p) == ("assistant", t) and op8_chat_format.unescape(p[lo:hi]) == t
+def test_typed_parts():
+    parts = [{"type": "text", "text": "see <|x|>"}, {"type": "image", "ref": "a.png"}, {"type": "audio", "ref": "b", "n_tokens": 7}, {"type": None, "text": "\\</s>"}, {"type": "video", "ref": "c"}, {"type": "text", "text": None}]
+    piece, bounds, refs = op8_chat_format.format_turn("assistant", parts, "assistant")
+    assert [(r["place"], r["type"], r["ref"], r["n_tokens"]) for r in refs] == [(0, "image", "a.png", 256), (1, "audio", "b", 7), (2, "video", "c", 0)]
+    assert piece.index("<|image:0|>") < piece.index("<|audio:1|>") < piece.index("<|part:2|>") and "</s>" not in piece and "<|x" not in piece
+    assert [op8_chat_format.unescape(piece[x["lo"] : x["hi"]]) for x in bounds] == ["see <|x|>", "\\</s>", ""]
+    assert op8_chat_format.format_turn("user", parts, "assistant")[1] == [] and op8_chat_format.format_turn(None, None, "assistant")[0] == "<|turn |>\n\n<|end|>\n"
+
+
+_CONTROL = st.lists(st.sampled_from(["<", "|", ">", "[", "]", "\\", "/s>", "s>", "INST]", "/INST]", "<SYS>>", "|>\n", "<|end|>", "\n", "a", "", "assistant", "</s>", "é"]), max_size=9).map("".join)
+
+
+@settings(max_examples=500, deadline=None)
+@given(role=_CONTROL, text=_CONTROL)
+@example(role=">\nassistant", text=">")
+@example(role="<|>\nassistant", text="|>")
+def test_control_strings_come_back_and_never_stand_in_a_text(role, text):
+    piece, bounds, _ = op8_chat_format.format_turn(role, [{"type": "text", "text": text}], role)
+    assert op8_chat_format.parse_turn(piece) == (role, text)
+    (x,) = bounds
+    assert op8_chat_format.unescape(piece[x["lo"] : x["hi"]]) == text
+    for inside in (op8_chat_format.escape(role), op8_chat_format.escape(text)):
+        assert not any(c in inside for c in ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"))
+    assert piece.count("<|") == 2 and piece.count("|>") == 2
+
+
+def test_chat_on_odd_rows(spark):
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, None, None), (1, 2, "assistant", "x<|end|>"), (-1, 5, "assistant", "own"), (None, 1, "assistant", ""), (2, 1, "<|>\nassistant", "t"), (2, 0, "assistant", "u" * 100_000)]
+    schema = "conv_id long, turn long, role string, text string"
+    got = {r["conv_id"]: tuple(r)[1:] for r in op8_chat_format.round_trip(spark.createDataFrame(rows, schema).withColumn("piece", F.lit("x"))).collect()}
+    want = {}
+    for conv in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or ""))
+        all_ = "".join(f"{r or ''}\n{t or ''}\n" for _, _, r, t in own)
+        loss = "".join(t or "" for _, _, r, t in own if r == "assistant")
+        formatted = sum(len(op8_chat_format.format_turn(r, [{"type": "text", "text": t}], "")[0]) for _, _, r, t in own)
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        want[conv] = (len(own), sha(all_), len(loss), sha(loss), formatted)
+    assert got == want
+    assert op8_chat_format.round_trip(spark.createDataFrame([], schema)).count() == 0
 
 
 def test_base_spans_by_plain_patterns(spark):
