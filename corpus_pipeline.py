@@ -1,11 +1,12 @@
 """A training-data pipeline over `documents`.
 
-Each stage takes (spark, docs, sf_dir), works on every row that the stage before kept, and
-returns the columns of documents, except the last, which returns the encoding of each document. A stage's result
+Each stage takes (spark, docs, sf_dir), works on every row that the stage before kept, and returns the
+columns of documents, except the last, which returns the encoding of each document. A stage's result
 is written as Parquet and read again as the next one's docs.
 
 All stages: null and empty texts count as empty; columns beside doc_id and text are carried along
-unread, whatever their names; an empty table gives an empty table.
+unread, whatever their names; an empty table gives an empty table; what a stage does with ties,
+repeated rows and rows without an id its own docstring says.
 """
 
 from __future__ import annotations
@@ -13,54 +14,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnspark.llm import op1_quality, op2_decontaminate, op3_near_dedup, op4_exact_dedup, op10_sentencepiece
+from cairnspark.llm import op1_quality, op2_decontaminate, op3_near_dedup, op4_exact_dedup, op10_sentencepiece, prefilter
 from cairnspark.llm.shared import staged, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the rows that the classifier scores 0.3 or more; it learns from `labels` and docs."""
+    """Keeps the rows that the classifier scores 0.3 or more; it learns from `labels` and docs. Each row goes by its
+    text alone: repeated rows and rows without an id are judged like any other."""
     return op1_quality.keep_good(docs, op1_quality.train(docs, table(spark, sf_dir, "labels")))
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs' rows whose doc_id isn't in dropped (a column __cairn_id); rows without an id stay."""
-    gone = staged(dropped, "dropped")
-    return docs.join(gone, docs["doc_id"] == gone["__cairn_id"], "left_anti")
-
-
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows with equal texts, the one with the largest doc_id stays; of repeated rows of that id and text, one."""
-    groups = op4_exact_dedup.exact_groups(docs, keep="largest")
-    kept = _without(docs, groups.filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__cairn_id")))
-    repeated = staged(docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__cairn_id")), "repeated")
-    if repeated.isEmpty():
-        return kept
-    # ids that come more than once: those rows are told apart by their text
-    again = repeated["__cairn_id"]
-    alone = docs.join(repeated, docs["doc_id"].eqNullSafe(again), "left_anti")
-    alone = _without(alone, groups.filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__cairn_id")))
-    several = docs.join(repeated, docs["doc_id"].eqNullSafe(again), "left_semi")
-    sha = F.sha2(F.coalesce(several["text"], F.lit("")).cast("binary"), 256)
-    best = groups.groupBy("text_sha256").agg(F.max("keep_id").alias("__cairn_keep"))
-    best = staged(best.withColumnRenamed("text_sha256", "__cairn_sha"), "kept")
-    mine = several.withColumn("__cairn_own", sha).join(best, F.col("__cairn_own") == F.col("__cairn_sha"))
-    mine = mine.filter(F.col("doc_id").eqNullSafe(F.col("__cairn_keep"))).dropDuplicates(["__cairn_own"])
-    return alone.unionByName(mine.select(*[mine[c] for c in docs.columns]))
+    """Of rows with equal texts, the one with the largest doc_id stays; of repeated rows of that id and text, one.
+    Rows without an id stay."""
+    return op4_exact_dedup.without_copies(docs, keep="largest")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates, the row with the least doc_id stays."""
-    classes = op3_near_dedup.near_classes(docs)
-    return _without(docs, classes.filter("NOT kept").select(F.col("doc_id").alias("__cairn_id")).distinct())
+    """Of each class of near-duplicates, the row with the least doc_id stays. Rows are told apart by id and text; repeated
+    rows stay or go together; rows without an id stay."""
+    key = lambda i, md5: F.concat(i.cast("string"), F.lit(":"), md5)
+    gone = op3_near_dedup.near_classes(docs).filter("NOT kept").select(key(F.col("doc_id"), F.lower(F.hex("text_md5"))))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return prefilter.without(docs, key(F.col("doc_id").cast("long"), F.md5(text.cast("binary"))), staged(gone.distinct(), "gone"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents contaminated with passages of `benchmark`."""
+    """Drops documents contaminated with passages of `benchmark`; each row is judged by its text."""
     return op2_decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep_columns=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece ids and decoded text of every document, as counts and digests."""
+    """SentencePiece ids and decoded text of every row, as counts and digests."""
     return op10_sentencepiece.encode_digest(docs)
 
 
