@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,7 +66,8 @@ def drop_staged(*tables: DataFrame) -> None:
 
 def forget_shuffles(spark: SparkSession) -> None:
     """Has the driver collect its garbage, upon which Spark deletes the shuffle files of what is done; else they
-    stay until the driver happens to."""
+    stay until the driver happens to. Python's own garbage goes first: it may hold frames."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -172,12 +172,11 @@ def test_exact_groups_on_odd_rows(odd):
 def test_filter_spares_rows_and_loses_none(spark, monkeypatch):
     keys = staged(spark.range(0, 5000, 10).select(F.col("id").cast("string").alias("k")), "keys")
     rows = spark.range(5000).select("id", F.col("id").cast("string").alias("k"))
-    for bits in (prefilter.BITS, 1 << 15, 8):
+    for bits, most in ((prefilter.BITS, 510), (1 << 15, 700), (8, 5000)):
         monkeypatch.setattr(prefilter, "BITS", bits)
         got = prefilter.marked(rows, F.col("k"), prefilter.bitmap(keys, "k"))
         assert got.filter("__cairn_maybe AND id % 10 = 0").count() == 500
-        passed = got.filter("__cairn_maybe").count()
-        assert passed == 500 if bits == prefilter.BITS else passed <= 5000
+        assert got.filter("__cairn_maybe").count() <= most
         assert sorted(r["id"] for r in prefilter.without(rows, F.col("k"), keys).collect()) == [i for i in range(5000) if i % 10]
 
 
