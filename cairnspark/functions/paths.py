@@ -47,8 +47,35 @@ def base_name(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", ""), r"\.(test|spec)$", "")
 
 
-def glob_regex(glob: str, basename_fallback: bool = True) -> str:
-    """A doublestar glob as a regular expression; a glob without a slash may also match the last segment."""
+def _alternatives(glob: str, i: int) -> tuple[list[str], int]:
+    """The alternatives of the braces that open at i, and the place after them; none if they aren't closed."""
+    depth, parts, start = 0, [], i + 1
+    for j in range(i, len(glob)):
+        c = glob[j]
+        if c == "{":
+            depth += 1
+        elif c == "}" or (c == "," and depth == 1):
+            if c == "}":
+                depth -= 1
+            if depth == (1 if c == "," else 0):
+                parts.append(glob[start:j])
+                start = j + 1
+            if not depth:
+                return parts, j + 1
+    return [], i
+
+
+def _class(glob: str, i: int) -> tuple[str, int]:
+    """The class of characters that opens at i as a regular expression, and the place after it; empty if it isn't one."""
+    j = i + 1 + (glob[i + 1 : i + 2] in ("!", "^"))
+    close = glob.find("]", j + 1)
+    if close < 0 or close == j:
+        return "", i
+    inside = re.sub(r"([\\\[\]^&~])", r"\\\1", glob[j:close])
+    return ("[^/" if j > i + 1 else "[") + inside + "]", close + 1
+
+
+def _glob_body(glob: str) -> str:
     out, i = "", 0
     while i < len(glob):
         c = glob[i]
@@ -62,13 +89,24 @@ def glob_regex(glob: str, basename_fallback: bool = True) -> str:
             out, i = out + "[^/]*", i + 1
         elif c == "?":
             out, i = out + "[^/]", i + 1
-        elif c == "{" and "}" in glob[i:]:
-            j = glob.index("}", i)
-            out, i = out + "(?:" + "|".join(re.escape(x) for x in glob[i + 1 : j].split(",")) + ")", j + 1
+        elif c == "[" and _class(glob, i)[0]:
+            found, i = _class(glob, i)
+            out += found
+        elif c == "{" and _alternatives(glob, i)[0]:
+            parts, i = _alternatives(glob, i)
+            out += "(?:" + "|".join(map(_glob_body, parts)) + ")"
+        elif c == "\\" and i + 1 < len(glob):
+            out, i = out + re.escape(glob[i + 1]), i + 2
         else:
             out, i = out + re.escape(c), i + 1
+    return out
+
+
+def glob_regex(glob: str, basename_fallback: bool = True) -> str:
+    """A doublestar glob (classes, nested braces, backslash escapes) as a regular expression; a glob without a slash may
+    also match the last segment."""
     lead = "(?:.*/)?" if basename_fallback and "/" not in glob else ""
-    return f"^{lead}{out}$"
+    return f"^{lead}{_glob_body(glob)}$"
 
 
 def owner_regex(pattern: str) -> str:

@@ -7,9 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Weights and bonuses of the review score, and the tiers of hotspots.
+# Weights and bonuses of the review score (by level, per caller, for production code, by depth, for a guess),
+# and the tiers of hotspots.
 BASE = {"HIGH": 80, "MEDIUM": 50, "LOW": 20}
-CALLER_WEIGHT = 8.0
+CALLER_WEIGHT, PRODUCTION, GUESS = 8.0, 6, 8
+NEAR, SECOND, FAR = 12, 6, -4
 HOT_HIGH, HOT_MEDIUM = 10, 5
 
 
@@ -33,11 +35,25 @@ def risk(export: Column, test: Column, depth: Column, prod: Column, t: Threshold
     )
 
 
+def reason(export: Column, test: Column, depth: Column, prod: Column, t: Thresholds = Thresholds()) -> Column:
+    """Why, rung by rung as in risk."""
+    callers = F.concat(F.lit(" ("), prod.cast("string"), F.lit(" production callers)"))
+    return (
+        F.when(prod >= t.high, F.concat(F.lit("highly connected"), callers))
+        .when(export & (prod >= t.high_exported), F.concat(F.lit("exported function with "), prod.cast("string"), F.lit(" production callers")))
+        .when((depth <= 1) & export & (prod >= 1), F.concat(F.lit("direct exported dependency"), callers))
+        .when(prod >= t.medium, F.concat(F.lit("moderately connected"), callers))
+        .when(test & (prod == 0), "test function with no production callers")
+        .when(export, "exported/public function")
+        .otherwise("internal function with few callers")
+    )
+
+
 def review_score(level: Column, confidence: Column, test: Column, depth: Column, prod: Column) -> Column:
     """Base by level, more for callers, production code and nearness, less for guesses; never negative."""
     base = F.when(level == "HIGH", BASE["HIGH"]).when(level == "MEDIUM", BASE["MEDIUM"]).otherwise(BASE["LOW"])
-    near = F.when(depth <= 1, 12).when(depth == 2, 6).when(depth >= 4, -4).otherwise(0)
-    total = base + F.round(CALLER_WEIGHT * F.log1p(prod)) + F.when(test, 0).otherwise(6) + near - F.when(confidence == "HEURISTIC", 8).otherwise(0)
+    near = F.when(depth <= 1, NEAR).when(depth == 2, SECOND).when(depth >= 4, FAR).otherwise(0)
+    total = base + F.round(CALLER_WEIGHT * F.log1p(prod)) + F.when(test, 0).otherwise(PRODUCTION) + near - F.when(confidence == "HEURISTIC", GUESS).otherwise(0)
     return F.greatest(total, F.lit(0)).cast("long")
 
 

@@ -1,4 +1,4 @@
-"""Change analysis, hotspots, name search, comparison and roll-ups."""
+"""Change analysis, hotspots, roll-ups, tiers and best matches."""
 
 from __future__ import annotations
 
@@ -7,16 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairnspark.functions import scoring
-from cairnspark.operators.traversal import blast_radius, caller_counts
+from cairnspark.operators.traversal import blast_radius, caller_counts, with_paths
+from cairnspark.staging import staged
 
 
-def affected(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = 5, thresholds: scoring.Thresholds = scoring.Thresholds()) -> DataFrame:
-    """Functions in the blast radius beside the seeds, with callers, risk and score."""
-    hit = blast_radius(nodes, edges, seeds, max_depth).filter("depth > 0")
+def affected(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = 5, thresholds: scoring.Thresholds = scoring.Thresholds(), paths: bool = False) -> DataFrame:
+    """Functions in the blast radius beside the seeds, with callers, risk, reason and score; with paths, also path and edge_path.
+
+    Nodes and edges are read several times, so they are staged first."""
+    nodes, edges = staged(nodes, "nodes"), staged(edges, "edges")
+    radius = staged(blast_radius(nodes, edges, seeds, max_depth, paths=False), "radius")
     calls = caller_counts(nodes, edges).withColumnRenamed("target", "id")
-    out = hit.join(nodes.filter("type = 'function'").select("id", "name", "is_export", "is_test"), "id").join(calls, "id", "left").na.fill(0, ["callers", "prod_callers"])
-    out = out.withColumn("risk", scoring.risk(F.col("is_export"), F.col("is_test"), F.col("depth"), F.col("prod_callers"), thresholds))
-    return out.withColumn("score", scoring.review_score(F.col("risk"), F.col("confidence"), F.col("is_test"), F.col("depth"), F.col("prod_callers")))
+    out = radius.filter("depth > 0").drop("place").join(nodes.filter("type = 'function'").select("id", "name", "is_export", "is_test"), "id")
+    out = out.join(calls, "id", "left").na.fill(0, ["callers", "prod_callers"])
+    rungs = (F.col("is_export"), F.col("is_test"), F.col("depth"), F.col("prod_callers"), thresholds)
+    out = out.withColumns({"risk": scoring.risk(*rungs), "reason": scoring.reason(*rungs)})
+    out = out.withColumn("score", scoring.review_score(F.col("risk"), F.col("confidence"), F.col("is_test"), F.col("depth"), F.col("prod_callers")))
+    return out.join(with_paths(out, radius, max_depth), "id") if paths else out
 
 
 def ranked(df: DataFrame, limit: int | None = None) -> DataFrame:
@@ -30,72 +37,64 @@ def exit_code(df: DataFrame) -> DataFrame:
     return df.agg(F.when(F.count_if(F.col("risk") == "HIGH") > 0, 1).when(F.count_if(F.col("risk") == "MEDIUM") > 0, 2).otherwise(0).cast("long").alias("code"))
 
 
+def degrees(edges: DataFrame) -> DataFrame:
+    """id, inbound, outbound of all ends of calls: one aggregation."""
+    calls = edges.filter("type = 'CALLS'")
+    one, zero = F.lit(1), F.lit(0)
+    ends = F.array(F.struct(F.col("target").alias("id"), one.alias("i"), zero.alias("o")), F.struct(F.col("source").alias("id"), zero.alias("i"), one.alias("o")))
+    return calls.select(F.explode(ends).alias("e")).groupBy(F.col("e.id").alias("id")).agg(F.sum("e.i").alias("inbound"), F.sum("e.o").alias("outbound"))
+
+
 def hotspots(nodes: DataFrame, edges: DataFrame, languages: list[str] | None = None, ignore: Column | None = None, top: int = 0) -> DataFrame:
     """Functions by coupling (twice the calls in plus the calls out)."""
-    calls = edges.filter("type = 'CALLS'")
-    ends = calls.select(F.explode(F.array(F.struct(F.col("target").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("source").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")))).alias("e"))
-    degree = ends.groupBy(F.col("e.id").alias("id")).agg(F.sum("e.i").alias("inbound"), F.sum("e.o").alias("outbound"))
     keep = nodes.filter("type = 'function'")
     if languages:
         keep = keep.filter(F.col("language").isin(languages))
     if ignore is not None:
         keep = keep.filter(~ignore)
-    out = keep.join(degree, "id").select("id", "name", "language", "inbound", "outbound", (2 * F.col("inbound") + F.col("outbound")).alias("coupling"), scoring.hotspot_risk(F.col("inbound")).alias("risk"))
+    coupling = 2 * F.col("inbound") + F.col("outbound")
+    out = keep.join(degrees(edges), "id").select("id", "name", "language", "inbound", "outbound", coupling.alias("coupling"), scoring.hotspot_risk(F.col("inbound")).alias("risk"))
     if not top:
         return out
     return out.orderBy(F.desc("coupling"), F.desc("inbound"), "name", "id").limit(top)
 
 
-def name_search(nodes: DataFrame, query: str) -> DataFrame:
-    """Functions by how they match: exact, qualified (package.name), prefix, substring."""
-    name, low = F.col("name"), F.lower(F.col("name"))
-    tier = F.when(name == query, "exact").when(F.concat_ws(".", "package", "name") == query, "qualified").when(low.startswith(query.lower()) & (low != query.lower()), "prefix").when(low.contains(query.lower()), "substring")
-    return nodes.filter("type = 'function'").select("id", "name", tier.alias("match_type")).filter("match_type IS NOT NULL")
-
-
-def node_signature(df: DataFrame) -> Column:
-    return F.concat_ws(":", df["type"], df["file_path"], df["name"])
-
-
-def edge_signatures(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Distinct 'source -> target [TYPE]' by node signature; dangling edges and functions named default fall out."""
-    sig = nodes.filter("NOT (type = 'function' AND name = 'default')").select("id", node_signature(nodes).alias("sig"))
-    a, b = sig.select(F.col("id").alias("source"), F.col("sig").alias("sa")), sig.select(F.col("id").alias("target"), F.col("sig").alias("sb"))
-    return edges.join(a, "source").join(b, "target").select(F.concat("sa", F.lit(" -> "), "sb", F.lit(" ["), "type", F.lit("]")).alias("sig")).distinct()
-
-
-def compare(base: DataFrame, candidate: DataFrame) -> DataFrame:
-    """One row: how many signatures are shared, missing and extra, by one full outer pass."""
-    side = lambda df, k: df.select("sig", F.lit(k).alias("k"))
-    both = side(base, 1).unionByName(side(candidate, 2)).groupBy("sig").agg(F.bit_or("k").alias("k"))
-    return both.agg(*(F.count_if(F.col("k") == v).alias(n) for n, v in (("missing", 1), ("extra", 2), ("shared", 3))))
-
-
-def package_rollup(nodes: DataFrame, edges: DataFrame, grain: str = "package") -> tuple[DataFrame, DataFrame]:
-    """Super-nodes (files, functions) and distinct links across them."""
+def roll_up(nodes: DataFrame, edges: DataFrame, grain: str = "package") -> tuple[DataFrame, DataFrame]:
+    """Super-nodes by package or file_path (files, functions) and distinct links of calls across them."""
     groups = nodes.filter("type = 'function'").groupBy(grain).agg(F.countDistinct("file_path").alias("files"), F.count(F.lit(1)).alias("functions"))
     a, b = nodes.select(F.col("id").alias("source"), F.col(grain).alias("from_group")), nodes.select(F.col("id").alias("target"), F.col(grain).alias("to_group"))
     links = edges.filter("type = 'CALLS'").join(a, "source").join(b, "target").filter("from_group != to_group").select("from_group", "to_group").distinct()
     return groups, links
 
 
-def resolve_tiers(candidates: DataFrame, key: list[str]) -> DataFrame:
-    """candidates: key, tier, id, confidence. The first tier with any candidate decides: one id resolves, more are ambiguous."""
-    per = candidates.groupBy(*key, "tier").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id"), F.min("confidence").alias("confidence"))
-    first = per.groupBy(*key).agg(F.min(F.struct("tier", "n", "id", "confidence")).alias("m"))
+def function_view(nodes: DataFrame, edges: DataFrame, shown: Column) -> tuple[DataFrame, DataFrame]:
+    """The functions that the condition shows, with calls in and their tier; and the calls among them."""
+    some = nodes.filter("type = 'function'").filter(shown)
+    calls = caller_counts(nodes, edges).select(F.col("target").alias("id"), F.col("callers").alias("inbound"))
+    views = some.join(calls, "id", "left").select("id", F.coalesce("inbound", F.lit(0).cast("long")).alias("inbound"))
+    ids = some.select("id")
+    links = edges.filter("type = 'CALLS'").join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    return views.withColumn("risk", scoring.hotspot_risk(F.col("inbound"))), links.select("source", "target").distinct()
+
+
+def first_tier(counted: DataFrame, key: list[str]) -> DataFrame:
+    """counted: key, tier, n (targets), id (the least), confidence: a row a tier. The first tier decides: one target resolves, more are ambiguous."""
+    first = counted.groupBy(*key).agg(F.min(F.struct("tier", "n", "id", "confidence")).alias("m"))
     one = F.col("m.n") == 1
     return first.select(*key, F.col("m.tier").alias("tier"), F.when(one, F.col("m.id")).alias("id"), F.when(~one, "AMBIGUOUS").otherwise(F.col("m.confidence")).alias("status"))
 
 
+def resolve_tiers(candidates: DataFrame, key: list[str]) -> DataFrame:
+    """candidates: key, tier, id, confidence, a row a candidate; see first_tier."""
+    return first_tier(candidates.groupBy(*key, "tier").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id"), F.min("confidence").alias("confidence")), key)
+
+
 def best_match(pairs: DataFrame) -> DataFrame:
     """pairs: diff_path, path. The exact path, else the longest, then the first by name."""
     w = Window.partitionBy("diff_path").orderBy(F.desc(F.col("diff_path") == F.col("path")), F.desc(F.octet_length("path")), "path")
     return pairs.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
 
 
-def last_match(paths: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """paths: path. The owner of the last rule (regex, owner) that matches: one pass, no join."""
-    owner = F.lit(None).cast("string")
-    for regex, name in rules:
-        owner = F.when(F.col("path").rlike(regex), F.lit(name)).otherwise(owner)
-    return paths.withColumn("owner", owner)
+def last_match(path: Column, rules: list[tuple[str, Column]]) -> Column:
+    """What the last rule (regex, value) that matches gives, null where none does: one flat expression, however many rules."""
+    return F.coalesce(*(F.when(path.rlike(regex), value) for regex, value in reversed(rules))) if rules else F.lit(None)

@@ -65,7 +65,8 @@ def nodes(files: DataFrame) -> DataFrame:
     a = files.select(file_id(F.col("file_path")).alias("id"), F.lit("file").alias("type"), F.element_at(F.split("file_path", "/"), -1).alias("name"), "file_path", zero.alias("start_line"), zero.alias("end_line"), "package", "language", no.alias("is_export"), F.col("is_test_file").alias("is_test"), no.alias("is_init"))
     b = functions(files).withColumn("type", F.lit("function")).withColumnRenamed("is_test_file", "is_test").select(*cols)
     c = classes(files).withColumn("type", F.lit("class")).withColumnRenamed("is_test_file", "is_test").withColumn("is_init", no).select(*cols)
-    return a.unionByName(b).unionByName(c).groupBy("id").agg(*(F.min(x).alias(x) for x in cols[1:]))
+    every = a.unionByName(b).unionByName(c)
+    return every.groupBy("id").agg(F.min(F.struct(*cols[1:])).alias("n")).select("id", "n.*")
 
 
 def imports(files: DataFrame) -> DataFrame:
@@ -156,10 +157,28 @@ def call_sites(files: DataFrame, bound: DataFrame) -> DataFrame:
 def callers(files: DataFrame, sites: DataFrame) -> DataFrame:
     """Resolved sites with their source: the first function of the file, in its order, that holds the line; else the file."""
     f = functions(files).select("file_path", "ord", "start_line", "end_line", F.col("id").alias("fid"))
-    held = sites.filter("target IS NOT NULL").join(f, "file_path", "left")
-    inside = F.when(F.col("line").between(F.col("start_line"), F.col("end_line")), F.col("ord"))
-    one = held.groupBy("file_path", "site", "target", "status").agg(F.min_by("fid", inside).alias("fid"), F.min(inside).alias("o"))
-    return one.select(F.when(F.col("o").isNull(), file_id(F.col("file_path"))).otherwise(F.col("fid")).alias("source"), "target", F.col("status").alias("confidence"))
+    asked = sites.filter("target IS NOT NULL")
+    held = R.holding(asked.select("file_path", "site", "line"), f).groupBy("file_path", "site").agg(F.min(F.struct("ord", "fid")).alias("o"))
+    one = asked.join(held, ["file_path", "site"], "left")
+    return one.select(F.coalesce("o.fid", file_id(F.col("file_path"))).alias("source"), "target", F.col("status").alias("confidence"))
+
+
+def file_metadata(files: DataFrame) -> DataFrame:
+    """file_path, content_hash, language, node_count (functions and classes) of the files that have a hash."""
+    n = F.coalesce(F.size("functions"), F.lit(0)) + F.coalesce(F.size("classes"), F.lit(0))
+    return files.filter("content_hash != ''").select("file_path", "content_hash", "language", n.cast("long").alias("node_count"))
+
+
+def resolution_stats(sites: DataFrame) -> DataFrame:
+    """sites: kind, status. One row: each kind's sites by status (call_exact, ..., inheritance_unresolved)."""
+    kinds, states = ("call", "inheritance"), ("EXACT", "HEURISTIC", "AMBIGUOUS", "UNRESOLVED")
+    return sites.agg(*(F.count_if((F.col("kind") == k) & (F.col("status") == v)).alias(f"{k}_{v.lower()}") for k in kinds for v in states))
+
+
+def resolution_issues(sites: DataFrame, most: int = 200) -> DataFrame:
+    """The first ambiguous or unresolved references, those of inheritance first: the cap is this log's feature."""
+    order = F.when(F.col("kind") == "inheritance", 0).otherwise(1)
+    return sites.filter("status IN ('AMBIGUOUS', 'UNRESOLVED')").orderBy(order, "file_path", "line", "name", "status").limit(most)
 
 
 def build(files: DataFrame) -> Graph:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cairnspark.functions import paths as P
-from cairnspark.operators.analysis import resolve_tiers
+from cairnspark.operators.analysis import first_tier
 
 # How a relative import may be completed, in this order.
 ENDINGS = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
@@ -38,12 +39,20 @@ def relative_import(imports: DataFrame, files: DataFrame, endings: list[str] = E
 
 def base_classes(uses: DataFrame, classes: DataFrame) -> DataFrame:
     """uses: child, base, file_path, package; classes: id, name, file_path, package. Same file, then same
-    package, then the only class of that name anywhere (a guess); several at one tier are ambiguous."""
-    defs = classes.select(F.col("id"), F.col("name").alias("base"), F.col("file_path").alias("f"), F.col("package").alias("p"))
-    found = uses.join(defs, "base").filter("id != child")
-    tier = F.when(F.col("f") == F.col("file_path"), 1).when(F.col("p") == F.col("package"), 2).otherwise(3)
-    cand = found.select("child", "base", tier.cast("long").alias("tier"), "id", F.when(tier == 3, "HEURISTIC").otherwise("EXACT").alias("confidence"))
-    return resolve_tiers(cand, ["child", "base"])
+    package, then the only class of that name anywhere (a guess); several at one tier are ambiguous; a class is not its own base.
+
+    Classes are aggregated per name and place first, so a name that a million files define costs each use one row a tier."""
+    defs = classes.select("id", F.col("name").alias("base"), F.col("file_path").alias("f"), F.col("package").alias("p"))
+    own = defs.select(F.col("id").alias("child"), "base", F.lit(1).alias("own")).distinct()
+    asked = uses.select("child", "base", F.col("file_path").alias("f"), F.col("package").alias("p")).distinct().join(own, ["child", "base"], "left")
+    found = None
+    for tier, (key, confidence) in enumerate(((["base", "f"], "EXACT"), (["base", "p"], "EXACT"), (["base"], "HEURISTIC")), 1):
+        per = defs.groupBy(*key).agg(F.countDistinct("id").alias("all"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+        here = asked.join(per, key).withColumn("n", F.col("all") - F.coalesce("own", F.lit(0)))  # its own definition is of its own place
+        other = F.when((F.col("n") < F.col("all")) & (F.col("lo") == F.col("child")), F.col("hi")).otherwise(F.col("lo"))
+        rows = here.filter("n > 0").select("child", "base", F.lit(tier).cast("long").alias("tier"), "n", other.alias("id"), F.lit(confidence).alias("confidence"))
+        found = rows if found is None else found.unionByName(rows)
+    return first_tier(found, ["child", "base"])
 
 
 def method_owners(methods: DataFrame, classes: DataFrame) -> DataFrame:
@@ -54,13 +63,43 @@ def method_owners(methods: DataFrame, classes: DataFrame) -> DataFrame:
     return found.groupBy("id").agg(F.min_by("class_id", F.struct((F.col("f") != F.col("file_path")).alias("far"), "class_id")).alias("class_id"))
 
 
+#: Lines of a bin: a span meets a line through the bins that it covers.
+BIN = 128
+
+
+def holding(sites: DataFrame, spans: DataFrame) -> DataFrame:
+    """sites: file_path, line and more; spans: file_path, start_line, end_line and more. Pairs where the span holds the line.
+
+    An equi-join on the file and a bin of lines, the range as its residue: a site meets the spans of its bin, not of its file."""
+    cover = F.sequence(F.floor(F.col("start_line") / BIN), F.floor(F.greatest("start_line", "end_line") / BIN))
+    binned = spans.filter("start_line <= end_line").withColumn("__bin", F.explode(cover))
+    return sites.withColumn("__bin", F.floor(F.col("line") / BIN)).join(binned, ["file_path", "__bin"]).filter("line BETWEEN start_line AND end_line").drop("__bin")
+
+
 def scope_of(refs: DataFrame, scopes: DataFrame) -> DataFrame:
     """refs: ref, file_path, line, target; scopes: id, file_path, start_line, end_line. Of the scopes that hold
     the line (one-line scopes hold all lines after them), the one that starts last, then ends first; never the target.
 
-    Bounded by scopes per file: an equi-join on the file, the range as its residue, an arg-min instead of a sort."""
-    held = refs.join(scopes, "file_path").filter("start_line <= line AND (start_line = end_line OR line <= end_line) AND id != target")
-    return held.groupBy("ref", "file_path").agg(F.min_by("id", F.struct((-F.col("start_line")).alias("s"), "end_line", "id")).alias("scope"))
+    Scopes of several lines meet references by bins. For those of one line a running maximum over the lines of a file
+    finds the last two lines that have any."""
+    asked = refs.select("ref", "file_path", "line", "target").distinct()
+    inside = holding(asked, scopes.filter("start_line < end_line").select("file_path", "id", "start_line", "end_line")).filter("id != target")
+    key = F.struct((-F.col("start_line")).alias("s"), F.col("end_line").alias("e"), F.col("id").alias("i"))
+    inside = inside.groupBy("ref", "file_path").agg(F.min(key).alias("m"))
+    one = scopes.filter("start_line = end_line").groupBy("file_path", F.col("start_line").alias("line")).agg(F.min("id").alias("x"), F.sort_array(F.collect_set("id")).alias("all"))
+    one = one.select("file_path", "line", F.struct(F.col("line").alias("at"), "x", F.try_element_at("all", F.lit(2)).alias("y")).alias("s"))
+    last = Window.partitionBy("file_path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    one = one.withColumn("before", F.max("s").over(last))
+    empty = F.lit(None).cast(one.schema["s"].dataType)
+    rows = one.select("file_path", "line", F.lit(0).alias("kind"), F.lit(None).cast(asked.schema["ref"].dataType).alias("ref"), F.lit(None).cast("string").alias("target"), F.struct("s", "before").alias("w"))
+    rows = rows.unionByName(asked.select("file_path", "line", F.lit(1).alias("kind"), "ref", "target", F.lit(None).cast(rows.schema["w"].dataType).alias("w")))
+    so_far = Window.partitionBy("file_path").orderBy("line", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = rows.withColumn("w", F.last("w", ignorenulls=True).over(so_far)).filter("kind = 1 AND w IS NOT NULL")
+    now, prior = F.col("w.s"), F.coalesce(F.col("w.before"), empty)
+    pick = F.when(now["x"] != F.col("target"), F.struct(now["at"].alias("at"), now["x"].alias("id"))).when(now["y"].isNotNull(), F.struct(now["at"].alias("at"), now["y"].alias("id"))).otherwise(F.struct(prior["at"].alias("at"), prior["x"].alias("id")))
+    lines = seen.select("ref", "file_path", pick.alias("p")).filter("p.id IS NOT NULL")
+    lines = lines.select("ref", "file_path", F.struct((-F.col("p.at")).alias("s"), F.col("p.at").alias("e"), F.col("p.id").alias("i")).alias("m"))
+    return inside.unionByName(lines).groupBy("ref", "file_path").agg(F.min("m").alias("m")).select("ref", "file_path", F.col("m.i").alias("scope"))
 
 
 def nearest_marker(paths: DataFrame, markers: DataFrame) -> DataFrame:
@@ -71,14 +110,6 @@ def nearest_marker(paths: DataFrame, markers: DataFrame) -> DataFrame:
     return up.join(markers.select("dir").distinct(), "dir").groupBy("path").agg(F.max_by("dir", "depth").alias("dir"))
 
 
-def unique_name(found: DataFrame) -> DataFrame:
-    """found: id, match_type of a name search. The only match, else the only exact or the only qualified one."""
-    one = lambda c: F.when(F.count_if(c) == 1, F.max(F.when(c, F.col("id"))))
-    kind = F.col("match_type")
-    exact = F.count_if(kind == "exact")
-    return found.agg(F.coalesce(one(F.lit(True)), one(kind == "exact"), F.when(exact == 0, one(kind == "qualified"))).alias("id"), F.count(F.lit(1)).alias("candidates"))
-
-
 def line_span(r: Column) -> Column:
     """0-based [line, col, (line,) col] as 1-based start and end lines."""
     start = F.element_at(r, 1) + 1

@@ -47,8 +47,34 @@ def is_test(path: Column) -> Column:
     return F.lower(path).rlike(r"(_test\.|\.test\.|\.spec\.|(^|/)(tests?|__tests__)/|(^|/)test_[^/]*$)")
 
 
-def build(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """nodes, edges. Symbols without a definition in the project give no node, references to them no edge."""
+def callable_there(defs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Definitions that are functions by a member's descriptor alone must have `name(` on their line; a line that isn't
+    known counts as if it had."""
+    member = descriptor(F.col("symbol"))
+    unsure = (F.col("type") == "function") & ~F.coalesce(F.col("kind").isin(list(CALLABLE.values())), F.lit(False)) & ~member.contains("(")
+    at = lines.select("file_path", F.col("line").alias("start_line"), F.col("text").alias("__text"))
+    found = defs.join(at, ["file_path", "start_line"], "left")
+    return found.filter(~(unsure & (F.col("name") != "") & F.coalesce(~F.col("__text").contains(F.concat("name", F.lit("("))), F.lit(False)))).drop("__text")
+
+
+def widened(defs: DataFrame, parsed: DataFrame) -> DataFrame:
+    """defs with the ends of Go functions that the native parse of their file (see sources.files.parse) finds further down."""
+    f = parsed.filter("language = 'go'").select("file_path", F.inline("functions"))
+    ends = f.groupBy("file_path", "start_line").agg(F.max("end_line").alias("__end"), F.lit("function").alias("type"))
+    found = defs.join(ends, ["file_path", "start_line", "type"], "left")
+    return found.withColumn("end_line", F.greatest("end_line", F.coalesce("__end", F.col("end_line")))).drop("__end")
+
+
+def edge_counts(edges: DataFrame) -> DataFrame:
+    """How many edges there are of each type."""
+    return edges.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def build(docs: DataFrame, lines: DataFrame | None = None, parsed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """nodes, edges. Symbols without a definition in the project give no node, references to them no edge.
+
+    lines: source lines (sources.scip.source_lines), to see whether a member can be called; parsed: parsed files, whose
+    ends of Go functions widen those of the index. A reference into another package also imports that package's first file."""
     info = symbols(docs)
     mine = project_documents(docs).withColumn("file_path", P.canonical(F.col("relative_path")))
     occ = mine.select("file_path", "language", F.posexplode("occurrences").alias("n", "o")).select("file_path", "language", "n", "o.*")
@@ -61,6 +87,10 @@ def build(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = F.split("symbol", r"\s+")
     package = F.coalesce(F.try_element_at(parts, F.lit(3)), F.lit(""))
     defs = defs.withColumn("id", P.short_id("scip", F.col("symbol"))).withColumn("name", name).withColumn("package", package).withColumn("is_test", is_test(F.col("file_path")))
+    if lines is not None:
+        defs = callable_there(defs, lines)
+    if parsed is not None:
+        defs = widened(defs, parsed)
     no, zero = F.lit(False), F.lit(0)
     cols = ["id", "type", "name", "file_path", "start_line", "end_line", "package", "language", "is_export", "is_test", "is_init"]
     f = mine.groupBy("file_path").agg(F.min("language").alias("language"))
@@ -68,7 +98,10 @@ def build(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     export = F.col("name").rlike("^[A-Z]")
     nodes = files.unionByName(defs.withColumn("is_export", export).withColumn("is_init", no).select(*cols))
 
-    known = defs.select("symbol", F.col("id").alias("target"), F.col("file_path").alias("target_file"), F.col("type").alias("target_type"))
+    known = defs.select("symbol", F.col("id").alias("target"), F.col("file_path").alias("target_file"), F.col("type").alias("target_type"), F.col("package").alias("target_package"))
+    # a file's package is the least of its definitions'; a package's file the one with the least id, tests aside
+    own = defs.filter("package != ''").groupBy("file_path").agg(F.min("package").alias("package"))
+    stands = own.filter(~is_test(F.col("file_path"))).groupBy("package").agg(F.min(file_id(F.col("file_path"))).alias("stands_for"))
     refs = occ.filter("NOT role.defines").select("file_path", "n", F.col("span.start_line").alias("line"), "role", "symbol").join(known, "symbol")
     one = lambda df, s, t, kind: df.select(s.alias("source"), t.alias("target"), F.lit(kind).alias("type"))
     imports = one(refs.filter("role.imports AND target_file != file_path"), file_id(F.col("file_path")), file_id(F.col("target_file")), "IMPORTS")
@@ -76,6 +109,9 @@ def build(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     scopes = defs.filter("type = 'function'").select("id", "file_path", "start_line", "end_line")
     inside = R.scope_of(calls.select("ref", "file_path", "line", "target"), scopes)
     calls = calls.join(inside, ["ref", "file_path"], "left").withColumn("source", F.coalesce("scope", file_id(F.col("file_path")))).filter("source != target")
+    across = calls.join(own, "file_path").filter("target_package != '' AND package != target_package")
+    across = across.join(stands.withColumnRenamed("package", "target_package"), "target_package", "left")
+    across = across.select(file_id(F.col("file_path")).alias("source"), F.coalesce("stands_for", file_id(F.col("target_file"))).alias("target"), F.lit("IMPORTS").alias("type")).filter("source != target")
     calls = calls.select("source", "target", F.lit("CALLS").alias("type"))
     # a child sits in the class that encloses it, else in its file
     owner = F.regexp_extract("symbol", r"^(.*#)[^#]+$", 1)
@@ -86,5 +122,5 @@ def build(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     both, fn = (F.col("type") == "class") & (F.col("target_type") == "class"), F.col("type") == "function"
     kind = F.when(both & F.col("is_implementation"), "IMPLEMENTS").when(both & (F.col("is_type_definition") | F.col("is_reference")), "EXTENDS").when(fn & F.col("is_reference"), "CALLS")
     related = rel.select(F.col("id").alias("source"), "target", kind.alias("type")).filter("type IS NOT NULL")
-    edges = calls.unionByName(imports).unionByName(contains).unionByName(related).distinct().withColumn("confidence", F.lit("EXACT"))
+    edges = calls.unionByName(imports).unionByName(across).unionByName(contains).unionByName(related).distinct().withColumn("confidence", F.lit("EXACT"))
     return nodes, edges

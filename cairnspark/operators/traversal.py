@@ -1,73 +1,119 @@
 """Frontier loops over edges: blast radius and shortest path.
 
-Each level joins the frontier with the edges, drops what was seen, and keeps one parent per node
-by a pre-aggregated minimum. A node's place in the queue is an ordered key (its seed, then the
-edges taken), so no level needs a global sort or numbering. Levels are staged.
+Each level joins the frontier with the edges, drops what was seen, and keeps one parent per node by a
+pre-aggregated minimum of (place of the parent in the queue, order of the edge). In a blast radius, whose depth is
+bounded, a place is the list of the orders of the edges taken, so no level is sorted at all. A shortest path has no bound: its
+levels are numbered in the order of the queue, by ranges and not in one task. Levels carry a parent each, not
+paths: those are rebuilt at the end, for the nodes that are asked for. The edges are staged once, by what the loop joins on.
+
+The order of edges is their column edge_ord, where there is one (see graph_store); else type, source, target.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnspark.functions.scoring import weaker
-from cairnspark.staging import staged
+from cairnspark.operators import ranking
+from cairnspark.staging import drop_staged, staged
 
 DEFAULT_DEPTH = 5
 
 
+def edge_order(edges: DataFrame) -> Column:
+    """What edges are taken in the order of, as one sortable value."""
+    of = [F.col("edge_ord").cast("long")] if "edge_ord" in edges.columns else [F.lit(0).cast("long")]
+    return F.struct(of[0].alias("n"), F.col("type").alias("t"), F.col("source").alias("s"), F.col("target").alias("o"))
+
+
 def traversal_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges that impact runs along: calls only into functions, containment and inheritance always, imports never."""
+    keep = [c for c in ("source", "target", "type", "confidence", "edge_ord") if c in edges.columns]
     callee = nodes.filter("type = 'function'").select(F.col("id").alias("target"))
     calls = edges.filter("type = 'CALLS'").join(callee, "target", "left_semi")
-    return calls.select("source", "target", "type", "confidence").unionByName(edges.filter("type IN ('CONTAINS', 'EXTENDS', 'IMPLEMENTS')").select("source", "target", "type", "confidence"))
+    return calls.select(*keep).unionByName(edges.filter("type IN ('CONTAINS', 'EXTENDS', 'IMPLEMENTS')").select(*keep))
+
 
+def blast_radius(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = DEFAULT_DEPTH, paths: bool = True) -> DataFrame:
+    """seeds: id, and seed_ord where their order is given (else by id). Out: id, depth, parent, parent_edge, confidence, place (in the
+    queue), and with paths also path and edge_path (see with_paths).
 
-def blast_radius(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = DEFAULT_DEPTH) -> DataFrame:
-    """seeds: id. Out: id, depth, parent, parent_edge, confidence, path (ids from the seed on), edge_path."""
+    Seeds that aren't nodes are left out; a node's confidence is the weakest along the way that reached it first."""
     max_depth = max_depth if max_depth > 0 else DEFAULT_DEPTH
-    back = staged(traversal_edges(nodes, edges).join(nodes.select(F.col("id").alias("source")), "source", "left_semi"), "edges")
-    start = seeds.select("id").distinct().join(nodes.select("id"), "id", "left_semi")
-    frontier = staged(
-        start.select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("parent_edge"), F.lit("EXACT").alias("confidence"), F.array("id").alias("path"), F.expr("cast(array() as array<string>)").alias("edge_path"), F.array("id").alias("place")),
-        "level",
-    )
+    inside = traversal_edges(nodes, edges).join(nodes.select(F.col("id").alias("source")), "source", "left_semi")
+    back = staged(inside.select("target", "source", "type", "confidence", edge_order(inside).alias("o")).repartition("target").sortWithinPartitions("target"), "edges")
+    order = F.min("seed_ord") if "seed_ord" in seeds.columns else F.lit(0)
+    start = seeds.groupBy("id").agg(order.cast("long").alias("first")).join(nodes.select("id"), "id", "left_semi")
+    null, blank = F.lit(None).cast("string"), F.lit("")
+    place = F.array(F.struct(F.col("first").alias("n"), blank.alias("t"), F.col("id").alias("s"), blank.alias("o")))
+    frontier = staged(start.select("id", F.lit(0).alias("depth"), null.alias("parent"), null.alias("parent_edge"), F.lit("EXACT").alias("confidence"), place.alias("place")), "level")
     levels, seen = [frontier], frontier.select("id")
     for depth in range(1, max_depth + 1):
-        step = frontier.select(F.col("id").alias("target"), F.col("confidence").alias("so_far"), "path", "edge_path", "place").join(back, "target")
-        found = step.join(seen.withColumnRenamed("id", "source"), "source", "left_anti").select(
-            F.col("source").alias("id"),
-            F.struct(F.concat("place", F.array(F.concat_ws("\u0001", "type", "source", "target"))).alias("place"), F.col("target").alias("parent"), F.col("type").alias("parent_edge"), weaker(F.col("so_far"), F.col("confidence")).alias("confidence"), "path", F.concat("edge_path", F.array("type")).alias("edge_path")).alias("s"),
-        )
-        best = found.groupBy("id").agg(F.min("s").alias("s"))
-        frontier = staged(best.select("id", F.lit(depth).alias("depth"), "s.parent", "s.parent_edge", "s.confidence", F.concat("s.path", F.array("id")).alias("path"), "s.edge_path", "s.place"), "level")
+        step = frontier.select(F.col("id").alias("target"), F.col("confidence").alias("so_far"), "place").join(back, "target")
+        found = step.join(seen.withColumnRenamed("id", "source"), "source", "left_anti")
+        way = F.struct(F.concat("place", F.array("o")).alias("place"), F.col("target").alias("parent"), F.col("type").alias("parent_edge"), weaker(F.col("so_far"), F.col("confidence")).alias("confidence"))
+        best = found.groupBy(F.col("source").alias("id")).agg(F.min(way).alias("s"))
+        frontier = staged(best.select("id", F.lit(depth).alias("depth"), "s.parent", "s.parent_edge", "s.confidence", "s.place"), "level")
         if frontier.isEmpty():
             break
         levels.append(frontier)
         seen = seen.unionByName(frontier.select("id"))
+    drop_staged(back)
     out = levels[0]
     for x in levels[1:]:
         out = out.unionByName(x)
-    return out.drop("place")
+    return out.join(with_paths(out, out, max_depth), "id") if paths else out
+
+
+def with_paths(asked: DataFrame, radius: DataFrame, max_depth: int = DEFAULT_DEPTH) -> DataFrame:
+    """asked: id. With path (ids from the seed on) and edge_path (types of the edges), by as many joins to the parents as there are levels."""
+    up = radius.select(F.col("id").alias("at"), F.col("parent").alias("up"), F.col("parent_edge").alias("by"))
+    none = F.expr("cast(array() as array<string>)")
+    now = asked.select("id").withColumns({"at": F.col("id"), "path": F.array("id"), "edge_path": none})
+    for _ in range(max(max_depth, 1)):
+        now = now.join(up, "at", "left").select(
+            "id",
+            F.coalesce("up", F.col("at")).alias("next"),
+            F.when(F.col("up").isNull(), F.col("path")).otherwise(F.concat(F.array("up"), "path")).alias("path"),
+            F.when(F.col("up").isNull(), F.col("edge_path")).otherwise(F.concat(F.array("by"), "edge_path")).alias("edge_path"),
+        ).withColumnRenamed("next", "at")
+    return now.drop("at")
 
 
 def shortest_path(edges: DataFrame, source: str, target: str, reverse: bool = False) -> list[str] | None:
-    """Ids along a shortest chain of calls, [source] if both are one, None if there is none."""
-    spark = edges.sparkSession
+    """Ids along a shortest chain of calls, [source] if both are one, None if there is none; of several the one that a
+    queue finds first (see the module for the order).
+
+    The driver holds one id a step of the answer; levels carry a parent and a place each."""
     if source == target:
         return [source]
+    spark = edges.sparkSession
     calls = edges.filter("type = 'CALLS'")
-    step = staged(calls.select(F.col("target" if reverse else "source").alias("at"), F.col("source" if reverse else "target").alias("to")), "edges")
-    frontier = seen = spark.createDataFrame([(source, [source])], "id string, path array<string>")
+    step = calls.select(F.col("target" if reverse else "source").alias("at"), F.col("source" if reverse else "target").alias("to"), edge_order(calls).alias("o"))
+    step = staged(step.repartition("at").sortWithinPartitions("at"), "edges")
+    frontier = staged(spark.createDataFrame([(source, None, 1)], "id string, parent string, place long"), "level")
+    levels, seen = [frontier], frontier.select("id")
     while True:
-        found = frontier.join(step, frontier["id"] == step["at"]).select(F.col("to").alias("id"), "path").join(seen.select("id"), "id", "left_anti")
-        frontier = staged(found.groupBy("id").agg(F.min("path").alias("p")).select("id", F.concat("p", F.array("id")).alias("path")), "level")
-        hit = frontier.filter(F.col("id") == target).first()
+        found = frontier.select(F.col("id").alias("at"), "place").join(step, "at").join(seen.select(F.col("id").alias("to")), "to", "left_anti")
+        best = found.groupBy(F.col("to").alias("id")).agg(F.min(F.struct("place", "o", F.col("at").alias("parent"))).alias("s"))
+        best = staged(best, "found")
+        if best.isEmpty():
+            path = None
+            break
+        hit = best.filter(F.col("id") == target).first()
         if hit:
-            return list(hit["path"])
-        if frontier.isEmpty():
-            return None
-        seen = seen.unionByName(frontier)
+            path = [target, hit["s"]["parent"]]
+            for level in reversed(levels[1:]):
+                path.append(level.filter(F.col("id") == path[-1]).first()["parent"])
+            path = path[::-1]
+            break
+        numbered = ranking.numbered(best, [F.col("s.place"), F.col("s.o")])
+        frontier = staged(numbered.select("id", "s.parent", "place"), "level")
+        levels.append(frontier)
+        seen = seen.unionByName(frontier.select("id"))
+    drop_staged(step, *levels)
+    return path
 
 
 def caller_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:

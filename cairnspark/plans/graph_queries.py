@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cairnspark.functions import paths as P
-from cairnspark.functions import scoring
-from cairnspark.operators import analysis, evaluation, traversal
+from cairnspark.functions import text
+from cairnspark.operators import analysis, build, compare, evaluation, resolution, search, traversal
+from cairnspark.sources import files, history
 from cairnspark.sources import tables as T
+from cairnspark.staging import staged
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -65,8 +70,8 @@ def scan_filter_language(s, d):
 
 @query("ignore_glob_filter", "SELECT id, file_path FROM g_nodes WHERE NOT regexp_matches(file_path, '^lib/[^/]*$') AND NOT regexp_matches(file_path, '^src/[A-C][^/]*\\.go$')")
 def ignore_glob_filter(s, d):
-    skip = [P.glob_regex(g) for g in ("lib/**",)]
-    return T.nodes(s, d).filter(~F.col("file_path").rlike("|".join(skip)) & ~F.col("file_path").rlike(r"^src/[A-C][^/]*\.go$")).select("id", "file_path")
+    skip = [P.glob_regex(g) for g in ("lib/**", "src/[A-C]*.{go,{js,ts}x}")]
+    return T.nodes(s, d).filter(~F.col("file_path").rlike("|".join(skip))).select("id", "file_path")
 
 
 @query("traversal_edges", "SELECT source, target, type, confidence FROM g_walk")
@@ -112,7 +117,7 @@ def hotspot_risk_tiers(s, d):
 @query("blast_radius_depth", "SELECT id, CAST(depth AS BIGINT) AS depth FROM g_depth")
 def blast_radius_depth(s, d):
     n, e = _graph(s, d)
-    return traversal.blast_radius(n, e, _seed(n, e)).select("id", F.col("depth").cast("long").alias("depth"))
+    return traversal.blast_radius(n, e, _seed(n, e), paths=False).select("id", F.col("depth").cast("long").alias("depth"))
 
 
 _AFFECTED = """, g_path AS (SELECT id, 0 AS depth, 'EXACT' AS confidence, [id] AS place FROM g_seed
@@ -134,7 +139,7 @@ def _affected(s, d):
 @query("blast_radius_confidence", _AFFECTED + "SELECT id, CAST(depth AS BIGINT) AS depth, confidence FROM g_first")
 def blast_radius_confidence(s, d):
     n, e = _graph(s, d)
-    return traversal.blast_radius(n, e, _seed(n, e)).select("id", F.col("depth").cast("long").alias("depth"), "confidence")
+    return traversal.blast_radius(n, e, _seed(n, e), paths=False).select("id", F.col("depth").cast("long").alias("depth"), "confidence")
 
 
 @query("impact_path", _AFFECTED + "SELECT id, array_to_string(list_transform(place, lambda x: CASE WHEN contains(x, chr(1)) THEN split_part(x, chr(1), 2) ELSE x END), ' -> ') AS path FROM g_first WHERE depth > 0")
@@ -164,33 +169,74 @@ def affected_by_risk(s, d):
     return _affected(s, d).groupBy("risk").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("top"))
 
 
-_PATHS = """, g_c AS (SELECT source, target FROM g_edges WHERE type = 'CALLS'), g_from AS (SELECT source AS id FROM g_c WHERE target = (SELECT id FROM g_seed) ORDER BY 1 LIMIT 1),
-g_sp AS (SELECT id, 0 AS n FROM g_from UNION SELECT target, n + 1 FROM g_sp JOIN g_c ON source = id WHERE n < 10)
-SELECT CAST(min(n) AS BIGINT) AS length FROM g_sp WHERE id = (SELECT id FROM g_seed)"""
+# The least customer that reaches the seed over a supplier: two calls, and none that goes straight there.
+_PATHS = """, g_c AS (SELECT source, target FROM g_edges WHERE type = 'CALLS'),
+g_from AS (SELECT min(a.source) AS id FROM g_c a JOIN g_c b ON a.target = b.source WHERE b.target = (SELECT id FROM g_seed) AND a.source NOT IN (SELECT source FROM g_c WHERE target = (SELECT id FROM g_seed))),
+g_ways AS (SELECT id, [id] AS path FROM {start} UNION ALL SELECT {to}, list_append(path, {to}) FROM g_ways JOIN g_c ON {at} = id WHERE len(path) < 3 AND NOT list_contains(path, {to}))
+SELECT array_to_string(path, ' -> ') AS path, CAST(len(path) - 1 AS BIGINT) AS length FROM g_ways WHERE id = (SELECT id FROM {end}) ORDER BY len(path), path LIMIT 1"""
 
 
-def _path_length(s, d, reverse):
+def _path(s, d, reverse):
     n, e = _graph(s, d)
+    n, e = staged(n, "nodes"), staged(e, "edges")
     seed = _seed(n, e).first()["id"]
-    caller = e.filter((F.col("type") == "CALLS") & (F.col("target") == seed)).agg(F.min("source")).first()[0]
-    path = traversal.shortest_path(e, *((seed, caller) if reverse else (caller, seed)), reverse=reverse)
-    return s.createDataFrame([(None if path is None else len(path) - 1,)], "length long")
+    calls = e.filter("type = 'CALLS'").select("source", "target")
+    direct = calls.filter(F.col("target") == seed).select("source")
+    over = calls.join(direct.withColumnRenamed("source", "target"), "target", "left_semi").join(direct, "source", "left_anti")
+    start = over.agg(F.min("source")).first()[0]
+    found = search.call_path(n, e, *((seed, start) if reverse else (start, seed)), reverse=reverse)
+    return s.createDataFrame([(" -> ".join(x["id"] for x in found.steps), found.length)], "path string, length long")
 
 
-@query("shortest_path_forward", _PATHS)
+@query("shortest_path_forward", _PATHS.format(start="g_from", at="source", to="target", end="g_seed"))
 def shortest_path_forward(s, d):
-    return _path_length(s, d, False)
+    return _path(s, d, False)
 
 
-@query("shortest_path_reverse", _PATHS)
+@query("shortest_path_reverse", _PATHS.format(start="g_seed", at="target", to="source", end="g_from"))
 def shortest_path_reverse(s, d):
-    return _path_length(s, d, True)
+    return _path(s, d, True)
+
 
+_ASKED = ["Supplier#000000001", "FRANCE.Supplier#000000001", "Supplier#00000001", "SMALL ring", "small ring", "Brand#2.small ring", "  ", "nobody"]
+_MATCHES = (
+    ", g_q AS (SELECT trim(unnest([" + ", ".join(f"'{q}'" for q in _ASKED) + "])) AS asked),\n"
+    + """g_p AS (SELECT asked, CASE WHEN contains(asked, '.') THEN regexp_replace(asked, '\\.[^.]*$', '') ELSE '' END AS owner, regexp_extract(asked, '[^.]*$') AS last FROM g_q WHERE asked <> ''),
+g_m AS (SELECT asked, id, package || '.' || name AS qualifier, CASE WHEN name = asked THEN 0 WHEN owner <> '' AND name = last AND (package = owner OR ends_with(package, '/' || owner)) THEN 1 WHEN starts_with(name, asked) THEN 2 WHEN contains(lower(name), lower(asked)) THEN 3 END AS tier FROM g_p JOIN g_nodes ON type = 'function')
+"""
+)
 
-@query("name_search_ranked", """SELECT id, name, CASE WHEN name = 'Supplier#000000007' THEN 'exact' WHEN package || '.' || name = 'Supplier#000000007' THEN 'qualified' WHEN starts_with(lower(name), 'supplier#000000007') AND lower(name) <> 'supplier#000000007' THEN 'prefix' ELSE 'substring' END AS match_type
-FROM g_nodes WHERE type = 'function' AND (contains(lower(name), 'supplier#000000007'))""")
+
+def _searched(s, d):
+    n = T.nodes(s, d)
+    each = [search.name_search(n, q).withColumn("asked", F.lit(q.strip())) for q in _ASKED]
+    return reduce(DataFrame.unionByName, each)
+
+
+@query("name_search_ranked", _MATCHES + "SELECT asked, id, qualifier, ['exact', 'qualified', 'prefix', 'substring'][tier + 1] AS match_type, row_number() OVER (PARTITION BY asked ORDER BY tier, id) AS place FROM g_m WHERE tier IS NOT NULL")
 def name_search_ranked(s, d):
-    return analysis.name_search(T.nodes(s, d), "Supplier#000000007")
+    order = Window.partitionBy("asked").orderBy("tier", "id")  # an answer's own order, over the functions that match
+    return _searched(s, d).select("asked", "id", "qualifier", "match_type", F.row_number().over(order).cast("long").alias("place"))
+
+
+@query("name_resolve_unique", _MATCHES + """, g_t AS (SELECT asked, count(*) AS matches, min(tier) AS best FROM g_m WHERE tier IS NOT NULL GROUP BY asked),
+g_u AS (SELECT g_t.asked, any_value(matches) AS matches, any_value(best) AS best, count(*) AS n, min(id) AS id FROM g_t JOIN g_m ON g_m.asked = g_t.asked AND tier = best GROUP BY g_t.asked)
+SELECT g_q.asked, CASE WHEN matches = 1 OR (n = 1 AND best <= 1) THEN id END AS id, coalesce(matches, 0) AS matches FROM g_q LEFT JOIN g_u USING (asked)""")
+def name_resolve_unique(s, d):
+    n = T.nodes(s, d)
+    one = [search.unique_name(search.name_search(n, q)).select(F.lit(q.strip()).alias("asked"), "id", "matches") for q in _ASKED]
+    return reduce(DataFrame.unionByName, one)
+
+
+@query("node_neighbours", "SELECT DISTINCT 'caller' AS direction, n.id, n.name, file_path FROM g_edges e JOIN g_nodes n ON n.id = source WHERE e.type = 'CALLS' AND target = (SELECT id FROM g_seed) UNION ALL SELECT DISTINCT 'callee', n.id, n.name, file_path FROM g_edges e JOIN g_nodes n ON n.id = target WHERE e.type = 'CALLS' AND source = (SELECT id FROM g_seed)")
+def node_neighbours(s, d):
+    n, e = _graph(s, d)
+    return search.neighbours(n, e, _seed(n, e).first()["id"])
+
+
+@query("call_adjacency", "SELECT id, array_to_string(list_sort(list(DISTINCT caller) FILTER (caller IS NOT NULL)), ' ') AS callers, array_to_string(list_sort(list(DISTINCT callee) FILTER (callee IS NOT NULL)), ' ') AS callees FROM (SELECT target AS id, source AS caller, NULL AS callee FROM g_edges WHERE type = 'CALLS' UNION ALL SELECT source, NULL, target FROM g_edges WHERE type = 'CALLS') GROUP BY id")
+def call_adjacency(s, d):
+    return search.adjacency(T.edges(s, d)).select("id", F.nullif(F.array_join("callers", " "), F.lit("")).alias("callers"), F.nullif(F.array_join("callees", " "), F.lit("")).alias("callees"))
 
 
 @query("graph_stats", "SELECT 'node:' || type AS key, count(*) AS n FROM g_nodes GROUP BY type UNION ALL SELECT 'edge:' || type, count(*) FROM g_edges GROUP BY type UNION ALL SELECT 'language:' || language, count(*) FROM g_nodes WHERE language <> '' GROUP BY language")
@@ -200,62 +246,86 @@ def graph_stats(s, d):
     return keys.filter("key != 'language:'").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-_SIG = """, g_sig AS (SELECT id, type || ':' || file_path || ':' || name AS sig FROM g_nodes),
-g_es AS (SELECT DISTINCT e.confidence, a.sig || ' -> ' || b.sig || ' [' || e.type || ']' AS sig FROM g_edges e JOIN g_sig a ON a.id = source JOIN g_sig b ON b.id = target),
-g_a AS (SELECT DISTINCT sig FROM g_es), g_b AS (SELECT DISTINCT sig FROM g_es WHERE confidence = 'EXACT' UNION SELECT 'extra:' || sig FROM g_es WHERE sig LIKE '%[IMPORTS]')
+# Two graphs of one: the base; and the candidate, without guesses and without customers, whose imports point at other files.
+_SIG = """, g_known AS (SELECT *, type || ':' || file_path || ':' || name AS sig, regexp_replace(file_path, '/[^/]*$', '') AS dir FROM (SELECT id, type, name, file_path, language FROM g_nodes UNION ALL SELECT 'f:' || n_nationkey, 'file', n_name || '.go', 'src/' || n_name || '.go', 'go' FROM nation)),
+g_links AS (SELECT source, target, type, confidence FROM g_edges UNION ALL SELECT 'f:' || a.n_nationkey, 'f:' || b.n_nationkey, 'IMPORTS', CASE WHEN b.n_nationkey % 2 = 0 THEN 'EXACT' ELSE 'HEURISTIC' END FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey),
+g_es AS (SELECT e.confidence, a.id AS sid, b.id AS tid, a.sig || ' -> ' || CASE WHEN e.type = 'IMPORTS' AND a.type = 'file' AND b.type = 'file' AND a.language = 'go' AND b.language = 'go' THEN 'file:' || b.dir || ':' || regexp_extract(b.dir, '[^/]*$') ELSE b.sig END || ' [' || e.type || ']' AS sig FROM g_links e JOIN g_known a ON a.id = source JOIN g_known b ON b.id = target),
+g_a AS (SELECT DISTINCT 'node' AS kind, sig FROM g_known UNION SELECT DISTINCT 'edge', sig FROM g_es),
+g_b AS (SELECT DISTINCT 'node' AS kind, replace(sig, 'small ', 'SMALL ') AS sig FROM g_known WHERE id NOT LIKE 'c:%' UNION SELECT DISTINCT 'edge', replace(sig, 'small ', 'SMALL ') FROM g_es WHERE confidence = 'EXACT' AND sid NOT LIKE 'c:%' AND tid NOT LIKE 'c:%')
 """
 
 
-def _two(s, d):
+def _sides(s, d):
+    """The two graphs, compared; staged, since counts and examples both read it."""
     n, e = _graph(s, d)
-    base = analysis.edge_signatures(n, e)
-    exact = analysis.edge_signatures(n, e.filter("confidence = 'EXACT'"))
-    return base, exact.unionByName(base.filter(F.col("sig").endswith("[IMPORTS]")).select(F.concat(F.lit("extra:"), "sig").alias("sig"))).distinct()
-
-
-@query("graph_shared", _SIG + "SELECT sig FROM g_a INTERSECT SELECT sig FROM g_b")
+    nation = T.table(s, d, "nation").select("n_nationkey", "n_regionkey", "n_name")
+    file = lambda k: F.concat(F.lit("f:"), k)
+    name = F.concat("n_name", F.lit(".go"))
+    files = nation.select(file(F.col("n_nationkey")).alias("id"), F.lit("file").alias("type"), name.alias("name"), F.concat(F.lit("src/"), name).alias("file_path"), F.lit("go").alias("language"))
+    n = n.select("id", "type", "name", "file_path", "language").unionByName(files)
+    other = nation.select(F.col("n_nationkey").alias("m"), "n_regionkey")
+    pairs = nation.join(other, "n_regionkey").filter("n_nationkey != m")
+    sure = F.when(F.col("m") % 2 == 0, "EXACT").otherwise("HEURISTIC")
+    e = e.unionByName(pairs.select(file(F.col("n_nationkey")).alias("source"), file(F.col("m")).alias("target"), F.lit("IMPORTS").alias("type"), sure.alias("confidence")))
+    n, e = staged(n, "nodes"), staged(e, "edges")
+    some = n.filter("id NOT LIKE 'c:%'").withColumn("name", F.replace("name", F.lit("small "), F.lit("SMALL ")))
+    return staged(compare.sides(compare.signatures(n, e), compare.signatures(some, e.filter("confidence = 'EXACT'"))), "sides")
+
+
+@query("graph_shared", _SIG + "SELECT * FROM g_a INTERSECT SELECT * FROM g_b")
 def graph_shared(s, d):
-    a, b = _two(s, d)
-    return a.intersect(b)
+    return _sides(s, d).filter("side = 'shared'").drop("side")
 
 
-@query("graph_missing", _SIG + "SELECT sig FROM g_a EXCEPT SELECT sig FROM g_b")
+@query("graph_missing", _SIG + "SELECT * FROM g_a EXCEPT SELECT * FROM g_b")
 def graph_missing(s, d):
-    a, b = _two(s, d)
-    return a.subtract(b)
+    return _sides(s, d).filter("side = 'missing'").drop("side")
 
 
-@query("graph_extra", _SIG + "SELECT sig FROM g_b EXCEPT SELECT sig FROM g_a")
+@query("graph_extra", _SIG + "SELECT * FROM g_b EXCEPT SELECT * FROM g_a")
 def graph_extra(s, d):
-    a, b = _two(s, d)
-    return b.subtract(a)
+    return _sides(s, d).filter("side = 'extra'").drop("side")
 
 
-@query("graph_compare_counts", _SIG + "SELECT (SELECT count(*) FROM (SELECT sig FROM g_a EXCEPT SELECT sig FROM g_b)) AS missing, (SELECT count(*) FROM (SELECT sig FROM g_b EXCEPT SELECT sig FROM g_a)) AS extra, (SELECT count(*) FROM (SELECT sig FROM g_a INTERSECT SELECT sig FROM g_b)) AS shared")
+@query("graph_examples", _SIG + "SELECT sig FROM (SELECT * FROM g_a EXCEPT SELECT * FROM g_b) WHERE kind = 'edge' ORDER BY sig LIMIT 25")
+def graph_examples(s, d):
+    return compare.examples(_sides(s, d), "missing", "edge", 25)
+
+
+@query("graph_compare_counts", _SIG + """, g_n AS (SELECT kind, count(*) FILTER (k = 1) AS missing, count(*) FILTER (k = 2) AS extra, count(*) FILTER (k = 3) AS shared FROM (SELECT kind, sig, sum(k) AS k FROM (SELECT *, 1 AS k FROM g_a UNION ALL SELECT *, 2 FROM g_b) GROUP BY kind, sig) GROUP BY kind)
+SELECT kind, missing + shared AS base, extra + shared AS candidate, shared, missing, extra FROM g_n""")
 def graph_compare_counts(s, d):
-    return analysis.compare(*_two(s, d))
+    return compare.counts(_sides(s, d))
 
 
 @query("arch_rollup", "SELECT package, count(DISTINCT file_path) AS files, count(*) AS functions FROM g_nodes WHERE type = 'function' GROUP BY package")
 def arch_rollup(s, d):
-    return analysis.package_rollup(*_graph(s, d))[0]
+    return analysis.roll_up(*_graph(s, d))[0]
 
 
 @query("arch_links", "SELECT DISTINCT a.package AS from_group, b.package AS to_group FROM g_edges e JOIN g_nodes a ON a.id = source JOIN g_nodes b ON b.id = target WHERE e.type = 'CALLS' AND a.package <> b.package")
 def arch_links(s, d):
-    return analysis.package_rollup(*_graph(s, d))[1]
+    return analysis.roll_up(*_graph(s, d))[1]
 
 
 @query("module_rollup", "SELECT DISTINCT a.file_path AS from_group, b.file_path AS to_group FROM g_edges e JOIN g_nodes a ON a.id = source JOIN g_nodes b ON b.id = target WHERE e.type = 'CALLS' AND a.file_path <> b.file_path")
 def module_rollup(s, d):
-    return analysis.package_rollup(*_graph(s, d), grain="file_path")[1]
+    return analysis.roll_up(*_graph(s, d), grain="file_path")[1]
 
 
 @query("function_view", "SELECT n.id, coalesce(inbound, 0)::BIGINT AS inbound, CASE WHEN coalesce(inbound, 0) >= 10 THEN 'HIGH' WHEN coalesce(inbound, 0) >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM g_nodes n LEFT JOIN g_degree USING (id) WHERE n.type = 'function' AND n.language = 'go'")
 def function_view(s, d):
-    n, e = _graph(s, d)
-    c = traversal.caller_counts(n, e).select(F.col("target").alias("id"), F.col("callers").alias("inbound"))
-    return n.filter("type = 'function' AND language = 'go'").join(c, "id", "left").select("id", F.coalesce("inbound", F.lit(0).cast("long")).alias("inbound")).withColumn("risk", scoring.hotspot_risk(F.col("inbound")))
+    return analysis.function_view(*_graph(s, d), F.col("language") == "go")[0]
+
+
+@query("function_view_links", "SELECT DISTINCT source, target FROM g_edges e JOIN g_nodes a ON a.id = source JOIN g_nodes b ON b.id = target WHERE e.type = 'CALLS' AND a.type = 'function' AND b.type = 'function' AND a.language IN ('go', 'python') AND b.language IN ('go', 'python')")
+def function_view_links(s, d):
+    return analysis.function_view(*_graph(s, d), F.col("language").isin("go", "python"))[1]
+
+
+@query("module_nodes", "SELECT file_path, count(DISTINCT file_path) AS files, count(*) AS functions FROM g_nodes WHERE type = 'function' GROUP BY file_path")
+def module_nodes(s, d):
+    return analysis.roll_up(*_graph(s, d), grain="file_path")[0]
 
 
 _DIFF = """, g_diff AS (SELECT 'src/' || n_name || '.go' AS path, CAST(n_nationkey * 37 AS BIGINT) AS lo, CAST(n_nationkey * 37 + 25 AS BIGINT) AS hi, n_nationkey % 7 = 0 AS is_new FROM nation)
@@ -291,31 +361,34 @@ def path_suffix_match(s, d):
     return analysis.best_match(q.join(keyed, "diff_path")).select("diff_path", "path")
 
 
-@query("call_resolution", """, w AS (SELECT DISTINCT l_partkey % 50 AS k, p_brand AS brand, p_name AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 49),
+@query("call_resolution", """, w AS (SELECT DISTINCT l_partkey % 50 AS k, p_brand AS brand, p_name AS name FROM lineitem JOIN part ON l_partkey = p_partkey),
 t AS (SELECT w.k, w.brand, w.name, 1 AS tier, 'p:' || p_partkey AS id, 'EXACT' AS confidence FROM w JOIN part p ON p.p_name = w.name AND p.p_brand = w.brand AND p.p_size >= 40
   UNION ALL SELECT w.k, w.brand, w.name, 2, 'p:' || p_partkey, 'EXACT' FROM w JOIN part p ON p.p_name = w.name AND p.p_brand = w.brand
   UNION ALL SELECT w.k, w.brand, w.name, 3, 'p:' || p_partkey, 'HEURISTIC' FROM w JOIN part p ON p.p_name = w.name),
 g AS (SELECT k, brand, name, tier, count(DISTINCT id) AS n, min(id) AS id, min(confidence) AS c, row_number() OVER (PARTITION BY k, brand, name ORDER BY tier) AS r FROM t GROUP BY k, brand, name, tier)
 SELECT k, brand, name, CAST(tier AS BIGINT) AS tier, CASE WHEN n = 1 THEN id END AS id, CASE WHEN n = 1 THEN c ELSE 'AMBIGUOUS' END AS status FROM g WHERE r = 1""")
 def call_resolution(s, d):
-    part = T.table(s, d, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    line = T.table(s, d, "lineitem").filter("l_quantity >= 49").select("l_partkey")
-    w = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select((F.col("l_partkey") % 50).alias("k"), F.col("p_brand").alias("brand"), F.col("p_name").alias("name")).distinct()
-    found = w.join(part, F.col("name") == F.col("p_name")).select("k", "brand", "name", F.concat(F.lit("p:"), "p_partkey").alias("id"), (F.col("p_brand") == F.col("brand")).alias("near"), (F.col("p_size") >= 40).alias("big"))
-    tier = lambda df, n, c: df.select("k", "brand", "name", F.lit(n).cast("long").alias("tier"), "id", F.lit(c).alias("confidence"))
-    all_ = tier(found.filter("near AND big"), 1, "EXACT").unionByName(tier(found.filter("near"), 2, "EXACT")).unionByName(tier(found, 3, "HEURISTIC"))
-    return analysis.resolve_tiers(all_, ["k", "brand", "name"])
+    """Sites ask for one key a tier of definitions that are aggregated per key, as build.call_sites does for parsed files."""
+    part = T.table(s, d, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), "p_size", F.concat(F.lit("p:"), "p_partkey").alias("id"))
+    line = T.table(s, d, "lineitem").select("l_partkey")
+    sites = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select((F.col("l_partkey") % 50).alias("k"), "brand", "name").distinct()
+    big, near, far = (F.concat_ws("\u0001", F.lit(x), *cols) for x, cols in (("big", ("brand", "name")), ("near", ("brand", "name")), ("far", ("name",))))
+    keys = part.select("id", F.explode(F.array_compact(F.array(F.when(F.col("p_size") >= 40, big), near, far))).alias("key")).groupBy("key").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id"))
+    tiers = F.array(*(F.struct(F.lit(i).cast("long").alias("tier"), key.alias("key"), F.lit(c).alias("confidence")) for i, (key, c) in enumerate(((big, "EXACT"), (near, "EXACT"), (far, "HEURISTIC")), 1)))
+    asked = sites.select("k", "brand", "name", F.explode(tiers).alias("t")).select("k", "brand", "name", "t.*")
+    return analysis.first_tier(asked.join(keys, "key"), ["k", "brand", "name"])
 
 
 @query("owners_last_match", "SELECT url AS path, CASE WHEN regexp_matches(url, '[13579]$') THEN '@odd' WHEN regexp_matches(url, '^https') THEN '@web' END AS owner FROM pages", graph=False)
 def owners_last_match(s, d):
-    return analysis.last_match(T.table(s, d, "pages").select(F.col("url").alias("path")), [("^https", "@web"), ("[13579]$", "@odd")])
+    rules = [("^https", F.lit("@web")), ("[13579]$", F.lit("@odd"))]
+    return T.table(s, d, "pages").select(F.col("url").alias("path"), analysis.last_match(F.col("url"), rules).alias("owner"))
 
 
 @query("reviewer_rollup", "SELECT owner, count(*) AS files FROM (SELECT CASE WHEN regexp_matches(url, '[13579]$') THEN '@odd' ELSE '@web' END AS owner FROM pages) GROUP BY owner", graph=False)
 def reviewer_rollup(s, d):
-    p = analysis.last_match(T.table(s, d, "pages").select(F.col("url").alias("path")), [(".*", "@web"), ("[13579]$", "@odd")])
-    return p.groupBy("owner").agg(F.count(F.lit(1)).alias("files"))
+    rules = [(".*", F.lit("@web")), ("[13579]$", F.lit("@odd"))]
+    return T.table(s, d, "pages").select(analysis.last_match(F.col("url"), rules).alias("owner")).groupBy("owner").agg(F.count(F.lit(1)).alias("files"))
 
 
 _COMMITS = "WITH c AS (SELECT event_id AS sha, epoch_us(ts) AS t, user_id AS file, event_type = 'error' AS fix, value AS churn, CAST(json_extract(props, '$.k') AS BIGINT) AS ladder FROM events) "
@@ -327,19 +400,65 @@ def hotfix_label(s, d):
     return evaluation.hot_fixed(T.commits(s, d), _SIX_HOURS)
 
 
-@query("commit_features", _COMMITS + "SELECT file, count(*) AS commits, max(ladder) AS top, sum(ladder)::BIGINT AS total, count(*) FILTER (fix) AS fixes FROM c GROUP BY file", graph=False)
+@query("commit_features", _COMMITS + ", x AS (SELECT file AS sha, ladder AS score, sha % 7 AS callers FROM c WHERE fix) SELECT f.file AS sha, coalesce(max(score), 0)::BIGINT AS ladder, coalesce(sum(score), 0)::BIGINT AS ladder_sum, coalesce(max(callers), 0)::BIGINT AS max_fan_in, count(score) AS affected FROM (SELECT DISTINCT file FROM c) f LEFT JOIN x ON x.sha = f.file GROUP BY f.file", graph=False)
 def commit_features(s, d):
-    return T.commits(s, d).groupBy("file").agg(F.count(F.lit(1)).alias("commits"), F.max("ladder").alias("top"), F.sum("ladder").alias("total"), F.count_if("fix").alias("fixes"))
+    c = T.commits(s, d)
+    hit = c.filter("fix").select(F.col("file").alias("sha"), F.col("ladder").alias("score"), (F.col("sha") % 7).alias("callers"))
+    return evaluation.commit_features(hit, c.select(F.col("file").alias("sha")).distinct())
+
 
+_NUMSTAT = "WITH l AS (SELECT 'o' || l_orderkey AS sha, 'src/p' || l_partkey || '.go' AS file, CASE WHEN l_returnflag = 'R' THEN 0 ELSE CAST(l_quantity AS BIGINT) + l_linenumber END AS n FROM lineitem) "
 
-@query("churn_sum", _COMMITS + "SELECT file, round(sum(churn), 4) AS churn FROM c GROUP BY file", graph=False)
+
+def _numstat(s, d):
+    """A commit an order, a line of its numstat a line item; those with the flag R are binary."""
+    line = T.table(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", F.col("l_quantity").cast("long").alias("q"), "l_linenumber")
+    binary = F.col("l_returnflag") == "R"
+    n = lambda c: F.when(binary, F.lit("-")).otherwise(F.col(c).cast("string"))
+    text = F.concat_ws("\t", n("q"), n("l_linenumber"), F.concat(F.lit("src/p"), "l_partkey", F.lit(".go")))
+    return line.groupBy(F.concat(F.lit("o"), "l_orderkey").alias("sha")).agg(F.array_join(F.collect_list(text), "\n").alias("value"))
+
+
+@query("churn_sum", _NUMSTAT + "SELECT sha, CAST(sum(n) AS BIGINT) AS churn, count(*) AS files FROM l GROUP BY sha", graph=False)
 def churn_sum(s, d):
-    return T.commits(s, d).groupBy("file").agg(F.round(F.sum("churn"), 4).alias("churn"))
+    return history.churn(_numstat(s, d))
+
+
+@query("changed_files", _NUMSTAT + "SELECT DISTINCT sha, file FROM l", graph=False)
+def changed_files(s, d):
+    return history.changed_files(_numstat(s, d))
+
+
+_AUTHORS = "WITH a AS (SELECT 'f' || user_id AS path, arg_max(event_type, (t, event_type)) AS last_author, max(t) AS last_modified FROM (SELECT *, epoch_us(ts) // 1000000 AS t FROM events) GROUP BY user_id)"
+
 
+def _authors(s, d):
+    e = T.table(s, d, "events")
+    second = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 10**6)
+    return history.last_authors(e.select(F.concat(F.lit("f"), "user_id").alias("path"), F.col("event_type").alias("author"), F.lit("x@y").alias("email"), second.alias("unix_time")))
 
-@query("last_author", "SELECT user_id AS file, arg_max(event_type, (ts, event_id)) AS author FROM events GROUP BY user_id", graph=False)
+
+@query("last_author", _AUTHORS + " SELECT path, last_author, last_modified FROM a", graph=False)
 def last_author(s, d):
-    return T.table(s, d, "events").groupBy(F.col("user_id").alias("file")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("author"))
+    return _authors(s, d).select("path", "last_author", "last_modified")
+
+
+@query("author_enrichment", _AUTHORS + " SELECT p_partkey, a.last_author FROM part LEFT JOIN a ON path = 'f' || (p_partkey % 400)", graph=False)
+def author_enrichment(s, d):
+    rows = T.table(s, d, "part").select("p_partkey", F.concat(F.lit("f"), F.col("p_partkey") % 400).alias("file_path"))
+    return history.with_authors(rows, _authors(s, d)).select("p_partkey", "last_author")
+
+
+def _age(unit: int, word: str) -> str:
+    return f"(d // {unit}) || ' {word}' || CASE WHEN d // {unit} = 1 THEN '' ELSE 's' END || ' ago'"
+
+
+@query("relative_times", f"""SELECT event_id, CASE WHEN d < 60 THEN 'just now' WHEN d < 3600 THEN {_age(60, 'minute')} WHEN d < 86400 THEN {_age(3600, 'hour')} WHEN d < 2592000 THEN {_age(86400, 'day')}
+  WHEN d < 31536000 THEN {_age(2592000, 'month')} ELSE {_age(31536000, 'year')} END AS age FROM (SELECT event_id, event_id * event_id * 7 AS d FROM events)""", graph=False)
+def relative_times(s, d):
+    now = 10**13
+    then = F.lit(now) - F.col("event_id") * F.col("event_id") * 7
+    return T.table(s, d, "events").select("event_id", text.relative_time(then, F.lit(now)).alias("age"))
 
 
 _LABELS = "WITH x AS (SELECT doc_id, n_chars AS score, quality AS label FROM documents JOIN labels USING (doc_id)) "
@@ -369,12 +488,13 @@ def content_hash_ids(s, d):
     return T.table(s, d, "pages").select("url", P.short_id("file", F.col("url")).alias("id"), F.sha2("html", 256).alias("content_hash"))
 
 
-@query("incremental_split", "SELECT CASE WHEN page_id % 3 = 0 THEN 'fresh' ELSE 'cached' END AS state, count(*) AS n FROM pages GROUP BY 1", graph=False)
+@query("incremental_split", "SELECT url AS file_path, CASE WHEN page_id % 3 <> 0 AND page_id % 5 <> 0 THEN 'cached' ELSE 'fresh' END AS state FROM pages", graph=False)
 def incremental_split(s, d):
-    now = T.table(s, d, "pages").select("url", F.sha2("html", 256).alias("hash"))
-    cache = T.table(s, d, "pages").filter("page_id % 3 != 0").select("url", F.sha2("html", 256).alias("hash"))
-    fresh = now.join(cache, ["url", "hash"], "left_anti").select(F.lit("fresh").alias("state"))
-    return fresh.unionByName(now.join(cache, ["url", "hash"], "left_semi").select(F.lit("cached").alias("state"))).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    """Cached are two of three pages; of those every fifth has changed since."""
+    p = T.table(s, d, "pages").select("page_id", F.col("url").alias("file_path"), F.col("html").cast("binary").alias("content"))
+    old = F.when(F.col("page_id") % 5 == 0, F.lit("changed")).otherwise(F.sha2("content", 256))
+    fresh, kept = files.split_cached(p.select("file_path", "content"), p.filter("page_id % 3 != 0").select("file_path", old.alias("content_hash")))
+    return fresh.select("file_path", F.lit("fresh").alias("state")).unionByName(kept.select("file_path", F.lit("cached").alias("state")))
 
 
 @query("import_edge_dedup", "SELECT DISTINCT source, target FROM g_edges WHERE type = 'IMPORTS'")
@@ -382,9 +502,102 @@ def import_edge_dedup(s, d):
     return T.edges(s, d).filter("type = 'IMPORTS'").select("source", "target").distinct()
 
 
-@query("resolution_stats", "SELECT confidence AS status, count(*) AS n FROM g_sites GROUP BY confidence")
+# Parsed files made of the tables: Go files of suppliers, TypeScript files of parts (every other one a method of its type). Functions
+# are declared from the last line up and overlap. Each line item is a call of its part from its supplier's file, by receiver for odd
+# lines; each part calls the next part, each supplier the next supplier, in its own file.
+_CALLS = """WITH f AS (SELECT 'src/' || n_name || '.go' AS file_path, 'go' AS language, s_name AS name, '' AS receiver, s_suppkey * 10 + 1 AS lo, s_suppkey * 10 + 25 AS hi, -s_suppkey AS ord FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL SELECT 'lib/' || p_brand || '.ts', 'typescript', p_name, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE '' END, p_partkey * 10 + 1, p_partkey * 10 + 25, -p_partkey FROM part),
+fn AS (SELECT *, 'func:' || left(sha256(file_path || ':' || receiver || ':' || name || ':' || lo), 16) AS id FROM f),
+c AS (SELECT 'src/' || n_name || '.go' AS file_path, 'go' AS language, p_name AS name, CASE WHEN l_linenumber % 2 = 1 THEN p_type ELSE '' END AS receiver, l_suppkey * 10 + 3 AS line FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL SELECT 'lib/' || a.p_brand || '.ts', 'typescript', b.p_name, CASE WHEN a.p_size % 3 = 0 THEN b.p_type ELSE '' END, a.p_partkey * 10 + 5 FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1
+  UNION ALL SELECT 'src/' || n_name || '.go', 'go', b.s_name, '', a.s_suppkey * 10 + 5 FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1 JOIN nation ON a.s_nationkey = n_nationkey),
+k AS (SELECT DISTINCT file_path, name, receiver FROM c),
+t AS (SELECT k.*, 1 AS tier, id, 'HEURISTIC' AS conf FROM k JOIN fn ON fn.name = k.name AND fn.receiver = k.receiver AND fn.language <> 'go' WHERE k.receiver <> ''
+  UNION ALL SELECT k.*, 2, id, CASE WHEN k.receiver = '' THEN 'EXACT' ELSE 'HEURISTIC' END FROM k JOIN fn ON fn.name = k.name AND fn.file_path = k.file_path
+  UNION ALL SELECT k.*, 3, id, 'HEURISTIC' FROM k JOIN fn ON fn.name = k.name),
+p AS (SELECT file_path, name, receiver, tier, count(DISTINCT id) AS n, min(id) AS id, min(conf) AS conf, row_number() OVER (PARTITION BY file_path, name, receiver ORDER BY tier) AS r FROM t GROUP BY file_path, name, receiver, tier),
+z AS (SELECT c.*, CASE WHEN p.n IS NULL THEN 'UNRESOLVED' WHEN p.n > 1 THEN 'AMBIGUOUS' ELSE conf END AS status, CASE WHEN p.n = 1 THEN id END AS target FROM c LEFT JOIN p ON p.file_path = c.file_path AND p.name = c.name AND p.receiver = c.receiver AND p.r = 1)
+"""
+
+
+def _parsed(s, d):
+    """The files of _CALLS as sources.files.parse gives them."""
+    nation = T.table(s, d, "nation").select("n_nationkey", F.concat(F.lit("src/"), "n_name", F.lit(".go")).alias("file_path"))
+    supplier = T.table(s, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("file_path", F.col("s_suppkey").cast("long").alias("key"), F.col("s_name").alias("name"))
+    part = T.table(s, d, "part").select(F.concat(F.lit("lib/"), "p_brand", F.lit(".ts")).alias("file_path"), F.col("p_partkey").cast("long").alias("key"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"), "p_size")
+    none, no = F.lit(""), F.lit(False)
+    function = lambda receiver: F.struct((-F.col("key")).alias("o"), F.col("name").alias("name"), (F.col("key") * 10 + 1).alias("start_line"), (F.col("key") * 10 + 25).alias("end_line"), receiver.alias("receiver"), no.alias("is_export"), no.alias("is_init"))
+    call = lambda name, line, receiver: F.struct(name.alias("name"), line.alias("line"), receiver.alias("receiver"), none.alias("receiver_type"))
+    made = supplier.select("file_path", function(none).alias("f")).unionByName(part.select("file_path", function(F.when(F.col("key") % 2 == 0, F.col("kind")).otherwise("")).alias("f")))
+    line = T.table(s, d, "lineitem").select(F.col("l_partkey").cast("long").alias("p"), F.col("l_suppkey").cast("long").alias("key"), "l_linenumber")
+    asked = part.select(F.col("key").alias("p"), F.col("name").alias("callee"), "kind")
+    a = line.join(asked, "p").join(supplier, "key").select("file_path", call(F.col("callee"), F.col("key") * 10 + 3, F.when(F.col("l_linenumber") % 2 == 1, F.col("kind")).otherwise("")).alias("c"))
+    after = lambda df, *more: df.select((F.col("key") - 1).alias("key"), F.col("name").alias("callee"), *more)
+    b = part.drop("kind").join(after(part, "kind"), "key").select("file_path", call(F.col("callee"), F.col("key") * 10 + 5, F.when(F.col("p_size") % 3 == 0, F.col("kind")).otherwise("")).alias("c"))
+    e = supplier.join(after(supplier), "key").select("file_path", call(F.col("callee"), F.col("key") * 10 + 5, none).alias("c"))
+    called = a.unionByName(b).unionByName(e).groupBy("file_path").agg(F.collect_list("c").alias("calls"))
+    out = made.groupBy("file_path").agg(F.sort_array(F.collect_list("f")).alias("functions")).join(called, "file_path", "left")
+    go = F.col("file_path").endswith(".go")
+    package = F.when(go, F.regexp_extract("file_path", r"^src/(.*)\.go$", 1)).otherwise("")
+    return out.withColumns({"language": F.when(go, "go").otherwise("typescript"), "package": package, "is_test_file": no, "functions": F.transform("functions", lambda f: f.dropFields("o"))})
+
+
+def _sites(s, d):
+    parsed = staged(_parsed(s, d), "parsed")
+    bound = s.createDataFrame([], "file_path string, alias string, path string, symbol string, target string, line long")
+    return parsed, staged(build.call_sites(parsed, bound), "sites")
+
+
+@query("call_waterfall", _CALLS + "SELECT file_path, name, line, status, target, count(*) AS n FROM z GROUP BY ALL", graph=False)
+def call_waterfall(s, d):
+    return _sites(s, d)[1].groupBy("file_path", "name", "line", "status", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("built_call_edges", _CALLS + """, h AS (SELECT z.file_path, z.line, z.target, z.status, arg_min(fn.id, fn.ord) AS fid FROM z LEFT JOIN fn ON fn.file_path = z.file_path AND z.line BETWEEN fn.lo AND fn.hi WHERE z.target IS NOT NULL GROUP BY ALL)
+SELECT coalesce(fid, 'file:' || left(sha256(file_path), 16)) AS source, target, min(status) AS confidence FROM h GROUP BY ALL""", graph=False)
+def built_call_edges(s, d):
+    return build.callers(*_sites(s, d)).groupBy("source", "target").agg(F.min("confidence").alias("confidence"))
+
+
+@query("resolution_stats", _CALLS + ", x AS (SELECT 'call' AS kind, status FROM z UNION ALL SELECT 'inheritance', status FROM z WHERE language = 'typescript') SELECT " + ", ".join(f"count(*) FILTER (kind = '{k}' AND status = '{v}') AS {k}_{v.lower()}" for k in ("call", "inheritance") for v in ("EXACT", "HEURISTIC", "AMBIGUOUS", "UNRESOLVED")) + " FROM x", graph=False)
 def resolution_stats(s, d):
-    return T.call_sites(s, d).groupBy(F.col("confidence").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    sites = _sites(s, d)[1]
+    kin = sites.filter("file_path LIKE '%.ts'").select(F.lit("inheritance").alias("kind"), "status")
+    return build.resolution_stats(sites.select(F.lit("call").alias("kind"), "status").unionByName(kin))
+
+
+@query("enclosing_function", _CALLS + "SELECT c.file_path, c.line, c.name, arg_min(fn.id, fn.ord) AS id FROM (SELECT DISTINCT file_path, line, name FROM c) c JOIN fn ON fn.file_path = c.file_path AND c.line BETWEEN fn.lo AND fn.hi GROUP BY ALL", graph=False)
+def enclosing_function(s, d):
+    parsed, sites = _sites(s, d)
+    f = build.functions(parsed).select("file_path", "ord", "start_line", "end_line", "id")
+    held = resolution.holding(sites.select("file_path", "line", "name").distinct(), f)
+    return held.groupBy("file_path", "line", "name").agg(F.min_by("id", "ord").alias("id"))
+
+
+@query("resolution_issues", _CALLS + "SELECT file_path, line, name, status FROM z WHERE status IN ('AMBIGUOUS', 'UNRESOLVED') ORDER BY file_path, line, name, status LIMIT 200", graph=False)
+def resolution_issues(s, d):
+    """The first 200 issues in a total order: the cap is the feature of this log."""
+    sites = _sites(s, d)[1].withColumn("kind", F.lit("call"))
+    return build.resolution_issues(sites).select("file_path", "line", "name", "status")
+
+
+@query("file_metadata", _CALLS + "SELECT file_path, language, count(*) AS node_count FROM fn GROUP BY file_path, language", graph=False)
+def file_metadata(s, d):
+    parsed = _parsed(s, d).withColumns({"content_hash": F.sha2("file_path", 256), "classes": F.expr("cast(array() as array<string>)")})
+    return build.file_metadata(parsed).select("file_path", "language", "node_count")
+
+
+@query("package_paths", "SELECT file_path, CASE WHEN file_path LIKE 'src/%' OR file_path LIKE 'lib/%' THEN split_part(file_path, '/', 1) ELSE 'x/' || split_part(file_path, '/', 2) END AS package FROM (SELECT DISTINCT file_path FROM g_nodes)")
+def package_paths(s, d):
+    return T.nodes(s, d).select("file_path").distinct().select("file_path", text.package_path(F.col("file_path")).alias("package"))
+
+
+@query("import_names", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN replace(p_name, ' ', '_') WHEN 1 THEN replace(p_name, ' ', '_') ELSE p_brand END AS name FROM part", graph=False)
+def import_names(s, d):
+    word, kind = F.replace("p_name", F.lit(" "), F.lit("_")), F.col("p_partkey") % 3
+    path = F.when(kind == 0, F.concat(F.lit("example.com/x/"), word)).when(kind == 1, F.concat(F.lit("../../lib/"), word, F.lit(".tsx"))).otherwise(F.concat(F.lit("..pkg."), "p_brand"))
+    lang = F.when(kind == 0, "go").when(kind == 1, "typescript").otherwise("python")
+    return T.table(s, d, "part").select("p_partkey", text.import_name(path, lang).alias("name"))
 
 
 @query("package_representative", "SELECT package, min(id) AS id FROM g_nodes WHERE NOT is_test GROUP BY package")
@@ -395,10 +608,3 @@ def package_representative(s, d):
 @query("node_merge_bounds", "SELECT file_path, min(start_line) FILTER (start_line > 0) AS lo, max(end_line) AS hi FROM g_nodes GROUP BY file_path")
 def node_merge_bounds(s, d):
     return T.nodes(s, d).groupBy("file_path").agg(F.min(F.when(F.col("start_line") > 0, F.col("start_line"))).alias("lo"), F.max("end_line").alias("hi"))
-
-
-@query("enclosing_function", ", q AS (SELECT n_name, CAST(n_nationkey * 41 AS BIGINT) AS line FROM nation) SELECT n_name, line, coalesce(min(id), 'none') AS id FROM q LEFT JOIN g_nodes ON package = n_name AND type = 'function' AND line BETWEEN start_line AND end_line GROUP BY n_name, line")
-def enclosing_function(s, d):
-    q = T.table(s, d, "nation").select("n_name", (F.col("n_nationkey").cast("long") * 41).alias("line"))
-    f = T.nodes(s, d).filter("type = 'function'").select("id", "package", "start_line", "end_line")
-    return q.join(f, (q.n_name == f.package) & q.line.between(f.start_line, f.end_line), "left").groupBy("n_name", "line").agg(F.coalesce(F.min("id"), F.lit("none")).alias("id"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairnspark.operators import analysis, evaluation
+from cairnspark.operators import evaluation, ranking
 from cairnspark.operators import resolution as R
 from cairnspark.plans import graph_queries as G
 from cairnspark.sources import diffs
 from cairnspark.sources import tables as T
+from cairnspark.staging import staged
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -60,7 +61,7 @@ def import_longest_suffix(s, d):
 @query(
     "import_priority_ext",
     """WITH f AS (SELECT 'src/' || p_brand || '/' || p_type || (p_size % 7) || CASE p_partkey % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.js' WHEN 2 THEN '/index.ts' ELSE '.tsx' END AS file_path, 'f:' || p_partkey AS id FROM part),
-i AS (SELECT DISTINCT 'src/' || p_brand || '/sub' AS from_dir, '../' || p_type || (p_size % 7) AS path FROM part WHERE p_partkey % 3 = 0),
+i AS (SELECT DISTINCT 'src/' || p_brand || '/sub' AS from_dir, '../' || p_type || (p_size % 7) AS path FROM part),
 e(rank, ending) AS (VALUES (0, ''), (1, '.ts'), (2, '.tsx'), (3, '.js'), (4, '.jsx'), (5, '/index.ts'), (6, '/index.tsx'), (7, '/index.js'), (8, '/index.jsx'))
 SELECT from_dir, path, arg_min(id, (rank, id)) AS id FROM i, e JOIN f ON f.file_path = replace(from_dir, '/sub', '') || substr(path, 3) || ending GROUP BY from_dir, path""",
 )
@@ -69,21 +70,21 @@ def import_priority_ext(s, d):
     kind = F.col("p_partkey") % 4
     end = F.when(kind == 0, ".ts").when(kind == 1, ".js").when(kind == 2, "/index.ts").otherwise(".tsx")
     files = p.select(F.concat(F.lit("src/"), "p_brand", F.lit("/"), stem, end).alias("file_path"), F.concat(F.lit("f:"), "p_partkey").alias("id"))
-    imports = p.filter("p_partkey % 3 = 0").select(F.concat(F.lit("src/"), "p_brand", F.lit("/sub")).alias("from_dir"), F.concat(F.lit("../"), stem).alias("path")).distinct()
+    imports = p.select(F.concat(F.lit("src/"), "p_brand", F.lit("/sub")).alias("from_dir"), F.concat(F.lit("../"), stem).alias("path")).distinct()
     return R.relative_import(imports, files)
 
 
 @query(
     "inheritance_resolution",
-    """WITH u AS (SELECT 'p:' || p_partkey AS child, p_name AS base, p_brand AS f, p_type AS p FROM part WHERE p_size <= 20),
-c AS (SELECT 'p:' || p_partkey AS id, p_name AS base, p_brand AS f, p_type AS p FROM part WHERE p_size > 40),
-t AS (SELECT child, u.base, id, CASE WHEN c.f = u.f THEN 1 WHEN c.p = u.p THEN 2 ELSE 3 END AS tier FROM u JOIN c ON u.base = c.base),
+    """WITH u AS (SELECT 'p:' || p_partkey AS child, p_name AS base, p_brand AS f, p_type AS p FROM part),
+c AS (SELECT 'p:' || p_partkey AS id, p_name AS base, p_brand AS f, p_type AS p FROM part),
+t AS (SELECT child, u.base, id, CASE WHEN c.f = u.f THEN 1 WHEN c.p = u.p THEN 2 ELSE 3 END AS tier FROM u JOIN c ON u.base = c.base AND child <> id),
 g AS (SELECT child, base, tier, count(DISTINCT id) AS n, min(id) AS id, row_number() OVER (PARTITION BY child, base ORDER BY tier) AS r FROM t GROUP BY child, base, tier)
 SELECT child, base, CAST(tier AS BIGINT) AS tier, CASE WHEN n = 1 THEN id END AS id, CASE WHEN n > 1 THEN 'AMBIGUOUS' WHEN tier = 3 THEN 'HEURISTIC' ELSE 'EXACT' END AS status FROM g WHERE r = 1""",
 )
 def inheritance_resolution(s, d):
-    p = T.table(s, d, "part").select(F.concat(F.lit("p:"), "p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("file_path"), F.col("p_type").alias("package"), "p_size")
-    return R.base_classes(p.filter("p_size <= 20").select(F.col("id").alias("child"), F.col("name").alias("base"), "file_path", "package"), p.filter("p_size > 40"))
+    p = T.table(s, d, "part").select(F.concat(F.lit("p:"), "p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("file_path"), F.col("p_type").alias("package"))
+    return R.base_classes(p.select(F.col("id").alias("child"), F.col("name").alias("base"), "file_path", "package"), p)
 
 
 @query(
@@ -126,23 +127,6 @@ def nearest_marker(s, d):
     return R.nearest_marker(p.select(F.concat(deep, F.lit("/f"), "p_partkey").alias("path")), marks)
 
 
-_ASKED = ["Supplier#12", "small ring", "Customer#1"]
-
-
-@query(
-    "name_resolve_unique",
-    G.GRAPH
-    + ", q AS (SELECT unnest(["
-    + ", ".join(f"'{q}'" for q in _ASKED)
-    + """]) AS q), t AS (SELECT q, id, CASE WHEN name = q THEN 'exact' WHEN package || '.' || name = q THEN 'qualified' WHEN lower(name) = lower(q) THEN 'substring' WHEN starts_with(lower(name), lower(q)) THEN 'prefix' WHEN contains(lower(name), lower(q)) THEN 'substring' END AS k FROM q JOIN g_nodes ON g_nodes.type = 'function')
-SELECT q.q AS asked, CASE WHEN count(k) = 1 THEN max(id) FILTER (k IS NOT NULL) WHEN count(*) FILTER (k = 'exact') = 1 THEN max(id) FILTER (k = 'exact') WHEN count(*) FILTER (k = 'exact') = 0 AND count(*) FILTER (k = 'qualified') = 1 THEN max(id) FILTER (k = 'qualified') END AS id, count(k) AS candidates FROM q LEFT JOIN t USING (q) GROUP BY q.q""",
-)
-def name_resolve_unique(s, d):
-    n = T.nodes(s, d)
-    one = [R.unique_name(analysis.name_search(n, q)).select(F.lit(q).alias("asked"), "id", "candidates") for q in _ASKED]
-    return one[0].unionByName(one[1]).unionByName(one[2])
-
-
 @query(
     "revert_label",
     """WITH e AS (SELECT sha256(CAST(event_id AS VARCHAR)) AS sha, event_type, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)
@@ -169,15 +153,39 @@ def ranker_matrix(s, d):
     return evaluation.ranker_matrix(T.commits(s, d).withColumn("label", F.col("fix").cast("int")), ["ladder", "churn"])
 
 
-@query("random_baseline")
+_RANKED = """c AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS place, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS label, CAST(json_extract(props, '$.k') AS DOUBLE) AS ladder, value AS churn FROM events)"""
+# Of scores (grp, place, label, score): the metrics of each group.
+_METRICS = """o AS (SELECT grp, label, row_number() OVER (PARTITION BY grp ORDER BY score DESC, place) AS r, rank() OVER (PARTITION BY grp ORDER BY score) + (count(*) OVER (PARTITION BY grp, score) - 1) / 2.0 AS k FROM s),
+t AS (SELECT grp, sum(label) AS p, sum(1 - label) AS n, sum(k * label) AS u, avg(label) FILTER (r <= 5) AS p5, avg(label) FILTER (r <= 10) AS p10, coalesce(min(r) FILTER (label = 1), count(*) + 1) AS ifa FROM o GROUP BY grp),
+m AS (SELECT grp, round((u - p * (p + 1) / 2.0) / p / n, 6) AS auc, round(p5, 6) AS p_at_5, round(p10, 6) AS p_at_10, ifa FROM t)"""
+
+
+def _placed(s, d):
+    c = ranking.numbered(T.commits(s, d), [F.col("t"), F.col("sha")])
+    return c.select((F.col("place") - 1).alias("place"), F.col("fix").cast("int").alias("label"), "ladder", "churn")
+
+
+@query("ranker_metrics", f"WITH {_RANKED}, s AS (SELECT 'ladder' AS grp, place, label, ladder AS score FROM c UNION ALL SELECT 'churn', place, label, churn FROM c), {_METRICS} SELECT grp AS ranker, auc, p_at_5, p_at_10, ifa FROM m")
+def ranker_metrics(s, d):
+    scored = evaluation.unpivoted(_placed(s, d), {n: F.col(n) for n in ("ladder", "churn")}, ["place", "label"])
+    return evaluation.metrics(staged(scored, "scored"), [5, 10], "place", ["ranker"])
+
+
+@query(
+    "random_baseline",
+    f"""WITH RECURSIVE {_RANKED},
+g AS (SELECT range AS seed, -1::BIGINT AS place, (range::UHUGEINT * 2862933555777941757 + 3037000493) % 18446744073709551616::UHUGEINT AS x FROM range(10)
+  UNION ALL SELECT seed, place + 1, (x * 6364136223846793005::UHUGEINT + 1442695040888963407) % 18446744073709551616::UHUGEINT FROM g WHERE place + 1 < (SELECT count(*) FROM c)),
+s AS (SELECT seed AS grp, g.place, label, (x // 2048)::BIGINT AS score FROM g JOIN c USING (place)), {_METRICS}
+SELECT round(avg(auc), 6) AS auc, round(avg(p_at_5), 6) AS p_at_5, round(avg(p_at_10), 6) AS p_at_10, round(avg(ifa), 6) AS ifa, count(*) AS orders FROM m""",
+)
 def random_baseline(s, d):
-    return evaluation.random_baseline(T.commits(s, d).withColumn("label", F.col("fix").cast("int")), 10, "sha")
+    return evaluation.random_baseline(_placed(s, d), 10)
 
 
-@query("resolution_issues", f"SELECT k, brand, name, tier FROM ({G.ORACLE_SQL['call_resolution']}) WHERE status = 'AMBIGUOUS' ORDER BY tier, k, brand, name LIMIT 200")
-def resolution_issues(s, d):
-    """The first 200 issues in a total order: the cap is the feature of this report."""
-    return G.call_resolution(s, d).filter("status = 'AMBIGUOUS'").select("k", "brand", "name", "tier").orderBy("tier", "k", "brand", "name").limit(200)
+@query("report_counts", f"WITH c AS (SELECT event_id, event_type = 'error' AS hot_fixed, value > 10 AS reverted FROM events) SELECT count(*) AS n, count(*) FILTER (reverted OR hot_fixed) AS positives, count(*) FILTER (reverted) AS reverted, count(*) FILTER (hot_fixed) AS hot_fixed FROM c")
+def report_counts(s, d):
+    return evaluation.report_counts(T.table(s, d, "events").select((F.col("event_type") == "error").alias("hot_fixed"), (F.col("value") > 10).alias("reverted")))
 
 
 @query("cache_union_prune", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'fresh' ELSE 'cached' END AS origin FROM pages WHERE page_id % 4 <> 1")

@@ -22,6 +22,8 @@ class Stored:
     nodes: DataFrame
     edges: DataFrame
     commit: str
+    remote: str = ""
+    root: str = ""
 
 
 class StaleGraph(RuntimeError):
@@ -42,14 +44,15 @@ def load_tables(spark: SparkSession, path: str) -> Stored:
 
 def save_json(nodes: DataFrame, edges: DataFrame, path: str, commit: str = "", remote: str = "", root: str = "") -> None:
     """One JSON document beside the driver, written whole or not at all. Rows stream through the driver one by one,
-    nodes by id and edges by source, target and type; for large graphs use save_tables."""
+    nodes by id and edges by edge_ord, else by source, target and type; for large graphs use save_tables."""
     spark = nodes.sparkSession
     if remote:
         remote = spark.range(1).select(normal_remote(F.lit(remote))).first()[0]
     tmp = f"{path}.tmp"
+    in_order = edges.orderBy("edge_ord").drop("edge_ord") if "edge_ord" in edges.columns else edges.orderBy("source", "target", "type")
     with open(tmp, "w", encoding="utf-8") as out:
         out.write("{" + f'"root_path": {json.dumps(root)}, "commit": {json.dumps(commit)}, "repo_remote": {json.dumps(remote)}')
-        for name, df in (("nodes", nodes.orderBy("id")), ("edges", edges.orderBy("source", "target", "type"))):
+        for name, df in (("nodes", nodes.orderBy("id")), ("edges", in_order)):
             out.write(f',\n"{name}": [')
             for i, row in enumerate(df.select(F.to_json(F.struct(*df.columns)).alias("j")).toLocalIterator()):
                 out.write(("," if i else "") + "\n  " + row["j"])
@@ -61,14 +64,14 @@ def save_json(nodes: DataFrame, edges: DataFrame, path: str, commit: str = "", r
 
 
 def load_json(spark: SparkSession, path: str) -> Stored:
-    """Absent fields read as empty, zero or false; an edge without a confidence is EXACT."""
+    """Absent fields read as empty, zero or false; an edge without a confidence is EXACT. Edges keep their place as edge_ord."""
     doc = spark.read.schema(DOC).option("multiLine", True).json(path)
     zero = {"string": "", "bigint": 0, "boolean": False}
     nodes = doc.select(F.inline("nodes"))
     nodes = nodes.na.fill({c: zero[t] for c, t in nodes.dtypes})
-    edges = doc.select(F.inline("edges")).withColumn("confidence", F.coalesce(F.nullif("confidence", F.lit("")), F.lit("EXACT")))
-    row = doc.select("commit").first()
-    return Stored(nodes, edges, (row[0] or "") if row else "")
+    edges = doc.select(F.posexplode("edges").alias("edge_ord", "e")).select("e.*", F.col("edge_ord").cast("long").alias("edge_ord")).withColumn("confidence", F.coalesce(F.nullif("confidence", F.lit("")), F.lit("EXACT")))
+    row = doc.select("commit", "repo_remote", "root_path").first()
+    return Stored(nodes, edges, *((x or "") for x in (row or ("", "", ""))))
 
 
 def require_fresh(stored: Stored, head: str, allow_stale: bool = False) -> None:

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import os
+import signal
+import threading
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs as pafs
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Languages by ending, folders that are not walked, the largest file read.
@@ -16,6 +21,8 @@ LANGUAGES = {".go": "go", ".js": "javascript", ".jsx": "javascript", ".ts": "typ
 SKIPPED = {"node_modules", ".git", "vendor", "__pycache__", "dist", "build", ".next"}
 DOT_ALLOWED = {".github"}
 MAX_BYTES = 10 * 1024 * 1024
+#: Seconds that the parsing of one file may take.
+PARSE_SECONDS = 30.0
 
 RESULT = """file_path string, language string, package string, is_test_file boolean, content_hash string, error string,
 functions array<struct<name:string,start_line:bigint,end_line:bigint,receiver:string,is_export:boolean,is_init:boolean,decorators:array<string>>>,
@@ -31,33 +38,111 @@ def language_of(name: str) -> str | None:
     return LANGUAGES.get(os.path.splitext(name)[1])
 
 
+def kept_path(path: Column) -> Column:
+    """A relative path below none of the folders that aren't walked."""
+    folders = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
+    return ~F.exists(folders, lambda f: f.isin(sorted(SKIPPED)) | (f.startswith(".") & ~f.isin(sorted(DOT_ALLOWED))))
+
+
+def skipped_root(root: str) -> bool:
+    """A root that is itself a folder that isn't walked holds nothing."""
+    name = os.path.basename(os.path.normpath(root))
+    return name in SKIPPED or (name.startswith(".") and name not in {".", "..", *DOT_ALLOWED})
+
+
+def _opened(root: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path, or of an address in a store, and the path there."""
+    return pafs.FileSystem.from_uri(root if "://" in root else Path(root).absolute().as_uri())
+
+
+def _entries(fs: pafs.FileSystem, folder: str) -> list[pafs.FileInfo]:
+    """What a folder holds, links aside; nothing where it can't be read."""
+    try:
+        found = fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
+    except OSError:
+        return []
+    return [x for x in found if not (isinstance(fs, pafs.LocalFileSystem) and os.path.islink(x.path))]
+
+
+def _walked(name: str) -> bool:
+    return name not in SKIPPED and (not name.startswith(".") or name in DOT_ALLOWED)
+
+
+def _below(fs: pafs.FileSystem, info: pafs.FileInfo) -> Iterator[pafs.FileInfo]:
+    """Files with a language at or below an entry."""
+    left = [info]
+    while left:
+        x = left.pop()
+        if x.type == pafs.FileType.Directory and _walked(x.base_name):
+            left += _entries(fs, x.path)
+        elif x.type == pafs.FileType.File and language_of(x.base_name):
+            yield x
+
+
 def walk(spark: SparkSession, root: str) -> DataFrame:
-    """file_path (relative), language, at: the source files below root. Names only; their bytes are read by the executors."""
-    rows = []
-    for folder, inside, names in os.walk(root):
-        inside[:] = sorted(d for d in inside if d not in SKIPPED and (not d.startswith(".") or d in DOT_ALLOWED))
-        for name in sorted(names):
-            at = Path(folder, name)
-            if language_of(name) and not at.is_symlink():
-                rows.append((at.relative_to(root).as_posix(), language_of(name), str(at)))
-    return spark.createDataFrame(rows, "file_path string, language string, at string")
+    """file_path (relative), language, at, size: the source files below root, a path or the address of a store. Links aren't followed,
+    and folders that can't be read are passed over.
+
+    The driver lists the root alone; executors walk what is below each of its entries. (Spark's own listing leaves out names that
+    begin with an underscore, which __init__.py does.)"""
+    schema = "file_path string, language string, at string, size long"
+    if skipped_root(root):
+        return spark.createDataFrame([], schema)
+    fs, base = _opened(root)
+    plain = root.rstrip("/")
+    store = plain[: len(plain) - len(base)] if plain.endswith(base) and not isinstance(fs, pafs.LocalFileSystem) else ""
+    names = sorted(x.base_name for x in _entries(fs, base))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = _opened(root)
+        for batch in batches:
+            for info in fs.get_file_info([f"{base}/{n}" for n in batch["name"]]):
+                rows = [(x.path[len(base) + 1 :], language_of(x.base_name), store + x.path, x.size) for x in _below(fs, info)]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["file_path", "language", "at", "size"])
+
+    if not names:
+        return spark.createDataFrame([], schema)
+    return spark.createDataFrame([(n,) for n in names], "name string").repartition(min(len(names), 4 * spark.sparkContext.defaultParallelism)).mapInPandas(run, schema)
 
 
 def read_sources(listing: DataFrame) -> DataFrame:
-    """file_path, language, content. Files above MAX_BYTES and unreadable ones are left out."""
+    """file_path, language, content of what walk lists. Files above MAX_BYTES and unreadable ones are left out.
+
+    Names are dealt out anew before they are read, so one large folder is read by many tasks."""
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, language, at in zip(batch["file_path"], batch["language"], batch["at"], strict=True):
                 try:
-                    if os.path.getsize(at) > MAX_BYTES:
-                        continue
-                    data = Path(at).read_bytes()
+                    fs, name = _opened(at)
+                    with fs.open_input_stream(name) as f:
+                        data = f.read()
                 except OSError:
                     continue
                 yield pd.DataFrame({"file_path": [path], "language": [language], "content": [data]})
 
-    return listing.mapInPandas(load, "file_path string, language string, content binary")
+    listed = listing.filter(F.col("size") <= MAX_BYTES).repartition(listing.sparkSession.sparkContext.defaultParallelism, "file_path")
+    return listed.mapInPandas(load, "file_path string, language string, content binary")
+
+
+@contextmanager
+def at_most(seconds: float) -> Iterator[None]:
+    """Raises TimeoutError in what runs longer. In the main thread of a process, where Python workers parse; elsewhere no limit."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def late(*_):
+        raise TimeoutError(f"took longer than {seconds} s")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
 
 
 def parse(sources: DataFrame) -> DataFrame:
@@ -75,8 +160,9 @@ def parse(sources: DataFrame) -> DataFrame:
                 found, error = parsers.empty(), None
                 try:
                     if language in parsers.PARSERS:
-                        found = parsers.PARSERS[language](data.decode("utf-8", "replace"))
-                except (SyntaxError, ValueError, RecursionError) as e:
+                        with at_most(PARSE_SECONDS):
+                            found = parsers.PARSERS[language](data.decode("utf-8", "replace"))
+                except (SyntaxError, ValueError, RecursionError, TimeoutError) as e:
                     error = f"{type(e).__name__}: {e}"
                 rows.append({"file_path": path, "language": language, "is_test_file": parsers.is_test(path or "", language), "content_hash": hashlib.sha256(data).hexdigest(), "error": error} | found)
             yield pd.DataFrame(rows, columns=["file_path", "language", "package", "is_test_file", "content_hash", "error", "functions", "calls", "imports", "classes"])
@@ -89,3 +175,19 @@ def split_cached(sources: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataF
     now = sources.withColumn("content_hash", F.sha2(F.col("content"), 256))
     fresh = now.join(cache.select("file_path", "content_hash"), ["file_path", "content_hash"], "left_anti").drop("content_hash")
     return fresh, cache.join(now.select("file_path", "content_hash"), ["file_path", "content_hash"], "left_semi").select(*cache.columns)
+
+
+def save_cache(parsed: DataFrame, path: str) -> None:
+    """Parsed files as Parquet. Spark writes beside the old files and commits the new ones at the end of the job."""
+    parsed.write.mode("overwrite").parquet(path)
+
+
+def load_cache(spark: SparkSession, path: str) -> DataFrame:
+    """Parsed files that were saved; an empty table where there are none, or something else."""
+    try:
+        found = spark.read.parquet(path)
+        if {"file_path", "content_hash", "functions"} <= set(found.columns):
+            return found
+    except AnalysisException:
+        pass
+    return spark.createDataFrame([], RESULT)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnspark.functions.paths import owner_regex
+from cairnspark.operators.analysis import last_match
 
 # Separators of the log's fields and records, and subjects that read as fixes.
 FIELD, RECORD = "\x1f", "\x1e"
@@ -14,10 +17,11 @@ FIX = r"(?i)\b(fix|fixes|fixed|bug|hotfix|patch|revert|regression)\b"
 
 def commits(log: DataFrame) -> DataFrame:
     """log: value, one record `sha FIELD parents FIELD unix time FIELD subject` a row (`read.text(lineSep=RECORD)`).
-    sha, unix_time, subject, fix; commits without parents and torn records are left out."""
+    sha, unix_time, subject, fix (and place, if the log has one); commits without parents and torn records are left out."""
     p = F.split(F.ltrim(F.col("value"), F.lit("\n")), FIELD)
-    rows = log.select(p.alias("p")).filter(F.size("p") >= 4)
-    out = rows.select(F.col("p")[0].alias("sha"), F.trim(F.col("p")[1]).alias("parents"), F.expr("try_cast(p[2] AS bigint)").alias("unix_time"), F.col("p")[3].alias("subject"))
+    keep = ["place"] if "place" in log.columns else []
+    rows = log.select(*keep, p.alias("p")).filter(F.size("p") >= 4)
+    out = rows.select(*keep, F.col("p")[0].alias("sha"), F.trim(F.col("p")[1]).alias("parents"), F.expr("try_cast(p[2] AS bigint)").alias("unix_time"), F.col("p")[3].alias("subject"))
     return out.filter("parents != '' AND unix_time IS NOT NULL").drop("parents").withColumn("fix", F.col("subject").rlike(FIX))
 
 
@@ -39,12 +43,23 @@ def owner_rules(text: str) -> list[tuple[str, list[str]]]:
     return out
 
 
+#: Where a repository keeps its code owners, in this order.
+OWNER_FILES = ["CODEOWNERS", ".github/CODEOWNERS", "docs/CODEOWNERS"]
+
+
+def owner_file(root: str) -> str:
+    """The text of the first file of code owners that there is; empty without one."""
+    for name in OWNER_FILES:
+        at = Path(root, name)
+        if at.is_file():
+            return at.read_text(encoding="utf-8", errors="replace")
+    return ""
+
+
 def owners(paths: DataFrame, rules: list[tuple[str, list[str]]]) -> DataFrame:
     """paths: path. Its owners by the last rule that matches; null where none does."""
-    hit = F.lit(None).cast("array<string>")
-    for regex, names in rules:
-        hit = F.when(F.col("path").rlike(regex), F.array(*map(F.lit, names))).otherwise(hit)
-    return paths.withColumn("owners", hit)
+    names = [(regex, F.array(*map(F.lit, who))) for regex, who in rules]
+    return paths.withColumn("owners", last_match(F.col("path"), names).cast("array<string>"))
 
 
 def reviewers(paths: DataFrame, rules: list[tuple[str, list[str]]]) -> DataFrame:
@@ -53,5 +68,23 @@ def reviewers(paths: DataFrame, rules: list[tuple[str, list[str]]]) -> DataFrame
     return each.groupBy("owner").agg(F.count(F.lit(1)).alias("files")).orderBy(F.desc("files"), "owner")
 
 
+def last_authors(log: DataFrame) -> DataFrame:
+    """log: path, author, email, unix_time. Of each path the latest commit's author; of commits at one second the last by
+    author and email. A hot path is pre-aggregated in its tasks."""
+    best = F.max(F.struct("unix_time", "author", "email")).alias("m")
+    return log.groupBy("path").agg(best).select("path", F.trim("m.author").alias("last_author"), F.trim("m.email").alias("last_email"), F.col("m.unix_time").alias("last_modified"))
+
+
+def with_authors(rows: DataFrame, authors: DataFrame) -> DataFrame:
+    """rows: file_path and more. With last_author, last_email and last_modified, null where the file has no author."""
+    return rows.join(authors.withColumnRenamed("path", "file_path"), "file_path", "left")
+
+
+def changed_files(numstat: DataFrame) -> DataFrame:
+    """numstat: sha, value. sha and file of every line, binary files too."""
+    lines = numstat.select("sha", F.explode(F.split("value", "\n")).alias("line")).select("sha", F.split("line", "\t").alias("p"))
+    return lines.filter(F.size("p") >= 3).select("sha", F.col("p")[2].alias("file")).distinct()
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     return commits(spark.read.text(path, lineSep=RECORD))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnspark.functions import paths as P
+
 # Field numbers of the public SCIP schema.
 INDEX = {2: "documents", 3: "external"}
 DOCUMENT = {1: "relative_path", 2: "occurrences", 3: "symbols", 4: "language"}
@@ -133,3 +135,22 @@ def prefixed(docs: DataFrame, prefix: str) -> DataFrame:
     """Paths of an index made in a subfolder, seen from the root."""
     p = F.col("relative_path")
     return docs.withColumn("relative_path", F.when(p.startswith(prefix + "/"), p).otherwise(F.concat(F.lit(prefix + "/"), p)))
+
+
+def source_root(at: str) -> str:
+    """The root of the sources that an index was made of: the folder it lies in, or the one above .cairnspark/scip."""
+    folder = at.replace("\\", "/").rpartition("/")[0] or "."
+    return folder.removesuffix("/.cairnspark/scip") if folder.endswith("/.cairnspark/scip") else folder
+
+
+def source_lines(sources: DataFrame) -> DataFrame:
+    """sources: file_path, content. line (from 1 on) and text of every line; of files that several roots have, the first content's."""
+    one = sources.groupBy(P.canonical(F.col("file_path")).alias("file_path")).agg(F.min("content").alias("content"))
+    lines = one.select("file_path", F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("i", "text"))
+    return lines.select("file_path", (F.col("i") + 1).cast("long").alias("line"), "text")
+
+
+def definitions_per_document(docs: DataFrame) -> DataFrame:
+    """relative_path and how many occurrences of it define something."""
+    defines = F.filter("occurrences", lambda o: o["roles"].bitwiseAND(1) != 0)
+    return docs.filter("relative_path != ''").groupBy("relative_path").agg(F.sum(F.size(defines)).alias("definitions"))

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """spark.checkpoint.dir; where it is unset, a folder of our own in local mode (tests), and an error on a cluster,
+    whose machines don't see each other's folders."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="cairnspark-")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -21,4 +24,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read again: loops keep a short lineage and survive lost executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cairn_path = path
+    return out
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(t._cairn_path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
