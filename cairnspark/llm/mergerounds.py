@@ -25,7 +25,7 @@ class Pairs:
 
     def __init__(self, left, right, rank, merged, tied=()):
         key = (np.asarray(left, np.uint64) << np.uint64(32)) | np.asarray(right, np.uint64)
-        bits = max(12, int(np.ceil(np.log2(max(1, len(key))))) + 4)
+        bits = max(12, int(np.ceil(np.log2(max(1, len(key))))) + 3)
         self.shift = np.uint64(64 - bits)
         self.keys = np.full(1 << bits, np.uint64(2**64 - 1))
         self.at = np.full(1 << bits, -1, np.int32)

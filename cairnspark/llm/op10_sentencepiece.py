@@ -24,9 +24,9 @@ MODEL = "piece_bpe_32k.model"
 _SPACE = "▁"
 #: Distinct words that a Python worker remembers from one batch to the next (those that came
 #: more than once); beyond that it forgets all and starts again.
-WORDS_KEPT = 1 << 16
+WORDS_KEPT = 1 << 15
 #: Bytes of text merged at once.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 3 << 19
 
 
 def model_path(name: str = MODEL) -> str:
@@ -148,7 +148,7 @@ def encode_texts(model: PieceModel, path: str, texts: list[bytes | None]) -> tup
     cut[at[:-1][np.diff(at) > 0]] = True
     s = np.flatnonzero(cut)
     e = np.append(s[1:], len(buf))
-    codes, _, first = K.factorize(K.segment_hashes(buf, s, e))
+    _, first, codes = K.numbered(K.segment_hashes(buf, s, e))
     words = [whole[a:b] for a, b in zip(s[first].tolist(), e[first].tolist(), strict=True)]
     results = list(map(kept.get, words))
     missing = [k for k, r in enumerate(results) if r is None]

@@ -238,7 +238,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 hit, longest = np.zeros(len(hashes), bool), [None] * b.num_rows
                 items: list[set[str]] = [set() for _ in range(b.num_rows)]
                 if not first:
-                    hit |= np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(b.column(len(names)).to_pylist(), n_words.tolist(), strict=True)])
+                    packed = zip(b.column(len(names)).to_pylist(), n_words.tolist(), strict=True)
+                    hit |= np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in packed])
                     items = [set(x) for x in b.column(len(names) + 1).to_pylist()]
                     longest = [x and tuple(x.values()) for x in b.column(len(names) + 2).to_pylist()]
                 for block in group.value:
@@ -250,7 +251,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                         items[t].add(block.names[i])
                 if not last:
                     bits = [np.packbits(hit[lo:hi]).tobytes() for lo, hi in zip(at[:-1], at[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(bits, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array([m and dict(zip(("n", "at", "item", "item_at"), m, strict=True)) for m in longest], _MATCH)], names=[*names, *(c for c, _ in carry)])
+                    far = [m and dict(zip(("n", "at", "item", "item_at"), m, strict=True)) for m in longest]
+                    more = [pa.array(bits, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(far, _MATCH)]
+                    yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *more], names=[*names, *(c for c, _ in carry)])
                     continue
                 n_hit = K.sums_by_text(hit, at)
                 bad = (n_hit > 0) & (share * n_hit >= n_words)
@@ -258,7 +261,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     yield pa.RecordBatch.from_arrays(b.columns[: len(names)], names=names).filter(pa.array(~bad))
                     continue
                 sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha), pa.array(bad), pa.array([-m[0] if m else 0 for m in longest], pa.int64()), *(pa.array([m and m[k] for m in longest], kind) for k, kind in ((2, pa.string()), (1, pa.int64()), (3, pa.int64())))], names=out_names)
+                number = lambda x: pa.array(x, pa.int64())
+                counts = [b.column(0).cast(pa.int64()), number(n_words), number(n_hit), number([len(x) for x in items])]
+                far = [pa.array([m and m[k] for m in longest], kind) for k, kind in ((2, pa.string()), (1, pa.int64()), (3, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*counts, pa.array(sha), pa.array(bad), number([-m[0] if m else 0 for m in longest]), *far], names=out_names)
 
         return run
 

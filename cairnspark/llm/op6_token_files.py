@@ -102,7 +102,7 @@ def encode_texts(model: WordModel, texts: list[bytes | None]) -> tuple[np.ndarra
             j = np.repeat(s[k] - (np.cumsum(width) - width), width) + np.arange(width.sum())
             low[j] = buf[j]
         whole = low.tobytes()
-        codes, _, first = K.factorize(K.segment_hashes(low, s, e))
+        _, first, codes = K.numbered(K.segment_hashes(low, s, e))
         strings = [whole[a:b] for a, b in zip(s[first].tolist(), e[first].tolist(), strict=True)]
         results = list(map(model.kept.get, strings))
         missing = [k for k, r in enumerate(results) if r is None]

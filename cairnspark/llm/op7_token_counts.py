@@ -109,7 +109,7 @@ def count_texts(model: ByteModel, texts: list[bytes | None]) -> np.ndarray:
     s, e, by_library, _ = pretokens.cut(buf, at, spaces_join=True, extended=True)
     out = np.zeros(len(texts), np.int64)
     if len(s):
-        codes, _, first = K.factorize(K.segment_hashes(buf, s, e))
+        _, first, codes = K.numbered(K.segment_hashes(buf, s, e))
         strings = [whole[a:b] for a, b in zip(s[first].tolist(), e[first].tolist(), strict=True)]
         counts = np.empty(len(strings), np.int64)
         left = by_library[first]

@@ -310,7 +310,8 @@ def voted(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     for k, lo, hi in (*base, *more):
                         out.append((",".join(map(str, (k, *votes(k, t, lo, hi)))), inputs(k, t, lo, hi), (mark << 31) ^ zlib.crc32(b"%d" % lo)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.string(), pa.list_(pa.int32()), pa.int64()), strict=True)], names=["pattern", "x", "key"])
+                kinds = (pa.string(), pa.list_(pa.int32()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=["pattern", "x", "key"])
 
     return docs.select(F.col(f"`{text_col}`")).mapInArrow(run, "pattern string, x array<int>, key long")
 
@@ -356,6 +357,7 @@ def detect(docs: DataFrame, model: SpanClassifier, id_col: str = "doc_id", text_
                 out.append((*(n[k] for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans)))
             columns = list(zip(*out, strict=True)) if out else [()] * 7
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
+            names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
 
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")

@@ -18,7 +18,7 @@ def op2_decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op3_near_dedup.near_classes(table(spark, sf_dir, "documents"))
+    return op3_near_dedup.near_classes(table(spark, sf_dir, "documents")).drop("text_md5")
 
 
 def op4_exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of rows that Spark hands to a Python worker at once, where the session doesn't say otherwise.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Bytes of a partition, where we choose.
 PART_BYTES = 8 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -66,9 +67,12 @@ def drop_staged(*tables: DataFrame) -> None:
 
 def forget_shuffles(spark: SparkSession) -> None:
     """Has the driver collect its garbage, upon which Spark deletes the shuffle files of what is done; else they
-    stay until the driver happens to. Python's own garbage goes first: it may hold frames."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    stay until the driver happens to. Python's own garbage goes first: it may hold frames; what that frees in the JVM
+    goes in a second round."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
