@@ -102,8 +102,7 @@ def _report(spark, a, s) -> int:
     if diff.strip():  # without a diff the page has no overlay
         impact = api.analyze(spark, g.nodes, g.edges, diff, s)
         rows = _rows(impact.affected)
-    calls = g.edges.filter("type = 'CALLS'").groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("callers"))
-    top = _rows(calls.join(g.nodes.select("id", "name", "file_path"), "id").orderBy(F.desc("callers"), "name", "id").limit(reports.TOP))
+    top = _rows(analysis.most_called(g.nodes, g.edges, reports.TOP))
     with open(a.out, "w", encoding="utf-8") as f:
         f.write(reports.page(rows, summary, hot=top))
     return 0

@@ -98,3 +98,35 @@ def best_match(pairs: DataFrame) -> DataFrame:
 def last_match(path: Column, rules: list[tuple[str, Column]]) -> Column:
     """What the last rule (regex, value) that matches gives, null where none does: one flat expression, however many rules."""
     return F.coalesce(*(F.when(path.rlike(regex), value) for regex, value in reversed(rules))) if rules else F.lit(None)
+
+
+def most_called(nodes: DataFrame, edges: DataFrame, top: int = 10) -> DataFrame:
+    """The nodes with the most calls to them."""
+    calls = edges.filter("type = 'CALLS'").groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("callers"))
+    return calls.join(nodes.select("id", "name", "file_path"), "id").orderBy(F.desc("callers"), "name", "id").limit(top)
+
+
+def representatives(nodes: DataFrame) -> DataFrame:
+    """Per package the least id of what isn't a test."""
+    return nodes.filter("NOT is_test").groupBy("package").agg(F.min("id").alias("id"))
+
+
+def first_of(df: DataFrame, key: list[str], order: str) -> DataFrame:
+    """df's rows without later ones of the same key: a distinct that keeps the first. One aggregation, no sort."""
+    rest = [c for c in df.columns if c not in (*key, order)]
+    return df.groupBy(*key).agg(F.min(F.struct(order, *rest)).alias("m")).select(*key, "m.*").select(*df.columns)
+
+
+def shown(nodes: DataFrame, edges: DataFrame, packages: list[str] = (), files: list[str] = (), node_types: list[str] = (), edge_types: list[str] = (), text: str = "") -> tuple[DataFrame, DataFrame]:
+    """The part of a graph that a view shows: nodes that pass every filter given (text: somewhere in the name, in any case),
+    and the edges of the types given with both ends among them."""
+    keep = nodes
+    for column, wanted in (("package", packages), ("file_path", files), ("type", node_types)):
+        if wanted:
+            keep = keep.filter(F.col(column).isin(list(wanted)))
+    if text:
+        keep = keep.filter(F.lower("name").contains(text.lower()))
+    ids = keep.select("id")
+    links = edges.filter(F.col("type").isin(list(edge_types))) if edge_types else edges
+    links = links.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    return keep, links

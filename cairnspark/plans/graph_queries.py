@@ -600,9 +600,33 @@ def import_names(s, d):
     return T.table(s, d, "part").select("p_partkey", text.import_name(path, lang).alias("name"))
 
 
+@query("most_called", "SELECT id, name, file_path, callers FROM g_calls JOIN g_nodes USING (id) ORDER BY callers DESC, name, id LIMIT 10")
+def most_called(s, d):
+    return analysis.most_called(*_graph(s, d))
+
+
+@query("first_calls", "SELECT source, arg_min(target, (confidence, target)) AS target, min(confidence) AS confidence FROM g_sites GROUP BY source")
+def first_calls(s, d):
+    """Of each caller the first call, in the order of confidence, then of targets."""
+    sites = T.call_sites(s, d).withColumn("place", F.struct("confidence", "target"))
+    return analysis.first_of(sites, ["source"], "place").select("source", "target", "confidence")
+
+
+@query("shown_nodes", "SELECT id FROM g_nodes WHERE type IN ('function', 'class') AND file_path LIKE 'src/NATION_1%' AND contains(lower(name), '1')")
+def shown_nodes(s, d):
+    n, e = _graph(s, d)
+    paths = [r[0] for r in T.table(s, d, "nation").select(F.concat(F.lit("src/"), "n_name", F.lit(".go"))).collect() if r[0].startswith("src/NATION_1")]
+    return analysis.shown(n, e, files=paths, node_types=["function", "class"], text="1")[0].select("id")
+
+
+@query("shown_edges", "SELECT source, target, type FROM g_edges e WHERE type IN ('CALLS', 'CONTAINS') AND source IN (SELECT id FROM g_nodes WHERE contains(lower(name), '1')) AND target IN (SELECT id FROM g_nodes WHERE contains(lower(name), '1'))")
+def shown_edges(s, d):
+    return analysis.shown(*_graph(s, d), edge_types=["CALLS", "CONTAINS"], text="1")[1].select("source", "target", "type")
+
+
 @query("package_representative", "SELECT package, min(id) AS id FROM g_nodes WHERE NOT is_test GROUP BY package")
 def package_representative(s, d):
-    return T.nodes(s, d).filter("NOT is_test").groupBy("package").agg(F.min("id").alias("id"))
+    return analysis.representatives(T.nodes(s, d))
 
 
 @query("node_merge_bounds", "SELECT file_path, min(start_line) FILTER (start_line > 0) AS lo, max(end_line) AS hi FROM g_nodes GROUP BY file_path")

@@ -15,6 +15,9 @@ FOCUS = 5
 DIAGNOSTICS, TOP = 10, 10
 HINTS = {"HIGH": "check the callers", "MEDIUM": "check the public surface", "LOW": "a look is enough"}
 
+#: Stands, unseen, in a comment that we wrote.
+MARK = "<!-- cairnspark impact -->"
+
 Rows = list[dict[str, Any]]
 
 
@@ -139,3 +142,9 @@ def evaluation(of: dict[str, int], rankers: Rows) -> str:
     out.append(f"{'ranker':<10}" + "".join(f"{n:>10}" for n in names))
     out += [f"{r['ranker']:<10}" + "".join(f"{r[n]:>10.3f}" for n in names) for r in rankers]
     return "\n".join(out) + "\n"
+
+
+def comment(body: str, existing: Rows) -> tuple[str, Any]:
+    """What to post on a change whose comments (id, body) are given, and the id of the comment that it replaces: ours,
+    so that there is one; None for a new one."""
+    return f"{MARK}\n{body}", next((c["id"] for c in existing if MARK in (c.get("body") or "")), None)

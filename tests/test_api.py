@@ -33,6 +33,24 @@ def test_index_analyze_report(spark, tmp_path):
         api.analyze(spark, stored.nodes, stored.edges, DIFF, api.Settings(ignore=["core/**"]))
 
 
+def test_comments_and_diagnostics():
+    body, old = reports.comment("text", [{"id": 4, "body": "other"}, {"id": 7, "body": reports.MARK + " before"}])
+    assert old == 7 and reports.MARK in body and reports.comment("x", [])[1] is None
+    issues = [{"file": f"f{i}", "problem": "p"} for i in range(13)]
+    assert "and 3 more" in reports.text([], {}, issues) and "file: f9" in reports.markdown([], {}, issues=issues)
+
+
+def test_configuration_is_searched_upwards(tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    assert api.Settings.find(str(tmp_path / "a" / "b")) == (api.Settings(), [])
+    (tmp_path / ".cairnspark.yaml").write_text("max_depth: 3\ntop: -1\nignore: ['x/**']\nrisk: {high_callers: 4}\n")
+    s, warnings = api.Settings.find(str(tmp_path / "a" / "b"))
+    assert (s.max_depth, s.top, s.ignore, s.risk.high) == (3, 0, ["x/**"], 4) and len(warnings) == 1
+    (tmp_path / "a" / ".cairnspark.yml").write_text("{")
+    assert api.Settings.find(str(tmp_path / "a" / "b"))[0] == api.Settings() and api.Settings.find(str(tmp_path / "a"))[1]
+
+
 def test_settings():
     s, warnings = api.Settings.of({"max_depth": -1, "top": 3, "risk": {"high_callers": 7, "medium_callers": 0}})
     assert (s.max_depth, s.top, s.risk.high, s.risk.medium) == (5, 3, 7, 3) and len(warnings) == 2

@@ -58,3 +58,23 @@ def test_owners(spark):
     paths = spark.createDataFrame([("x/a.go",), ("internal/b.go",), ("c.js",), ("x/internal/d.js",)], "path string")
     assert {r.path: r.owners for r in history.owners(paths, rules).collect()} == {"x/a.go": ["@go"], "internal/b.go": ["@core", "@alice"], "c.js": None, "x/internal/d.js": None}
     assert [tuple(r) for r in history.reviewers(paths, rules).collect()] == [("@alice", 1), ("@core", 1), ("@go", 1)]
+
+
+def test_scip_with_sources(spark):
+    """Members that can't be called fall out, ends widen to the parsed ones, a call into another package imports its first file."""
+    run, field, method, there = "scip-go gomod app v1 `app`/Run().", "scip-go gomod app v1 `app`/T#field.", "scip-go gomod app v1 `app`/T#meth.", "scip-go gomod lib v1 `lib`/f()."
+    occurrence = lambda line, symbol, roles=0: {"range": [line, 5, 8], "symbol": symbol, "roles": roles, "enclosing": []}
+    a = [occurrence(0, run, 1), occurrence(3, there), occurrence(8, field, 1), occurrence(9, method, 1)]
+    rows = [("i", 0, "a.go", "go", a, []), ("i", 1, "lib/b.go", "go", [occurrence(1, there, 1)], []), ("i", 2, "lib/a.go", "go", [occurrence(1, there.replace("f()", "g()"), 1)], [])]
+    docs = spark.createDataFrame(rows, scip.SCHEMA)
+    lines = scip.source_lines(spark.createDataFrame([("a.go", b"func Run() {\n\n\n  f()\n\n}\n\n\nfield int\nfunc (t T) meth() {}")], "file_path string, content binary"))
+    parsed = spark.createDataFrame([("a.go", "go", [("Run", 1, 6)])], "file_path string, language string, functions array<struct<name:string,start_line:bigint,end_line:bigint>>")
+    nodes, edges = scip_build.build(docs, lines, parsed)
+    span = {r["name"]: (r["start_line"], r["end_line"]) for r in nodes.filter("type = 'function'").collect()}
+    assert span == {"Run": (1, 6), "meth": (10, 10), "f": (2, 2), "g": (2, 2)}
+    name = {r["id"]: r["file_path"] if r["type"] == "file" else r["name"] for r in nodes.collect()}
+    got = {(name[r["source"]], name[r["target"]], r["type"]) for r in edges.filter("type != 'CONTAINS'").collect()}
+    first = min(("lib/a.go", "lib/b.go"), key=lambda p: {v: k for k, v in name.items()}[p])
+    assert got == {("Run", "f", "CALLS"), ("a.go", first, "IMPORTS")}
+    assert {tuple(r) for r in scip.definitions_per_document(docs).collect()} == {("a.go", 3), ("lib/b.go", 1), ("lib/a.go", 1)}
+    assert {r["type"]: r["n"] for r in scip_build.edge_counts(edges).collect()}["CONTAINS"] == 4
