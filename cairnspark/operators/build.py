@@ -62,7 +62,10 @@ def nodes(files: DataFrame) -> DataFrame:
     """Files, functions and classes; of repeated ids one node."""
     cols = ["id", "type", "name", "file_path", "start_line", "end_line", "package", "language", "is_export", "is_test", "is_init"]
     no, zero = F.lit(False), F.lit(0).cast("long")
-    a = files.select(file_id(F.col("file_path")).alias("id"), F.lit("file").alias("type"), F.element_at(F.split("file_path", "/"), -1).alias("name"), "file_path", zero.alias("start_line"), zero.alias("end_line"), "package", "language", no.alias("is_export"), F.col("is_test_file").alias("is_test"), no.alias("is_init"))
+    a = files.select(
+        file_id(F.col("file_path")).alias("id"), F.lit("file").alias("type"), F.element_at(F.split("file_path", "/"), -1).alias("name"), "file_path",
+        zero.alias("start_line"), zero.alias("end_line"), "package", "language", no.alias("is_export"), F.col("is_test_file").alias("is_test"), no.alias("is_init"),
+    )
     b = functions(files).withColumn("type", F.lit("function")).withColumnRenamed("is_test_file", "is_test").select(*cols)
     c = classes(files).withColumn("type", F.lit("class")).withColumnRenamed("is_test_file", "is_test").withColumn("is_init", no).select(*cols)
     every = a.unionByName(b).unionByName(c)
@@ -74,7 +77,9 @@ def imports(files: DataFrame) -> DataFrame:
     i = files.select("file_path", "language", F.inline("imports"))
     known = files.select("file_path", "language", "is_test_file")
     go = known.filter("language = 'go' AND NOT is_test_file").select(folder(F.col("file_path")).alias("dir"), F.col("file_path").alias("id"))
-    a = i.filter("language = 'go'").join(R.longest_suffix_import(i.filter("language = 'go'").select(F.trim(F.col("path"), F.lit("/")).alias("path")), go).select(F.col("path").alias("p"), F.col("id").alias("target")), F.trim(F.col("path"), F.lit("/")) == F.col("p"), "left").drop("p")
+    asked, bare = i.filter("language = 'go'"), F.trim(F.col("path"), F.lit("/"))
+    met = R.longest_suffix_import(asked.select(bare.alias("path")), go).select(F.col("path").alias("p"), F.col("id").alias("target"))
+    a = asked.join(met, bare == F.col("p"), "left").drop("p")
 
     script = i.filter(F.col("language").isin(SCRIPT)).withColumn("from_dir", folder(F.col("file_path")))
     hit = R.relative_import(script.select("from_dir", "path").distinct(), known.select("file_path", F.col("file_path").alias("id"))).withColumnRenamed("id", "target")

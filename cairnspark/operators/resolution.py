@@ -96,7 +96,8 @@ def scope_of(refs: DataFrame, scopes: DataFrame) -> DataFrame:
     so_far = Window.partitionBy("file_path").orderBy("line", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = rows.withColumn("w", F.last("w", ignorenulls=True).over(so_far)).filter("kind = 1 AND w IS NOT NULL")
     now, prior = F.col("w.s"), F.coalesce(F.col("w.before"), empty)
-    pick = F.when(now["x"] != F.col("target"), F.struct(now["at"].alias("at"), now["x"].alias("id"))).when(now["y"].isNotNull(), F.struct(now["at"].alias("at"), now["y"].alias("id"))).otherwise(F.struct(prior["at"].alias("at"), prior["x"].alias("id")))
+    take = lambda line, id_: F.struct(line.alias("at"), id_.alias("id"))
+    pick = F.when(now["x"] != F.col("target"), take(now["at"], now["x"])).when(now["y"].isNotNull(), take(now["at"], now["y"])).otherwise(take(prior["at"], prior["x"]))
     lines = seen.select("ref", "file_path", pick.alias("p")).filter("p.id IS NOT NULL")
     lines = lines.select("ref", "file_path", F.struct((-F.col("p.at")).alias("s"), F.col("p.at").alias("e"), F.col("p.id").alias("i")).alias("m"))
     return inside.unionByName(lines).groupBy("ref", "file_path").agg(F.min("m").alias("m")).select("ref", "file_path", F.col("m.i").alias("scope"))

@@ -94,7 +94,10 @@ def build(docs: DataFrame, lines: DataFrame | None = None, parsed: DataFrame | N
     no, zero = F.lit(False), F.lit(0)
     cols = ["id", "type", "name", "file_path", "start_line", "end_line", "package", "language", "is_export", "is_test", "is_init"]
     f = mine.groupBy("file_path").agg(F.min("language").alias("language"))
-    files = f.select(file_id(F.col("file_path")).alias("id"), F.lit("file").alias("type"), F.element_at(F.split("file_path", "/"), -1).alias("name"), "file_path", zero.alias("start_line"), zero.alias("end_line"), F.lit("").alias("package"), "language", no.alias("is_export"), is_test(F.col("file_path")).alias("is_test"), no.alias("is_init"))
+    files = f.select(
+        file_id(F.col("file_path")).alias("id"), F.lit("file").alias("type"), F.element_at(F.split("file_path", "/"), -1).alias("name"), "file_path",
+        zero.alias("start_line"), zero.alias("end_line"), F.lit("").alias("package"), "language", no.alias("is_export"), is_test(F.col("file_path")).alias("is_test"), no.alias("is_init"),
+    )
     export = F.col("name").rlike("^[A-Z]")
     nodes = files.unionByName(defs.withColumn("is_export", export).withColumn("is_init", no).select(*cols))
 

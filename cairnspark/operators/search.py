@@ -77,6 +77,8 @@ def adjacency(edges: DataFrame) -> DataFrame:
     """Per node of a call: its callers and callees as sorted distinct lists. Lists grow with a node's degree: for reports over
     a part of a graph, not for joins (see neighbours)."""
     calls = edges.filter("type = 'CALLS'")
-    ends = F.array(F.struct(F.col("target").alias("id"), F.col("source").alias("caller"), F.lit(None).cast("string").alias("callee")), F.struct(F.col("source").alias("id"), F.lit(None).cast("string").alias("caller"), F.col("target").alias("callee")))
+    none = F.lit(None).cast("string")
+    end = lambda of, caller, callee: F.struct(F.col(of).alias("id"), caller.alias("caller"), callee.alias("callee"))
+    ends = F.array(end("target", F.col("source"), none), end("source", none, F.col("target")))
     rows = calls.select(F.explode(ends).alias("e")).select("e.*")
     return rows.groupBy("id").agg(F.sort_array(F.collect_set("caller")).alias("callers"), F.sort_array(F.collect_set("callee")).alias("callees"))

@@ -69,7 +69,8 @@ def load_json(spark: SparkSession, path: str) -> Stored:
     zero = {"string": "", "bigint": 0, "boolean": False}
     nodes = doc.select(F.inline("nodes"))
     nodes = nodes.na.fill({c: zero[t] for c, t in nodes.dtypes})
-    edges = doc.select(F.posexplode("edges").alias("edge_ord", "e")).select("e.*", F.col("edge_ord").cast("long").alias("edge_ord")).withColumn("confidence", F.coalesce(F.nullif("confidence", F.lit("")), F.lit("EXACT")))
+    edges = doc.select(F.posexplode("edges").alias("edge_ord", "e")).select("e.*", F.col("edge_ord").cast("long").alias("edge_ord"))
+    edges = edges.withColumn("confidence", F.coalesce(F.nullif("confidence", F.lit("")), F.lit("EXACT")))
     row = doc.select("commit", "repo_remote", "root_path").first()
     return Stored(nodes, edges, *((x or "") for x in (row or ("", "", ""))))
 

@@ -1,5 +1,3 @@
-import random
-
 import pytest
 from oracle import assert_matches
 
@@ -60,27 +58,29 @@ def test_parse_unified():
     assert diffs.parse_unified(None) == diffs.parse_unified("") == []
 
 
-def fold(body, line):
-    """The plain state machine that touched() must equal."""
-    out, start, gone = [], None, None
-    for row in [*body, " "]:
-        sign = row[:1]
-        if sign == "+":
-            gone, start, line = None, line if start is None else start, line + 1
-        elif sign != "\\":
-            if start is not None:
-                out.append((start, line - 1))
-            start = None
-            if sign == "-":
-                gone = line if gone is None else gone
-            else:
-                out += [(gone, gone)] if gone is not None else []
-                gone, line = None, line + 1
-    return out
-
-
-def test_touched_equals_a_fold():
-    rng = random.Random(1)
-    for _ in range(500):
-        body = [rng.choice("+- \\") + "x" for _ in range(rng.randrange(12))]
-        assert diffs.touched(body, 5) == fold(body, 5), body
+@pytest.mark.parametrize(
+    "signs, want",
+    [
+        ("", []),
+        ("  ", []),
+        ("+", [(5, 5)]),
+        ("++", [(5, 6)]),
+        ("-", [(5, 5)]),
+        ("--", [(5, 5)]),
+        (" -", [(6, 6)]),
+        (" - ", [(6, 6)]),
+        ("-+", [(5, 5)]),
+        ("--++", [(5, 6)]),
+        ("+-", [(5, 5), (6, 6)]),
+        ("+--+", [(5, 5), (6, 6)]),
+        (" + +", [(6, 6), (8, 8)]),
+        ("- -", [(5, 5), (6, 6)]),
+        ("+\\+", [(5, 6)]),
+        ("-\\+", [(5, 5)]),
+        ("-\\ ", [(5, 5)]),
+        (" ++ -- -+ ", [(6, 7), (9, 9), (10, 10)]),
+    ],
+)
+def test_touched_lines(signs, want):
+    """From line 5 on: runs of added lines, and the place of removed ones that no added line follows."""
+    assert diffs.touched([c + "x" for c in signs], 5) == want
