@@ -133,6 +133,7 @@ def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
         for b in K.pieces(batches, text_col):
             texts = K.blobs(b.column(text_col))
             n = count_texts(load(path), texts)
-            yield pa.RecordBatch.from_arrays([b.column(id_col).cast(pa.int64()), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            columns = [b.column(id_col).cast(pa.int64()), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from cairnspark.llm.shared import drop_staged, staged
 
 #: Candidates that the classifier is fitted on at most.
-SAMPLE_SPANS = 20_000
+SAMPLE_SPANS = 5_000
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that only the method finds.
 MORE_KINDS = ("secret",)
