@@ -32,8 +32,9 @@ _BLOCK = 1 << 14
 
 
 def _layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts in one buffer, each padded with zeros to whole half chunks and past its last filter."""
-    n = np.array([-(-(len(t) + _WIDE) // _HALF) for t in texts], np.int64)
+    """Texts in one buffer, each padded with zeros to whole half chunks and past its last filter, and then by a half chunk that
+    belongs to none: the filters at a text's end must not see the next one."""
+    n = np.array([-(-(len(t) + _WIDE) // _HALF) + 1 for t in texts], np.int64)
     at = np.append(0, np.cumsum(n))
     buf = np.zeros(int(at[-1]) * _HALF + _WIDE, np.uint8)
     for t, k in zip(texts, at[:-1].tolist(), strict=True):
@@ -80,8 +81,9 @@ class Network:
 
     @staticmethod
     def chunks(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each chunk's first and second half, and the chunks before each text; one half alone is a chunk."""
-        n = np.diff(at)
+        """Each chunk's first and second half, and the chunks before each text; one half alone is a chunk. The last half of
+        a text's layout is none."""
+        n = np.diff(at) - 1
         count = np.maximum(1, n - 1)
         start = np.append(0, np.cumsum(count))
         first = np.repeat(at[:-1] - start[:-1], count) + np.arange(start[-1])

@@ -26,9 +26,10 @@ def rows_of(df, *columns):
     return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
 
 
-def test_quality_query_scores_each_text_by_itself(spark):
+def test_quality_query_scores_each_text_by_itself(spark, monkeypatch):
     docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     net = op1_quality.train(docs, labels)
+    monkeypatch.setattr(op1_quality, "train", lambda *_: net)  # sums of floats in another order would train a slightly other one
     want = {}
     for r in documents(spark):
         s = net.score([(r["text"] or "").encode()])[0]
