@@ -11,11 +11,12 @@ from cairnspark.operators.traversal import blast_radius, caller_counts, with_pat
 from cairnspark.staging import staged
 
 
-def affected(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = 5, thresholds: scoring.Thresholds = scoring.Thresholds(), paths: bool = False) -> DataFrame:
+def affected(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = 5, thresholds: scoring.Thresholds = scoring.Thresholds(), paths: bool = False, stage: bool = True) -> DataFrame:
     """Functions in the blast radius beside the seeds, with callers, risk, reason and score; with paths, also path and edge_path.
 
-    Nodes and edges are read several times, so they are staged first."""
-    nodes, edges = staged(nodes, "nodes"), staged(edges, "edges")
+    Nodes and edges are read several times, so they are staged first; stage=False for tables that are stored as they are."""
+    if stage:
+        nodes, edges = staged(nodes, "nodes"), staged(edges, "edges")
     radius = staged(blast_radius(nodes, edges, seeds, max_depth, paths=False), "radius")
     calls = caller_counts(nodes, edges).withColumnRenamed("target", "id")
     out = radius.filter("depth > 0").drop("place").join(nodes.filter("type = 'function'").select("id", "name", "is_export", "is_test"), "id")

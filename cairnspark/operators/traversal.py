@@ -4,7 +4,7 @@ Each level joins the frontier with the edges, drops what was seen, and keeps one
 pre-aggregated minimum of (place of the parent in the queue, order of the edge). In a blast radius, whose depth is
 bounded, a place is the list of the orders of the edges taken, so no level is sorted at all. A shortest path has no bound: its
 levels are numbered in the order of the queue, by ranges and not in one task. Levels carry a parent each, not
-paths: those are rebuilt at the end, for the nodes that are asked for. The edges are staged once, by what the loop joins on.
+paths: those are rebuilt at the end, for the nodes that are asked for. The edges that the loop joins are staged once.
 
 The order of edges is their column edge_ord, where there is one (see graph_store); else type, source, target.
 """
@@ -42,7 +42,7 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth
     Seeds that aren't nodes are left out; a node's confidence is the weakest along the way that reached it first."""
     max_depth = max_depth if max_depth > 0 else DEFAULT_DEPTH
     inside = traversal_edges(nodes, edges).join(nodes.select(F.col("id").alias("source")), "source", "left_semi")
-    back = staged(inside.select("target", "source", "type", "confidence", edge_order(inside).alias("o")).repartition("target").sortWithinPartitions("target"), "edges")
+    back = staged(inside.select("target", "source", "type", "confidence", edge_order(inside).alias("o")), "edges")
     order = F.min("seed_ord") if "seed_ord" in seeds.columns else F.lit(0)
     start = seeds.groupBy("id").agg(order.cast("long").alias("first")).join(nodes.select("id"), "id", "left_semi")
     null, blank = F.lit(None).cast("string"), F.lit("")
@@ -91,7 +91,7 @@ def shortest_path(edges: DataFrame, source: str, target: str, reverse: bool = Fa
     spark = edges.sparkSession
     calls = edges.filter("type = 'CALLS'")
     step = calls.select(F.col("target" if reverse else "source").alias("at"), F.col("source" if reverse else "target").alias("to"), edge_order(calls).alias("o"))
-    step = staged(step.repartition("at").sortWithinPartitions("at"), "edges")
+    step = staged(step, "edges")
     frontier = staged(spark.createDataFrame([(source, None, 1)], "id string, parent string, place long"), "level")
     levels, seen = [frontier], frontier.select("id")
     while True:

@@ -63,6 +63,12 @@ def _graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return T.nodes(s, d), T.edges(s, d)
 
 
+def _stored(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The graph staged, for what reads it several times."""
+    n, e = _graph(s, d)
+    return staged(n, "nodes"), staged(e, "edges")
+
+
 @query("scan_filter_language", "SELECT id, name, language FROM g_nodes WHERE type = 'function' AND language IN ('go', 'typescript')")
 def scan_filter_language(s, d):
     return T.nodes(s, d).filter("type = 'function' AND language IN ('go', 'typescript')").select("id", "name", "language")
@@ -116,7 +122,7 @@ def hotspot_risk_tiers(s, d):
 
 @query("blast_radius_depth", "SELECT id, CAST(depth AS BIGINT) AS depth FROM g_depth")
 def blast_radius_depth(s, d):
-    n, e = _graph(s, d)
+    n, e = _stored(s, d)
     return traversal.blast_radius(n, e, _seed(n, e), paths=False).select("id", F.col("depth").cast("long").alias("depth"))
 
 
@@ -132,19 +138,19 @@ _RANK = "ORDER BY score DESC, CASE risk WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1
 
 
 def _affected(s, d):
-    n, e = _graph(s, d)
-    return analysis.affected(n, e, _seed(n, e))
+    n, e = _stored(s, d)
+    return analysis.affected(n, e, _seed(n, e), stage=False)
 
 
 @query("blast_radius_confidence", _AFFECTED + "SELECT id, CAST(depth AS BIGINT) AS depth, confidence FROM g_first")
 def blast_radius_confidence(s, d):
-    n, e = _graph(s, d)
+    n, e = _stored(s, d)
     return traversal.blast_radius(n, e, _seed(n, e), paths=False).select("id", F.col("depth").cast("long").alias("depth"), "confidence")
 
 
 @query("impact_path", _AFFECTED + "SELECT id, array_to_string(list_transform(place, lambda x: CASE WHEN contains(x, chr(1)) THEN split_part(x, chr(1), 2) ELSE x END), ' -> ') AS path FROM g_first WHERE depth > 0")
 def impact_path(s, d):
-    n, e = _graph(s, d)
+    n, e = _stored(s, d)
     return traversal.blast_radius(n, e, _seed(n, e)).filter("depth > 0").select("id", F.array_join("path", " -> ").alias("path"))
 
 
@@ -177,8 +183,7 @@ SELECT array_to_string(path, ' -> ') AS path, CAST(len(path) - 1 AS BIGINT) AS l
 
 
 def _path(s, d, reverse):
-    n, e = _graph(s, d)
-    n, e = staged(n, "nodes"), staged(e, "edges")
+    n, e = _stored(s, d)
     seed = _seed(n, e).first()["id"]
     calls = e.filter("type = 'CALLS'").select("source", "target")
     direct = calls.filter(F.col("target") == seed).select("source")
