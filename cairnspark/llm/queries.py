@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnspark.llm import op1_quality, op2_decontaminate, op3_near_dedup, op4_exact_dedup, op5_lm_score, op6_token_files, op7_token_counts, op8_chat_format, op9_pii, op10_sentencepiece
+from cairnspark.llm import op1_quality, op2_decontaminate, op3_near_dedup, op4_exact_dedup, op5_lm_score, op6_token_files, op7_token_counts, op8_chat_format, op9_pii, op10_sentencepiece, op11_line_dedup, op12_fill_middle, op13_periodic_runs
 from cairnspark.llm.shared import table
 
 
@@ -52,6 +52,18 @@ def op10_sentencepiece_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_sentencepiece.encode_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_middle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_periodic_runs.digests(op13_periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), planted=True))
+
+
 QUERIES = {
     "op1_quality": op1_quality_query,
     "op2_decontaminate": op2_decontaminate_query,
@@ -63,9 +75,14 @@ QUERIES = {
     "op8_chat_format": op8_chat_format_query,
     "op9_pii": op9_pii_query,
     "op10_sentencepiece": op10_sentencepiece_query,
+    "op11_line_dedup": op11_line_dedup_query,
+    "op12_fill_middle": op12_fill_middle_query,
+    "op13_periodic_runs": op13_periodic_runs_query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": op2_decontaminate.SQL,
     "op4_exact_dedup": op4_exact_dedup.SQL,
     "op8_chat_format": op8_chat_format.SQL,
+    "op11_line_dedup": op11_line_dedup.SQL,
+    "op12_fill_middle": op12_fill_middle.SQL,
 }
