@@ -23,6 +23,8 @@ from cairnspark.llm.shared import parts, staged
 
 #: Bytes of text whose keys one range has: at least so many, at most so many, and else a share of all.
 RANGE_BYTES, RANGE_MOST, RANGE_SHARE = 8 << 20, 24 << 20, 4096
+#: What a row of a chunk counts beside its text.
+ROW_BYTES = 64
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -32,7 +34,7 @@ def ranges_of(text_bytes: int) -> int:
 
 def tagged(rows: DataFrame, limit: int, text_bytes: int) -> DataFrame:
     """rows, one of whose columns is t (text_bytes in all), staged with row (a number of its own) and chunk (the row of its
-    chunk's first). A chunk has limit bytes of text, or one row."""
+    chunk's first). A chunk has limit bytes of text, a row counting ROW_BYTES more, or one row."""
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,7 +48,7 @@ def tagged(rows: DataFrame, limit: int, text_bytes: int) -> DataFrame:
                 if used + n > limit and used:
                     chunk, used = at + k, 0
                 chunks[k] = chunk
-                used += n
+                used += n + ROW_BYTES
             yield pa.RecordBatch.from_arrays([pa.array(chunks), pa.array(own), *b.columns], names=["chunk", "row", *names])
             at += b.num_rows
 

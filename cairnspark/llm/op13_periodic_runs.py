@@ -24,90 +24,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnspark.llm import suffixes as S
 from cairnspark.llm import textkernel as K
 
 #: A run has so many words at least, and so many periods.
 WORDS, PERIODS = 6, 4
 _GRAM = WORDS - 1
-#: Leaves walked at once, and cells compared at once.
+#: Leaves walked at once.
 LEAVES = 1 << 20
-_CELLS = 1 << 18
 PIECE_BYTES = 3 << 20
 
 
-def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Places of s in the order of their suffixes. The last number of s must be one that comes once."""
-    n = len(s)
-    order = np.argsort(s, kind="stable")
-    rank = np.empty(n, np.int64)
-    live, key, h = np.arange(n), s[order], 0
-    while len(live):
-        if h:
-            i = order[live]
-            key = rank[i] * n + rank[i + h]
-            turn = np.argsort(key)
-            order[live], key = i[turn], key[turn]
-        new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        size = np.diff(np.append(new, len(live)))
-        rank[order[live]] = np.repeat(live[new], size)
-        live = live[np.repeat(size > 1, size)]
-        h = h * 2 or 1
-    return order
-
-
-def agreeing(s: np.ndarray, a: np.ndarray, b: np.ndarray, step: int) -> np.ndarray:
-    """How many numbers are alike from a and from b on, forwards (1) or backwards (-1). Both ends of s have numbers that come once."""
-    out = np.zeros(len(a), np.int64)
-    for lo in range(0, len(a), _CELLS):
-        live, width = np.arange(lo, min(lo + _CELLS, len(a))), 1
-        while len(live):
-            at = out[live, None] + np.arange(width)
-            ends = np.clip(a[live, None] + step * at, 0, len(s) - 1), np.clip(b[live, None] + step * at, 0, len(s) - 1)
-            differ = s[ends[0]] != s[ends[1]]
-            found = differ.any(1)
-            out[live] += np.where(found, differ.argmax(1), width)
-            live = live[~found]
-            width = min(width * 4, max(1, _CELLS // max(1, len(live))))
-    return out
-
-
-def common_prefixes(s: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Of each suffix in the order, the numbers that it shares with the one before; -1 for the first and one past the end.
-
-    A suffix whose pair is its left neighbour's pair moved by one shares one number less than that; only the others are compared."""
-    n = len(s)
-    before = np.full(n, -1)
-    before[order[1:]] = order[:-1]
-    own = np.arange(n)
-    known = (own > 0) & (before > 0)
-    known[known] = s[own[known] - 1] == s[before[known] - 1]
-    ask = np.flatnonzero(~known & (before >= 0))
-    shared = np.full(n, -1)
-    shared[ask] = agreeing(s, ask, before[ask], 1)
-    since = np.maximum.accumulate(np.where(known, 0, own))
-    shared = np.where(known, shared[since] + since - own, shared)
-    return np.append(shared[order], -1)
-
-
-def _smaller_before(v: np.ndarray) -> np.ndarray:
-    """The last place before each with a smaller value, 0 if there is none."""
-    at = np.maximum(np.arange(len(v)) - 1, 0)
-    live = np.arange(1, len(v))
-    while len(live):
-        c = at[live]
-        more = (v[c] >= v[live]) & (c > 0)
-        live, c = live[more], c[more]
-        at[live] = at[c]
-    return at
-
-
 def repeats(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and periods of the branching tandem repeats that two more repeats of their word precede."""
-    order = suffix_array(s)
-    n, lcp = len(s), common_prefixes(s, order)
+    order = S.suffix_array(s)
+    n, lcp = len(s), S.common_prefixes(s, order)
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
-    lo, hi = _smaller_before(lcp), n - _smaller_before(lcp[::-1])[::-1]
+    lo, hi = S.smaller_before(lcp), n - S.smaller_before(lcp[::-1])[::-1]
     cut = np.flatnonzero((lcp[:n] > 0) & (hi[:n] - lo[:n] >= PERIODS))  # where children of a node meet
     if not len(cut):
         return cut, cut
@@ -156,7 +90,7 @@ def runs(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         head = np.append(True, end[1:] != end[:-1])  # the least period of each end
         e, d = end[head], period[head]
         begin = e - 2 * d
-        begin = begin - agreeing(s, begin - 1, begin + d - 1, -1)
+        begin = begin - S.agreeing(s, begin - 1, begin + d - 1, -1)
         out.append((begin, e - begin, d))
         k = np.cumsum(head) - 1
         rest = ~head & ((period % d[k] != 0) | (end - 2 * period < begin[k]))

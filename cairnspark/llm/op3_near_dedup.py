@@ -45,6 +45,8 @@ BLOCK, BLOCK_BYTES = 1024, 2 << 20
 #: Bytes of text handled at once.
 PIECE_BYTES = 3 << 20
 _HASH_BITS = 50
+#: Texts whose numbers fit above the hash, and one more.
+_TEXTS = (1 << (64 - _HASH_BITS)) - 1
 _CACHED = 1 << 16
 _LOW = np.uint64(0xFFFFFFFF)
 #: Type of a node: 126 bits of a hash of the word sequence (or of the bytes, without words).
@@ -53,7 +55,18 @@ _NODE = "decimal(38,0)"
 
 def shingles(texts: list[bytes | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles (50-bit hashes) by text, ascending; their counts; where each text begins; and two
-    64-bit hashes of each text's word sequence (of its bytes, if it has no word)."""
+    64-bit hashes of each text's word sequence (of its bytes, if it has no word). Any number of texts."""
+    parts = [_shingles(texts[lo : lo + _TEXTS], size) for lo in range(0, max(1, len(texts)), _TEXTS)]
+    if len(parts) == 1:
+        return parts[0]
+    keys, tf, starts, same = zip(*parts, strict=True)
+    before = np.append(0, np.cumsum([len(k) for k in keys]))
+    starts = [s[:-1] + b for s, b in zip(starts, before, strict=False)]
+    return np.concatenate(keys), np.concatenate(tf), np.concatenate([*starts, before[-1:]]), np.concatenate(same)
+
+
+def _shingles(texts: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """shingles of at most _TEXTS texts: text and hash are one number, so one sort does."""
     h, at = K.word_stream(texts, K.ALNUM)
     n = np.diff(at)
     count = np.where(n == 0, 0, np.maximum(1, n - size + 1))
@@ -304,8 +317,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     drop_staged(answers)
     del met
     forget_shuffles(spark)
-    copies = staged(signed.groupBy("node").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "copies", ids)
-    single = signed.join(copies.select("node", "rep").hint("shuffle_hash"), "node", "left").filter("rep IS NULL OR rep = row")  # a row a node
+    copies = staged(signed.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "copies", ids)
+    # a row a node: rows alone with their node stay where they are, of the others only the one that stands for it
+    split = prefilter.marked(signed, F.col("node").cast("string"), staged(prefilter.bitmap(copies.select(F.col("node").cast("string").alias("node")), "node"), "bits", prefilter.BITS // 8))
+    some = split.filter("__cairn_maybe").drop("__cairn_maybe")
+    first = some.groupBy("node").agg(F.min("row").alias("row")).select("row")
+    single = split.filter("NOT __cairn_maybe").drop("__cairn_maybe").unionByName(some.join(first.hint("shuffle_hash"), "row", "left_semi"))
+    single = staged(single.select("node", "row", "sig", "df"), "singles")
     banded = single.filter(F.octet_length("sig") > 0).select("node", F.posexplode(_bands(F.col("sig"))).alias("k", "b"))
     shared = staged(banded.groupBy("b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets", ids)
     every = staged(banded.join(shared.hint("shuffle_hash"), "b"), "members", ids)
@@ -390,7 +408,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rooted = signed.select("doc_id", "node", "text_md5").join(roots.withColumnRenamed("id", "node").hint("shuffle_hash"), "node", "left")
     rooted = staged(rooted.select("doc_id", "text_md5", F.coalesce("root", "node").alias("root")), "classed", ids)
     classes = staged(rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", "class_id"), "classes", ids)
-    drop_staged(signed, copies, shared, every, degree, distinct, members, heads, pairs, bodies, links, roots, mixed, rest, cut, marks)
+    drop_staged(signed, single, copies, shared, every, degree, distinct, members, heads, pairs, bodies, links, roots, mixed, rest, cut, marks)
     out = rooted.join(classes.hint("shuffle_hash"), "root", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     out = out.select("doc_id", "class_id", (F.col("class_id") == F.col("doc_id")).alias("kept"), "text_md5")
     bare = docs.filter(F.col(f"`{id_col}`").cast("long").isNull())

@@ -291,3 +291,80 @@ def test_span_classifier_learns_from_soft_labels():
     model = op9_pii.SpanClassifier.train(np.array([x for _, x in spans]), np.array([y for y, _ in spans]))
     assert all((model.probability(x) >= 0.5) == (y == 1) for y, x in spans)
     assert re.search("never sees a vote", op9_pii.__doc__)
+
+
+def short_rows():
+    """40,000 short texts, each other one a copy of the one before with another case; 20,000 nulls and empty texts; 70,000 rows of one word; a near pair."""
+    short = [(k, f"short text number {k // 2} of many short texts" + ("" if k % 2 else " ").upper()) for k in range(40_000)]
+    bare = [(100_000 + k, None if k % 2 else "") for k in range(20_000)]
+    word = [(200_000 + k, "word" if k % 3 else "WORD") for k in range(70_000)]
+    return short + bare + word + [(300_000, WORDS), (300_001, WORDS + " end")]
+
+
+def short_classes(i):
+    return i // 2 * 2 if i < 40_000 else 100_000 if i < 200_000 else 200_000 if i < 300_000 else 300_000
+
+
+def test_shingles_of_many_texts_in_one_call():
+    texts = [b"a b c d e f"] + [b""] * 16_383 + [b"a b c d e g", None] * 10_000
+    s, tf, at, same = op3_near_dedup.shingles(texts)
+    assert np.diff(at).tolist() == [2] + [0] * 16_383 + [2, 0] * 10_000 and len(s) == len(tf) == at[-1] and len(same) == len(texts)
+    assert set(s[at[0] : at[1]]) & set(s[at[-3] : at[-2]]) and (s[at[16_384] : at[16_385]] == s[at[-3] : at[-2]]).all()
+
+
+def test_near_classes_of_many_short_rows(spark):
+    import corpus_pipeline as P
+
+    docs = spark.createDataFrame(short_rows(), "doc_id long, text string").coalesce(2)
+    got = {r["doc_id"]: r["class_id"] for r in op3_near_dedup.near_classes(docs).collect()}
+    assert len(got) == 130_002 and all(c == short_classes(i) for i, c in got.items())
+    kept = {r["doc_id"] for r in P.near_dedup(spark, docs, SMALL).select("doc_id").collect()}
+    assert kept == {short_classes(i) for i in got}
+
+
+def test_repeated_words_are_not_paired():
+    """A text and an item of one repeated word: as many occurrences as words, and memory in proportion."""
+    import tracemalloc
+
+    block = op2_decontaminate.Block.build(["a"], [b"word " * 400])
+    from cairnspark.llm import textkernel as K
+
+    hashes, at = K.word_stream([b"word " * 24_000], K.ALNUM)
+    tracemalloc.start()
+    hit, pairs, longest = op2_decontaminate.match_shard(hashes, at, block, 13)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert hit.all() and pairs.tolist() == [[0, 0]] and longest == {0: (-400, 0, "a", 0)} and peak < 100 << 20
+
+
+def test_matches_of_random_words():
+    """Words hit, items and longest matches against all pairs of places."""
+    import random
+
+    from cairnspark.llm import textkernel as K
+
+    rng = random.Random(4)
+    for _ in range(120):
+        many, window = rng.choice([1, 2, 3, 30]), rng.choice([2, 3, 5, 13])
+        source = [f"w{rng.randrange(many)}" for _ in range(60)]
+        piece = lambda: source[(o := rng.randrange(50)) : o + rng.randrange(30)]
+        texts, items = ([piece() + piece() for _ in range(rng.randrange(1, 5))] for _ in range(2))
+        names = [rng.choice("abc") + str(k) for k in range(len(items))]
+        want_hit, want_pairs, want = [], set(), {}
+        for i, t in enumerate(texts):
+            hit = [False] * len(t)
+            for k, x in enumerate(items):
+                m = min(window, len(x))
+                for p in range(len(t) - m + 1 if x else 0):
+                    for o in (o for o in range(len(x) - m + 1) if t[p : p + m] == x[o : o + m]):
+                        hit[p : p + m] = [True] * m
+                        want_pairs.add((i, k))
+                        n = m
+                        while p + n < len(t) and o + n < len(x) and t[p + n] == x[o + n]:
+                            n += 1
+                        want[i] = min(want.get(i, (0,)), (-n, p, names[k], o))
+            want_hit += hit
+        block = op2_decontaminate.Block.build(names, [" ".join(x).encode() for x in items])
+        hashes, at = K.word_stream([" ".join(x).encode() for x in texts], K.ALNUM)
+        hit, pairs, longest = op2_decontaminate.match_shard(hashes, at, block, window)
+        assert (hit.tolist(), [tuple(x) for x in pairs.tolist()], longest) == (want_hit, sorted(want_pairs), want)

@@ -16,6 +16,7 @@ from cairnspark.llm import op11_line_dedup as lines
 from cairnspark.llm import op12_fill_middle as fim
 from cairnspark.llm import op13_periodic_runs as runs
 from cairnspark.llm import queries
+from cairnspark.llm import suffixes as S
 from cairnspark.llm import textkernel as K
 
 MORE = [
@@ -192,10 +193,10 @@ def test_tree_parts_by_brute_force():
     for n in (1, 2, 30, 90):
         s = np.append(np.append(99, rng.integers(0, 2, n)), 100)
         suffixes = sorted(range(len(s)), key=lambda i: s[i:].tolist())
-        order = runs.suffix_array(s)
+        order = S.suffix_array(s)
         assert order.tolist() == suffixes
         shared = lambda a, b: next(k for k in range(len(s)) if a + k >= len(s) or b + k >= len(s) or s[a + k] != s[b + k])
-        assert runs.common_prefixes(s, order).tolist() == [-1, *(shared(a, b) for a, b in zip(suffixes, suffixes[1:], strict=False)), -1]
+        assert S.common_prefixes(s, order).tolist() == [-1, *(shared(a, b) for a, b in zip(suffixes, suffixes[1:], strict=False)), -1]
 
 
 def test_long_periodic_texts():
