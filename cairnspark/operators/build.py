@@ -3,6 +3,10 @@
 Definitions are aggregated per lookup key (how many, the least id) before anything joins them, and a call site asks
 for at most thirteen keys, one a tier: one equi-join and one aggregation resolve all sites, and a name that a million
 files define costs one row. The first tier that knows its key decides; if it knows several targets, the site is ambiguous.
+
+Edges have an order, edge_ord from 1 on, which traversals follow: by pass (what files contain; methods and bases; imports;
+calls), in it by file path, then by place in the file. An edge that comes several times has its first place. The numbers are
+given by ranges (see ranking) and are as good as rows: Parquet and JSON keep them.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnspark.functions import paths as P
+from cairnspark.operators import ranking
 from cairnspark.operators import resolution as R
 
 SCRIPT = ["javascript", "typescript"]
@@ -54,7 +59,8 @@ def functions(files: DataFrame) -> DataFrame:
 
 
 def classes(files: DataFrame) -> DataFrame:
-    c = files.select("file_path", "language", "package", "is_test_file", F.inline("classes"))
+    """One row a class, in the order of its file (ord)."""
+    c = files.select("file_path", "language", "package", "is_test_file", F.posexplode("classes").alias("ord", "c")).select("file_path", "language", "package", "is_test_file", "ord", "c.*")
     return c.withColumn("id", class_id(F.col("file_path"), F.col("name")))
 
 
@@ -73,8 +79,8 @@ def nodes(files: DataFrame) -> DataFrame:
 
 
 def imports(files: DataFrame) -> DataFrame:
-    """Every import with the file it means: file_path, language, path, alias, symbol, line, target (null: outside)."""
-    i = files.select("file_path", "language", F.inline("imports"))
+    """Every import with the file it means: file_path, language, path, alias, symbol, line, ord (its place in the file), target (null: outside)."""
+    i = files.select("file_path", "language", F.posexplode("imports").alias("ord", "i")).select("file_path", "language", "ord", "i.*")
     known = files.select("file_path", "language", "is_test_file")
     go = known.filter("language = 'go' AND NOT is_test_file").select(folder(F.col("file_path")).alias("dir"), F.col("file_path").alias("id"))
     asked, bare = i.filter("language = 'go'"), F.trim(F.col("path"), F.lit("/"))
@@ -165,7 +171,26 @@ def callers(files: DataFrame, sites: DataFrame) -> DataFrame:
     asked = sites.filter("target IS NOT NULL")
     held = R.holding(asked.select("file_path", "site", "line"), f).groupBy("file_path", "site").agg(F.min(F.struct("ord", "fid")).alias("o"))
     one = asked.join(held, ["file_path", "site"], "left")
-    return one.select(F.coalesce("o.fid", file_id(F.col("file_path"))).alias("source"), "target", F.col("status").alias("confidence"))
+    return one.select(F.coalesce("o.fid", file_id(F.col("file_path"))).alias("source"), "target", F.col("status").alias("confidence"), "file_path", "site")
+
+
+#: Where an edge is emitted: the pass, the file, the part of the file that the pass takes, the place in it, and the place in that.
+PLACE = ["step", "file", "part", "n", "m"]
+
+
+def place(step: int, file: Column, part: int | Column, n: Column, m: Column | None = None) -> Column:
+    part = part if isinstance(part, Column) else F.lit(part)
+    parts = (F.lit(step), file, part.cast("int"), n.cast("long"), F.lit(0).cast("long") if m is None else m.cast("long"))
+    return F.struct(*(x.alias(name) for x, name in zip(parts, PLACE, strict=True)))
+
+
+def in_order(edges: DataFrame) -> DataFrame:
+    """edges: source, target, type, confidence, at (see place). One row an edge, EXACT if it is anywhere, numbered in the order
+    of their first places, with ties by source and target: edge_ord. Staged."""
+    one = edges.groupBy("source", "target", "type").agg(F.min("confidence").alias("confidence"), F.min("at").alias("at"))
+    one = one.select("source", "target", "type", "confidence", *(F.col(f"at.{c}").alias(f"at_{c}") for c in PLACE))
+    order = [*(F.col(f"at_{c}") for c in PLACE), F.col("source"), F.col("target"), F.col("type")]
+    return ranking.numbered(one, order, "edge_ord").select("source", "target", "type", "confidence", "edge_ord")
 
 
 def file_metadata(files: DataFrame) -> DataFrame:
@@ -191,32 +216,36 @@ def build(files: DataFrame) -> Graph:
     f, c = functions(files), classes(files)
     bound = imports(files)
     sites = call_sites(files, bound)
-    calls = callers(files, sites).groupBy("source", "target").agg(F.min("confidence").alias("confidence")).withColumn("type", F.lit("CALLS"))
 
-    def edge(df: DataFrame, source, target, kind, confidence=None) -> DataFrame:
-        return df.select(source.alias("source"), target.alias("target"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("type"), (F.lit("EXACT") if confidence is None else confidence).alias("confidence"))
+    def edge(df: DataFrame, source, target, kind, at: Column, confidence=None) -> DataFrame:
+        return df.select(source.alias("source"), target.alias("target"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("type"), (F.lit("EXACT") if confidence is None else confidence).alias("confidence"), at.alias("at"))
 
     path = F.col("file_path")
     owners = R.method_owners(
-        f.filter("receiver != ''").select("id", "receiver", "file_path", folder(path).alias("dir")),
+        f.filter("receiver != ''").select("id", "receiver", "file_path", folder(path).alias("dir")).distinct(),
         c.select(F.col("id").alias("class_id"), "name", "file_path", folder(path).alias("dir")),
     )
-    uses = c.select(F.col("id").alias("child"), "kind", "file_path", "package", "language", F.explode("bases").alias("base"))
+    owners = owners.join(f.select("id", "file_path", "ord"), "id")
+    uses = c.select(F.col("id").alias("child"), "kind", "file_path", "package", "language", "ord", F.posexplode("bases").alias("pos", "base"))
     uses = uses.withColumn("base", F.element_at(F.split("base", r"\."), -1))
     kin = R.base_classes(uses.withColumn("package", F.when(F.col("language") == "go", F.col("package"))), c)
     kinds = c.select(F.col("id").alias("i"), F.col("kind").alias("base_kind"))
     kin = uses.join(kin, ["child", "base"], "left").join(kinds, F.col("id") == F.col("i"), "left")
     relation = F.when((F.col("base_kind") == "interface") & (F.col("kind") == "class"), "IMPLEMENTS").otherwise("EXTENDS")
+    known = bound.filter("target IS NOT NULL AND target != file_path")
+    calls = callers(files, sites)
     edges = [
-        edge(f, file_id(path), F.col("id"), "CONTAINS"),
-        edge(c, file_id(path), F.col("id"), "CONTAINS"),
-        edge(owners, F.col("class_id"), F.col("id"), "CONTAINS"),
-        edge(kin.filter("id IS NOT NULL"), F.col("child"), F.col("id"), relation, F.col("status")).distinct(),
-        edge(bound.filter("target IS NOT NULL AND target != file_path").select("file_path", "target").distinct(), file_id(path), file_id(F.col("target")), "IMPORTS"),
+        edge(f, file_id(path), F.col("id"), "CONTAINS", place(0, path, 0, F.col("ord"))),
+        edge(c, file_id(path), F.col("id"), "CONTAINS", place(0, path, 1, F.col("ord"))),
+        edge(owners, F.col("class_id"), F.col("id"), "CONTAINS", place(1, path, 0, F.col("ord"))),
+        edge(kin.filter("id IS NOT NULL"), F.col("child"), F.col("id"), relation, place(1, path, 1, F.col("ord"), F.col("pos")), F.col("status")),
+        edge(known, file_id(path), file_id(F.col("target")), "IMPORTS", place(2, path, 0, F.col("ord"))),
+        edge(calls, F.col("source"), F.col("target"), "CALLS", place(3, path, 0, F.col("site")), F.col("confidence")),
     ]
-    out = calls.select("source", "target", "type", "confidence")
-    for e in edges:
-        out = out.unionByName(e.dropDuplicates(["source", "target", "type"]))
+    out = edges[0]
+    for e in edges[1:]:
+        out = out.unionByName(e)
+    out = in_order(out)
     issues = sites.select(F.lit("call").alias("kind"), "file_path", "line", "name", "status")
     lost = kin.select(F.lit("inheritance").alias("kind"), "file_path", F.lit(None).cast("long").alias("line"), F.col("base").alias("name"), F.coalesce("status", F.lit("UNRESOLVED")).alias("status"))
     return Graph(nodes(files), out, issues.unionByName(lost))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairnspark.functions import paths as P
 from cairnspark.operators import resolution as R
-from cairnspark.operators.build import file_id
+from cairnspark.operators.build import file_id, in_order, place
 from cairnspark.sources.scip import project_documents
 
 # Symbol kinds of the public SCIP schema that are callable, that are classes, and that are neither.
@@ -71,22 +71,27 @@ def edge_counts(edges: DataFrame) -> DataFrame:
 
 
 def build(docs: DataFrame, lines: DataFrame | None = None, parsed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """nodes, edges. Symbols without a definition in the project give no node, references to them no edge.
+    """nodes, edges. Symbols without a definition in the project give no node, references to them no edge. A symbol has a node in
+    each file that defines it, of that file's lines; references mean the last of them. Edges are numbered (edge_ord): what files contain, by
+    document and occurrence; what classes contain and relationships, by symbol; imports and calls, by document and occurrence.
 
     lines: source lines (sources.scip.source_lines), to see whether a member can be called; parsed: parsed files, whose
     ends of Go functions widen those of the index. A reference into another package also imports that package's first file."""
     info = symbols(docs)
-    mine = project_documents(docs).withColumn("file_path", P.canonical(F.col("relative_path")))
-    occ = mine.select("file_path", "language", F.posexplode("occurrences").alias("n", "o")).select("file_path", "language", "n", "o.*")
+    doc = F.concat_ws(":", "at", F.lpad(F.col("ord").cast("string"), 12, "0"))  # in the order of the indexes and of their documents
+    mine = project_documents(docs).withColumn("file_path", P.canonical(F.col("relative_path"))).withColumn("doc", doc)
+    occ = mine.select("doc", "file_path", "language", F.posexplode("occurrences").alias("n", "o")).select("doc", "file_path", "language", "n", "o.*")
     occ = occ.filter("symbol != ''").withColumn("span", R.line_span(F.col("range"))).withColumn("role", R.roles(F.col("roles")))
     wide = F.when(F.size("enclosing") >= 3, R.line_span(F.col("enclosing"))).otherwise(F.col("span"))
-    defs = occ.filter("role.defines AND NOT symbol LIKE 'local %'").select("file_path", "language", "symbol", wide.alias("w"))
-    defs = defs.groupBy("symbol").agg(F.min("file_path").alias("file_path"), F.min("language").alias("language"), F.min("w.start_line").alias("start_line"), F.max("w.end_line").alias("end_line"))
+    defs = occ.filter("role.defines AND NOT symbol LIKE 'local %'").select("doc", "file_path", "n", "language", "symbol", wide.alias("w"))
+    seen = F.struct("doc", "n", "language")
+    defs = defs.groupBy("symbol", "file_path").agg(F.min("w.start_line").alias("start_line"), F.max("w.end_line").alias("end_line"), F.min(seen).alias("first"), F.max(seen).alias("last"))
+    defs = defs.withColumn("language", F.col("first.language"))
     defs = defs.join(info, "symbol", "left").withColumn("type", node_type(F.col("symbol"), F.col("kind"))).filter("type IS NOT NULL")
     name = F.coalesce(F.nullif(short_name(F.col("display_name")), F.lit("")), short_name(F.col("symbol")))
     parts = F.split("symbol", r"\s+")
     package = F.coalesce(F.try_element_at(parts, F.lit(3)), F.lit(""))
-    defs = defs.withColumn("id", P.short_id("scip", F.col("symbol"))).withColumn("name", name).withColumn("package", package).withColumn("is_test", is_test(F.col("file_path")))
+    defs = defs.withColumn("id", P.short_id("scip", F.concat_ws(":", "symbol", "file_path"))).withColumn("name", name).withColumn("package", package).withColumn("is_test", is_test(F.col("file_path")))
     if lines is not None:
         defs = callable_there(defs, lines)
     if parsed is not None:
@@ -101,29 +106,35 @@ def build(docs: DataFrame, lines: DataFrame | None = None, parsed: DataFrame | N
     export = F.col("name").rlike("^[A-Z]")
     nodes = files.unionByName(defs.withColumn("is_export", export).withColumn("is_init", no).select(*cols))
 
-    known = defs.select("symbol", F.col("id").alias("target"), F.col("file_path").alias("target_file"), F.col("type").alias("target_type"), F.col("package").alias("target_package"))
+    known = defs.select("symbol", "last", F.struct(F.col("id").alias("target"), F.col("file_path").alias("target_file"), F.col("type").alias("target_type"), F.col("package").alias("target_package")).alias("k"))
+    known = known.groupBy("symbol").agg(F.max_by("k", "last").alias("k")).select("symbol", "k.*")
     # a file's package is the least of its definitions'; a package's file the one with the least id, tests aside
     own = defs.filter("package != ''").groupBy("file_path").agg(F.min("package").alias("package"))
     stands = own.filter(~is_test(F.col("file_path"))).groupBy("package").agg(F.min(file_id(F.col("file_path"))).alias("stands_for"))
-    refs = occ.filter("NOT role.defines").select("file_path", "n", F.col("span.start_line").alias("line"), "role", "symbol").join(known, "symbol")
-    one = lambda df, s, t, kind: df.select(s.alias("source"), t.alias("target"), F.lit(kind).alias("type"))
-    imports = one(refs.filter("role.imports AND target_file != file_path"), file_id(F.col("file_path")), file_id(F.col("target_file")), "IMPORTS")
-    calls = refs.filter("NOT role.imports").withColumn("ref", F.col("n"))
+    refs = occ.filter("NOT role.defines").select("doc", "file_path", "n", F.col("span.start_line").alias("line"), "role", "symbol").join(known, "symbol")
+    one = lambda df, s, t, kind, at: df.select(s.alias("source"), t.alias("target"), (F.lit(kind) if isinstance(kind, str) else kind).alias("type"), at.alias("at"))
+    met = lambda part: place(3, F.col("doc"), 0, F.col("n"), F.lit(part))
+    path = F.col("file_path")
+    imports = one(refs.filter("role.imports AND target_file != file_path"), file_id(path), file_id(F.col("target_file")), "IMPORTS", met(0))
+    calls = refs.filter("NOT role.imports").withColumn("ref", F.concat_ws(":", "doc", F.col("n").cast("string")))
     scopes = defs.filter("type = 'function'").select("id", "file_path", "start_line", "end_line")
     inside = R.scope_of(calls.select("ref", "file_path", "line", "target"), scopes)
-    calls = calls.join(inside, ["ref", "file_path"], "left").withColumn("source", F.coalesce("scope", file_id(F.col("file_path")))).filter("source != target")
+    calls = calls.join(inside, ["ref", "file_path"], "left").withColumn("source", F.coalesce("scope", file_id(path))).filter("source != target")
     across = calls.join(own, "file_path").filter("target_package != '' AND package != target_package")
     across = across.join(stands.withColumnRenamed("package", "target_package"), "target_package", "left")
-    across = across.select(file_id(F.col("file_path")).alias("source"), F.coalesce("stands_for", file_id(F.col("target_file"))).alias("target"), F.lit("IMPORTS").alias("type")).filter("source != target")
-    calls = calls.select("source", "target", F.lit("CALLS").alias("type"))
-    # a child sits in the class that encloses it, else in its file
-    owner = F.regexp_extract("symbol", r"^(.*#)[^#]+$", 1)
-    up = F.coalesce(F.nullif("enclosing_symbol", F.lit("")), owner)
-    kids = defs.select("id", "file_path", up.alias("up")).join(known.filter("target_type = 'class'").select(F.col("symbol").alias("up"), F.col("target").alias("owner")), "up", "left")
-    contains = one(defs, file_id(F.col("file_path")), F.col("id"), "CONTAINS").unionByName(one(kids.filter("owner IS NOT NULL AND owner != id"), F.col("owner"), F.col("id"), "CONTAINS"))
-    rel = defs.select("id", "type", F.explode("relationships").alias("r")).select("id", "type", "r.*").join(known, "symbol").filter("id != target")
+    across = one(across, file_id(path), F.coalesce("stands_for", file_id(F.col("target_file"))), "IMPORTS", met(1)).filter("source != target")
+    calls = one(calls, F.col("source"), F.col("target"), "CALLS", met(0))
+    # a function sits in what its symbol says encloses it, else in what its descriptor says, if that is a class; and in its file
+    contains = one(defs, file_id(path), F.col("id"), "CONTAINS", place(0, F.col("first.doc"), 0, F.col("first.n")))
+    up = lambda column, name: known.select(F.col("symbol").alias(column), F.struct("target", "target_type").alias(name))
+    kids = known.filter("target_type = 'function'").join(info.select("symbol", F.col("enclosing_symbol").alias("in1")), "symbol", "left")
+    kids = kids.withColumn("in2", F.regexp_extract("symbol", r"^(.*#)[^#]+$", 1)).join(up("in1", "up1"), "in1", "left").join(up("in2", "up2"), "in2", "left")
+    kids = kids.withColumn("up", F.coalesce("up1", "up2")).filter("up.target_type = 'class'")
+    held = one(kids, F.col("up.target"), F.col("target"), "CONTAINS", place(1, F.col("symbol"), 0, F.lit(0)))
+    rel = known.select("symbol", F.col("target").alias("source"), F.col("target_type").alias("type")).join(info.select("symbol", F.posexplode("relationships").alias("pos", "r")), "symbol")
+    rel = rel.select("source", "type", "pos", F.col("symbol").alias("of"), "r.*").join(known, "symbol").filter("source != target")
     both, fn = (F.col("type") == "class") & (F.col("target_type") == "class"), F.col("type") == "function"
     kind = F.when(both & F.col("is_implementation"), "IMPLEMENTS").when(both & (F.col("is_type_definition") | F.col("is_reference")), "EXTENDS").when(fn & F.col("is_reference"), "CALLS")
-    related = rel.select(F.col("id").alias("source"), "target", kind.alias("type")).filter("type IS NOT NULL")
-    edges = calls.unionByName(imports).unionByName(across).unionByName(contains).unionByName(related).distinct().withColumn("confidence", F.lit("EXACT"))
+    related = one(rel, F.col("source"), F.col("target"), kind, place(2, F.col("of"), 0, F.col("pos"))).filter("type IS NOT NULL")
+    edges = in_order(contains.unionByName(held).unionByName(related).unionByName(imports).unionByName(calls).unionByName(across).withColumn("confidence", F.lit("EXACT")))
     return nodes, edges

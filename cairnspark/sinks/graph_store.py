@@ -31,7 +31,7 @@ class StaleGraph(RuntimeError):
 
 
 def save_tables(nodes: DataFrame, edges: DataFrame, path: str, commit: str = "") -> None:
-    """nodes and edges as Parquet below path: the form for graphs of any size. Rows carry the commit."""
+    """nodes and edges as Parquet below path: the form for graphs of any size. Rows carry the commit, edges their edge_ord if they have one."""
     nodes.withColumn("commit", F.lit(commit)).write.mode("overwrite").parquet(f"{path}/nodes")
     edges.withColumn("commit", F.lit(commit)).write.mode("overwrite").parquet(f"{path}/edges")
 
@@ -44,12 +44,12 @@ def load_tables(spark: SparkSession, path: str) -> Stored:
 
 def save_json(nodes: DataFrame, edges: DataFrame, path: str, commit: str = "", remote: str = "", root: str = "") -> None:
     """One JSON document beside the driver, written whole or not at all. Rows stream through the driver one by one,
-    nodes by id and edges by edge_ord, else by source, target and type; for large graphs use save_tables."""
+    nodes by id and edges in the order that traversals follow: by edge_ord, else by type, source and target; for large graphs use save_tables."""
     spark = nodes.sparkSession
     if remote:
         remote = spark.range(1).select(normal_remote(F.lit(remote))).first()[0]
     tmp = f"{path}.tmp"
-    in_order = edges.orderBy("edge_ord").drop("edge_ord") if "edge_ord" in edges.columns else edges.orderBy("source", "target", "type")
+    in_order = edges.orderBy("edge_ord").drop("edge_ord") if "edge_ord" in edges.columns else edges.orderBy("type", "source", "target")
     with open(tmp, "w", encoding="utf-8") as out:
         out.write("{" + f'"root_path": {json.dumps(root)}, "commit": {json.dumps(commit)}, "repo_remote": {json.dumps(remote)}')
         for name, df in (("nodes", nodes.orderBy("id")), ("edges", in_order)):
