@@ -22,15 +22,20 @@ def _rows(df) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
+def _listed(spark, root: str) -> dict[str, list[str]]:
+    """Source files by language, for the indexers."""
+    listed: dict[str, list[str]] = {}
+    for r in files.walk(spark, root).collect():
+        listed.setdefault(r["language"], []).append(r["at"])
+    return listed
+
+
 def _index(spark, a, s) -> int:
     out = os.path.join(a.root, ".cairnspark")
     cache, run = os.path.join(out, "parsed.parquet"), git.runner(a.root)
     os.makedirs(out, exist_ok=True)
     if a.scip:
-        listed: dict[str, list[str]] = {}
-        for r in files.walk(spark, a.root).collect():
-            listed.setdefault(r["language"], []).append(r["at"])
-        found, states = scip_index.collect(a.root, out, listed)
+        found, states = scip_index.collect(a.root, out, _listed(spark, a.root))
         print(reports.statuses([vars(x) for x in states]), end="")
         if not found:
             raise ValueError("no SCIP index")
@@ -116,7 +121,7 @@ def _serve(spark, a, s) -> int:
 
 
 def _validate(spark, a, s) -> int:
-    found, states = scip_index.collect(a.root, os.path.join(a.root, ".cairnspark"), {})
+    found, states = scip_index.collect(a.root, os.path.join(a.root, ".cairnspark"), _listed(spark, a.root))
     if not found:
         raise ValueError("no SCIP index: " + "; ".join(f"{x.name} {x.state} {x.reason}" for x in states))
     native = api.index(spark, a.root)[0]

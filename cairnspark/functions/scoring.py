@@ -37,15 +37,15 @@ def risk(export: Column, test: Column, depth: Column, prod: Column, t: Threshold
 
 def reason(export: Column, test: Column, depth: Column, prod: Column, t: Thresholds = Thresholds()) -> Column:
     """Why, rung by rung as in risk."""
-    callers = F.concat(F.lit(" ("), prod.cast("string"), F.lit(" production callers)"))
+    by = lambda what: F.concat(F.lit(what), prod.cast("string"))
     return (
-        F.when(prod >= t.high, F.concat(F.lit("highly connected"), callers))
-        .when(export & (prod >= t.high_exported), F.concat(F.lit("exported function with "), prod.cast("string"), F.lit(" production callers")))
-        .when((depth <= 1) & export & (prod >= 1), F.concat(F.lit("direct exported dependency"), callers))
-        .when(prod >= t.medium, F.concat(F.lit("moderately connected"), callers))
-        .when(test & (prod == 0), "test function with no production callers")
-        .when(export, "exported/public function")
-        .otherwise("internal function with few callers")
+        F.when(prod >= t.high, by("many callers outside tests: "))
+        .when(export & (prod >= t.high_exported), by("exported, callers outside tests: "))
+        .when((depth <= 1) & export & (prod >= 1), by("exported and next to the change, callers outside tests: "))
+        .when(prod >= t.medium, by("some callers outside tests: "))
+        .when(test & (prod == 0), "only tests use it")
+        .when(export, "exported, hardly called here")
+        .otherwise("not exported, hardly called")
     )
 
 

@@ -57,10 +57,10 @@ def call_path(nodes: DataFrame, edges: DataFrame, source: str, target: str, reve
     """The shortest chain of calls from source to target (against the calls, if reverse)."""
     ends = {r["id"]: r["name"] for r in nodes.filter(F.col("id").isin(source, target)).select("id", "name").collect()}
     if source not in ends or target not in ends:
-        return Path(False, [], "one or both nodes not found in graph")
+        return Path(False, [], "the graph lacks " + " and ".join(x for x in dict.fromkeys((source, target)) if x not in ends))
     ids = shortest_path(edges, source, target, reverse)
     if ids is None:
-        return Path(False, [], f"no {'reverse' if reverse else 'forward'} call path exists between these functions")
+        return Path(False, [], f"{source} {'is not reached by' if reverse else 'does not reach'} {target}")
     names = {r["id"]: r["name"] for r in nodes.filter(F.col("id").isin(ids)).select("id", "name").collect()}
     return Path(True, [{"id": i, "name": names.get(i, ""), "edge_type": "CALLS" if k < len(ids) - 1 else ""} for k, i in enumerate(ids)])
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cairnspark import api
 from cairnspark.functions import paths as P
 from cairnspark.functions import text
 from cairnspark.operators import analysis, build, compare, evaluation, resolution, search, traversal
@@ -137,6 +138,33 @@ g_affected AS (SELECT *, CAST(greatest(0, CASE risk WHEN 'HIGH' THEN 80 WHEN 'ME
 _RANK = "ORDER BY score DESC, CASE risk WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END, callers DESC, depth, name, id"
 
 
+@query("edge_order", """SELECT source, target, type, confidence, row_number() OVER (ORDER BY met, source, target, type) AS edge_ord FROM (
+  SELECT 's:' || l_suppkey AS source, 'p:' || l_partkey AS target, 'CALLS' AS type, min(CASE WHEN l_returnflag = 'N' THEN 'EXACT' ELSE 'HEURISTIC' END) AS confidence, min(struct_pack(f := 'src/' || n_name || '.go', n := l_orderkey, m := l_linenumber)) AS met
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY l_suppkey, l_partkey)""", graph=False)
+def edge_order(s, d):
+    """Every line item is a call site of its supplier's file; an edge has the place of its first site and is exact if one of its sites is."""
+    nation = T.table(s, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.concat(F.lit("src/"), "n_name", F.lit(".go")).alias("file"))
+    files_of = T.table(s, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey").join(nation, "s_nationkey").select("l_suppkey", "file")
+    sites = T.table(s, d, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "l_returnflag").join(files_of, "l_suppkey")
+    at = build.place(3, F.col("file"), 0, F.col("l_orderkey"), F.col("l_linenumber"))
+    sure = F.when(F.col("l_returnflag") == "N", "EXACT").otherwise("HEURISTIC")
+    return build.in_order(sites.select(F.concat(F.lit("s:"), "l_suppkey").alias("source"), F.concat(F.lit("p:"), "l_partkey").alias("target"), F.lit("CALLS").alias("type"), sure.alias("confidence"), at.alias("at")))
+
+
+@query("blast_radius_ordered", """, g_num AS (SELECT *, row_number() OVER (ORDER BY target, source, type) AS edge_ord FROM g_edges),
+g_way AS (SELECT * FROM g_num WHERE type IN ('CONTAINS', 'EXTENDS', 'IMPLEMENTS') OR (type = 'CALLS' AND target IN (SELECT id FROM g_nodes WHERE type = 'function'))),
+g_by AS (SELECT id, 0 AS depth, CAST(NULL AS VARCHAR) AS parent, CAST(NULL AS VARCHAR) AS parent_edge, 'EXACT' AS confidence, [CAST(0 AS BIGINT)] AS place FROM g_seed
+  UNION ALL SELECT w.source, p.depth + 1, p.id, w.type, CASE WHEN p.confidence = 'HEURISTIC' OR w.confidence = 'HEURISTIC' THEN 'HEURISTIC' ELSE 'EXACT' END, list_append(place, edge_ord)
+  FROM g_by p JOIN g_way w ON target = p.id JOIN g_depth a ON a.id = p.id AND a.depth = p.depth JOIN g_depth b ON b.id = w.source AND b.depth = p.depth + 1)
+SELECT id, CAST(depth AS BIGINT) AS depth, parent, parent_edge, confidence FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY place) AS r FROM g_by) WHERE r = 1""")
+def blast_radius_ordered(s, d):
+    """Edges numbered by target, source and type: parents and confidences follow the numbers."""
+    n, e = _stored(s, d)
+    zero = F.lit(0)
+    numbered = build.in_order(e.withColumn("at", build.place(0, F.col("target"), 0, zero)))
+    return traversal.blast_radius(n, numbered, _seed(n, e), paths=False).select("id", F.col("depth").cast("long").alias("depth"), "parent", "parent_edge", "confidence")
+
+
 def _affected(s, d):
     n, e = _stored(s, d)
     return analysis.affected(n, e, _seed(n, e), stage=False)
@@ -246,9 +274,7 @@ def call_adjacency(s, d):
 
 @query("graph_stats", "SELECT 'node:' || type AS key, count(*) AS n FROM g_nodes GROUP BY type UNION ALL SELECT 'edge:' || type, count(*) FROM g_edges GROUP BY type UNION ALL SELECT 'language:' || language, count(*) FROM g_nodes WHERE language <> '' GROUP BY language")
 def graph_stats(s, d):
-    n, e = _graph(s, d)
-    keys = n.select(F.explode(F.array(F.concat(F.lit("node:"), "type"), F.concat(F.lit("language:"), "language"))).alias("key")).unionByName(e.select(F.concat(F.lit("edge:"), "type").alias("key")))
-    return keys.filter("key != 'language:'").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return api.stats(*_graph(s, d))
 
 
 # Two graphs of one: the base; and the candidate, without guesses and without customers, whose imports point at other files.
@@ -344,9 +370,23 @@ def _diff(s, d):
 
 @query("diff_to_functions", _DIFF + "SELECT DISTINCT id FROM g_nodes JOIN g_diff ON file_path = path WHERE type = 'function' AND (is_new OR (start_line <= hi AND lo <= end_line))")
 def diff_to_functions(s, d):
-    f = T.nodes(s, d).filter("type = 'function'")
-    x = _diff(s, d)
-    return f.join(x, (f.file_path == x.path) & (x.is_new | ((f.start_line <= x.hi) & (x.lo <= f.end_line)))).select("id").distinct()
+    n = T.nodes(s, d)
+    changed = _diff(s, d).select("path", "is_new", F.lit(False).alias("is_deleted"), F.array(F.struct(F.col("lo").alias("start"), F.col("hi").alias("end"))).alias("line_ranges"))
+    return api.changed_nodes(n, changed).join(n.filter("type = 'function'"), "id", "left_semi").select("id")
+
+
+@query("changed_nodes", """, g_cd AS (SELECT n_name || '.go' AS path, CAST(n_nationkey AS BIGINT) AS ord, CAST(n_nationkey * 37 AS BIGINT) AS lo, CAST(n_nationkey * 37 + 25 AS BIGINT) AS hi, n_nationkey % 7 = 0 AS is_new, n_nationkey % 11 = 5 AS is_deleted FROM nation
+  UNION ALL SELECT 'w/src/' || r_name || '.go', 100 + r_regionkey, 1, 9, false, false FROM region),
+g_at AS (SELECT *, CASE WHEN path LIKE 'w/%' THEN substr(path, 3) ELSE 'src/' || path END AS known FROM g_cd),
+g_hit AS (SELECT id, file_path, min(ord * 1073741824 + start_line) AS seed_ord FROM g_nodes JOIN g_at ON file_path = known WHERE type = 'function' AND (is_new OR is_deleted OR (start_line <= hi AND lo <= end_line)) GROUP BY id, file_path)
+SELECT id, seed_ord FROM g_hit UNION ALL SELECT id, 1152921504606846976 + ord * 1073741824 FROM g_nodes JOIN g_at ON file_path = known WHERE type = 'file' AND file_path NOT IN (SELECT file_path FROM g_hit)""")
+def changed_nodes(s, d):
+    """A diff whose paths meet the graph's by their ends, in either direction, with new and deleted files, in its own order."""
+    k = F.col("n_nationkey").cast("long")
+    line = lambda lo, hi: F.array(F.struct(lo.cast("long").alias("start"), hi.cast("long").alias("end"))).alias("line_ranges")
+    a = T.table(s, d, "nation").select(F.concat("n_name", F.lit(".go")).alias("path"), k.alias("ord"), (k % 7 == 0).alias("is_new"), (k % 11 == 5).alias("is_deleted"), line(k * 37, k * 37 + 25))
+    b = T.table(s, d, "region").select(F.concat(F.lit("w/src/"), "r_name", F.lit(".go")).alias("path"), (F.col("r_regionkey") + 100).cast("long").alias("ord"), F.lit(False).alias("is_new"), F.lit(False).alias("is_deleted"), line(F.lit(1), F.lit(9)))
+    return api.changed_nodes(T.nodes(s, d), a.unionByName(b)).select("id", "seed_ord")
 
 
 @query("seed_nodes", _DIFF + ", h AS (SELECT DISTINCT id, path FROM g_nodes JOIN g_diff ON file_path = path WHERE type = 'function' AND (is_new OR (start_line <= hi AND lo <= end_line))) SELECT id FROM h UNION SELECT n.id FROM g_nodes n JOIN g_diff ON file_path = path WHERE type <> 'function' AND path NOT IN (SELECT path FROM h)")

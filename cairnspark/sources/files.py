@@ -6,6 +6,8 @@ import hashlib
 import os
 import signal
 import threading
+import time
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
@@ -177,15 +179,30 @@ def split_cached(sources: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataF
     return fresh, cache.join(now.select("file_path", "content_hash"), ["file_path", "content_hash"], "left_semi").select(*cache.columns)
 
 
+def _saved(spark: SparkSession, path: str) -> list:
+    """Whole versions of a cache, the newest last: those that have Spark's mark of a job that ended."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted((x for x in found if x.getName().startswith("at-") and fs.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))), key=lambda x: x.getName())
+
+
 def save_cache(parsed: DataFrame, path: str) -> None:
-    """Parsed files as Parquet. Spark writes beside the old files and commits the new ones at the end of the job."""
-    parsed.write.mode("overwrite").parquet(path)
+    """Parsed files as Parquet, in a folder of their own below path. Older versions go once this one is whole; if the job
+    fails, they are what load_cache reads."""
+    spark = parsed.sparkSession
+    old = _saved(spark, path)
+    parsed.write.parquet(f"{path}/at-{time.time_ns():020}-{uuid.uuid4().hex}")
+    for x in old:
+        x.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(x, True)
 
 
 def load_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed files that were saved; an empty table where there are none, or something else."""
+    """The newest parsed files that were saved whole; an empty table where there are none, or something else."""
+    whole = _saved(spark, path)
     try:
-        found = spark.read.parquet(path)
+        found = spark.read.parquet(whole[-1].toString() if whole else path)
         if {"file_path", "content_hash", "functions"} <= set(found.columns):
             return found
     except AnalysisException:

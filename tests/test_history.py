@@ -109,6 +109,12 @@ def test_parse_limits_and_cache(spark, tmp_path, monkeypatch):
     parsed = files.parse(spark.createDataFrame([("a.py", "python", b"class A:\n    def f(self): pass\n")], "file_path string, language string, content binary"))
     files.save_cache(parsed, str(tmp_path / "cache"))
     assert files.load_cache(spark, str(tmp_path / "cache")).count() == 1
+    bad = parsed.withColumn("language", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        files.save_cache(bad, str(tmp_path / "cache"))
+    assert files.load_cache(spark, str(tmp_path / "cache")).count() == 1  # a failed write leaves what was there
+    files.save_cache(parsed.unionByName(parsed), str(tmp_path / "cache"))
+    assert files.load_cache(spark, str(tmp_path / "cache")).count() == 2
     from cairnspark.operators import build
 
     assert [tuple(r) for r in build.file_metadata(parsed).select("file_path", "language", "node_count").collect()] == [("a.py", "python", 2)]

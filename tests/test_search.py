@@ -46,8 +46,8 @@ def test_why(spark, named):
     assert found.found and [x["name"] for x in found.steps] == ["rebuildAll", "build", "BuildGraph"] and found.length == 2
     assert [x["edge_type"] for x in found.steps] == ["CALLS", "CALLS", ""]
     assert [x["id"] for x in api.why(named, edges, "BuildGraph", "rebuildAll", reverse=True).steps] == ["n2", "n4", "n3"]
-    assert search.call_path(named, edges, "n2", "n3").message == "no forward call path exists between these functions"
-    assert search.call_path(named, edges, "n2", "zz").message == "one or both nodes not found in graph"
+    assert search.call_path(named, edges, "n2", "n3").message == "n2 does not reach n3"
+    assert search.call_path(named, edges, "n2", "zz").message == "the graph lacks zz"
     same = search.call_path(named, edges, "n2", "n2")
     assert same.found and same.length == 0 and len(same.steps) == 1
     with pytest.raises(api.Ambiguous) as e:
