@@ -105,11 +105,12 @@ def index_scip(spark: SparkSession, indexes: list[tuple[str, str]], root: str) -
     return scip_build.build(staged(docs, "scip"), scip.source_lines(sources), files.parse(sources.filter("language = 'go'")))
 
 
-def changed_nodes(nodes: DataFrame, changed: DataFrame) -> DataFrame:
+def changed_nodes(nodes: DataFrame, changed: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Functions that the changed lines overlap (all of a new or deleted file); the file itself where no function does.
 
     Paths meet by equal suffixes in either direction: the exact path, else the longest, else the first by name. id and seed_ord: functions
-    come before files, each in the order of the diff, then of their lines."""
+    come before files, each in the order of the diff, then of their lines. by: columns of changed that tell diffs apart."""
+    by = list(by)
     paths = nodes.select(F.col("file_path").alias("path")).distinct()
     changed = changed.withColumn("path", P.canonical(F.col("path")))
     if "ord" not in changed.columns:
@@ -118,14 +119,14 @@ def changed_nodes(nodes: DataFrame, changed: DataFrame) -> DataFrame:
     down = asked.join(paths.select("path", F.explode(P.suffixes(F.col("path"))).alias("diff_path")), "diff_path")
     up = asked.select("diff_path", F.explode(P.suffixes(F.col("diff_path"))).alias("path")).join(paths, "path").select("diff_path", "path")
     best = analysis.best_match(down.select("diff_path", "path").unionByName(up).distinct())
-    x = changed.withColumnRenamed("path", "diff_path").join(best, "diff_path").select("path", "ord", "is_new", "is_deleted", F.explode_outer("line_ranges").alias("r"))
+    x = changed.withColumnRenamed("path", "diff_path").join(best, "diff_path").select(*by, "path", "ord", "is_new", "is_deleted", F.explode_outer("line_ranges").alias("r"))
     f = nodes.filter("type = 'function'").select("id", F.col("file_path").alias("path"), "start_line", "end_line")
     hit = f.join(x, "path").filter("is_new OR is_deleted OR (start_line <= r.end AND r.start <= end_line)")
-    hit = hit.groupBy("id", "path").agg(F.min(F.struct("ord", "start_line")).alias("at"))
-    alone = nodes.filter("type = 'file'").select("id", F.col("file_path").alias("path")).join(x.groupBy("path").agg(F.min("ord").alias("ord")), "path").join(hit, "path", "left_anti")
+    hit = hit.groupBy(*by, "id", "path").agg(F.min(F.struct("ord", "start_line")).alias("at"))
+    alone = nodes.filter("type = 'file'").select("id", F.col("file_path").alias("path")).join(x.groupBy(*by, "path").agg(F.min("ord").alias("ord")), "path").join(hit, [*by, "path"], "left_anti")
     place = lambda kind, o, line: F.lit(kind << 60) + o.cast("long") * F.lit(1 << 30) + line.cast("long")
-    seeds = hit.select("id", place(0, F.col("at.ord"), F.col("at.start_line")).alias("seed_ord")).unionByName(alone.select("id", place(1, F.col("ord"), F.lit(0)).alias("seed_ord")))
-    return seeds.groupBy("id").agg(F.min("seed_ord").alias("seed_ord"))
+    seeds = hit.select(*by, "id", place(0, F.col("at.ord"), F.col("at.start_line")).alias("seed_ord")).unionByName(alone.select(*by, "id", place(1, F.col("ord"), F.lit(0)).alias("seed_ord")))
+    return seeds.groupBy(*by, "id").agg(F.min("seed_ord").alias("seed_ord"))
 
 
 def read_diff(path: str | None = None) -> str:
@@ -150,6 +151,18 @@ def analyze(spark: SparkSession, nodes: DataFrame, edges: DataFrame, diff: str,
     return Impact(changed, seeds, analysis.ranked(found, s.top or None), analysis.exit_code(found).first()["code"], n if n > s.top else 0)
 
 
+def analyze_many(nodes: DataFrame, edges: DataFrame, texts: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """texts: diff (its name) and text, as for the commits of a history. What analyze finds for each, as one table with the column diff;
+    a diff that changes nothing, a null text or a null name give no rows. One run over shared edges, however many diffs there are."""
+    s = settings or Settings()
+    changed = diffs.changed_files(texts.select("diff", "text").filter("diff IS NOT NULL AND text IS NOT NULL"), "diff", "text")
+    for glob in s.ignore:
+        changed = changed.filter(~F.col("path").rlike(P.glob_regex(glob)))
+    nodes, edges = staged(nodes, "nodes"), staged(edges, "edges")
+    seeds = staged(changed_nodes(nodes, staged(changed, "changed"), by=("diff",)), "seeds")
+    return analysis.affected(nodes, edges, seeds, s.max_depth, s.risk, paths=True, stage=False, by=("diff",))
+
+
 def owned(impact: Impact, nodes: DataFrame, authors: DataFrame | None = None, rules: list | None = None) -> tuple[DataFrame, DataFrame]:
     """The affected functions with their files and last authors, and the reviewers: a file counts once for each affected function
     of it and once if it has changed itself."""

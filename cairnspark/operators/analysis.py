@@ -11,20 +11,21 @@ from cairnspark.operators.traversal import blast_radius, caller_counts, with_pat
 from cairnspark.staging import staged
 
 
-def affected(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = 5, thresholds: scoring.Thresholds = scoring.Thresholds(), paths: bool = False, stage: bool = True) -> DataFrame:
+def affected(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = 5, thresholds: scoring.Thresholds = scoring.Thresholds(), paths: bool = False, stage: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
     """Functions in the blast radius beside the seeds, with callers, risk, reason and score; with paths, also path and edge_path.
 
-    Nodes and edges are read several times, so they are staged first; stage=False for tables that are stored as they are."""
+    Nodes and edges are read several times, so they are staged first; stage=False for tables that are stored as they are.
+    by: see blast_radius."""
     if stage:
         nodes, edges = staged(nodes, "nodes"), staged(edges, "edges")
-    radius = staged(blast_radius(nodes, edges, seeds, max_depth, paths=False), "radius")
+    radius = staged(blast_radius(nodes, edges, seeds, max_depth, paths=False, by=by), "radius")
     calls = caller_counts(nodes, edges).withColumnRenamed("target", "id")
     out = radius.filter("depth > 0").drop("place").join(nodes.filter("type = 'function'").select("id", "name", "is_export", "is_test"), "id")
     out = out.join(calls, "id", "left").na.fill(0, ["callers", "prod_callers"])
     rungs = (F.col("is_export"), F.col("is_test"), F.col("depth"), F.col("prod_callers"), thresholds)
     out = out.withColumns({"risk": scoring.risk(*rungs), "reason": scoring.reason(*rungs)})
     out = out.withColumn("score", scoring.review_score(F.col("risk"), F.col("confidence"), F.col("is_test"), F.col("depth"), F.col("prod_callers")))
-    return out.join(with_paths(out, radius, max_depth), "id") if paths else out
+    return out.join(with_paths(out, radius, max_depth, by), [*by, "id"]) if paths else out
 
 
 def ranked(df: DataFrame, limit: int | None = None) -> DataFrame:

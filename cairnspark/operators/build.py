@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from cairnspark.functions import paths as P
 from cairnspark.operators import ranking
 from cairnspark.operators import resolution as R
+from cairnspark.operators import types
 
 SCRIPT = ["javascript", "typescript"]
 GUESS = "HEURISTIC"
@@ -133,7 +134,14 @@ def call_sites(files: DataFrame, bound: DataFrame) -> DataFrame:
     b = b.join(files.select(F.col("file_path").alias("tf"), F.col("package").alias("target_package")), F.col("b.target") == F.col("tf"), "left").drop("tf")
     head = F.when(F.col("receiver") != "", F.col("receiver")).otherwise(F.col("name"))
     c = c.withColumn("alias", head).join(b, ["file_path", "alias"], "left")
-    recv, name, kind = F.col("receiver"), F.col("name"), F.col("receiver_type")
+    # a type that the file itself shows by the call comes before one that facts lead to
+    if "facts" in files.columns:
+        c = c.join(types.receivers(files, b), ["file_path", "receiver_key"], "left")
+    else:
+        c = c.withColumns({"type_home": F.lit(None).cast("string"), "type_name": F.lit(None).cast("string")})
+    led = (F.col("receiver_type") == "") & F.col("type_name").isNotNull()
+    recv, name, kind = F.col("receiver"), F.col("name"), F.when(led, F.col("type_name")).otherwise(F.col("receiver_type"))
+    package, home = (F.when(led, F.col("type_home")).otherwise(x) for x in (F.col("package"), qualifier(F.col("file_path"))))
     go, js, has = F.col("language") == "go", F.col("language").isin(SCRIPT), recv != ""
     target = qualifier(F.col("b.target"))
     base = F.regexp_replace(F.element_at(F.split("b.path", "/"), -1), r"\.(tsx?|jsx?)$", "")
@@ -142,9 +150,9 @@ def call_sites(files: DataFrame, bound: DataFrame) -> DataFrame:
     init = go & ~has & (name == "init")
     local = F.when(has, GUESS).otherwise("EXACT")
     tiers = [
-        (typed & go & (F.col("package") != ""), q("package", "receiver_type", "name"), F.lit("EXACT")),
-        (typed & go, q("receiver_type", "name"), F.lit("EXACT")),
-        (typed & (F.col("language") == "typescript"), q(qualifier(F.col("file_path")), kind, name), F.lit("EXACT")),
+        (typed & go & (package != ""), q(package, kind, name), F.lit("EXACT")),
+        (typed & go, q(kind, name), F.lit("EXACT")),
+        (typed & (F.col("language") == "typescript"), q(home, kind, name), F.lit("EXACT")),
         (typed & (F.col("language") == "typescript"), q(kind, name), F.lit(GUESS)),
         (has & go & F.col("target_package").isNotNull(), q("target_package", "name"), F.lit("EXACT")),
         (has & js & target.isNotNull(), q(target, F.col("b.symbol"), name), F.lit("EXACT")),

@@ -35,44 +35,50 @@ def traversal_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return calls.select(*keep).unionByName(edges.filter("type IN ('CONTAINS', 'EXTENDS', 'IMPLEMENTS')").select(*keep))
 
 
-def blast_radius(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = DEFAULT_DEPTH, paths: bool = True) -> DataFrame:
+def blast_radius(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = DEFAULT_DEPTH, paths: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
     """seeds: id, and seed_ord where their order is given (else by id). Out: id, depth, parent, parent_edge, confidence, place (in the
     queue), and with paths also path and edge_path (see with_paths).
 
-    Seeds that aren't nodes are left out; a node's confidence is the weakest along the way that reached it first."""
+    Seeds that aren't nodes are left out; a node's confidence is the weakest along the way that reached it first.
+
+    by: columns of seeds that tell searches apart, as the diffs of a history. Each has its own queue and visited nodes, all share
+    the edges, which are staged once, and the levels: as many jobs as for one. by comes first in the result; null is no search."""
+    by = list(by)
+    seeds = seeds.dropna(subset=by) if by else seeds
     max_depth = max_depth if max_depth > 0 else DEFAULT_DEPTH
     inside = traversal_edges(nodes, edges).join(nodes.select(F.col("id").alias("source")), "source", "left_semi")
     back = staged(inside.select("target", "source", "type", "confidence", edge_order(inside).alias("o")), "edges")
     order = F.min("seed_ord") if "seed_ord" in seeds.columns else F.lit(0)
-    start = seeds.groupBy("id").agg(order.cast("long").alias("first")).join(nodes.select("id"), "id", "left_semi")
+    start = seeds.groupBy(*by, "id").agg(order.cast("long").alias("first")).join(nodes.select("id"), "id", "left_semi")
     null, blank = F.lit(None).cast("string"), F.lit("")
     place = F.array(F.struct(F.col("first").alias("n"), blank.alias("t"), F.col("id").alias("s"), blank.alias("o")))
-    frontier = staged(start.select("id", F.lit(0).alias("depth"), null.alias("parent"), null.alias("parent_edge"), F.lit("EXACT").alias("confidence"), place.alias("place")), "level")
-    levels, seen = [frontier], frontier.select("id")
+    frontier = staged(start.select(*by, "id", F.lit(0).alias("depth"), null.alias("parent"), null.alias("parent_edge"), F.lit("EXACT").alias("confidence"), place.alias("place")), "level")
+    levels, seen = [frontier], frontier.select(*by, "id")
     for depth in range(1, max_depth + 1):
-        step = frontier.select(F.col("id").alias("target"), F.col("confidence").alias("so_far"), "place").join(back, "target")
-        found = step.join(seen.withColumnRenamed("id", "source"), "source", "left_anti")
+        step = frontier.select(*by, F.col("id").alias("target"), F.col("confidence").alias("so_far"), "place").join(back, "target")
+        found = step.join(seen.withColumnRenamed("id", "source"), [*by, "source"], "left_anti")
         way = F.struct(F.concat("place", F.array("o")).alias("place"), F.col("target").alias("parent"), F.col("type").alias("parent_edge"), weaker(F.col("so_far"), F.col("confidence")).alias("confidence"))
-        best = found.groupBy(F.col("source").alias("id")).agg(F.min(way).alias("s"))
-        frontier = staged(best.select("id", F.lit(depth).alias("depth"), "s.parent", "s.parent_edge", "s.confidence", "s.place"), "level")
+        best = found.groupBy(*by, F.col("source").alias("id")).agg(F.min(way).alias("s"))
+        frontier = staged(best.select(*by, "id", F.lit(depth).alias("depth"), "s.parent", "s.parent_edge", "s.confidence", "s.place"), "level")
         if frontier.isEmpty():
             break
         levels.append(frontier)
-        seen = seen.unionByName(frontier.select("id"))
+        seen = seen.unionByName(frontier.select(*by, "id"))
     drop_staged(back)
     out = levels[0]
     for x in levels[1:]:
         out = out.unionByName(x)
-    return out.join(with_paths(out, out, max_depth), "id") if paths else out
+    return out.join(with_paths(out, out, max_depth, tuple(by)), [*by, "id"]) if paths else out
 
 
-def with_paths(asked: DataFrame, radius: DataFrame, max_depth: int = DEFAULT_DEPTH) -> DataFrame:
-    """asked: id. With path (ids from the seed on) and edge_path (types of the edges), by as many joins to the parents as there are levels."""
-    up = radius.select(F.col("id").alias("at"), F.col("parent").alias("up"), F.col("parent_edge").alias("by"))
+def with_paths(asked: DataFrame, radius: DataFrame, max_depth: int = DEFAULT_DEPTH, by: tuple[str, ...] = ()) -> DataFrame:
+    """asked: by and id. With path (ids from the seed on) and edge_path (types of the edges), by as many joins to the parents as there are levels."""
+    up = radius.select(*by, F.col("id").alias("at"), F.col("parent").alias("up"), F.col("parent_edge").alias("by"))
     none = F.expr("cast(array() as array<string>)")
-    now = asked.select("id").withColumns({"at": F.col("id"), "path": F.array("id"), "edge_path": none})
+    now = asked.select(*by, "id").withColumns({"at": F.col("id"), "path": F.array("id"), "edge_path": none})
     for _ in range(max(max_depth, 1)):
-        now = now.join(up, "at", "left").select(
+        now = now.join(up, [*by, "at"], "left").select(
+            *by,
             "id",
             F.coalesce("up", F.col("at")).alias("next"),
             F.when(F.col("up").isNull(), F.col("path")).otherwise(F.concat(F.array("up"), "path")).alias("path"),

@@ -165,6 +165,24 @@ def blast_radius_ordered(s, d):
     return traversal.blast_radius(n, numbered, _seed(n, e), paths=False).select("id", F.col("depth").cast("long").alias("depth"), "parent", "parent_edge", "confidence")
 
 
+@query("blast_radius_many", """, m_walk AS (SELECT *, row_number() OVER (ORDER BY type, source, target) AS o FROM g_walk),
+m_seed AS (SELECT s_suppkey AS diff, 's:' || s_suppkey AS id FROM supplier UNION ALL SELECT s_suppkey, 'p:' || p_partkey FROM supplier JOIN part ON p_partkey = s_suppkey),
+m_reach AS (SELECT diff, id, 0 AS depth FROM m_seed UNION SELECT diff, source, depth + 1 FROM m_reach r JOIN m_walk ON target = r.id WHERE depth < 5),
+m_depth AS (SELECT diff, id, min(depth) AS depth FROM m_reach GROUP BY diff, id),
+m_by AS (SELECT diff, id, 0 AS depth, CAST(NULL AS VARCHAR) AS parent, 'EXACT' AS confidence, [CASE WHEN id LIKE 'p:%' THEN 0 ELSE 1 END] AS place FROM m_seed
+  UNION ALL SELECT diff, id, depth, parent, confidence, place FROM (SELECT p.diff, w.source AS id, p.depth + 1 AS depth, p.id AS parent, CASE WHEN p.confidence = 'HEURISTIC' OR w.confidence = 'HEURISTIC' THEN 'HEURISTIC' ELSE 'EXACT' END AS confidence, list_append(p.place, w.o) AS place,
+    row_number() OVER (PARTITION BY p.diff, w.source ORDER BY list_append(p.place, w.o)) AS r
+    FROM m_by p JOIN m_walk w ON target = p.id JOIN m_depth b ON b.diff = p.diff AND b.id = w.source AND b.depth = p.depth + 1) WHERE r = 1)
+SELECT CAST(diff AS BIGINT) AS diff, id, CAST(depth AS BIGINT) AS depth, parent, confidence FROM m_by""")
+def blast_radius_many(s, d):
+    """A diff a supplier, which changes it and the part of its number: all searches in one run. Seeds go by id."""
+    n, e = _stored(s, d)
+    key = F.col("s_suppkey").cast("long")
+    own = T.table(s, d, "supplier").select(key.alias("diff"))
+    seeds = own.select("diff", F.concat(F.lit("s:"), "diff").alias("id")).unionByName(own.select("diff", F.concat(F.lit("p:"), "diff").alias("id")))
+    return traversal.blast_radius(n, e, seeds, paths=False, by=("diff",)).select("diff", "id", F.col("depth").cast("long").alias("depth"), "parent", "confidence")
+
+
 def _affected(s, d):
     n, e = _stored(s, d)
     return analysis.affected(n, e, _seed(n, e), stage=False)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairnspark.operators import evaluation, ranking
+from cairnspark.operators import evaluation, ranking, types
 from cairnspark.operators import resolution as R
 from cairnspark.plans import graph_queries as G
 from cairnspark.sources import diffs
@@ -202,3 +202,44 @@ def scip_ranges_roles(s, d):
     zero = F.lit(0).cast("long")
     r = F.when(size % 2 == 0, F.array(a, zero, a + size, zero)).otherwise(F.array(a, zero, a))
     return T.table(s, d, "part").select("p_partkey", R.line_span(r).alias("x"), R.roles(F.col("p_size")).alias("y")).select("p_partkey", "x.*", "y.*")
+
+
+_FACTS = """WITH RECURSIVE facts AS (
+  SELECT 'n:' || n_nationkey AS key, 'type' AS kind, 'r:' || n_regionkey AS of, '' AS step FROM nation
+  UNION ALL SELECT 's:' || s_suppkey, 'copy', 'n:' || s_nationkey, '' FROM supplier
+  UNION ALL SELECT 'c:' || c_custkey, 'step', 'n:' || c_nationkey, c_mktsegment FROM customer
+  UNION ALL SELECT DISTINCT 'r:' || n_regionkey || '.' || c_mktsegment, 'type', 'r:' || ((n_regionkey + length(c_mktsegment)) % 5), '' FROM customer JOIN nation ON n_nationkey = c_nationkey
+  UNION ALL SELECT 'o:' || o_orderkey, 'copy', 'c:' || o_custkey, '' FROM orders
+  UNION ALL SELECT 'p:' || p_partkey, 'type', 'r:' || (p_partkey % 5), '' FROM part WHERE p_partkey < 10
+  UNION ALL SELECT 'p:' || p_partkey, 'step', 'p:' || (p_partkey // 10), p_brand FROM part WHERE p_partkey >= 10
+  UNION ALL SELECT DISTINCT 'r:' || (p_partkey % 5) || '.' || p_brand, 'type', 'r:' || (p_size % 5), '' FROM part),
+known AS (SELECT key, of AS type FROM facts WHERE kind = 'type'),
+has AS (SELECT key, type FROM known
+  UNION SELECT f.key, coalesce(m.type, h.type) FROM has h JOIN facts f ON f.of = h.key AND f.kind IN ('copy', 'step') LEFT JOIN known m ON f.kind = 'step' AND m.key = h.type || '.' || f.step WHERE f.kind = 'copy' OR m.type IS NOT NULL)
+SELECT key, type FROM has"""
+
+
+@query("type_propagation", _FACTS)
+def type_propagation(s, d):
+    """Rows as names: suppliers are copies of nations, orders of customers; a customer is a field of its nation, a part of the part that
+    has a digit less, so types go over several steps, and fields have up to five types."""
+    t = lambda name: T.table(s, d, name)
+    fact = lambda df, to, kind, of, step=F.lit(""): df.select(to.alias("to"), F.lit(kind).alias("kind"), of.alias("of"), step.alias("step"))
+    name = lambda prefix, c: F.concat(F.lit(prefix + ":"), c if not isinstance(c, str) else F.col(c))
+    nation, customer, part = t("nation").select("n_nationkey", "n_regionkey"), t("customer").select("c_custkey", "c_nationkey", "c_mktsegment"), t("part").select("p_partkey", "p_brand", "p_size")
+    of_region = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    key = F.col("p_partkey")
+    all_facts = [
+        fact(nation, name("n", "n_nationkey"), "type", name("r", "n_regionkey")),
+        fact(t("supplier"), name("s", "s_suppkey"), "copy", name("n", "s_nationkey")),
+        fact(customer, name("c", "c_custkey"), "step", name("n", "c_nationkey"), F.col("c_mktsegment")),
+        fact(of_region, F.concat_ws(".", name("r", "n_regionkey"), "c_mktsegment"), "type", name("r", (F.col("n_regionkey") + F.length("c_mktsegment")) % 5)),
+        fact(t("orders"), name("o", "o_orderkey"), "copy", name("c", "o_custkey")),
+        fact(part.filter(key < 10), name("p", key), "type", name("r", key % 5)),
+        fact(part.filter(key >= 10), name("p", key), "step", name("p", F.floor(key / 10)), F.col("p_brand")),
+        fact(part, F.concat_ws(".", name("r", key % 5), "p_brand"), "type", name("r", F.col("p_size") % 5)),
+    ]
+    out = all_facts[0]
+    for x in all_facts[1:]:
+        out = out.unionByName(x)
+    return types.propagate(out)

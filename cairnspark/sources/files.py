@@ -28,9 +28,10 @@ PARSE_SECONDS = 30.0
 
 RESULT = """file_path string, language string, package string, is_test_file boolean, content_hash string, error string,
 functions array<struct<name:string,start_line:bigint,end_line:bigint,receiver:string,is_export:boolean,is_init:boolean,decorators:array<string>>>,
-calls array<struct<name:string,line:bigint,receiver:string,receiver_type:string>>,
+calls array<struct<name:string,line:bigint,receiver:string,receiver_type:string,receiver_key:string>>,
 imports array<struct<path:string,alias:string,symbol:string,line:bigint>>,
-classes array<struct<name:string,start_line:bigint,end_line:bigint,is_export:boolean,kind:string,bases:array<string>>>"""
+classes array<struct<name:string,start_line:bigint,end_line:bigint,is_export:boolean,kind:string,bases:array<string>>>,
+facts array<struct<to:string,kind:string,of:string,step:string>>"""
 
 
 def language_of(name: str) -> str | None:
@@ -163,11 +164,11 @@ def parse(sources: DataFrame) -> DataFrame:
                 try:
                     if language in parsers.PARSERS:
                         with at_most(PARSE_SECONDS):
-                            found = parsers.PARSERS[language](data.decode("utf-8", "replace"))
+                            found |= parsers.PARSERS[language](data.decode("utf-8", "replace"))
                 except (SyntaxError, ValueError, RecursionError, TimeoutError) as e:
                     error = f"{type(e).__name__}: {e}"
                 rows.append({"file_path": path, "language": language, "is_test_file": parsers.is_test(path or "", language), "content_hash": hashlib.sha256(data).hexdigest(), "error": error} | found)
-            yield pd.DataFrame(rows, columns=["file_path", "language", "package", "is_test_file", "content_hash", "error", "functions", "calls", "imports", "classes"])
+            yield pd.DataFrame(rows, columns=["file_path", "language", "package", "is_test_file", "content_hash", "error", "functions", "calls", "imports", "classes", "facts"])
 
     return sources.select("file_path", "language", F.col("content").cast("binary").alias("content")).mapInPandas(run, RESULT)
 
@@ -203,7 +204,7 @@ def load_cache(spark: SparkSession, path: str) -> DataFrame:
     whole = _saved(spark, path)
     try:
         found = spark.read.parquet(whole[-1].toString() if whole else path)
-        if {"file_path", "content_hash", "functions"} <= set(found.columns):
+        if {"file_path", "content_hash", "functions", "facts"} <= set(found.columns):
             return found
     except AnalysisException:
         pass
