@@ -106,8 +106,9 @@ def imports(files: DataFrame) -> DataFrame:
     return a.unionByName(b).unionByName(c)
 
 
-def _keys(f: DataFrame) -> DataFrame:
-    """Lookup keys of functions: key, n (targets), id. q: qualified, f: file, p: Go package, n: any name."""
+def definitions(files: DataFrame) -> DataFrame:
+    """Lookup keys of functions: file_path, key, id, each once. q: qualified, f: file, p: Go package, n: any name."""
+    f = functions(files)
     name, path, go = F.col("name"), F.col("file_path"), F.col("language") == "go"
     owned, plain = F.col("receiver") != "", ~F.col("is_init")
     k = lambda kind, *cols: F.concat(F.lit(kind), F.concat_ws(".", *cols))
@@ -122,21 +123,32 @@ def _keys(f: DataFrame) -> DataFrame:
         F.when(plain & go, k("p:", "package", "name")),
         k("n:", name),
     )
-    every = f.select("id", F.explode(F.array_distinct(F.array_compact(rows))).alias("key"))
-    return every.groupBy("key").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id"))
+    return f.select("file_path", F.explode(F.array_distinct(F.array_compact(rows))).alias("key"), "id").distinct()
 
 
-def call_sites(files: DataFrame, bound: DataFrame) -> DataFrame:
-    """Every call with its status (EXACT, HEURISTIC, AMBIGUOUS, UNRESOLVED) and target."""
-    c = files.select("file_path", "language", "package", F.posexplode("calls").alias("site", "c")).select("file_path", "language", "package", "site", "c.*")
-    # the last import that binds a name counts
+def targets(defined: DataFrame) -> DataFrame:
+    """key, n (targets), id (the least) of definitions."""
+    return defined.groupBy("key").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id"))
+
+
+def bindings(files: DataFrame, bound: DataFrame) -> DataFrame:
+    """What each name that a file imports is bound to, by its last import: file_path, alias, b (path, symbol, target), target_package."""
     b = bound.filter("alias != ''").groupBy("file_path", "alias").agg(F.max_by(F.struct("path", "symbol", "target"), "line").alias("b"))
-    b = b.join(files.select(F.col("file_path").alias("tf"), F.col("package").alias("target_package")), F.col("b.target") == F.col("tf"), "left").drop("tf")
+    return b.join(files.select(F.col("file_path").alias("tf"), F.col("package").alias("target_package")), F.col("b.target") == F.col("tf"), "left").drop("tf")
+
+
+SITE = ["file_path", "site", "name", "line"]
+
+
+def tries(files: DataFrame, b: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The keys that calls ask for: SITE, tier, key, conf; one row of nulls for a call that asks for none.
+    b: see bindings; known: types of receivers (see types.receivers)."""
+    c = files.select("file_path", "language", "package", F.posexplode("calls").alias("site", "c")).select("file_path", "language", "package", "site", "c.*")
     head = F.when(F.col("receiver") != "", F.col("receiver")).otherwise(F.col("name"))
     c = c.withColumn("alias", head).join(b, ["file_path", "alias"], "left")
     # a type that the file itself shows by the call comes before one that facts lead to
-    if "facts" in files.columns:
-        c = c.join(types.receivers(files, b), ["file_path", "receiver_key"], "left")
+    if known is not None:
+        c = c.join(known, ["file_path", "receiver_key"], "left")
     else:
         c = c.withColumns({"type_home": F.lit(None).cast("string"), "type_name": F.lit(None).cast("string")})
     led = (F.col("receiver_type") == "") & F.col("type_name").isNotNull()
@@ -165,12 +177,22 @@ def call_sites(files: DataFrame, bound: DataFrame) -> DataFrame:
         (~init, F.concat(F.lit("n:"), name), F.lit(GUESS)),
     ]
     asked = F.array_compact(F.array(*(F.when(ok, F.struct(F.lit(i).alias("tier"), key.alias("key"), conf.alias("conf"))) for i, (ok, key, conf) in enumerate(tiers))))
-    site = ["file_path", "site", "name", "line"]
-    tries = c.select(*site, F.explode_outer(asked).alias("t")).select(*site, "t.*")
-    found = tries.join(_keys(functions(files)), "key", "left")
-    first = found.groupBy(*site).agg(F.min(F.when(F.col("n").isNotNull(), F.struct("tier", "n", "id", "conf"))).alias("m"))
+    return c.select(*SITE, F.explode_outer(asked).alias("t")).select(*SITE, "t.*")
+
+
+def resolved(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """asked: see tries; known: see targets. Every call with its status (EXACT, HEURISTIC, AMBIGUOUS, UNRESOLVED) and target."""
+    found = asked.join(known, "key", "left")
+    first = found.groupBy(*SITE).agg(F.min(F.when(F.col("n").isNotNull(), F.struct("tier", "n", "id", "conf"))).alias("m"))
     status = F.when(F.col("m").isNull(), "UNRESOLVED").when(F.col("m.n") > 1, "AMBIGUOUS").otherwise(F.col("m.conf"))
-    return first.select(*site, status.alias("status"), F.when(F.col("m.n") == 1, F.col("m.id")).alias("target"))
+    return first.select(*SITE, status.alias("status"), F.when(F.col("m.n") == 1, F.col("m.id")).alias("target"))
+
+
+def call_sites(files: DataFrame, bound: DataFrame) -> DataFrame:
+    """Every call of parsed files, resolved."""
+    b = bindings(files, bound)
+    known = types.receivers(files, b) if "facts" in files.columns else None
+    return resolved(tries(files, b, known), targets(definitions(files)))
 
 
 def callers(files: DataFrame, sites: DataFrame) -> DataFrame:
@@ -219,11 +241,12 @@ def resolution_issues(sites: DataFrame, most: int = 200) -> DataFrame:
     return sites.filter("status IN ('AMBIGUOUS', 'UNRESOLVED')").orderBy(order, "file_path", "line", "name", "status").limit(most)
 
 
-def build(files: DataFrame) -> Graph:
-    """The graph of parsed files (`sources.files.parse`). Files without definitions give their node alone; no files, empty tables."""
+def build(files: DataFrame, sites: DataFrame | None = None) -> Graph:
+    """The graph of parsed files (`sources.files.parse`). Files without definitions give their node alone; no files, empty tables.
+    sites: the resolved calls, where they are kept up (see operators.upkeep)."""
     f, c = functions(files), classes(files)
     bound = imports(files)
-    sites = call_sites(files, bound)
+    sites = call_sites(files, bound) if sites is None else sites
 
     def edge(df: DataFrame, source, target, kind, at: Column, confidence=None) -> DataFrame:
         return df.select(source.alias("source"), target.alias("target"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("type"), (F.lit("EXACT") if confidence is None else confidence).alias("confidence"), at.alias("at"))

@@ -38,6 +38,8 @@ def propagate(facts: DataFrame) -> DataFrame:
 
     Rows with a null in to or of say nothing; repeated facts count once; cycles of copies end. Staged."""
     said = staged(facts.filter("to IS NOT NULL AND of IS NOT NULL").select("to", "kind", "of", "step").distinct(), "facts")
+    if said.filter("kind = 'type'").isEmpty():
+        return said.filter("kind = 'type'").select(F.col("to").alias("key"), F.col("of").alias("type"))
     steps = said.filter("kind = 'step' AND step IS NOT NULL").select(F.col("of").alias("key"), "to", "step")
     types = [staged(said.filter("kind = 'type'").select(F.col("to").alias("key"), F.col("of").alias("type")), "types")]
     copies = [staged(said.filter("kind = 'copy'").select(F.col("of").alias("key"), "to"), "copies")]

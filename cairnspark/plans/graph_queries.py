@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from cairnspark import api
 from cairnspark.functions import paths as P
 from cairnspark.functions import text
-from cairnspark.operators import analysis, build, compare, evaluation, resolution, search, traversal
+from cairnspark.operators import analysis, build, compare, evaluation, resolution, search, traversal, upkeep
 from cairnspark.sources import files, history
 from cairnspark.sources import tables as T
 from cairnspark.staging import staged
@@ -616,6 +616,19 @@ def call_waterfall(s, d):
     return _sites(s, d)[1].groupBy("file_path", "name", "line", "status", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("call_upkeep", _CALLS + "SELECT file_path, name, line, status, target, count(*) AS n FROM z GROUP BY ALL", graph=False)
+def call_upkeep(s, d):
+    """The calls of call_waterfall, by changes: at first the files of one brand are missing, those of another have other functions, and
+    there is one that goes later."""
+    parsed = staged(_parsed(s, d).withColumns({"imports": F.expr("cast(array() as array<struct<path:string,alias:string,symbol:string,line:bigint>>)")}), "parsed")
+    new, other = F.col("file_path").like("lib/Brand#1%"), F.col("file_path").like("lib/Brand#2%")
+    before = parsed.filter(~new).withColumn("functions", F.when(other, F.transform("functions", lambda f: f.withField("name", F.upper(f["name"])))).otherwise(F.col("functions")))
+    extra = parsed.filter(new).withColumn("file_path", F.concat(F.lit("old/"), "file_path"))
+    state = upkeep.start(before.unionByName(extra))
+    state = upkeep.change(state, parsed.filter(new | other), extra.select("file_path"))
+    return state.sites.groupBy("file_path", "name", "line", "status", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("built_call_edges", _CALLS + """, h AS (SELECT z.file_path, z.line, z.target, z.status, arg_min(fn.id, fn.ord) AS fid FROM z LEFT JOIN fn ON fn.file_path = z.file_path AND z.line BETWEEN fn.lo AND fn.hi WHERE z.target IS NOT NULL GROUP BY ALL)
 SELECT coalesce(fid, 'file:' || left(sha256(file_path), 16)) AS source, target, min(status) AS confidence FROM h GROUP BY ALL""", graph=False)
 def built_call_edges(s, d):
