@@ -2,9 +2,10 @@
 
 Each level joins the frontier with the edges, drops what was seen, and keeps one parent per node by a
 pre-aggregated minimum of (place of the parent in the queue, order of the edge). In a blast radius, whose depth is
-bounded, a place is the list of the orders of the edges taken, so no level is sorted at all. A shortest path has no bound: its
-levels are numbered in the order of the queue, by ranges and not in one task. Levels carry a parent each, not
-paths: those are rebuilt at the end, for the nodes that are asked for. The edges that the loop joins are staged once.
+bounded, a place is the list of the orders of the edges taken, so no level is sorted at all. A shortest path has no bound: it
+is searched from both ends, without places, and the first path of the queue is picked from what both searches found. Levels
+carry a parent each, not paths: those are rebuilt at the end, for the nodes that are asked for. The edges that the loop joins
+are staged once.
 
 The order of edges is their column edge_ord, where there is one (see graph_store); else type, source, target.
 """
@@ -15,8 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnspark.functions.scoring import weaker
-from cairnspark.operators import ranking
-from cairnspark.staging import drop_staged, staged
+from cairnspark.staging import drop_staged, grown, staged
 
 DEFAULT_DEPTH = 5
 
@@ -89,36 +89,48 @@ def with_paths(asked: DataFrame, radius: DataFrame, max_depth: int = DEFAULT_DEP
 
 def shortest_path(edges: DataFrame, source: str, target: str, reverse: bool = False) -> list[str] | None:
     """Ids along a shortest chain of calls, [source] if both are one, None if there is none; of several the one that a
-    queue finds first (see the module for the order).
+    queue finds first (see the module for the order): the least list of the orders of its edges.
 
-    The driver holds one id a step of the answer; levels carry a parent and a place each."""
+    Two searches, one from either end; each turn the one with the smaller level goes on, until a level of one meets the last
+    of the other. A node behind knows its least edge on. The nodes ahead that lead to a meeting are then found level by level
+    back to the source, each with its least edge on. So nothing is sorted, and ties are settled on what a shortest path can hold.
+
+    A side's nodes are one table, appended to a level at a time, so plans don't grow with depth. The driver holds one id a
+    step of the answer. Null ends of edges are no nodes."""
     if source == target:
         return [source]
     spark = edges.sparkSession
-    calls = edges.filter("type = 'CALLS'")
+    calls = edges.filter("type = 'CALLS' AND source IS NOT NULL AND target IS NOT NULL")
     step = calls.select(F.col("target" if reverse else "source").alias("at"), F.col("source" if reverse else "target").alias("to"), edge_order(calls).alias("o"))
     step = staged(step, "edges")
-    frontier = staged(spark.createDataFrame([(source, None, 1)], "id string, parent string, place long"), "level")
-    levels, seen = [frontier], frontier.select("id")
+    null = F.lit(None).cast("string")
+    sides = [grown(spark.createDataFrame([(x,)], "id string").select("id", null.alias("next"), F.lit(0).alias("depth")), name) for x, name in ((source, "ahead"), (target, "behind"))]
+    depth, size = [0, 0], [1, 1]
+    level = lambda k, d: sides[k].filter(F.col("depth") == d).select("id")
     while True:
-        found = frontier.select(F.col("id").alias("at"), "place").join(step, "at").join(seen.select(F.col("id").alias("to")), "to", "left_anti")
-        best = found.groupBy(F.col("to").alias("id")).agg(F.min(F.struct("place", "o", F.col("at").alias("parent"))).alias("s"))
-        best = staged(best, "found")
-        if best.isEmpty():
-            path = None
-            break
-        hit = best.filter(F.col("id") == target).first()
-        if hit:
-            path = [target, hit["s"]["parent"]]
-            for level in reversed(levels[1:]):
-                path.append(level.filter(F.col("id") == path[-1]).first()["parent"])
-            path = path[::-1]
+        k = int(size[1] < size[0])
+        came, goes = ("to", "at") if k else ("at", "to")
+        found = step.join(level(k, depth[k]).withColumnRenamed("id", came), came, "left_semi")
+        found = found.join(sides[k].select(F.col("id").alias(goes)), goes, "left_anti").groupBy(F.col(goes).alias("id"))
+        on = F.min(F.struct("o", "to"))["to"] if k else F.first(null)
+        depth[k] += 1
+        sides[k] = grown(found.agg(on.alias("next")).select("id", "next", F.lit(depth[k]).alias("depth")), into=sides[k])
+        size[k] = level(k, depth[k]).count()
+        met = level(0, depth[0]).join(level(1, depth[1]), "id", "left_semi")
+        if not size[k] or not met.isEmpty():
             break
-        numbered = ranking.numbered(best, [F.col("s.place"), F.col("s.o")])
-        frontier = staged(numbered.select("id", "s.parent", "place"), "level")
-        levels.append(frontier)
-        seen = seen.unionByName(frontier.select("id"))
-    drop_staged(step, *levels)
+    path = None
+    if size[k]:
+        ways, good = [], met
+        for d in reversed(range(depth[0])):
+            near = step.join(good.select(F.col("id").alias("to")), "to", "left_semi").join(level(0, d).withColumnRenamed("id", "at"), "at", "left_semi")
+            good = staged(near.groupBy(F.col("at").alias("id")).agg(F.min(F.struct("o", "to"))["to"].alias("next")), "way")
+            ways.append(good)
+        path = [source]
+        for way in (*reversed(ways), *(sides[1].filter(F.col("depth") == d) for d in range(depth[1], 0, -1))):
+            path.append(way.filter(F.col("id") == path[-1]).first()["next"])
+        drop_staged(*ways)
+    drop_staged(step, *sides)
     return path
 
 

@@ -249,6 +249,29 @@ def shortest_path_reverse(s, d):
     return _path(s, d, True)
 
 
+_CHAIN = """WITH RECURSIVE k AS (SELECT p_partkey + 1 AS a, p_size AS z FROM part),
+e AS (SELECT DISTINCT a, b, (j + z) % 3 AS o FROM (SELECT a, z, 0 AS j, a // 2 AS b FROM k UNION ALL SELECT a, z, 1, a // 2 + z % 3 FROM k UNION ALL SELECT a, z, 2, a - 1 - z % 2 FROM k) WHERE b >= 1 AND a <> b),
+reach AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS depth UNION SELECT a, depth + 1 FROM reach JOIN e ON b = id WHERE depth < 30),
+far AS (SELECT id, min(depth) AS depth FROM reach GROUP BY id),
+way AS (SELECT max(a) AS id, 0 AS n FROM k UNION ALL SELECT b, n + 1 FROM (SELECT e.b, n, row_number() OVER (ORDER BY o, 'p:' || e.b) AS r FROM way JOIN e ON a = id JOIN far x ON x.id = a JOIN far y ON y.id = b AND y.depth = x.depth - 1) WHERE r = 1)
+SELECT CAST(n AS BIGINT) AS step, 'p:' || id AS id FROM way"""
+
+
+@query("shortest_path_far", _CHAIN, graph=False)
+def shortest_path_far(s, d):
+    """Every part calls three others, of about half its number or just below it: from the last part to the first it takes as many
+    calls as the number of parts has bits, with many ways as short, of which edge_ord picks one."""
+    part = T.table(s, d, "part").select((F.col("p_partkey") + 1).cast("long").alias("a"), F.col("p_size").cast("long").alias("z"))
+    half = F.floor(F.col("a") / 2)
+    to = F.array(half, half + F.col("z") % 3, F.col("a") - 1 - F.col("z") % 2)
+    each = part.select("a", "z", F.posexplode(to).alias("j", "b")).filter("b >= 1 AND a != b")
+    id_of = lambda c: F.concat(F.lit("p:"), c)
+    e = each.select(id_of("a").alias("source"), id_of("b").alias("target"), F.lit("CALLS").alias("type"), ((F.col("j") + F.col("z")) % 3).alias("edge_ord"))
+    last = part.agg(F.max("a")).first()[0]
+    found = traversal.shortest_path(e, f"p:{last}", "p:1")
+    return s.createDataFrame(list(enumerate(found or [])), "step long, id string")
+
+
 _ASKED = ["Supplier#000000001", "FRANCE.Supplier#000000001", "Supplier#00000001", "SMALL ring", "small ring", "Brand#2.small ring", "  ", "nobody"]
 _MATCHES = (
     ", g_q AS (SELECT trim(unnest([" + ", ".join(f"'{q}'" for q in _ASKED) + "])) AS asked),\n"

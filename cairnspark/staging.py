@@ -29,6 +29,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def grown(df: DataFrame, name: str = "", into: DataFrame | None = None) -> DataFrame:
+    """A staged table, kept in folders by its column depth, with df's rows appended: one scan however often it grew. df may read
+    the table that it is appended to."""
+    path = into._cairn_path if into is not None else f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("append").partitionBy("depth").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cairn_path = path
+    return out
+
+
 def drop_staged(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing reads any more."""
     for t in tables:
