@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from cairnspark import api
 from cairnspark.functions import paths as P
 from cairnspark.functions import text
-from cairnspark.operators import analysis, build, compare, evaluation, resolution, search, traversal, upkeep
+from cairnspark.operators import analysis, build, compare, evaluation, ownership, resolution, search, traversal, upkeep
 from cairnspark.sources import files, history
 from cairnspark.sources import tables as T
 from cairnspark.staging import staged
@@ -477,6 +477,38 @@ def reviewer_rollup(s, d):
     return T.table(s, d, "pages").select(analysis.last_match(F.col("url"), rules).alias("owner")).groupBy("owner").agg(F.count(F.lit(1)).alias("files"))
 
 
+# Rules in the order of parts: a brand's folder, a file's ending within it, a type anywhere, an ending, a colour's files of a brand.
+_RULES = """WITH f AS (SELECT p_partkey, p_brand || '/' || p_type || '/' || replace(p_name, ' ', '_') || '.' || p_size AS path FROM part),
+r AS (SELECT s_suppkey AS ord, s_suppkey % 5 AS kind, 'Brand#' || (1 + s_suppkey % 25) AS brand, p_type AS type, p_size AS size, split_part(p_name, ' ', 1) AS colour FROM supplier JOIN part ON p_partkey = s_suppkey),
+m AS (SELECT path, max(ord) AS ord FROM (SELECT DISTINCT path FROM f) JOIN r ON (kind = 0 AND starts_with(path, brand || '/')) OR (kind = 1 AND starts_with(path, brand || '/' || type || '/')) OR (kind = 2 AND split_part(path, '/', 2) = type)
+  OR (kind = 3 AND ends_with(path, '.' || size)) OR (kind = 4 AND starts_with(path, brand || '/') AND starts_with(split_part(path, '/', 3), colour || '_')) GROUP BY path)
+"""
+
+
+def _owned(s, d):
+    words = F.replace("p_name", F.lit(" "), F.lit("_"))
+    part = T.table(s, d, "part")
+    paths = part.select("p_partkey", F.concat_ws("/", "p_brand", "p_type", F.concat_ws(".", words, "p_size")).alias("path"))
+    k, brand = F.col("s_suppkey"), F.concat(F.lit("Brand#"), 1 + F.col("s_suppkey") % 25)
+    shape = (
+        F.when(k % 5 == 0, F.concat(F.lit("/"), brand, F.lit("/"))).when(k % 5 == 1, F.concat_ws("/", brand, "p_type")).when(k % 5 == 2, F.concat(F.lit("**/"), "p_type"))
+        .when(k % 5 == 3, F.concat(F.lit("*."), "p_size")).otherwise(F.concat(brand, F.lit("/*/"), F.split("p_name", " ")[0], F.lit("_*")))
+    )
+    rules = T.table(s, d, "supplier").select("s_suppkey").join(part, F.col("p_partkey") == k).select(k.alias("ord"), shape.alias("pattern"), F.array(F.concat(F.lit("@t"), k % 17)).alias("owners"))
+    return ownership.owners(paths, rules)
+
+
+@query("owners_by_rules", _RULES + "SELECT p_partkey, path, '@t' || (ord % 17) AS owner FROM f LEFT JOIN m USING (path)", graph=False)
+def owners_by_rules(s, d):
+    """A rule a supplier, a file a part."""
+    return _owned(s, d).select("p_partkey", "path", F.col("owners")[0].alias("owner"))
+
+
+@query("owner_files", _RULES + "SELECT '@t' || (ord % 17) AS owner, count(*) AS files FROM f JOIN m USING (path) GROUP BY ALL", graph=False)
+def owner_files(s, d):
+    return history.per_owner(_owned(s, d))
+
+
 _COMMITS = "WITH c AS (SELECT event_id AS sha, epoch_us(ts) AS t, user_id AS file, event_type = 'error' AS fix, value AS churn, CAST(json_extract(props, '$.k') AS BIGINT) AS ladder FROM events) "
 _SIX_HOURS = 6 * 3600 * 10**6
 

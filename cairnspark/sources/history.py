@@ -7,8 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnspark.functions.paths import owner_regex
-from cairnspark.operators.analysis import last_match
+from cairnspark.operators import ownership
 
 # Separators of the log's fields and records, and subjects that read as fixes.
 FIELD, RECORD = "\x1f", "\x1e"
@@ -34,12 +33,12 @@ def churn(numstat: DataFrame) -> DataFrame:
 
 
 def owner_rules(text: str) -> list[tuple[str, list[str]]]:
-    """(regex, owners) of a code-owners file in its order; comments, blanks and patterns without owners are left out."""
+    """(pattern, owners) of a code-owners file in its order; comments, blanks and patterns without owners are left out."""
     out = []
     for line in text.splitlines():
         words = line.split()
         if len(words) >= 2 and not words[0].startswith("#"):
-            out.append((owner_regex(words[0]), words[1:]))
+            out.append((words[0], words[1:]))
     return out
 
 
@@ -57,15 +56,21 @@ def owner_file(root: str) -> str:
 
 
 def owners(paths: DataFrame, rules: list[tuple[str, list[str]]]) -> DataFrame:
-    """paths: path. Its owners by the last rule that matches; null where none does."""
-    names = [(regex, F.array(*map(F.lit, who))) for regex, who in rules]
-    return paths.withColumn("owners", last_match(F.col("path"), names).cast("array<string>"))
+    """paths: path and more. Its owners by the last rule (pattern, owners) that matches; null where none does."""
+    rows = [(i, pattern, who) for i, (pattern, who) in enumerate(rules)]
+    table = paths.sparkSession.createDataFrame(rows, "ord long, pattern string, owners array<string>")
+    return ownership.owners(paths, table)
+
+
+def per_owner(owned: DataFrame) -> DataFrame:
+    """owned: path, owners. Files per owner, most first."""
+    each = owned.select("path", F.explode("owners").alias("owner"))
+    return each.groupBy("owner").agg(F.count(F.lit(1)).alias("files")).orderBy(F.desc("files"), "owner")
 
 
 def reviewers(paths: DataFrame, rules: list[tuple[str, list[str]]]) -> DataFrame:
     """Files per owner, most first."""
-    each = owners(paths, rules).select("path", F.explode("owners").alias("owner"))
-    return each.groupBy("owner").agg(F.count(F.lit(1)).alias("files")).orderBy(F.desc("files"), "owner")
+    return per_owner(owners(paths, rules))
 
 
 def last_authors(log: DataFrame) -> DataFrame:
