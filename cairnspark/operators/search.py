@@ -1,13 +1,19 @@
-"""Functions by name, call paths between them, and their neighbours."""
+"""Functions by name, call paths between them, and their neighbours.
+
+One name is looked for by a scan of the functions (name_search); many by an index of the letters of names (name_index,
+name_searches), so that each is compared with the functions that share its rarest three letters.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cairnspark.operators.traversal import shortest_path
+from cairnspark.staging import staged
 
 TIERS = ["exact", "qualified", "prefix", "substring"]
 #: Candidates that an ambiguous name shows.
@@ -42,6 +48,71 @@ def unique_name(found: DataFrame) -> DataFrame:
     return out.select("id", "matches", F.when(F.col("id").isNull(), F.col("c.id")).otherwise(F.expr("array()").cast("array<string>")).alias("candidates"))
 
 
+def _letters(text: Column, sizes: tuple[int, ...]) -> Column:
+    """The distinct runs of so many characters in a text, in lower case (with one form of the letter that has two, by place)."""
+    x = F.replace(F.lower(text), F.lit("\u03c2"), F.lit("\u03c3"))
+    n = F.char_length(x)
+    cut = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substr(x, i, F.lit(k)))
+    runs = [F.when(n >= k, cut(k)) for k in sizes]
+    return F.array_distinct(F.flatten(F.array_compact(F.array(*runs))))
+
+
+@dataclass
+class NameIndex:
+    names: DataFrame  # id, name, package of the functions
+    postings: DataFrame  # key, id: by runs of one to three characters (g:) and by the whole name (n:)
+    counts: DataFrame  # key, n
+
+
+def name_index(nodes: DataFrame) -> NameIndex:
+    """The functions' names by their letters, staged. Runs of three find long names, shorter ones the names of one or two
+    letters. Functions without a name are found by nothing; of rows that share an id each is found."""
+    names = staged(nodes.filter("type = 'function' AND name IS NOT NULL").select("id", "name", F.coalesce("package", F.lit("")).alias("package")), "names")
+    g = lambda a: F.transform(a, lambda x: F.concat(F.lit("g:"), x))
+    keys = F.concat(g(_letters(F.col("name"), (1, 2, 3))), F.array(F.concat(F.lit("n:"), "name")))
+    postings = staged(names.select("id", F.explode(keys).alias("key")).distinct(), "postings")
+    return NameIndex(names, postings, staged(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "counts"))
+
+
+def name_searches(index: NameIndex, asked: DataFrame) -> DataFrame:
+    """asked: asked, names as of name_search. What name_search finds for each: asked (trimmed), id, name, match_type, qualifier, tier.
+
+    A name is looked up by the run of letters in it that the fewest functions share, and what stands behind its last dot as
+    a whole name; what is found so is checked. Repeated names are looked for once; null and blank ones match nothing."""
+    q = F.trim(F.col("asked"))
+    once = asked.select(q.alias("asked")).filter("asked != ''").distinct()
+    last, owner = F.element_at(F.split("asked", r"\."), -1), F.regexp_replace("asked", r"(?s)\.[^.]*$", "")
+    once = once.withColumns({"last": last, "owner": F.when(F.col("asked").contains("."), owner).otherwise("")})
+    n = F.char_length(F.lower("asked"))
+    own = F.when(n >= 3, _letters(F.col("asked"), (3,))).when(n == 2, _letters(F.col("asked"), (2,))).otherwise(_letters(F.col("asked"), (1,)))
+    runs = once.select("asked", F.explode(own).alias("g")).select("asked", F.concat(F.lit("g:"), "g").alias("key")).join(index.counts, "key", "left")
+    # a run that no name has: nothing to check
+    rare = runs.groupBy("asked").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("m")).filter("m.n > 0").select("asked", F.col("m.key").alias("key"))
+    exact = once.filter("owner != ''").select("asked", F.concat(F.lit("n:"), "last").alias("key"))
+    near = rare.unionByName(exact).join(index.postings, "key").select("asked", "id").distinct()
+    name, package, qualified = F.col("name"), F.col("package"), F.col("owner") != ""
+    qualified &= (name == F.col("last")) & ((package == F.col("owner")) | package.endswith(F.concat(F.lit("/"), "owner")))
+    tier = F.when(name == F.col("asked"), 0).when(qualified, 1).when(name.startswith(F.col("asked")), 2).when(F.lower("name").contains(F.lower("asked")), 3)
+    found = near.join(index.names, "id").join(once, "asked").withColumn("tier", tier).filter("tier IS NOT NULL")
+    kind = F.element_at(F.array(*map(F.lit, TIERS)), F.col("tier") + 1)
+    return found.select("asked", "id", "name", kind.alias("match_type"), F.concat("package", F.lit("."), "name").alias("qualifier"), "tier")
+
+
+def unique_names(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """asked: asked; found: see name_searches. unique_name for each name asked for: asked (trimmed), id, matches, candidates."""
+    per = found.groupBy("asked", "tier").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    best = per.groupBy("asked").agg(F.sum("n").alias("matches"), F.min(F.struct("tier", "n", "id")).alias("b"))
+    one = F.when((F.col("matches") == 1) | ((F.col("b.n") == 1) & (F.col("b.tier") <= 1)), F.col("b.id"))
+    best = best.select("asked", "matches", one.alias("id"))
+    order = Window.partitionBy("asked").orderBy("tier", "id")  # cut to SHOWN rows in every task before it is shuffled
+    first = found.select("asked", "tier", "id").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= SHOWN)
+    first = first.groupBy("asked").agg(F.sort_array(F.collect_list(F.struct("r", "id"))).alias("c"))
+    none = F.expr("cast(array() as array<string>)")
+    every = asked.select(F.trim(F.col("asked")).alias("asked")).filter("asked IS NOT NULL").distinct()
+    out = every.join(best, "asked", "left").join(first, "asked", "left")
+    return out.select("asked", "id", F.coalesce("matches", F.lit(0).cast("long")).alias("matches"), F.when(F.col("id").isNull(), F.coalesce("c.id", none)).otherwise(none).alias("candidates"))
+
+
 @dataclass
 class Path:
     found: bool

@@ -302,6 +302,41 @@ def name_resolve_unique(s, d):
     return reduce(DataFrame.unionByName, one)
 
 
+# Names asked for by the tables: of suppliers whole, cut, in lower case and behind their nation; of parts by two letters, by a brand, by colour.
+_BATCH = """, g_q AS (SELECT DISTINCT trim(unnest([s_name, substr(s_name, 8), 'sup' || substr(s_name, 4), n_name || '.' || s_name, 'x.' || s_name, substr(s_name, 17), ' ' || substr(s_name, 15) || ' ', ''])) AS asked FROM supplier JOIN nation ON n_nationkey = s_nationkey
+  UNION SELECT DISTINCT unnest([p_brand || '.' || p_name, upper(p_name), substr(p_type, 1, 2), split_part(p_name, ' ', 1)]) FROM part),
+g_p AS (SELECT asked, CASE WHEN contains(asked, '.') THEN regexp_replace(asked, '\\.[^.]*$', '') ELSE '' END AS owner, regexp_extract(asked, '[^.]*$') AS last FROM g_q WHERE asked <> ''),
+g_m AS (SELECT asked, id, package || '.' || name AS qualifier, CASE WHEN name = asked THEN 0 WHEN owner <> '' AND name = last AND (package = owner OR ends_with(package, '/' || owner)) THEN 1 WHEN starts_with(name, asked) THEN 2 WHEN contains(lower(name), lower(asked)) THEN 3 END AS tier FROM g_p JOIN g_nodes ON type = 'function')
+"""
+
+
+def _batch(s, d):
+    """The matches of a table of names, found through an index."""
+    nation = T.table(s, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    name, part_name = F.col("s_name"), F.col("p_name")
+    of = T.table(s, d, "supplier").select("s_name", "s_nationkey").join(nation, "s_nationkey")
+    cut = lambda i: F.substr(name, F.lit(i))
+    said = F.array(name, cut(8), F.concat(F.lit("sup"), cut(4)), F.concat("n_name", F.lit("."), name), F.concat(F.lit("x."), name), cut(17), F.concat(F.lit(" "), cut(15), F.lit(" ")), F.lit(""))
+    parts = F.array(F.concat("p_brand", F.lit("."), part_name), F.upper(part_name), F.substring("p_type", 1, 2), F.split(part_name, " ")[0])
+    asked = of.select(F.explode(said).alias("asked")).unionByName(T.table(s, d, "part").select(F.explode(parts).alias("asked")))
+    asked = staged(asked.distinct(), "asked")
+    return asked, search.name_searches(search.name_index(T.nodes(s, d)), asked)
+
+
+@query("names_searched", _BATCH + "SELECT asked, id, qualifier, ['exact', 'qualified', 'prefix', 'substring'][tier + 1] AS match_type FROM g_m WHERE tier IS NOT NULL")
+def names_searched(s, d):
+    return _batch(s, d)[1].select("asked", "id", "qualifier", "match_type")
+
+
+@query("names_resolved", _BATCH + """, g_t AS (SELECT asked, count(*) AS matches, min(tier) AS best FROM g_m WHERE tier IS NOT NULL GROUP BY asked),
+g_u AS (SELECT g_t.asked, any_value(matches) AS matches, any_value(best) AS best, count(*) AS n, min(id) AS id FROM g_t JOIN g_m ON g_m.asked = g_t.asked AND tier = best GROUP BY g_t.asked),
+g_f AS (SELECT asked, string_agg(id, ' ' ORDER BY tier, id) AS first FROM (SELECT asked, id, tier, row_number() OVER (PARTITION BY asked ORDER BY tier, id) AS r FROM g_m WHERE tier IS NOT NULL) WHERE r <= 10 GROUP BY asked)
+SELECT g_q.asked, CASE WHEN matches = 1 OR (n = 1 AND best <= 1) THEN id END AS id, coalesce(matches, 0) AS matches, CASE WHEN matches = 1 OR (n = 1 AND best <= 1) THEN '' ELSE coalesce(first, '') END AS candidates FROM g_q LEFT JOIN g_u USING (asked) LEFT JOIN g_f USING (asked)""")
+def names_resolved(s, d):
+    asked, found = _batch(s, d)
+    return search.unique_names(asked, found).withColumn("candidates", F.array_join("candidates", " "))
+
+
 @query("node_neighbours", "SELECT DISTINCT 'caller' AS direction, n.id, n.name, file_path FROM g_edges e JOIN g_nodes n ON n.id = source WHERE e.type = 'CALLS' AND target = (SELECT id FROM g_seed) UNION ALL SELECT DISTINCT 'callee', n.id, n.name, file_path FROM g_edges e JOIN g_nodes n ON n.id = target WHERE e.type = 'CALLS' AND source = (SELECT id FROM g_seed)")
 def node_neighbours(s, d):
     n, e = _graph(s, d)
