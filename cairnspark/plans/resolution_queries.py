@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cairnspark.operators import evaluation, ranking, types
 from cairnspark.operators import resolution as R
 from cairnspark.plans import graph_queries as G
-from cairnspark.sources import diffs
+from cairnspark.sources import diff_lines
 from cairnspark.sources import tables as T
 from cairnspark.staging import staged
 
@@ -40,7 +40,8 @@ def hunk_ranges(s, d):
     n = lambda c: F.size(F.filter("body", lambda x: ~x.startswith(c))).cast("string")
     head = F.concat(F.lit("--- a/d\n+++ b/d\n@@ -1,"), n("+"), F.lit(" +1,"), n("-"), F.lit(" @@\n"), F.array_join("body", "\n"))
     docs = T.table(s, d, "documents").filter("text IS NOT NULL").select("doc_id", body.alias("body")).select("doc_id", head.alias("diff"))
-    return diffs.changed_files(docs, "doc_id", "diff").select("doc_id", F.inline("line_ranges").alias("range_start", "range_end"))
+    found = diff_lines.changes(diff_lines.lines_of(docs, "doc_id", "diff"))
+    return found.ranges.select(F.col("key").alias("doc_id"), F.col("start").alias("range_start"), F.col("end").alias("range_end"))
 
 
 @query(
