@@ -13,7 +13,7 @@ from cairnspark.functions import paths as P
 from cairnspark.functions.scoring import Thresholds
 from cairnspark.operators import analysis, build, compare, scip_build, search
 from cairnspark.sinks import graph_store
-from cairnspark.sources import diffs, files, history, scip
+from cairnspark.sources import diffs, files, history, scip, scip_split
 from cairnspark.staging import staged
 
 #: Names that a configuration file may have.
@@ -98,7 +98,7 @@ def index_scip(spark: SparkSession, indexes: list[tuple[str, str]], root: str) -
     """Nodes and edges of SCIP indexes (path, prefix of its documents), with the sources below root to check and widen them."""
     docs = None
     for path, prefix in indexes:
-        one = scip.decode(spark.read.format("binaryFile").load(path).select(F.col("path").alias("at"), "content"))
+        one = scip_split.read(spark, [path])
         one = scip.prefixed(one, prefix) if prefix else one
         docs = one if docs is None else docs.unionByName(one)
     sources = files.read_sources(files.walk(spark, root))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cairnspark.operators import evaluation, ranking, types
 from cairnspark.operators import resolution as R
 from cairnspark.plans import graph_queries as G
-from cairnspark.sources import diff_lines
+from cairnspark.sources import diff_lines, files
 from cairnspark.sources import tables as T
 from cairnspark.staging import staged
 
@@ -191,10 +191,11 @@ def report_counts(s, d):
 
 @query("cache_union_prune", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'fresh' ELSE 'cached' END AS origin FROM pages WHERE page_id % 4 <> 1")
 def cache_union_prune(s, d):
-    p = T.table(s, d, "pages").select("page_id")
-    now, cache = p.filter("page_id % 4 != 1"), p.filter("page_id % 3 != 0")
-    fresh = now.join(cache, "page_id", "left_anti").withColumn("origin", F.lit("fresh"))
-    return fresh.unionByName(cache.join(now, "page_id", "left_semi").withColumn("origin", F.lit("cached")))
+    """What an index of the pages that are there parses anew, and what it takes from the cache; cached pages that are gone fall out."""
+    p = T.table(s, d, "pages").select("page_id", F.col("page_id").cast("string").alias("file_path"), F.col("html").cast("binary").alias("content"))
+    cache = p.filter("page_id % 3 != 0").select("page_id", "file_path", F.sha2("content", 256).alias("content_hash"))
+    fresh, kept = files.split_cached(p.filter("page_id % 4 != 1"), cache)
+    return fresh.select("page_id", F.lit("fresh").alias("origin")).unionByName(kept.select("page_id", F.lit("cached").alias("origin")))
 
 
 @query("scip_ranges_roles", "SELECT p_partkey, CAST(p_partkey % 100 + 1 AS BIGINT) AS start_line, CAST(p_partkey % 100 + 1 + CASE WHEN p_size % 2 = 0 THEN p_size ELSE 0 END AS BIGINT) AS end_line, p_size & 1 <> 0 AS defines, p_size & 2 <> 0 AS imports FROM part")
