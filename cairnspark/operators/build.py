@@ -53,9 +53,10 @@ def func_id(path: Column, receiver: Column, name: Column, line: Column) -> Colum
     return P.short_id("func", F.concat_ws(":", path, receiver, name, line.cast("string")))
 
 
-def functions(files: DataFrame) -> DataFrame:
-    """One row a function, in the order of its file (ord)."""
-    f = files.select("file_path", "language", "package", "is_test_file", F.posexplode("functions").alias("ord", "f")).select("file_path", "language", "package", "is_test_file", "ord", "f.*")
+def functions(files: DataFrame, version: tuple[str, ...] = ()) -> DataFrame:
+    """One row a function, in the order of its file (ord). version: columns that tell versions of one file apart."""
+    of = ["file_path", *version, "language", "package", "is_test_file"]
+    f = files.select(*of, F.posexplode("functions").alias("ord", "f")).select(*of, "ord", "f.*")
     return f.withColumn("id", func_id(F.col("file_path"), F.col("receiver"), F.col("name"), F.col("start_line")))
 
 
@@ -106,9 +107,9 @@ def imports(files: DataFrame) -> DataFrame:
     return a.unionByName(b).unionByName(c)
 
 
-def definitions(files: DataFrame) -> DataFrame:
-    """Lookup keys of functions: file_path, key, id, each once. q: qualified, f: file, p: Go package, n: any name."""
-    f = functions(files)
+def definitions(files: DataFrame, version: tuple[str, ...] = ()) -> DataFrame:
+    """Lookup keys of functions: file_path, version (see functions), key, id, each once. q: qualified, f: file, p: Go package, n: any name."""
+    f = functions(files, version)
     name, path, go = F.col("name"), F.col("file_path"), F.col("language") == "go"
     owned, plain = F.col("receiver") != "", ~F.col("is_init")
     k = lambda kind, *cols: F.concat(F.lit(kind), F.concat_ws(".", *cols))
@@ -123,7 +124,7 @@ def definitions(files: DataFrame) -> DataFrame:
         F.when(plain & go, k("p:", "package", "name")),
         k("n:", name),
     )
-    return f.select("file_path", F.explode(F.array_distinct(F.array_compact(rows))).alias("key"), "id").distinct()
+    return f.select("file_path", *version, F.explode(F.array_distinct(F.array_compact(rows))).alias("key"), "id").distinct()
 
 
 def targets(defined: DataFrame) -> DataFrame:
@@ -140,10 +141,11 @@ def bindings(files: DataFrame, bound: DataFrame) -> DataFrame:
 SITE = ["file_path", "site", "name", "line"]
 
 
-def tries(files: DataFrame, b: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """The keys that calls ask for: SITE, tier, key, conf; one row of nulls for a call that asks for none.
+def tries(files: DataFrame, b: DataFrame, known: DataFrame | None = None, version: tuple[str, ...] = ()) -> DataFrame:
+    """The keys that calls ask for: version (see functions), SITE, tier, key, conf; one row of nulls for a call that asks for none.
     b: see bindings; known: types of receivers (see types.receivers)."""
-    c = files.select("file_path", "language", "package", F.posexplode("calls").alias("site", "c")).select("file_path", "language", "package", "site", "c.*")
+    of = ["file_path", *version, "language", "package"]
+    c = files.select(*of, F.posexplode("calls").alias("site", "c")).select(*of, "site", "c.*")
     head = F.when(F.col("receiver") != "", F.col("receiver")).otherwise(F.col("name"))
     c = c.withColumn("alias", head).join(b, ["file_path", "alias"], "left")
     # a type that the file itself shows by the call comes before one that facts lead to
@@ -177,7 +179,7 @@ def tries(files: DataFrame, b: DataFrame, known: DataFrame | None = None) -> Dat
         (~init, F.concat(F.lit("n:"), name), F.lit(GUESS)),
     ]
     asked = F.array_compact(F.array(*(F.when(ok, F.struct(F.lit(i).alias("tier"), key.alias("key"), conf.alias("conf"))) for i, (ok, key, conf) in enumerate(tiers))))
-    return c.select(*SITE, F.explode_outer(asked).alias("t")).select(*SITE, "t.*")
+    return c.select(*version, *SITE, F.explode_outer(asked).alias("t")).select(*version, *SITE, "t.*")
 
 
 def resolved(asked: DataFrame, known: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from cairnspark import api
 from cairnspark.functions import paths as P
 from cairnspark.functions import text
-from cairnspark.operators import analysis, build, compare, evaluation, ownership, resolution, search, traversal, upkeep
+from cairnspark.operators import analysis, build, compare, evaluation, ownership, resolution, search, traversal, upkeep, versions
 from cairnspark.sources import files, history
 from cairnspark.sources import tables as T
 from cairnspark.staging import staged
@@ -722,6 +722,32 @@ def call_upkeep(s, d):
     return state.sites.groupBy("file_path", "name", "line", "status", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
+# A history of twenty commits: parts are functions that come with the number p_size % 10 and go after up to seven; line items are calls
+# of a part by brand and name, else by name alone, with lives of their own.
+_HISTORY = """WITH d AS (SELECT 'func:' || left(sha256('p' || p_partkey), 16) AS id, p_brand || '.' || p_name AS q, p_name AS n, p_size % 10 AS lo, p_size % 10 + 1 + p_partkey % 7 AS hi FROM part),
+t AS (SELECT range AS t FROM range(20)),
+k AS (SELECT key, t, count(DISTINCT id) AS n, min(id) AS id FROM (SELECT 'q:' || q AS key, id, lo, hi FROM d UNION ALL SELECT 'n:' || n, id, lo, hi FROM d) JOIN t ON t >= lo AND t < hi GROUP BY key, t),
+c AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, p_brand || '.' || p_name AS q, p_name AS n, l_linenumber AS lo, l_linenumber + 1 + CAST(l_quantity AS BIGINT) % 8 AS hi FROM lineitem JOIN part ON p_partkey = l_partkey),
+s AS (SELECT l_orderkey, l_linenumber, l_partkey, c.lo, c.hi, t.t, CASE WHEN coalesce(a.n, b.n) IS NULL THEN 'UNRESOLVED' WHEN coalesce(a.n, b.n) > 1 THEN 'AMBIGUOUS' WHEN a.n IS NOT NULL THEN 'EXACT' ELSE 'HEURISTIC' END AS status, CASE WHEN coalesce(a.n, b.n) = 1 THEN coalesce(a.id, b.id) END AS target
+  FROM c JOIN t ON t.t >= c.lo AND t.t < c.hi LEFT JOIN k a ON a.key = 'q:' || c.q AND a.t = t.t LEFT JOIN k b ON b.key = 'n:' || c.n AND b.t = t.t),
+f AS (SELECT *, CASE WHEN t = lo OR (status, coalesce(target, '')) <> lag((status, coalesce(target, ''))) OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, hi ORDER BY t) THEN 1 ELSE 0 END AS new FROM s),
+g AS (SELECT *, sum(new) OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, hi ORDER BY t) AS island FROM f)
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, CAST(min(t) AS BIGINT) AS since, CAST(max(t) + 1 AS BIGINT) AS until, any_value(status) AS status, any_value(target) AS target FROM g GROUP BY l_orderkey, l_linenumber, l_partkey, hi, island"""
+
+
+@query("call_history", _HISTORY, graph=False)
+def call_history(s, d):
+    part = T.table(s, d, "part").select("p_partkey", F.concat(F.lit("q:"), "p_brand", F.lit("."), "p_name").alias("q"), F.concat(F.lit("n:"), "p_name").alias("n"), F.col("p_size").cast("long").alias("z"))
+    lo = F.col("z") % 10
+    life = (P.short_id("func", F.concat(F.lit("p"), "p_partkey")).alias("id"), lo.alias("lo"), (lo + 1 + F.col("p_partkey") % 7).alias("hi"))
+    defined = part.select(F.explode(F.array("q", "n")).alias("key"), *life)
+    line = T.table(s, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.col("l_partkey").alias("p_partkey"), (F.col("l_quantity").cast("long") % 8).alias("more")).distinct()
+    tier = lambda i, key, conf: F.struct(F.lit(i).alias("tier"), F.col(key).alias("key"), F.lit(conf).alias("conf"))
+    asked = line.join(part, "p_partkey").select("l_orderkey", "l_linenumber", F.col("p_partkey").alias("l_partkey"), F.col("l_linenumber").alias("lo"), (F.col("l_linenumber") + 1 + F.col("more")).alias("hi"), F.inline(F.array(tier(0, "q", "EXACT"), tier(1, "n", "HEURISTIC"))))
+    found = versions.resolved(asked, versions.stretches(defined), ["l_orderkey", "l_linenumber", "l_partkey"])
+    return found.withColumnsRenamed({"lo": "since", "hi": "until"})
+
+
 @query("built_call_edges", _CALLS + """, h AS (SELECT z.file_path, z.line, z.target, z.status, arg_min(fn.id, fn.ord) AS fid FROM z LEFT JOIN fn ON fn.file_path = z.file_path AND z.line BETWEEN fn.lo AND fn.hi WHERE z.target IS NOT NULL GROUP BY ALL)
 SELECT coalesce(fid, 'file:' || left(sha256(file_path), 16)) AS source, target, min(status) AS confidence FROM h GROUP BY ALL""", graph=False)
 def built_call_edges(s, d):
