@@ -3,6 +3,10 @@
 Definitions are aggregated per lookup key (how many, the least id) before anything joins them, and a call site asks
 for at most thirteen keys, one a tier: one equi-join and one aggregation resolve all sites, and a name that a million
 files define costs one row. The first tier that knows its key decides; if it knows several targets, the site is ambiguous.
+Calls that ask the same (ASK: the same name and receiver in the same file) are resolved once, and the answer joins the calls.
+
+What works on functions and calls takes them as rows, so that no row grows with a file; functions() and calls() give them for
+parsed files.
 
 Edges have an order, edge_ord from 1 on, which traversals follow: by pass (what files contain; methods and bases; imports;
 calls), in it by file path, then by place in the file. An edge that comes several times has its first place. The numbers are
@@ -12,6 +16,7 @@ given by ranges (see ranking) and are as good as rows: Parquet and JSON keep the
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,10 +61,20 @@ def func_id(path: Column, receiver: Column, name: Column, line: Column) -> Colum
 def functions(files: DataFrame, version: tuple[str, ...] = ()) -> DataFrame:
     """One row a function, in the order of its file (ord). version: columns that tell versions of one file apart."""
     of = ["file_path", *version, "language", "package", "is_test_file"]
-    f = files.select(*of, F.posexplode("functions").alias("ord", "f")).select(*of, "ord", "f.*")
+    return identified(files.select(*of, F.posexplode("functions").alias("ord", "f")).select(*of, "ord", "f.*"))
+
+
+def identified(f: DataFrame) -> DataFrame:
+    """Functions as rows, with their ids."""
     return f.withColumn("id", func_id(F.col("file_path"), F.col("receiver"), F.col("name"), F.col("start_line")))
 
 
+def calls(files: DataFrame, version: tuple[str, ...] = ()) -> DataFrame:
+    """One row a call, in the order of its file (site). version: see functions."""
+    of = ["file_path", *version, "language", "package"]
+    return files.select(*of, F.posexplode("calls").alias("site", "c")).select(*of, "site", "c.*")
+
+
 def classes(files: DataFrame) -> DataFrame:
     """One row a class, in the order of its file (ord)."""
     c = files.select("file_path", "language", "package", "is_test_file", F.posexplode("classes").alias("ord", "c")).select("file_path", "language", "package", "is_test_file", "ord", "c.*")
@@ -108,8 +123,12 @@ def imports(files: DataFrame) -> DataFrame:
 
 
 def definitions(files: DataFrame, version: tuple[str, ...] = ()) -> DataFrame:
+    """definitions_of the functions of parsed files."""
+    return definitions_of(functions(files, version), version)
+
+
+def definitions_of(f: DataFrame, version: tuple[str, ...] = ()) -> DataFrame:
     """Lookup keys of functions: file_path, version (see functions), key, id, each once. q: qualified, f: file, p: Go package, n: any name."""
-    f = functions(files, version)
     name, path, go = F.col("name"), F.col("file_path"), F.col("language") == "go"
     owned, plain = F.col("receiver") != "", ~F.col("is_init")
     k = lambda kind, *cols: F.concat(F.lit(kind), F.concat_ws(".", *cols))
@@ -139,13 +158,30 @@ def bindings(files: DataFrame, bound: DataFrame) -> DataFrame:
 
 
 SITE = ["file_path", "site", "name", "line"]
+#: What the answer to a call depends on, beside what its file binds and knows.
+ASK = ["file_path", "language", "package", "name", "receiver", "receiver_type", "receiver_key"]
+
+
+def ask_of(c: DataFrame) -> list[str]:
+    """The columns of ASK that calls have: those made by hand may lack the last."""
+    return [x for x in ASK if x in c.columns]
+
+
+def alike(a: DataFrame, b: DataFrame, on: list[str], how: str) -> DataFrame:
+    """a joined with b where the columns are the same; nulls are the same as nulls."""
+    other = b.withColumnsRenamed({x: f"__{x}" for x in on})
+    same = reduce(Column.__and__, (F.col(x).eqNullSafe(F.col(f"__{x}")) for x in on))
+    return a.join(other, same, how).drop(*(f"__{x}" for x in on))
 
 
 def tries(files: DataFrame, b: DataFrame, known: DataFrame | None = None, version: tuple[str, ...] = ()) -> DataFrame:
-    """The keys that calls ask for: version (see functions), SITE, tier, key, conf; one row of nulls for a call that asks for none.
+    """tries_of the calls of parsed files: version (see functions), SITE, tier, key, conf."""
+    return tries_of(calls(files, version), b, known, [*version, *SITE])
+
+
+def tries_of(c: DataFrame, b: DataFrame, known: DataFrame | None, site: list[str]) -> DataFrame:
+    """The keys that calls ask for: site, tier, key, conf; one row of nulls for a call that asks for none.
     b: see bindings; known: types of receivers (see types.receivers)."""
-    of = ["file_path", *version, "language", "package"]
-    c = files.select(*of, F.posexplode("calls").alias("site", "c")).select(*of, "site", "c.*")
     head = F.when(F.col("receiver") != "", F.col("receiver")).otherwise(F.col("name"))
     c = c.withColumn("alias", head).join(b, ["file_path", "alias"], "left")
     # a type that the file itself shows by the call comes before one that facts lead to
@@ -179,31 +215,49 @@ def tries(files: DataFrame, b: DataFrame, known: DataFrame | None = None, versio
         (~init, F.concat(F.lit("n:"), name), F.lit(GUESS)),
     ]
     asked = F.array_compact(F.array(*(F.when(ok, F.struct(F.lit(i).alias("tier"), key.alias("key"), conf.alias("conf"))) for i, (ok, key, conf) in enumerate(tiers))))
-    return c.select(*version, *SITE, F.explode_outer(asked).alias("t")).select(*version, *SITE, "t.*")
+    return c.select(*site, F.explode_outer(asked).alias("t")).select(*site, "t.*")
 
 
-def resolved(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """asked: see tries; known: see targets. Every call with its status (EXACT, HEURISTIC, AMBIGUOUS, UNRESOLVED) and target."""
+def resolved(asked: DataFrame, known: DataFrame, site: list[str]) -> DataFrame:
+    """asked: see tries_of; known: see targets. Every site with its status (EXACT, HEURISTIC, AMBIGUOUS, UNRESOLVED) and target."""
     found = asked.join(known, "key", "left")
-    first = found.groupBy(*SITE).agg(F.min(F.when(F.col("n").isNotNull(), F.struct("tier", "n", "id", "conf"))).alias("m"))
+    first = found.groupBy(*site).agg(F.min(F.when(F.col("n").isNotNull(), F.struct("tier", "n", "id", "conf"))).alias("m"))
     status = F.when(F.col("m").isNull(), "UNRESOLVED").when(F.col("m.n") > 1, "AMBIGUOUS").otherwise(F.col("m.conf"))
-    return first.select(*SITE, status.alias("status"), F.when(F.col("m.n") == 1, F.col("m.id")).alias("target"))
+    return first.select(*site, status.alias("status"), F.when(F.col("m.n") == 1, F.col("m.id")).alias("target"))
+
+
+def answered(c: DataFrame, answers: DataFrame) -> DataFrame:
+    """Calls with the status and target of what they ask for."""
+    return alike(c, answers, ask_of(c), "inner")
+
+
+def resolved_calls(c: DataFrame, b: DataFrame, known: DataFrame | None, defined: DataFrame) -> DataFrame:
+    """Calls as rows, each with its status and target. b, known: see tries_of; defined: see definitions."""
+    ask = ask_of(c)
+    return answered(c, resolved(tries_of(c.select(*ask).distinct(), b, known, ask), targets(defined), ask))
 
 
 def call_sites(files: DataFrame, bound: DataFrame) -> DataFrame:
     """Every call of parsed files, resolved."""
     b = bindings(files, bound)
     known = types.receivers(files, b) if "facts" in files.columns else None
-    return resolved(tries(files, b, known), targets(definitions(files)))
+    return resolved_calls(calls(files), b, known, definitions(files)).select(*SITE, "status", "target")
+
+
+def enclosing(lines: DataFrame, f: DataFrame) -> DataFrame:
+    """lines: file_path, line; f: functions. Each line once that a function holds, with the first of those in the order of the file: fid."""
+    spans = f.select("file_path", "ord", "start_line", "end_line", F.col("id").alias("fid"))
+    held = R.holding(lines.select("file_path", "line").distinct(), spans)
+    return held.groupBy("file_path", "line").agg(F.min(F.struct("ord", "fid")).alias("o")).select("file_path", "line", "o.fid")
 
 
-def callers(files: DataFrame, sites: DataFrame) -> DataFrame:
-    """Resolved sites with their source: the first function of the file, in its order, that holds the line; else the file."""
-    f = functions(files).select("file_path", "ord", "start_line", "end_line", F.col("id").alias("fid"))
+def callers(f: DataFrame, sites: DataFrame) -> DataFrame:
+    """f: functions. Resolved sites (file_path, line, target, status and more) with their source: the first function of the file, in its
+    order, that holds the line; else the file. source, target, confidence, file_path, and what else sites have."""
     asked = sites.filter("target IS NOT NULL")
-    held = R.holding(asked.select("file_path", "site", "line"), f).groupBy("file_path", "site").agg(F.min(F.struct("ord", "fid")).alias("o"))
-    one = asked.join(held, ["file_path", "site"], "left")
-    return one.select(F.coalesce("o.fid", file_id(F.col("file_path"))).alias("source"), "target", F.col("status").alias("confidence"), "file_path", "site")
+    one = asked.join(enclosing(asked, f), ["file_path", "line"], "left")
+    more = [c for c in sites.columns if c not in ("file_path", "line", "target", "status")]
+    return one.select(F.coalesce("fid", file_id(F.col("file_path"))).alias("source"), "target", F.col("status").alias("confidence"), "file_path", *more)
 
 
 #: Where an edge is emitted: the pass, the file, the part of the file that the pass takes, the place in it, and the place in that.
@@ -231,6 +285,12 @@ def file_metadata(files: DataFrame) -> DataFrame:
     return files.filter("content_hash != ''").select("file_path", "content_hash", "language", n.cast("long").alias("node_count"))
 
 
+def metadata_of(parts: DataFrame) -> DataFrame:
+    """file_metadata of files in parts: file_path, content_hash, language, node_count of each."""
+    known = parts.filter("content_hash != ''")
+    return known.groupBy("file_path", "content_hash", "language").agg(F.sum("node_count").alias("node_count"))
+
+
 def resolution_stats(sites: DataFrame) -> DataFrame:
     """sites: kind, status. One row: each kind's sites by status (call_exact, ..., inheritance_unresolved)."""
     kinds, states = ("call", "inheritance"), ("EXACT", "HEURISTIC", "AMBIGUOUS", "UNRESOLVED")
@@ -266,14 +326,14 @@ def build(files: DataFrame, sites: DataFrame | None = None) -> Graph:
     kin = uses.join(kin, ["child", "base"], "left").join(kinds, F.col("id") == F.col("i"), "left")
     relation = F.when((F.col("base_kind") == "interface") & (F.col("kind") == "class"), "IMPLEMENTS").otherwise("EXTENDS")
     known = bound.filter("target IS NOT NULL AND target != file_path")
-    calls = callers(files, sites)
+    made = callers(f, sites)
     edges = [
         edge(f, file_id(path), F.col("id"), "CONTAINS", place(0, path, 0, F.col("ord"))),
         edge(c, file_id(path), F.col("id"), "CONTAINS", place(0, path, 1, F.col("ord"))),
         edge(owners, F.col("class_id"), F.col("id"), "CONTAINS", place(1, path, 0, F.col("ord"))),
         edge(kin.filter("id IS NOT NULL"), F.col("child"), F.col("id"), relation, place(1, path, 1, F.col("ord"), F.col("pos")), F.col("status")),
         edge(known, file_id(path), file_id(F.col("target")), "IMPORTS", place(2, path, 0, F.col("ord"))),
-        edge(calls, F.col("source"), F.col("target"), "CALLS", place(3, path, 0, F.col("site")), F.col("confidence")),
+        edge(made, F.col("source"), F.col("target"), "CALLS", place(3, path, 0, F.col("site")), F.col("confidence")),
     ]
     out = edges[0]
     for e in edges[1:]:

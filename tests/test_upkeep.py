@@ -44,3 +44,17 @@ def test_changes_equal_a_rebuild(spark):
         state.drop()
         state = new
     assert upkeep.change(state, parse(spark, {})).again.count() == 0
+
+
+def test_equal_calls_are_asked_once(spark):
+    tree = {"m/a.py": "def own():\n    pass\n\ndef user():\n" + "    own()\n" * 300, "m/b.py": "def own():\n    pass\n"}
+    state = upkeep.start(parse(spark, tree))
+    assert state.sites.count() == 300 and state.asked.count() < 10
+    new = upkeep.change(state, parse(spark, {"m/a.py": tree["m/a.py"].replace("    own()\n" * 300, "    own()\n" * 299 + "    gone()\n")}))
+    assert {(x.status, x["count"]) for x in new.sites.groupBy("status").count().collect()} == {("EXACT", 299), ("UNRESOLVED", 1)}
+
+
+def test_no_row_of_the_parsed_tables_holds_a_file(spark, sf):
+    from cairnspark.plans import graph_queries as G
+
+    assert not [f for df in G._parsed(spark, sf) for f in df.schema if f.dataType.typeName() == "array"]
