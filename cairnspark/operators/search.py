@@ -60,24 +60,27 @@ def _letters(text: Column, sizes: tuple[int, ...]) -> Column:
 @dataclass
 class NameIndex:
     names: DataFrame  # id, name, package of the functions
-    postings: DataFrame  # key, id: by runs of one to three characters (g:) and by the whole name (n:)
+    kinds: DataFrame  # name, package, n: how many functions have both
+    postings: DataFrame  # key, name: by runs of one to three characters (g:) and by the whole name (n:)
     counts: DataFrame  # key, n
 
 
 def name_index(nodes: DataFrame) -> NameIndex:
     """The functions' names by their letters, staged. Runs of three find long names, shorter ones the names of one or two
-    letters. Functions without a name are found by nothing; of rows that share an id each is found."""
+    letters. A name that many functions have is one. Functions without a name are found by nothing; of rows that share an id
+    each is found."""
     names = staged(nodes.filter("type = 'function' AND name IS NOT NULL").select("id", "name", F.coalesce("package", F.lit("")).alias("package")), "names")
     g = lambda a: F.transform(a, lambda x: F.concat(F.lit("g:"), x))
     keys = F.concat(g(_letters(F.col("name"), (1, 2, 3))), F.array(F.concat(F.lit("n:"), "name")))
-    postings = staged(names.select("id", F.explode(keys).alias("key")).distinct(), "postings")
-    return NameIndex(names, postings, staged(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "counts"))
+    kinds = staged(names.groupBy("name", "package").agg(F.count(F.lit(1)).alias("n")), "kinds")
+    postings = staged(kinds.select("name").distinct().select("name", F.explode(keys).alias("key")), "postings")
+    return NameIndex(names, kinds, postings, staged(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "counts"))
 
 
-def name_searches(index: NameIndex, asked: DataFrame) -> DataFrame:
-    """asked: asked, names as of name_search. What name_search finds for each: asked (trimmed), id, name, match_type, qualifier, tier.
+def _kinds_found(index: NameIndex, asked: DataFrame) -> DataFrame:
+    """The names and packages that names asked for mean: asked (trimmed), name, package, n (functions), tier.
 
-    A name is looked up by the run of letters in it that the fewest functions share, and what stands behind its last dot as
+    A name is looked up by the run of letters in it that the fewest names share, and what stands behind its last dot as
     a whole name; what is found so is checked. Repeated names are looked for once; null and blank ones match nothing."""
     q = F.trim(F.col("asked"))
     once = asked.select(q.alias("asked")).filter("asked != ''").distinct()
@@ -88,12 +91,19 @@ def name_searches(index: NameIndex, asked: DataFrame) -> DataFrame:
     runs = once.select("asked", F.explode(own).alias("g")).select("asked", F.concat(F.lit("g:"), "g").alias("key")).join(index.counts, "key", "left")
     # a run that no name has: nothing to check
     rare = runs.groupBy("asked").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("m")).filter("m.n > 0").select("asked", F.col("m.key").alias("key"))
-    exact = once.filter("owner != ''").select("asked", F.concat(F.lit("n:"), "last").alias("key"))
-    near = rare.unionByName(exact).join(index.postings, "key").select("asked", "id").distinct()
     name, package, qualified = F.col("name"), F.col("package"), F.col("owner") != ""
+    # by letters: what the name alone decides; by the whole name: what its packages do, too
+    near = rare.join(index.postings, "key").select("asked", "name").filter(F.lower("name").contains(F.lower("asked")) | name.startswith(F.col("asked")))
+    exact = once.filter("owner != ''").select("asked", F.concat(F.lit("n:"), "last").alias("key")).join(index.postings, "key").select("asked", "name")
     qualified &= (name == F.col("last")) & ((package == F.col("owner")) | package.endswith(F.concat(F.lit("/"), "owner")))
     tier = F.when(name == F.col("asked"), 0).when(qualified, 1).when(name.startswith(F.col("asked")), 2).when(F.lower("name").contains(F.lower("asked")), 3)
-    found = near.join(index.names, "id").join(once, "asked").withColumn("tier", tier).filter("tier IS NOT NULL")
+    pairs = near.unionByName(exact).distinct().join(once, "asked")
+    return pairs.join(index.kinds, "name").withColumn("tier", tier).filter("tier IS NOT NULL").select("asked", "name", "package", "n", "tier")
+
+
+def name_searches(index: NameIndex, asked: DataFrame) -> DataFrame:
+    """asked: asked, names as of name_search. What name_search finds for each: asked (trimmed), id, name, match_type, qualifier, tier."""
+    found = _kinds_found(index, asked).drop("n").join(index.names, ["name", "package"])
     kind = F.element_at(F.array(*map(F.lit, TIERS)), F.col("tier") + 1)
     return found.select("asked", "id", "name", kind.alias("match_type"), F.concat("package", F.lit("."), "name").alias("qualifier"), "tier")
 
@@ -101,6 +111,23 @@ def name_searches(index: NameIndex, asked: DataFrame) -> DataFrame:
 def unique_names(asked: DataFrame, found: DataFrame) -> DataFrame:
     """asked: asked; found: see name_searches. unique_name for each name asked for: asked (trimmed), id, matches, candidates."""
     per = found.groupBy("asked", "tier").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    return _unique(asked, per, found)
+
+
+def resolved_names(index: NameIndex, asked: DataFrame) -> DataFrame:
+    """unique_names of what name_searches finds, from counts by name and package and the SHOWN least ids of each: the functions
+    themselves are not gone through for every name."""
+    kind = ["name", "package"]
+    kinds = staged(_kinds_found(index, asked), "found")
+    least = Window.partitionBy(*kind).orderBy("id")  # cut to SHOWN rows in every task before it is shuffled
+    first = staged(index.names.withColumn("r", F.row_number().over(least)).filter(F.col("r") <= SHOWN), "first")
+    lowest = kinds.join(first.filter("r = 1").select(*kind, "id"), kind)
+    per = lowest.groupBy("asked", "tier").agg(F.sum("n").alias("n"), F.min("id").alias("id"))
+    return _unique(asked, per, kinds.select("asked", "tier", *kind).join(first, kind))
+
+
+def _unique(asked: DataFrame, per: DataFrame, found: DataFrame) -> DataFrame:
+    """per: asked, tier, n, id (the least); found: asked, tier, id, of each name and tier the SHOWN least at least."""
     best = per.groupBy("asked").agg(F.sum("n").alias("matches"), F.min(F.struct("tier", "n", "id")).alias("b"))
     one = F.when((F.col("matches") == 1) | ((F.col("b.n") == 1) & (F.col("b.tier") <= 1)), F.col("b.id"))
     best = best.select("asked", "matches", one.alias("id"))

@@ -69,3 +69,19 @@ def test_empty(spark, graph):
 @pytest.mark.parametrize("name", ["names_searched", "names_resolved"])
 def test_queries(spark, sf, name):
     assert assert_matches(registry.QUERIES[name](spark, sf), registry.ORACLE_SQL[name], sf) > 100
+
+
+def test_a_name_that_many_functions_have_is_one(spark):
+    rows = [(f"f{i:05}", "function", ["Build", "build x"][i % 2], "ab"[i % 3 > 0], 0) for i in range(3000)]
+    index = search.name_index(spark.createDataFrame(rows, NODE))
+    assert index.postings.count() < 100
+    asked = spark.createDataFrame([(x,) for x in ["Build", "b.Build", "uild", "x", "f", "", None]], "asked string")
+    want = {tuple(map(str, x)) for x in search.unique_names(asked, search.name_searches(index, asked)).collect()}
+    assert {tuple(map(str, x)) for x in search.resolved_names(index, asked).collect()} == want
+
+
+def test_counts_by_kind_equal_the_rows(spark, graph):
+    nodes, names = graph
+    index, asked = search.name_index(nodes), spark.createDataFrame([(x,) for x in names], "asked string")
+    want = {tuple(map(str, x)) for x in search.unique_names(asked, search.name_searches(index, asked)).collect()}
+    assert {tuple(map(str, x)) for x in search.resolved_names(index, asked).collect()} == want
