@@ -80,27 +80,38 @@ def scope_of(refs: DataFrame, scopes: DataFrame) -> DataFrame:
     """refs: ref, file_path, line, target; scopes: id, file_path, start_line, end_line. Of the scopes that hold
     the line (one-line scopes hold all lines after them), the one that starts last, then ends first; never the target.
 
-    Scopes of several lines meet references by bins. For those of one line a running maximum over the lines of a file
-    finds the last two lines that have any."""
+    Of the scopes that share a file and lines, the two least ids count. Lines that references are on, each once, meet those of
+    several lines by bins; of those of one line a running maximum over the lines of a file finds the last two lines that have
+    any. A line keeps its best scope and the best of another id, and references pick by an equi-join on their line."""
     asked = refs.select("ref", "file_path", "line", "target").distinct()
-    inside = holding(asked, scopes.filter("start_line < end_line").select("file_path", "id", "start_line", "end_line")).filter("id != target")
-    key = F.struct((-F.col("start_line")).alias("s"), F.col("end_line").alias("e"), F.col("id").alias("i"))
-    inside = inside.groupBy("ref", "file_path").agg(F.min(key).alias("m"))
-    one = scopes.filter("start_line = end_line").groupBy("file_path", F.col("start_line").alias("line")).agg(F.min("id").alias("x"), F.sort_array(F.collect_set("id")).alias("all"))
-    one = one.select("file_path", "line", F.struct(F.col("line").alias("at"), "x", F.try_element_at("all", F.lit(2)).alias("y")).alias("s"))
+    lines = asked.select("file_path", "line").distinct()
+    place = ["file_path", "start_line", "end_line"]
+    least = Window.partitionBy(*place).orderBy("id")  # cut to two rows in every task before it is shuffled
+    two = scopes.select(*place, "id").distinct().withColumn("r", F.row_number().over(least)).filter("r <= 2")
+    two = two.groupBy(*place).agg(F.min("id").alias("x"), F.max(F.when(F.col("r") == 2, F.col("id"))).alias("y"))
+    key = lambda start, end, id_: F.when(id_.isNotNull(), F.struct((-start).alias("s"), end.alias("e"), id_.alias("i")))
+    of = lambda id_: key(F.col("start_line"), F.col("end_line"), F.col(id_))
+    held = holding(lines, two.filter("start_line < end_line"))
+    held = held.withColumn("a", F.min(of("x")).over(Window.partitionBy("file_path", "line")))
+    other = F.when(F.col("x") != F.col("a.i"), of("x")).otherwise(of("y"))
+    inside = held.groupBy("file_path", "line").agg(F.first("a").alias("a"), F.min(other).alias("b"))
+
+    one = two.filter("start_line = end_line").select("file_path", F.col("start_line").alias("line"), F.struct(F.col("start_line").alias("at"), "x", "y").alias("s"))
     last = Window.partitionBy("file_path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     one = one.withColumn("before", F.max("s").over(last))
-    empty = F.lit(None).cast(one.schema["s"].dataType)
-    rows = one.select("file_path", "line", F.lit(0).alias("kind"), F.lit(None).cast(asked.schema["ref"].dataType).alias("ref"), F.lit(None).cast("string").alias("target"), F.struct("s", "before").alias("w"))
-    rows = rows.unionByName(asked.select("file_path", "line", F.lit(1).alias("kind"), "ref", "target", F.lit(None).cast(rows.schema["w"].dataType).alias("w")))
+    rows = one.select("file_path", "line", F.lit(0).alias("kind"), F.struct("s", "before").alias("w"))
+    rows = rows.unionByName(lines.select("file_path", "line", F.lit(1).alias("kind"), F.lit(None).cast(rows.schema["w"].dataType).alias("w")))
     so_far = Window.partitionBy("file_path").orderBy("line", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = rows.withColumn("w", F.last("w", ignorenulls=True).over(so_far)).filter("kind = 1 AND w IS NOT NULL")
-    now, prior = F.col("w.s"), F.coalesce(F.col("w.before"), empty)
-    take = lambda line, id_: F.struct(line.alias("at"), id_.alias("id"))
-    pick = F.when(now["x"] != F.col("target"), take(now["at"], now["x"])).when(now["y"].isNotNull(), take(now["at"], now["y"])).otherwise(take(prior["at"], prior["x"]))
-    lines = seen.select("ref", "file_path", pick.alias("p")).filter("p.id IS NOT NULL")
-    lines = lines.select("ref", "file_path", F.struct((-F.col("p.at")).alias("s"), F.col("p.at").alias("e"), F.col("p.id").alias("i")).alias("m"))
-    return inside.unionByName(lines).groupBy("ref", "file_path").agg(F.min("m").alias("m")).select("ref", "file_path", F.col("m.i").alias("scope"))
+    now, prior = F.col("w.s"), F.col("w.before")
+    alone = lambda s, id_: key(s["at"], s["at"], s[id_])
+    above = seen.select("file_path", "line", alone(now, "x").alias("c"), F.coalesce(alone(now, "y"), alone(prior, "x")).alias("d"))
+
+    known = lines.join(inside, ["file_path", "line"], "left").join(above, ["file_path", "line"], "left")
+    differs = lambda c: F.when(F.col(f"{c}.i") != F.col("target"), F.col(c))
+    best = F.least(F.coalesce(differs("a"), differs("b")), F.coalesce(differs("c"), differs("d")))
+    found = asked.join(known, ["file_path", "line"]).select("ref", "file_path", best.alias("m")).filter("m IS NOT NULL")
+    return found.groupBy("ref", "file_path").agg(F.min("m").alias("m")).select("ref", "file_path", F.col("m.i").alias("scope"))
 
 
 def nearest_marker(paths: DataFrame, markers: DataFrame) -> DataFrame:
