@@ -57,10 +57,15 @@ def base_classes(uses: DataFrame, classes: DataFrame) -> DataFrame:
 
 def method_owners(methods: DataFrame, classes: DataFrame) -> DataFrame:
     """methods: id, receiver, file_path, dir; classes: class_id, name, file_path, dir. A class of the same
-    file, else of the same directory; the least id where several qualify."""
-    c = classes.select("class_id", F.col("name").alias("receiver"), F.col("file_path").alias("f"), "dir")
-    found = methods.join(c, ["receiver", "dir"])
-    return found.groupBy("id").agg(F.min_by("class_id", F.struct((F.col("f") != F.col("file_path")).alias("far"), "class_id")).alias("class_id"))
+    file, else of the same directory; the least id where several qualify.
+
+    Classes are aggregated per place first, so a name that a directory has often costs each method two rows."""
+    c = classes.select("class_id", F.col("name").alias("receiver"), "file_path", "dir")
+    near = c.groupBy("receiver", "dir", "file_path").agg(F.min("class_id").alias("near"))
+    far = near.groupBy("receiver", "dir").agg(F.min("near").alias("far"))
+    found = methods.join(far, ["receiver", "dir"]).join(near, ["receiver", "dir", "file_path"], "left")
+    own = F.struct(F.col("near").isNull().alias("far"), F.coalesce("near", "far").alias("class_id"))
+    return found.groupBy("id").agg(F.min(own).alias("m")).select("id", "m.class_id")
 
 
 #: Lines of a bin: a span meets a line through the bins that it covers.
