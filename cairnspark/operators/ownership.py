@@ -79,11 +79,11 @@ def _expressions(rules: DataFrame) -> DataFrame:
 
 
 def index(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rules: ord, pattern. By key the last rule (key, ord, pattern), and rules with wildcards (key, ord, pattern, regex)."""
+    """rules: ord, pattern. By key the last rule (key, ord, pattern), and the last of each pattern with wildcards (key, ord, pattern, regex)."""
     keyed = rules.filter("pattern IS NOT NULL AND ord IS NOT NULL").select(rule_keys(F.col("pattern")).alias("key"), F.col("ord").cast("long").alias("ord"), "pattern")
     wild = F.col("key").startswith("w:")
     plain = keyed.filter(~wild).groupBy("key").agg(F.max(F.struct("ord", "pattern")).alias("m")).select("key", "m.*")
-    return plain, _expressions(keyed.filter(wild).distinct())
+    return plain, _expressions(keyed.filter(wild).groupBy("key", "pattern").agg(F.max("ord").alias("ord")).select("key", "ord", "pattern"))
 
 
 def owners(paths: DataFrame, rules: DataFrame) -> DataFrame:

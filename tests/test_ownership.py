@@ -83,3 +83,11 @@ def test_twenty_thousand_rules(spark):
 def test_rules_from_a_table(spark, sf):
     for name in ("owners_by_rules", "owner_files"):
         assert assert_matches(registry.QUERIES[name](spark, sf), registry.ORACLE_SQL[name], sf) > 10
+
+
+def test_equal_patterns_are_one_rule(spark):
+    rules = spark.createDataFrame([(i, ["src/*/x_*", "docs", "*/y"][i % 3], [str(i)]) for i in range(300)], RULES)
+    plain_, wild = ownership.index(rules)
+    assert plain_.count() == 1 and {(x.ord, x.pattern) for x in wild.collect()} == {(297, "src/*/x_*"), (299, "*/y")}
+    got = ownership.owners(spark.createDataFrame([("src/a/x_1",), ("src/docs/x_2",), ("b",)], "path string"), rules).collect()
+    assert {(x.path, x.owners and x.owners[0]) for x in got} == {("src/a/x_1", "297"), ("src/docs/x_2", "298"), ("b", None)}
