@@ -120,11 +120,18 @@ def scope_of(refs: DataFrame, scopes: DataFrame) -> DataFrame:
 
 
 def nearest_marker(paths: DataFrame, markers: DataFrame) -> DataFrame:
-    """paths: path; markers: dir. The deepest ancestor directory of a path that holds a marker ('.' is the root)."""
-    parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i == 0, F.lit(".")).otherwise(F.array_join(F.slice(parts, F.lit(1), i), "/")))
-    up = paths.select("path", F.posexplode(above).alias("depth", "dir"))
-    return up.join(markers.select("dir").distinct(), "dir").groupBy("path").agg(F.max_by("dir", "depth").alias("dir"))
+    """paths: path; markers: dir. The deepest ancestor directory of a path that holds a marker ('.' is the root).
+
+    Directories are looked up, each once; their paths join the answer. The root, which all have above them, is no key of a join."""
+    parts, up = F.split("path", "/"), F.split("home", "/")
+    home = F.when(F.size(parts) > 1, F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/"))
+    each = paths.filter("path IS NOT NULL").select("path", home.alias("home")).distinct()
+    above = F.transform(F.sequence(F.lit(1), F.size(up)), lambda i: F.array_join(F.slice(up, F.lit(1), i), "/"))
+    known = markers.select("dir").distinct()
+    dirs = each.filter("home IS NOT NULL").select("home").distinct().select("home", F.posexplode(above).alias("depth", "dir"))
+    best = dirs.join(known, "dir").groupBy("home").agg(F.max_by("dir", "depth").alias("dir"))
+    root = known.filter("dir = '.'").agg(F.max("dir").alias("root"))  # one row, null without a marker there
+    return each.join(best, "home", "left").crossJoin(F.broadcast(root)).select("path", F.coalesce("dir", "root").alias("dir")).filter("dir IS NOT NULL")
 
 
 def line_span(r: Column) -> Column:
