@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairnspark.operators import ranking
+from cairnspark.staging import staged
 
 # The line by which a commit says what it reverts, and the generator of the random baseline: the factor and
 # the summand that a seed starts from, those of a step, and the low bits that a score leaves out.
@@ -120,7 +121,8 @@ def random_orders(commits: DataFrame, seeds: int) -> DataFrame:
 
 def random_baseline(commits: DataFrame, seeds: int, ks: list[int] = (5, 10)) -> DataFrame:
     """commits: place (from 0 on), label. Metrics of seeded random orders, averaged: auc, p_at_k, ifa, orders."""
-    each = metrics(random_orders(commits, seeds), list(ks), "place", ["seed"])
+    scored = staged(random_orders(commits, seeds), "orders")  # read by each of the metrics
+    each = metrics(scored, list(ks), "place", ["seed"])
     return each.agg(*(F.round(F.avg(c), 6).alias(c) for c in ("auc", *(f"p_at_{k}" for k in ks), "ifa")), F.count(F.lit(1)).alias("orders"))
 
 

@@ -49,3 +49,12 @@ def test_markers_above_one_crowded_directory(spark):
     assert time.time() - begin < MOST
     few = paths.filter("length(path) < 9")
     assert {tuple(x) for x in resolution.nearest_marker(few, marks("d0")).collect()} == {("d0/y", "d0")}
+
+
+def test_random_orders_are_made_once(spark, monkeypatch):
+    from cairnspark.operators import evaluation
+
+    kept, stage = [], evaluation.staged
+    monkeypatch.setattr(evaluation, "staged", lambda df, name: kept.append(name) or stage(df, name))
+    commits = spark.range(40).select(F.col("id").alias("place"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    assert evaluation.random_baseline(commits, 3).first()["orders"] == 3 and kept == ["orders"]
