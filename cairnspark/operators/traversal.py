@@ -2,7 +2,7 @@
 
 Each level joins the frontier with the edges, drops what was seen, and keeps one parent per node by a
 pre-aggregated minimum of (place of the parent in the queue, order of the edge). In a blast radius, whose depth is
-bounded, a place is the list of the orders of the edges taken, so no level is sorted at all. A shortest path has no bound: it
+bounded, a place is the list of the numbers of the edges taken, so no level is sorted at all. A shortest path has no bound: it
 is searched from both ends, without places, and the first path of the queue is picked from what both searches found. Levels
 carry a parent each, not paths: those are rebuilt at the end, for the nodes that are asked for. The edges that the loop joins
 are staged once.
@@ -27,17 +27,22 @@ def edge_order(edges: DataFrame) -> Column:
     return F.struct(of[0].alias("n"), F.col("type").alias("t"), F.col("source").alias("s"), F.col("target").alias("o"))
 
 
+def _in_order(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with a number that grows along the order, with gaps: sorted by ranges, so no task sees all rows."""
+    return df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())
+
+
 def traversal_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges that impact runs along: calls only into functions, containment and inheritance always, imports never."""
     keep = [c for c in ("source", "target", "type", "confidence", "edge_ord") if c in edges.columns]
-    callee = nodes.filter("type = 'function'").select(F.col("id").alias("target"))
+    callee = nodes.filter("type = 'function'").select(F.col("id").alias("target")).hint("merge")
     calls = edges.filter("type = 'CALLS'").join(callee, "target", "left_semi")
     return calls.select(*keep).unionByName(edges.filter("type IN ('CONTAINS', 'EXTENDS', 'IMPLEMENTS')").select(*keep))
 
 
 def blast_radius(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = DEFAULT_DEPTH, paths: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
     """seeds: id, and seed_ord where their order is given (else by id). Out: id, depth, parent, parent_edge, confidence, place (in the
-    queue), and with paths also path and edge_path (see with_paths).
+    queue: numbers that grow along it, of the seed and of the edges taken), and with paths also path and edge_path (see with_paths).
 
     Seeds that aren't nodes are left out; a node's confidence is the weakest along the way that reached it first.
 
@@ -46,12 +51,12 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth
     by = list(by)
     seeds = seeds.dropna(subset=by) if by else seeds
     max_depth = max_depth if max_depth > 0 else DEFAULT_DEPTH
-    inside = traversal_edges(nodes, edges).join(nodes.select(F.col("id").alias("source")), "source", "left_semi")
-    back = staged(inside.select("target", "source", "type", "confidence", edge_order(inside).alias("o")), "edges")
+    # tables of ids grow with the graph and pack far better in files than in memory: none is broadcast by the size of its files
+    inside = traversal_edges(nodes, edges).join(nodes.select(F.col("id").alias("source")).hint("merge"), "source", "left_semi")
+    back = staged(_in_order(inside, [edge_order(inside), F.col("confidence")], "o").select("target", "source", "type", "confidence", "o"), "edges")
     order = F.min("seed_ord") if "seed_ord" in seeds.columns else F.lit(0)
-    start = seeds.groupBy(*by, "id").agg(order.cast("long").alias("first")).join(nodes.select("id"), "id", "left_semi")
-    null, blank = F.lit(None).cast("string"), F.lit("")
-    place = F.array(F.struct(F.col("first").alias("n"), blank.alias("t"), F.col("id").alias("s"), blank.alias("o")))
+    start = _in_order(seeds.join(nodes.select("id"), "id").groupBy(*by, "id").agg(order.cast("long").alias("first")), [F.col("first"), F.col("id")], "first")
+    null, place = F.lit(None).cast("string"), F.array("first")
     frontier = staged(start.select(*by, "id", F.lit(0).alias("depth"), null.alias("parent"), null.alias("parent_edge"), F.lit("EXACT").alias("confidence"), place.alias("place")), "level")
     levels, seen = [frontier], frontier.select(*by, "id")
     for depth in range(1, max_depth + 1):
@@ -136,5 +141,5 @@ def shortest_path(edges: DataFrame, source: str, target: str, reverse: bool = Fa
 
 def caller_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Per call target: all calls, and those from production code."""
-    from_ = nodes.select(F.col("id").alias("source"), "is_test")
+    from_ = nodes.select(F.col("id").alias("source"), "is_test").hint("merge")
     return edges.filter("type = 'CALLS'").join(from_, "source", "left").groupBy("target").agg(F.count(F.lit(1)).alias("callers"), F.count_if(~F.col("is_test")).alias("prod_callers"))

@@ -49,3 +49,18 @@ def test_many_diffs_as_one_by_one(spark):
         want = {tuple(r) for r in api.analyze(spark, nodes, edges, texts[name]).affected.select(*cols).collect()}
         assert want and {tuple(r)[1:] for r in found if r["diff"] == name} == want
     assert {tuple(r)[1:] for r in found if r["diff"] == "same"} == {tuple(r)[1:] for r in found if r["diff"] == "one"}
+
+
+def test_places_are_numbers_and_equal_edges_go_by_confidence(spark):
+    """A place costs a number a step, whatever the names are; edges that tie in all but confidence count as their surest."""
+    rng = random.Random(10)
+    names, kinds, own, nodes, edges = graph(spark, rng)
+    twice = edges.filter("type != 'IMPORTS'").withColumn("confidence", F.lit("HEURISTIC")).unionByName(edges)
+    seeds = spark.createDataFrame([(d, x) for d, x in enumerate(names)], "diff long, id string")
+    out = traversal.blast_radius(nodes, twice, seeds, paths=False, by=("diff",))
+    assert dict(out.dtypes)["place"] == "array<bigint>"
+    got = {}
+    for r in out.collect():
+        assert len(r["place"]) == r["depth"] + 1
+        got.setdefault(r["diff"], {})[r["id"]] = (r["depth"], r["parent"], r["parent_edge"], r["confidence"])
+    assert got == {d: queue(own, kinds, x) for d, x in enumerate(names)}
