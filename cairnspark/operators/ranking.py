@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairnspark.staging import staged
+from cairnspark.staging import drop_staged, staged
+
+#: Rows that one range of numbered() has, roughly: what a task sorts at once.
+RANGE_ROWS = 1 << 17
 
 
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column], by: list[str] = ()) -> DataFrame:
@@ -34,5 +37,17 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column], by: lis
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
-    """df with each row's number in the order, from 1 on."""
-    return running(df, order, {name: F.lit(1).cast("long")})
+    """df with each row's number in the order, from 1 on.
+
+    The numbers within a range are those that Spark gives its sorted rows as they are written, so no window holds a range, and
+    there are as many ranges as the rows need: a task has RANGE_ROWS rows, roughly, however many there are."""
+    whole = staged(df, "rows")
+    ranges = max(1, -(-whole.count() // RANGE_ROWS))
+    part = whole.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    part = staged(part, "ranges").withColumn("__r", F.shiftright("__at", 33))
+    drop_staged(whole)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    held = part.groupBy(F.col("__r").alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    offsets = held.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n"))
+    joined = part.join(F.broadcast(offsets), F.col("__r") == F.col("__part"))
+    return joined.select(*df.columns, (F.col("__at") - F.shiftleft("__r", 33) + F.col("__n") + 1).alias(name))

@@ -2,9 +2,12 @@
 
 import random
 
-from cairnspark.operators import build, traversal
+from pyspark.sql import functions as F
+
+from cairnspark.operators import build, ranking, traversal
 from cairnspark.sinks import graph_store
 from cairnspark.sources import files
+from cairnspark.staging import staged
 from test_build import TREE
 
 
@@ -86,3 +89,16 @@ def test_order_of_a_built_graph(spark, tmp_path):
     parquet, doc = stored(spark, g.nodes, g.edges, tmp_path, "b")
     one = found(g.nodes, g.edges, seed)
     assert len(one) > 2 and one == found(parquet.nodes, parquet.edges, seed) == found(doc.nodes, doc.edges, seed)
+
+
+def test_ranges_of_numbers_are_bounded(spark, monkeypatch):
+    """However many rows there are, no task numbers many more than RANGE_ROWS of them."""
+    kept = []
+    monkeypatch.setattr(ranking, "RANGE_ROWS", 100, raising=False)
+    monkeypatch.setattr(ranking, "staged", lambda df, name: kept.append(staged(df, name)) or kept[-1])
+    n = spark.range(5000, numPartitions=3).select((F.col("id") * 7919 % 5000).alias("x"))
+    got = {r["x"]: r["place"] for r in ranking.numbered(n, [F.col("x")]).collect()}
+    assert got == {x: x + 1 for x in range(5000)}
+    ranges = kept[-1].groupBy(F.input_file_name()).count()
+    assert ranges.agg(F.max("count")).first()[0] <= 300
+    assert ranking.numbered(n.limit(0), [F.col("x")]).count() == 0
