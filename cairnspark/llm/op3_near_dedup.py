@@ -3,8 +3,9 @@
 A document is its set of five-word shingles with weight (1 + log10 tf) (1 + log10(N / df)), df counted
 over all documents for every shingle (see chunks: a frequent shingle costs a run of rows one key).
 
-Documents with the same words are one node before anything else. 100 samples in 20 bands of 5 give
-buckets. In each bucket all nodes are compared with the one that shares most buckets; their links
+Documents with the same words are one node before anything else. Only texts that can be similar to another one
+are sampled: those with enough of their weight in shingles that another text has too (see shareable; this loses
+no pair). 100 samples in 20 bands of 5 give buckets. In each bucket all nodes are compared with the one that shares most buckets; their links
 give components. Buckets that still hold several components are cut into blocks. Two blocks meet
 unless both hold only the bucket's largest component, first with their signatures alone: only nodes
 that agree in 60 of 100 samples or more with one of another component are given their texts, and
@@ -100,6 +101,14 @@ def weights(tf: np.ndarray, df: np.ndarray, total: int) -> np.ndarray:
     return (1 + np.log10(tf)) * (1 + np.log10(total / df))
 
 
+def shareable(w: np.ndarray, df: np.ndarray, starts: np.ndarray, threshold: float) -> np.ndarray:
+    """Which texts can be similar to any other. What two texts have in common is in both of them, so in shingles of two
+    texts or more, and weighs no more than those do in either: if they are less than threshold of a text's weight, so is
+    its similarity to every other text. (The margin is for sums of floats.)"""
+    whole, common = K.sums_by_text(w, starts), K.sums_by_text(np.where(df > 1, w, 0.0), starts)
+    return (np.diff(starts) > 0) & (common >= (threshold - 1e-6) * whole)
+
+
 @lru_cache(1)
 def _seeds(samples: int) -> np.ndarray:
     """Three odd multipliers for each sample."""
@@ -300,11 +309,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         s, tf, starts, same = shingles(K.blobs(run["t"]), size)
         df = np.concatenate([C.unpacked_counts(x) for x in cells["df"].to_pylist()])
         own = df[K.numbered(s)[2]]
-        has = np.diff(starts) > 0
+        w = weights(tf, own, total)
+        has = shareable(w, own, starts, threshold)
         sig = np.zeros((run.num_rows, BANDS * ROWS), np.uint32)
         if has.any():
-            sig[has] = signatures(s, weights(tf, own, total), np.append(starts[:-1][has], starts[-1]))
-        counts = [C.packed_counts(own[p:q]) for p, q in zip(starts[:-1], starts[1:], strict=True)]
+            length = np.diff(starts)
+            some = np.repeat(has, length)
+            sig[has] = signatures(s[some], w[some], np.append(0, np.cumsum(length[has])))
+        counts = [C.packed_counts(own[p:q]) if x else b"" for p, q, x in zip(starts[:-1], starts[1:], has.tolist(), strict=True)]
         return pa.table({"doc_id": run["doc_id"], "row": run["row"], "node": _nodes(same), "sig": _binaries(sig, has), "text_md5": run["text_md5"], "df": pa.array(counts, pa.binary())})
 
     def weighted(texts: list[bytes | None], df: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:

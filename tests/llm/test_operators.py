@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from oracle import assert_matches
 from pyspark.sql import functions as F
 
-from cairnspark.llm import chunks, op1_quality, op2_decontaminate, op3_near_dedup, op4_exact_dedup, op5_lm_score, op6_token_files, op7_token_counts, op8_chat_format, op9_pii, op10_sentencepiece, queries
+from cairnspark.llm import chunks, op1_quality, op2_decontaminate, op3_near_dedup, op4_exact_dedup, op5_lm_score, op6_token_files, op7_token_counts, op8_chat_format, op9_pii, op10_sentencepiece, queries, shared
 from cairnspark.llm.shared import fresh_path
 from cairnspark.llm.textkernel import ALNUM, word_stream
 
@@ -128,6 +128,36 @@ def test_near_classes_by_brute_force(spark):
     assert got == want
 
 
+def test_only_texts_that_may_have_a_near_copy_are_sampled(spark, monkeypatch):
+    """Signatures are made for texts with enough weight in shingles of other texts, and no similar pair lacks one."""
+    rng = np.random.default_rng(5)
+    rows, base = [], [f"w{i}" for i in range(60)]
+    for k in range(60):  # copies of a text that differ in anything from no word to most of its words
+        words = list(base)
+        for i in rng.choice(60, k // 12, replace=False).tolist():
+            words[i] = f"x{k}y{i}"
+        rows.append((k, " ".join(words)))
+    rows += [(100 + k, " ".join(f"own{k}x{i}" for i in range(50))) for k in range(30)]
+    s, tf, at, _ = op3_near_dedup.shingles([t.encode() for _, t in rows])
+    u, number, df = np.unique(s, return_inverse=True, return_counts=True)
+    w = op3_near_dedup.weights(tf, df[number], len(rows))
+    sets = [(s[p:q], w[p:q]) for p, q in zip(at[:-1], at[1:], strict=True)]
+    near = {i for i, x in enumerate(sets) for j, y in enumerate(sets) if i != j and op3_near_dedup.similarity(x, y) >= 0.8}
+    signed = {}
+
+    def staged(df, name, *rest):
+        out = shared.staged(df, name, *rest)
+        if name == "signatures":
+            signed.update({r["doc_id"]: r["n"] for r in out.select("doc_id", F.octet_length("sig").alias("n")).collect()})
+        return out
+
+    monkeypatch.setattr(op3_near_dedup, "staged", staged)
+    got = {r["doc_id"]: r["class_id"] for r in op3_near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    some = {k for k, n in signed.items() if n}
+    assert {rows[i][0] for i in near} <= some and not any(k >= 100 for k in some) and len(some) < 60 <= len(signed) - 30
+    assert len(near) > 10 and all(got[k] == k for k, _ in rows if k not in some)
+
+
 def test_copies_that_differ_in_boilerplate(spark):
     """Two texts with 300 shingles of df 2 in common and 40 others of df 20 a side, among 400: TF-IDF similarity 0.82, TF alone 0.77."""
 
